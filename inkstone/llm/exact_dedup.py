@@ -45,6 +45,10 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def entries(self) -> DataFrame:
+        """The index as plain files: a join with it deals both sides out anew, so that a hot digest can be split."""
+        return self.spark.read.parquet(self.path)
+
     def append(self, entries: DataFrame) -> None:
         placed = entries.repartition(self.buckets, "digest") if self.exists() else entries
         writer = placed.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
@@ -65,7 +69,7 @@ def resolve(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     rows = settle(digested(docs), "digests")
     known = index.exists()
     new = index.add(rows)
-    verdict = index.read() if not known else index.read().withColumn("earlier", F.lit(True)).join(new.select("digest", F.lit(True).alias("fresh")), "digest", "left")
+    verdict = index.entries() if not known else index.entries().withColumn("earlier", F.lit(True)).join(new.select("digest", F.lit(True).alias("fresh")), "digest", "left")
     kept = (F.col("doc_id") == F.col("keep_id")) & (F.col("copy") == 1)
     if known:  # a digest of an earlier batch has its row already
         kept &= F.coalesce(F.col("fresh"), F.lit(False))
