@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_main_text, license_scan, near_dedup, packing, quality_gam, quality_rules
+from . import bpe, exact_dedup, html_main_text, language_crf, license_scan, near_dedup, packing, quality_gam, quality_rules, toxicity_chain
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,10 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_chain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.resolve(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main_text.extract(table(spark, sf_dir, "pages"))
 
@@ -47,7 +55,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-ALL = (op1_best_fit_packing, op2_bpe_round_trip, op4_near_dedup, op5_license_scan, op6_exact_dedup, op7_quality_rules, op9_html_extraction, op10_quality_classifier)
+ALL = (
+    op1_best_fit_packing,
+    op2_bpe_round_trip,
+    op3_toxicity_chain,
+    op4_near_dedup,
+    op5_license_scan,
+    op6_exact_dedup,
+    op7_quality_rules,
+    op8_language_crf,
+    op9_html_extraction,
+    op10_quality_classifier,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
