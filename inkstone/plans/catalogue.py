@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from . import documents, grounding, retrieval
+
+MODULES = (documents, retrieval, grounding)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for module in MODULES for f in module.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for module in MODULES for name, text in module.SQL.items()}
