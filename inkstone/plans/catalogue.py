@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, grounding, retrieval
+from . import documents, files, grounding, retrieval
 
-MODULES = (documents, retrieval, grounding)
+MODULES = (documents, retrieval, grounding, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
