@@ -7,10 +7,11 @@ comes later than all registers of its document. Two documents agree in a registe
 Texts with the same words are one node, so copies are never compared. The signature's bands deal the nodes into
 buckets. In rounds, every node of a bucket meets the bucket's leader, another one in each round; pairs are verified by
 the Jaccard similarity of their shingle sets, and verified links are joined to classes by alternating large-star and
-small-star steps. Nodes of one class need not meet again, so buckets of one class are done. When a round finds nothing
-more, the nodes outside each remaining bucket's largest class meet all nodes of the bucket's other classes, which finds
-every link that the leaders missed. All of it is joins and aggregates; no group is gathered in a task, and the side of a
-join that holds leaders, verdicts or labels is unique by key, so adaptive execution can split a hot one.
+small-star steps. Nodes of one class need not meet again, so buckets of one class are done. When the pairs that are left
+across classes are no more than the first banding had rows, or a round finds nothing, the nodes outside each bucket's
+largest class meet all nodes of the bucket's other classes, which finds every link that the leaders missed. All of it is
+joins and aggregates; no group is gathered in a task, and the side of a join that holds leaders, verdicts or labels is
+unique by key, so adaptive execution can split a hot one.
 
 Defined results: words are runs of letters, digits and underscores, lower-cased. A text of one to four words has one
 shingle, so it is similar only to the same words. Texts without a word (null and empty too) are copies of one another.
@@ -34,10 +35,10 @@ from .common import discard, settle
 
 WIDTH = 5
 SIMILARITY = 0.8
-#: A pair of similarity 0.8 shares no band with probability 3e-5, one of 0.85 with 4e-8.
-BANDS, ROWS = 44, 7
-#: Characters whose shingles a task holds at once, beside one whole text.
-CHUNK = 2_000_000
+#: A pair of similarity 0.8 shares no band with probability 2e-5, one of 0.85 with 2e-8.
+BANDS, ROWS = 36, 6
+#: Words whose shingles a task holds at once, beside one whole text.
+RUN_WORDS = 1_000_000
 NO_ID = -(2**63)
 
 _word = re.compile(r"\w+").findall
@@ -142,7 +143,7 @@ def _signed(bands: int, rows: int):
                 key = hashlib.blake2b(" ".join(words).encode(), digest_size=16).hexdigest()
                 run.append((i.as_py(), t.as_py(), key, *shingles(words)))
                 size += len(words)
-                if size * 6 > CHUNK:
+                if size > RUN_WORDS:
                     yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(flush(run), types, strict=True)], names)
                     run, size = [], 0
             if run:
@@ -194,34 +195,35 @@ def labels(nodes: DataFrame, identified: DataFrame, similarity: float = SIMILARI
     busy = nodes.join(rest.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
     sets = settle(identified.join(busy, ["doc_id", "text_hash"]).select("node", "text").mapInArrow(_sets, "node bigint, shingles array<int>"), "sets")
     found = settle(busy.select("node", F.col("node").alias("root")), "labels")
-    turn, last = 0, False
+    rows = rest.count()
+    turn, fruitless = 0, False
     while not rest.isEmpty():
-        if not last:
+        sizes = rest.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+        whole = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.max(F.struct("n", "root")).alias("main"))
+        across = whole.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0]
+        last = fruitless or across <= rows
+        if last:
+            marked = rest.join(whole.select("bucket", F.col("main.root").alias("main")), "bucket")
+            outer = marked.where("root != main").select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"))
+            pairs = marked.join(outer, "bucket").where("root != root_a and (root = main or node < a)")
+        else:
             rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), F.col("node").alias("a"), F.col("root").alias("root_a"))
             leaders = rest.groupBy("bucket").agg(F.min(rank).alias("lead")).select("bucket", "lead.a", "lead.root_a")
             pairs = rest.join(leaders, "bucket").where("root != root_a")
-        else:
-            sizes = rest.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-            main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main")).select("bucket", F.col("main.root").alias("main"))
-            marked = rest.join(main, "bucket")
-            outer = marked.where("root != main").select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"))
-            pairs = marked.join(outer, "bucket").where("root != root_a and (root = main or node < a)")
         pairs = pairs.select("a", F.col("node").alias("b"), "root_a", F.col("root").alias("root_b")).distinct()
         links = settle(_verify(pairs, sets, similarity), "links")
-        if not links.isEmpty():
+        fruitless = links.isEmpty()
+        if not fruitless:
             roots = components(links)
             grown = settle(_relabel(found, roots).select("node", "root"), "labels")
             discard(found)
             found = grown
-            if last:
-                break
+        if last:
+            break
+        if not fruitless:
             fewer = settle(_open(_relabel(rest, roots)), "buckets")
             discard(rest)
             rest = fewer
-        elif last:
-            break
-        else:
-            last = True
         turn += 1
     discard(sets)
     return found
