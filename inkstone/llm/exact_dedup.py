@@ -47,7 +47,7 @@ class DigestIndex:
 
     def entries(self) -> DataFrame:
         """The index as plain files: a join with it deals both sides out anew, so that a hot digest can be split."""
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.schema(self.read().schema).parquet(self.path)
 
     def append(self, entries: DataFrame) -> None:
         placed = entries.repartition(self.buckets, "digest") if self.exists() else entries
