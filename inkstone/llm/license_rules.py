@@ -19,12 +19,10 @@ class Rule(NamedTuple):
 #: One of these parts is in every text that any rule or base phrase can match.
 GATE = ("licen", "rights reserved", " cc ", "creative commons", "gpl", "public domain", "spdx", "copyright", "permission is hereby", "redistribution and use", "software is provided", "proprietary", "beerware", "wtfpl", "cc0", "terms of use")
 
-VERSION = r"(?: version| v)? "
-
 FAMILIES: list[tuple[str, str, list[str], list[str]]] = [
-    ("apache-1.0", "apache", [r"apache(?: software)? license(?: version| v)? 1(?: 0)?"], ["apache 1 0"]),
-    ("apache-1.1", "apache", [r"apache(?: software)? license(?: version| v)? 1 1"], ["apache 1 1"]),
-    ("apache-2.0", "apache", [r"apache(?: software)? license(?: version| v)? 2(?: 0)?", r"apache 2(?: 0)?(?: license)?"], ["apache 2 0"]),
+    ("apache-1.0", "apache", [r"apache(?: software)? license(?: version| v)? v?1(?: 0)?"], ["apache 1 0"]),
+    ("apache-1.1", "apache", [r"apache(?: software)? license(?: version| v)? v?1 1"], ["apache 1 1"]),
+    ("apache-2.0", "apache", [r"apache(?: software)? license(?: version| v)? v?2(?: 0)?", r"apache 2(?: 0)?(?: license)?"], ["apache 2 0"]),
     ("mit", "mit", [r"mit licen[sc]e", r"mit x11 license", r"expat license"], ["mit"]),
     ("mit-0", "mit", [r"mit no attribution(?: license)?"], ["mit 0"]),
     ("bsd-2-clause", "bsd", [r"(?:bsd )?2 clause bsd license", r"bsd 2 clause license", r"simplified bsd license", r"freebsd license"], ["bsd 2 clause"]),
@@ -32,85 +30,85 @@ FAMILIES: list[tuple[str, str, list[str], list[str]]] = [
     ("bsd-4-clause", "bsd", [r"4 clause bsd license", r"bsd 4 clause license", r"original bsd license"], ["bsd 4 clause"]),
     ("0bsd", "bsd", [r"zero clause bsd license", r"bsd zero clause license"], ["0bsd"]),
     ("bsd", "bsd", [r"bsd(?: style)? licen[sc]e"], []),
-    ("gpl-1.0", "general public", [r"gnu general public license(?: version| v)? 1(?: 0)?"], ["gpl 1 0 only", "gpl 1 0"]),
-    ("gpl-2.0", "general public", [r"(?:gnu )?general public license(?: version| v)? 2(?: 0)?"], ["gpl 2 0 only", "gpl 2 0"]),
+    ("gpl-1.0", "general public", [r"gnu general public license(?: version| v)? v?1(?: 0)?"], ["gpl 1 0 only", "gpl 1 0"]),
+    ("gpl-2.0", "general public", [r"(?:gnu )?general public license(?: version| v)? v?2(?: 0)?"], ["gpl 2 0 only", "gpl 2 0"]),
     ("gpl-2.0", "gpl", [r"(?:gnu )?gpl(?: version| v)? ?2(?: 0)?"], []),
-    ("gpl-2.0-or-later", "general public", [r"(?:gnu )?general public license(?: version| v)? 2(?: 0)? or (?:any )?later"], ["gpl 2 0 or later"]),
-    ("gpl-3.0", "general public", [r"(?:gnu )?general public license(?: version| v)? 3(?: 0)?"], ["gpl 3 0 only", "gpl 3 0"]),
+    ("gpl-2.0-or-later", "general public", [r"(?:gnu )?general public license(?: version| v)? v?2(?: 0)? or (?:any )?later"], ["gpl 2 0 or later"]),
+    ("gpl-3.0", "general public", [r"(?:gnu )?general public license(?: version| v)? v?3(?: 0)?"], ["gpl 3 0 only", "gpl 3 0"]),
     ("gpl-3.0", "gpl", [r"(?:gnu )?gpl(?: version| v)? ?3(?: 0)?"], []),
-    ("gpl-3.0-or-later", "general public", [r"(?:gnu )?general public license(?: version| v)? 3(?: 0)? or (?:any )?later"], ["gpl 3 0 or later"]),
-    ("lgpl-2.0", "lesser", [r"gnu (?:library|lesser) general public license(?: version| v)? 2(?: 0)?"], ["lgpl 2 0 only", "lgpl 2 0"]),
-    ("lgpl-2.1", "lesser", [r"(?:gnu )?lesser general public license(?: version| v)? 2 1"], ["lgpl 2 1 only", "lgpl 2 1"]),
+    ("gpl-3.0-or-later", "general public", [r"(?:gnu )?general public license(?: version| v)? v?3(?: 0)? or (?:any )?later"], ["gpl 3 0 or later"]),
+    ("lgpl-2.0", "lesser", [r"gnu (?:library|lesser) general public license(?: version| v)? v?2(?: 0)?"], ["lgpl 2 0 only", "lgpl 2 0"]),
+    ("lgpl-2.1", "lesser", [r"(?:gnu )?lesser general public license(?: version| v)? v?2 1"], ["lgpl 2 1 only", "lgpl 2 1"]),
     ("lgpl-2.1", "lgpl", [r"(?:gnu )?lgpl(?: version| v)? ?2 1"], []),
-    ("lgpl-2.1-or-later", "lesser", [r"(?:gnu )?lesser general public license(?: version| v)? 2 1 or (?:any )?later"], ["lgpl 2 1 or later"]),
-    ("lgpl-3.0", "lesser", [r"(?:gnu )?lesser general public license(?: version| v)? 3(?: 0)?"], ["lgpl 3 0 only", "lgpl 3 0"]),
+    ("lgpl-2.1-or-later", "lesser", [r"(?:gnu )?lesser general public license(?: version| v)? v?2 1 or (?:any )?later"], ["lgpl 2 1 or later"]),
+    ("lgpl-3.0", "lesser", [r"(?:gnu )?lesser general public license(?: version| v)? v?3(?: 0)?"], ["lgpl 3 0 only", "lgpl 3 0"]),
     ("lgpl-3.0", "lgpl", [r"(?:gnu )?lgpl(?: version| v)? ?3(?: 0)?"], []),
-    ("agpl-3.0", "affero", [r"(?:gnu )?affero general public license(?:(?: version| v)? 3(?: 0)?)?"], ["agpl 3 0 only", "agpl 3 0 or later", "agpl 3 0"]),
+    ("agpl-3.0", "affero", [r"(?:gnu )?affero general public license(?:(?: version| v)? v?3(?: 0)?)?"], ["agpl 3 0 only", "agpl 3 0 or later", "agpl 3 0"]),
     ("agpl-3.0", "agpl", [r"(?:gnu )?agpl(?: version| v)? ?3(?: 0)?"], []),
-    ("gfdl-1.1", "documentation", [r"gnu free documentation license(?: version| v)? 1 1"], ["gfdl 1 1"]),
-    ("gfdl-1.2", "documentation", [r"gnu free documentation license(?: version| v)? 1 2"], ["gfdl 1 2"]),
-    ("gfdl-1.3", "documentation", [r"gnu free documentation license(?: version| v)? 1 3"], ["gfdl 1 3"]),
-    ("mpl-1.0", "mozilla", [r"mozilla public license(?: version| v)? 1(?: 0)?"], ["mpl 1 0"]),
-    ("mpl-1.1", "mozilla", [r"mozilla public license(?: version| v)? 1 1"], ["mpl 1 1"]),
-    ("mpl-2.0", "mozilla", [r"mozilla public license(?: version| v)? 2(?: 0)?"], ["mpl 2 0"]),
-    ("epl-1.0", "eclipse", [r"eclipse public license(?: version| v)? 1(?: 0)?"], ["epl 1 0"]),
-    ("epl-2.0", "eclipse", [r"eclipse public license(?: version| v)? 2(?: 0)?"], ["epl 2 0"]),
-    ("edl-1.0", "eclipse", [r"eclipse distribution license(?: version| v)? 1(?: 0)?"], []),
-    ("cpl-1.0", "common public", [r"common public license(?: version| v)? 1(?: 0)?"], ["cpl 1 0"]),
-    ("ipl-1.0", "ibm", [r"ibm public license(?: version| v)? 1(?: 0)?"], ["ipl 1 0"]),
-    ("cddl-1.0", "common development", [r"common development and distribution license(?: version| v)? 1(?: 0)?"], ["cddl 1 0"]),
-    ("cddl-1.1", "common development", [r"common development and distribution license(?: version| v)? 1 1"], ["cddl 1 1"]),
+    ("gfdl-1.1", "documentation", [r"gnu free documentation license(?: version| v)? v?1 1"], ["gfdl 1 1"]),
+    ("gfdl-1.2", "documentation", [r"gnu free documentation license(?: version| v)? v?1 2"], ["gfdl 1 2"]),
+    ("gfdl-1.3", "documentation", [r"gnu free documentation license(?: version| v)? v?1 3"], ["gfdl 1 3"]),
+    ("mpl-1.0", "mozilla", [r"mozilla public license(?: version| v)? v?1(?: 0)?"], ["mpl 1 0"]),
+    ("mpl-1.1", "mozilla", [r"mozilla public license(?: version| v)? v?1 1"], ["mpl 1 1"]),
+    ("mpl-2.0", "mozilla", [r"mozilla public license(?: version| v)? v?2(?: 0)?"], ["mpl 2 0"]),
+    ("epl-1.0", "eclipse", [r"eclipse public license(?: version| v)? v?1(?: 0)?"], ["epl 1 0"]),
+    ("epl-2.0", "eclipse", [r"eclipse public license(?: version| v)? v?2(?: 0)?"], ["epl 2 0"]),
+    ("edl-1.0", "eclipse", [r"eclipse distribution license(?: version| v)? v?1(?: 0)?"], []),
+    ("cpl-1.0", "common public", [r"common public license(?: version| v)? v?1(?: 0)?"], ["cpl 1 0"]),
+    ("ipl-1.0", "ibm", [r"ibm public license(?: version| v)? v?1(?: 0)?"], ["ipl 1 0"]),
+    ("cddl-1.0", "common development", [r"common development and distribution license(?: version| v)? v?1(?: 0)?"], ["cddl 1 0"]),
+    ("cddl-1.1", "common development", [r"common development and distribution license(?: version| v)? v?1 1"], ["cddl 1 1"]),
     ("isc", "isc", [r"isc license", r"internet systems consortium license"], ["isc"]),
     ("zlib", "zlib", [r"zlib license", r"zlib libpng license"], ["zlib"]),
     ("libpng", "libpng", [r"libpng license"], ["libpng", "libpng 2 0"]),
-    ("bsl-1.0", "boost", [r"boost software license(?:(?: version| v)? 1 0)?"], ["bsl 1 0"]),
+    ("bsl-1.0", "boost", [r"boost software license(?:(?: version| v)? v?1 0)?"], ["bsl 1 0"]),
     ("unlicense", "unlicense", [r"the unlicense", r"unlicense license"], ["unlicense"]),
     ("wtfpl", "wtfpl", [r"wtfpl(?: license)?"], ["wtfpl"]),
     ("wtfpl", "what the f", [r"do what the f\w+ you want to public license"], []),
-    ("artistic-1.0", "artistic", [r"artistic license(?: version| v)? 1(?: 0)?"], ["artistic 1 0"]),
-    ("artistic-2.0", "artistic", [r"artistic license(?: version| v)? 2(?: 0)?"], ["artistic 2 0"]),
-    ("psf-2.0", "python", [r"python software foundation license(?:(?: version| v)? 2)?", r"psf license"], ["psf 2 0"]),
+    ("artistic-1.0", "artistic", [r"artistic license(?: version| v)? v?1(?: 0)?"], ["artistic 1 0"]),
+    ("artistic-2.0", "artistic", [r"artistic license(?: version| v)? v?2(?: 0)?"], ["artistic 2 0"]),
+    ("psf-2.0", "python", [r"python software foundation license(?:(?: version| v)? v?2)?", r"psf license"], ["psf 2 0"]),
     ("ruby", "ruby", [r"ruby license"], ["ruby"]),
-    ("php-3.01", "php", [r"php license(?:(?: version| v)? 3 01)?"], ["php 3 01"]),
+    ("php-3.01", "php", [r"php license(?:(?: version| v)? v?3 01)?"], ["php 3 01"]),
     ("openssl", "openssl", [r"openssl license"], ["openssl"]),
     ("ssleay", "ssleay", [r"ssleay license"], ["ssleay"]),
     ("x11", "x11", [r"x11 license"], ["x11"]),
     ("ncsa", "ncsa", [r"(?:university of illinois )?ncsa open source license"], ["ncsa"]),
     ("postgresql", "postgresql", [r"postgresql licen[sc]e"], ["postgresql"]),
-    ("eupl-1.1", "european union", [r"european union public licen[sc]e(?: version| v)? 1 1"], ["eupl 1 1"]),
-    ("eupl-1.2", "european union", [r"european union public licen[sc]e(?: version| v)? 1 2"], ["eupl 1 2"]),
-    ("cecill-2.1", "cecill", [r"cecill(?: free software)? license(?: agreement)?(?: version| v)? 2 1"], ["cecill 2 1"]),
+    ("eupl-1.1", "european union", [r"european union public licen[sc]e(?: version| v)? v?1 1"], ["eupl 1 1"]),
+    ("eupl-1.2", "european union", [r"european union public licen[sc]e(?: version| v)? v?1 2"], ["eupl 1 2"]),
+    ("cecill-2.1", "cecill", [r"cecill(?: free software)? license(?: agreement)?(?: version| v)? v?2 1"], ["cecill 2 1"]),
     ("cecill-b", "cecill", [r"cecill b(?: license)?"], ["cecill b"]),
     ("cecill-c", "cecill", [r"cecill c(?: license)?"], ["cecill c"]),
     ("ms-pl", "microsoft", [r"microsoft public license"], ["ms pl"]),
     ("ms-rl", "microsoft", [r"microsoft reciprocal license"], ["ms rl"]),
-    ("osl-3.0", "open software", [r"open software license(?: version| v)? 3(?: 0)?"], ["osl 3 0"]),
-    ("afl-3.0", "academic", [r"academic free license(?: version| v)? 3(?: 0)?"], ["afl 3 0"]),
-    ("ofl-1.1", "sil", [r"sil open font license(?:(?: version| v)? 1 1)?"], ["ofl 1 1"]),
-    ("odbl-1.0", "database", [r"open (?:data commons open )?database license(?: odbl)?(?:(?: version| v)? 1 0)?"], ["odbl 1 0"]),
-    ("odc-by-1.0", "attribution", [r"open data commons attribution license(?:(?: version| v)? 1 0)?"], ["odc by 1 0"]),
+    ("osl-3.0", "open software", [r"open software license(?: version| v)? v?3(?: 0)?"], ["osl 3 0"]),
+    ("afl-3.0", "academic", [r"academic free license(?: version| v)? v?3(?: 0)?"], ["afl 3 0"]),
+    ("ofl-1.1", "sil", [r"sil open font license(?:(?: version| v)? v?1 1)?"], ["ofl 1 1"]),
+    ("odbl-1.0", "database", [r"open (?:data commons open )?database license(?: odbl)?(?:(?: version| v)? v?1 0)?"], ["odbl 1 0"]),
+    ("odc-by-1.0", "attribution", [r"open data commons attribution license(?:(?: version| v)? v?1 0)?"], ["odc by 1 0"]),
     ("pddl-1.0", "public domain", [r"(?:open data commons )?public domain dedication and license"], ["pddl 1 0"]),
     ("cc0-1.0", "cc0", [r"cc0(?: 1 0)?(?: universal)?(?: license)?"], ["cc0 1 0"]),
-    ("cc0-1.0", "zero", [r"creative commons zero(?:(?: version| v)? 1 0)?(?: universal)?"], []),
+    ("cc0-1.0", "zero", [r"creative commons zero(?:(?: version| v)? v?1 0)?(?: universal)?"], []),
     ("json", "good not evil", [r"shall be used for good not evil"], ["json"]),
     ("beerware", "beer", [r"the beer ware license", r"beerware license"], ["beerware"]),
-    ("sspl-1.0", "server side", [r"server side public license(?:(?: version| v)? 1)?"], ["sspl 1 0"]),
-    ("busl-1.1", "business source", [r"business source license(?:(?: version| v)? 1 1)?"], ["busl 1 1"]),
-    ("elastic-2.0", "elastic", [r"elastic license(?:(?: version| v)? 2 0)?"], ["elastic 2 0"]),
+    ("sspl-1.0", "server side", [r"server side public license(?:(?: version| v)? v?1)?"], ["sspl 1 0"]),
+    ("busl-1.1", "business source", [r"business source license(?:(?: version| v)? v?1 1)?"], ["busl 1 1"]),
+    ("elastic-2.0", "elastic", [r"elastic license(?:(?: version| v)? v?2 0)?"], ["elastic 2 0"]),
     ("commons-clause", "commons clause", [r"commons clause(?: license)?(?: condition)?"], []),
-    ("hippocratic-2.1", "hippocratic", [r"hippocratic license(?:(?: version| v)? 2 1)?"], ["hippocratic 2 1"]),
+    ("hippocratic-2.1", "hippocratic", [r"hippocratic license(?:(?: version| v)? v?2 1)?"], ["hippocratic 2 1"]),
     ("blueoak-1.0.0", "blue oak", [r"blue oak model license(?: 1 0 0)?"], ["blueoak 1 0 0"]),
-    ("upl-1.0", "universal permissive", [r"universal permissive license(?:(?: version| v)? 1 0)?"], ["upl 1 0"]),
+    ("upl-1.0", "universal permissive", [r"universal permissive license(?:(?: version| v)? v?1 0)?"], ["upl 1 0"]),
     ("vim", "vim", [r"vim license"], ["vim"]),
     ("curl", "curl", [r"curl license"], ["curl"]),
     ("ijg", "jpeg", [r"independent jpeg group license"], ["ijg"]),
     ("unicode", "unicode", [r"unicode(?: inc)? license(?: agreement)?"], ["unicode dfs 2016", "unicode 3 0"]),
     ("w3c", "w3c", [r"w3c software(?: notice and)? license"], ["w3c"]),
-    ("zpl-2.1", "zope", [r"zope public license(?:(?: version| v)? 2 1)?"], ["zpl 2 1"]),
-    ("qpl-1.0", "q public", [r"q public license(?:(?: version| v)? 1 0)?"], ["qpl 1 0"]),
-    ("lppl-1.3c", "latex", [r"latex project public license(?:(?: version| v)? 1 3c?)?"], ["lppl 1 3c"]),
-    ("ecl-2.0", "educational", [r"educational community license(?:(?: version| v)? 2 0)?"], ["ecl 2 0"]),
-    ("ogl-uk-3.0", "open government", [r"open government licen[sc]e(?:(?: version| v)? 3 0)?"], ["ogl uk 3 0"]),
+    ("zpl-2.1", "zope", [r"zope public license(?:(?: version| v)? v?2 1)?"], ["zpl 2 1"]),
+    ("qpl-1.0", "q public", [r"q public license(?:(?: version| v)? v?1 0)?"], ["qpl 1 0"]),
+    ("lppl-1.3c", "latex", [r"latex project public license(?:(?: version| v)? v?1 3c?)?"], ["lppl 1 3c"]),
+    ("ecl-2.0", "educational", [r"educational community license(?:(?: version| v)? v?2 0)?"], ["ecl 2 0"]),
+    ("ogl-uk-3.0", "open government", [r"open government licen[sc]e(?:(?: version| v)? v?3 0)?"], ["ogl uk 3 0"]),
 ]
 
 #: Creative Commons licenses come from their elements and versions.

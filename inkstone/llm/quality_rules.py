@@ -52,6 +52,7 @@ RULES: list[tuple[str, Callable[[Counts], int]]] = [
     ("calm", lambda c: _between(c.n_bangs / max(c.n_words, 1), 0.05, 0.2)),
     ("little_punctuation", lambda c: _between(c.n_marks / max(c.word_chars, 1), 0.08, 0.15)),
     ("letters", lambda c: _between(c.n_letters / max(c.word_chars, 1), 0.85, 0.7)),
+    ("words_have_letters", lambda c: _between(c.n_bare / max(c.n_words, 1), 0.02, 0.1)),
     ("short_words", lambda c: _between(c.n_short / max(c.n_words, 1), 0.2, 0.08)),
 ]
 

@@ -10,6 +10,7 @@ from typing import NamedTuple
 import numpy as np
 
 _words = re.compile(r"[^ \t-\r]+").findall
+_solid = re.compile(r"[^\W_]").search
 SYMBOLS = "#*$%&|<>"
 UPPER, LETTER, DIGIT, SPACE, MARK, OTHER = range(6)
 
@@ -31,6 +32,7 @@ class Counts(NamedTuple):
     n_bangs: int
     n_bars: int
     n_adjacent: int
+    n_bare: int
 
 
 @lru_cache(maxsize=1)
@@ -83,4 +85,5 @@ def counts(text: str | None) -> Counts:
         n_bangs=text.count("!"),
         n_bars=text.count("|"),
         n_adjacent=int((ids[1:] == ids[:-1]).sum()) if len(ids) else 0,
+        n_bare=int(np.bincount(ids, minlength=len(first))[[k for w, k in first.items() if _solid(w) is None]].sum()) if words else 0,
     )
