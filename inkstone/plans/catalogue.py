@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, files, grounding, retrieval
+from . import documents, files, grounding, retrieval, service
 
-MODULES = (documents, retrieval, grounding, files)
+MODULES = (documents, retrieval, grounding, files, service)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
