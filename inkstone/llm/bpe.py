@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,6 +30,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 SPLIT_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 #: Words that a task remembers before it starts afresh.
 REMEMBERED = 150_000
+#: Position lists longer than this are merged as arrays.
+LONG_LIST = 48
 
 
 class PairIndexBpe:
@@ -42,13 +45,13 @@ class PairIndexBpe:
         shown = {b: chr(b) for b in printable}
         shown |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
         to_byte = {c: b for b, c in shown.items()}
-        self.byte_id = [vocab[shown[b]] for b in range(256)]
+        self.byte_ids = np.array([vocab[shown[b]] for b in range(256)], np.int32)
         self.bytes_of = {i: bytes(to_byte[c] for c in t) for t, i in vocab.items() if all(c in to_byte for c in t)}
-        self.rank: dict[tuple[int, int], int] = {}
+        self.rank: dict[int, int] = {}  # by both ids in one number
         self.merged: list[tuple[int, int, int]] = []
         for k, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.rank[vocab[a], vocab[b]] = k
+            self.rank[vocab[a] << 20 | vocab[b]] = k
             self.merged.append((vocab[a], vocab[b], vocab[a + b]))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
@@ -60,51 +63,78 @@ class PairIndexBpe:
         return self._split_ascii(text) if text.isascii() else self._split(text)
 
     def learn(self, words: list[str]) -> None:
-        """Encodes distinct new words together."""
-        symbol: list[int] = []
-        starts: list[int] = []
-        for w in words:
-            starts.append(len(symbol))
-            symbol.extend(map(self.byte_id.__getitem__, w.encode()))
-        n = len(symbol)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for s in starts:
-            before[s] = -1
-            if s:
-                after[s - 1] = -1
-        if n:
-            after[n - 1] = -1
-        rank = self.rank
-        places: dict[int, list[int]] = {}
-        for p, q in enumerate(after):
-            if q >= 0 and (r := rank.get((symbol[p], symbol[q]))) is not None:
-                places.setdefault(r, []).append(p)
-        active = list(places)
-        heapq.heapify(active)
+        """Encodes distinct new words together. Symbols lie in arrays, whose long position lists are merged as a whole."""
+        data = [w.encode() for w in words]
+        ends = np.cumsum([0, *map(len, data)])
+        n = int(ends[-1])
+        symbol = self.byte_ids[np.frombuffer(b"".join(data), np.uint8)]
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        full = ends[:-1][np.diff(ends) > 0]
+        before[full] = -1
+        after[np.append(full[1:], n)[: len(full)] - 1] = -1
+        places: dict[int, list] = {}
+        active: list[int] = []
+
+        def add(pairs: np.ndarray, at: np.ndarray) -> None:
+            """Puts positions on the lists of their pairs' ranks."""
+            if len(pairs) == 0:
+                return
+            order = np.argsort(pairs, kind="stable")
+            pairs, at = pairs[order], at[order]
+            cuts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+            for pair, group in zip(pairs[cuts].tolist(), np.split(at, cuts[1:]), strict=True):
+                r = self.rank.get(pair)
+                if r is not None:
+                    if r not in places:
+                        places[r] = []
+                        heapq.heappush(active, r)
+                    places[r].extend(group.tolist())
+
+        left = np.flatnonzero(after >= 0)
+        add(symbol[left].astype(np.int64) << 20 | symbol[after[left]], left)
+        rank, sym, nxt, prv = self.rank, memoryview(symbol), memoryview(after), memoryview(before)
         while active:
             r = heapq.heappop(active)
             a, b, new = self.merged[r]
-            for p in sorted(places.pop(r)):
+            found = places.pop(r)
+            if len(found) > LONG_LIST and a != b:  # no two of its places overlap, so all merge at once
+                p = np.unique(np.array(found, np.int64))
                 q = after[p]
-                if q < 0 or symbol[p] != a or symbol[q] != b:
-                    continue  # an earlier merge took one of the two
+                ok = (q >= 0) & (symbol[p] == a) & (symbol[np.maximum(q, 0)] == b)
+                p, q = p[ok], q[ok]
                 symbol[p], symbol[q] = new, -1
-                n = after[p] = after[q]
-                if n >= 0:
-                    before[n] = p
-                    if (x := rank.get((new, symbol[n]))) is not None:
+                following = after[q]
+                after[p] = following
+                on = following >= 0
+                before[following[on]] = p[on]
+                add(np.int64(new) << 20 | symbol[following[on]], p[on])
+                o = before[p]
+                o = o[o >= 0]
+                add(symbol[o].astype(np.int64) << 20 | new, o)
+                continue
+            for p in sorted(found):
+                q = nxt[p]
+                if q < 0 or sym[p] != a or sym[q] != b:
+                    continue  # an earlier merge took one of the two
+                sym[p], sym[q] = new, -1
+                k = nxt[p] = nxt[q]
+                if k >= 0:
+                    prv[k] = p
+                    if (x := rank.get(new << 20 | sym[k])) is not None:
                         if x not in places:
                             places[x] = []
                             heapq.heappush(active, x)
                         places[x].append(p)
-                o = before[p]
-                if o >= 0 and (x := rank.get((symbol[o], new))) is not None:
+                o = prv[p]
+                if o >= 0 and (x := rank.get(sym[o] << 20 | new)) is not None:
                     if x not in places:
                         places[x] = []
                         heapq.heappush(active, x)
                     places[x].append(o)
-        starts.append(len(symbol))
-        self.known.update((w, tuple(s for s in symbol[starts[k] : starts[k + 1]] if s >= 0)) for k, w in enumerate(words))
+        kept = symbol >= 0
+        counts = np.append(0, np.cumsum(kept))[ends].tolist()
+        ids = symbol[kept].tolist()
+        self.known.update((w, tuple(ids[counts[k] : counts[k + 1]])) for k, w in enumerate(words))
 
     def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of each text, in order; the new words of all the texts are encoded together."""

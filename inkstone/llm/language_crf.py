@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 PER_LANGUAGE = 1500
 PASSAGE = 80
+MOST_PASSAGES = 100_000
 LEXICON = 200
 BITS = 17
 ORDERS = (1, 2, 3, 4)
@@ -268,8 +269,8 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, passage: int = PASSAGE) -> Model:
-    """Fits on about per_language documents of each language outside the held-out fold."""
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, passage: int = PASSAGE, most: int = MOST_PASSAGES) -> Model:
+    """Fits on about per_language documents of each language outside the held-out fold, most altogether."""
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 1))
     own = own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     share = own.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share"))
@@ -285,7 +286,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, passage: int = PASS
             yield pd.DataFrame(rows, columns=["doc_id", "lang", "words"])
 
     sample = own.join(F.broadcast(share), "lang").where(drawn).select("doc_id", "lang", "text")
-    got = sample.mapInPandas(passages, "doc_id bigint, lang string, words string").toPandas()
+    drawn_passages = sample.mapInPandas(passages, "doc_id bigint, lang string, words string").dropDuplicates(["doc_id", "lang"])
+    got = drawn_passages.limit(most).toPandas()
     got = got.sort_values(["doc_id", "lang", "words"], kind="stable")
     return fit([(lang, words.split("\n") if words else []) for lang, words in zip(got["lang"], got["words"], strict=True)])
 

@@ -156,6 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> P
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(train_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", F.pandas_udf(_features, "array<double>")("text").alias("x"))
+    rows = rows.dropDuplicates(["doc_id", "quality"])  # a doc_id that many rows share counts once, so that the bound holds
     rows = rows.toPandas().sort_values(["doc_id", "quality"], kind="stable")
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), N_FEATURES)
     return PairwiseGam().fit(x, rows["quality"].to_numpy(float))

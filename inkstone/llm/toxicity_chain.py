@@ -201,6 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> l
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(work, "doc_id bigint, toxic int, ids array<int>, held array<boolean>")
+    rows = rows.dropDuplicates(["doc_id", "toxic"])  # a doc_id that many rows share counts once, so that the bound holds
     got = rows.toPandas().sort_values(["doc_id", "toxic"], kind="stable")
     toxic = got["toxic"].to_numpy(int)
     marks = np.array(got["held"].tolist(), bool).reshape(len(got), len(LEXICON))
