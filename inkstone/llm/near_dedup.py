@@ -5,13 +5,14 @@ random registers, a register keeps the shingle of its earliest arrival, and a sh
 comes later than all registers of its document. Two documents agree in a register with their probability Jaccard.
 
 Texts with the same words are one node, so copies are never compared. The signature's bands deal the nodes into
-buckets. In rounds, every node of a bucket meets the bucket's leader, another one in each round; pairs are verified by
-the Jaccard similarity of their shingle sets, and verified links are joined to classes by alternating large-star and
-small-star steps. Nodes of one class need not meet again, so buckets of one class are done. When the pairs that are left
-across classes are no more than the first banding had rows, or a round finds nothing, the nodes outside each bucket's
-largest class meet all nodes of the bucket's other classes, which finds every link that the leaders missed. All of it is
-joins and aggregates; no group is gathered in a task, and the side of a join that holds leaders, verdicts or labels is
-unique by key, so adaptive execution can split a hot one.
+buckets. A shingle that only one node holds can't be shared, which bounds every similarity from above: nodes of which
+too many shingles are their own have no partner and leave, and pairs that the bound rules out are not formed. In two
+rounds every node of a bucket meets the bucket's leader, first the node with the fewest shingles of its own, then any;
+pairs are verified by the Jaccard similarity of their shingle sets, and verified links are joined to classes by
+alternating large-star and small-star steps. Nodes of one class need not meet again, so buckets of one class are done.
+Last, the nodes outside each bucket's largest class meet all nodes of the bucket's other classes, which finds every link
+that the leaders missed. All of it is joins and aggregates; no group is gathered in a task, and the side of a join that
+holds leaders, verdicts or labels is unique by key, so adaptive execution can split a hot one.
 
 Defined results: words are runs of letters, digits and underscores, lower-cased. A text of one to four words has one
 shingle, so it is similar only to the same words. Texts without a word (null and empty too) are copies of one another.
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, settle
@@ -186,45 +187,58 @@ def _relabel(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def _open(rows: DataFrame) -> DataFrame:
     """The rows of buckets that hold two classes or more."""
     mixed = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    return rows.join(mixed, "bucket").select("bucket", "node", "root")
+    return rows.join(mixed, "bucket").select(*rows.columns)
+
+
+def _linkable(sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, n, shared): the nodes whose shingles are shared with others often enough for a link, with both counts."""
+    held = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("holders"), F.min("node").alias("node"))
+    alone = held.where("holders = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    rows = sets.select("node", F.size("shingles").alias("n")).join(alone, "node", "left")
+    return rows.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")).where(F.col("shared") >= similarity * F.col("n"))
+
+
+def _partners(similarity: float) -> Column:
+    """Whether two nodes can be similar at all, by their sizes and their shared shingles."""
+    least, most = F.least("n", "n_a"), F.greatest("n", "n_a")
+    return (least >= similarity * most) & (F.least("shared", "shared_a") >= similarity / (1 + similarity) * (F.col("n") + F.col("n_a")))
 
 
 def labels(nodes: DataFrame, identified: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) of every node that shares its class; nodes: (node, doc_id, text_hash, bands)."""
-    rest = settle(_open(nodes.select(F.explode("bands").alias("bucket"), "node", F.col("node").alias("root"))), "buckets")
-    busy = nodes.join(rest.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
+    """(node, root) of every node that shares a bucket; nodes: (node, doc_id, text_hash, bands)."""
+    first = settle(_open(nodes.select(F.explode("bands").alias("bucket"), "node", F.col("node").alias("root"))), "buckets")
+    busy = nodes.join(first.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
     sets = settle(identified.join(busy, ["doc_id", "text_hash"]).select("node", "text").mapInArrow(_sets, "node bigint, shingles array<int>"), "sets")
     found = settle(busy.select("node", F.col("node").alias("root")), "labels")
-    rows = rest.count()
-    turn, fruitless = 0, False
-    while not rest.isEmpty():
-        sizes = rest.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        whole = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.max(F.struct("n", "root")).alias("main"))
-        across = whole.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0]
-        last = fruitless or across <= rows
-        if last:
-            marked = rest.join(whole.select("bucket", F.col("main.root").alias("main")), "bucket")
-            outer = marked.where("root != main").select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"))
-            pairs = marked.join(outer, "bucket").where("root != root_a and (root = main or node < a)")
+    rest = settle(_open(first.join(_linkable(sets, similarity), "node")), "buckets")
+    discard(first)
+    other = ["node", "root", "n", "shared"]
+    for turn in range(3):
+        if turn < 2:
+            own = (F.col("n") - F.col("shared")) / F.col("n") if turn == 0 else F.lit(0.0)
+            lead = F.min(F.struct(own.alias("own"), F.xxhash64("node", F.lit(turn)).alias("rank"), *other)).alias("lead")
+            outer = rest.groupBy("bucket").agg(lead).select("bucket", *(F.col(f"lead.{c}").alias(f"{c}_a") for c in other))
+            pairs = rest.join(outer, "bucket").where(F.col("root") != F.col("root_a")).where(_partners(similarity))
         else:
-            rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), F.col("node").alias("a"), F.col("root").alias("root_a"))
-            leaders = rest.groupBy("bucket").agg(F.min(rank).alias("lead")).select("bucket", "lead.a", "lead.root_a")
-            pairs = rest.join(leaders, "bucket").where("root != root_a")
-        pairs = pairs.select("a", F.col("node").alias("b"), "root_a", F.col("root").alias("root_b")).distinct()
+            sizes = rest.groupBy("bucket", "root").agg(F.count("*").alias("rows"))
+            main = sizes.groupBy("bucket").agg(F.max(F.struct("rows", "root")).alias("main")).select("bucket", F.col("main.root").alias("main"))
+            marked = rest.join(main, "bucket")
+            outer = marked.where("root != main").select("bucket", *(F.col(c).alias(f"{c}_a") for c in other))
+            pairs = marked.join(outer, (marked["bucket"] == outer["bucket"]) & (F.col("root") != F.col("root_a")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("node_a"))) & _partners(similarity))
+        pairs = pairs.select(F.col("node_a").alias("a"), F.col("node").alias("b"), "root_a", F.col("root").alias("root_b")).distinct()
         links = settle(_verify(pairs, sets, similarity), "links")
-        fruitless = links.isEmpty()
-        if not fruitless:
-            roots = components(links)
-            grown = settle(_relabel(found, roots).select("node", "root"), "labels")
-            discard(found)
-            found = grown
-        if last:
-            break
-        if not fruitless:
+        if links.isEmpty():
+            continue
+        roots = components(links)
+        grown = settle(_relabel(found, roots).select("node", "root"), "labels")
+        discard(found)
+        found = grown
+        if turn < 2:
             fewer = settle(_open(_relabel(rest, roots)), "buckets")
             discard(rest)
             rest = fewer
-        turn += 1
+            if rest.isEmpty():
+                break
     discard(sets)
     return found
 
