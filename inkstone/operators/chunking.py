@@ -19,10 +19,13 @@ def window_words(max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS) ->
 def split_long(paragraph: Column, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS) -> Column:
     """The paragraph itself, or its windows when it has too many tokens."""
     size, step = window_words(max_tokens, overlap)
-    w = T.words(paragraph)
-    count = F.when(F.size(w) <= size, 1).otherwise(F.ceil((F.size(w) - size) / F.lit(float(step))) + 1).cast("int")
-    windows = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
-    return F.when(T.approx_tokens(paragraph) <= max_tokens, F.array(paragraph)).otherwise(windows)
+
+    def windows(w: Column) -> Column:
+        count = F.when(F.size(w) <= size, 1).otherwise(F.ceil((F.size(w) - size) / F.lit(float(step))) + 1).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
+
+    cut = F.flatten(F.transform(F.array(T.words(paragraph)), windows))  # the outer transform splits the words once
+    return F.when(T.approx_tokens(paragraph) <= max_tokens, F.array(paragraph)).otherwise(cut)
 
 
 def as_files(docs: DataFrame) -> DataFrame:
