@@ -6,7 +6,8 @@ comes later than all registers of its document. Two documents agree in a registe
 
 Texts with the same words are one node, so copies are never compared. The signature's bands deal the nodes into
 buckets. A shingle that only one node holds can't be shared, which bounds every similarity from above: nodes of which
-too many shingles are their own have no partner and leave, and pairs that the bound rules out are not formed. In two
+too many shingles are their own have no partner and leave, and pairs that the bound rules out are not formed. Nor are
+pairs whose distances from the bucket's first leader differ too much, for Jaccard distance obeys the triangle rule. In two
 rounds every node of a bucket meets the bucket's leader, first the node with the fewest shingles of its own, then any;
 pairs are verified by the Jaccard similarity of their shingle sets, and verified links are joined to classes by
 alternating large-star and small-star steps. Nodes of one class need not meet again, so buckets of one class are done.
@@ -167,15 +168,13 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b, root_a, root_b) whose shingle sets have at least this Jaccard similarity, as links of roots."""
+def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, root_a, root_b) with the Jaccard similarity of their shingle sets."""
     left = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
-    joined = pairs.join(left, "b").join(right, "a")
-    n, m = F.size("set_a"), F.size("set_b")
-    could = F.least(n, m) >= similarity * F.greatest(n, m)
     both = F.size(F.array_intersect("set_a", "set_b"))
-    return joined.where(could).where(both >= similarity * (n + m - both)).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
+    joined = pairs.join(left, "b").join(right, "a").withColumn("both", both)
+    return joined.select("a", "b", "root_a", "root_b", (F.col("both") / (F.size("set_a") + F.size("set_b") - F.col("both"))).alias("similarity"))
 
 
 def _relabel(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -199,9 +198,10 @@ def _linkable(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _partners(similarity: float) -> Column:
-    """Whether two nodes can be similar at all, by their sizes and their shared shingles."""
+    """Whether two nodes can be similar at all, by sizes, shared shingles and distances from the bucket's first leader."""
     least, most = F.least("n", "n_a"), F.greatest("n", "n_a")
-    return (least >= similarity * most) & (F.least("shared", "shared_a") >= similarity / (1 + similarity) * (F.col("n") + F.col("n_a")))
+    near = F.coalesce(F.abs(F.col("away") - F.col("away_a")) <= 1 - similarity + 1e-9, F.lit(True))
+    return near & (least >= similarity * most) & (F.least("shared", "shared_a") >= similarity / (1 + similarity) * (F.col("n") + F.col("n_a")))
 
 
 def labels(nodes: DataFrame, identified: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -210,9 +210,9 @@ def labels(nodes: DataFrame, identified: DataFrame, similarity: float = SIMILARI
     busy = nodes.join(first.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
     sets = settle(identified.join(busy, ["doc_id", "text_hash"]).select("node", "text").mapInArrow(_sets, "node bigint, shingles array<int>"), "sets")
     found = settle(busy.select("node", F.col("node").alias("root")), "labels")
-    rest = settle(_open(first.join(_linkable(sets, similarity), "node")), "buckets")
+    rest = settle(_open(first.join(_linkable(sets, similarity), "node").withColumn("away", F.lit(None).cast("double"))), "buckets")
     discard(first)
-    other = ["node", "root", "n", "shared"]
+    other = ["node", "root", "n", "shared", "away"]
     for turn in range(3):
         if turn < 2:
             own = (F.col("n") - F.col("shared")) / F.col("n") if turn == 0 else F.lit(0.0)
@@ -226,7 +226,15 @@ def labels(nodes: DataFrame, identified: DataFrame, similarity: float = SIMILARI
             outer = marked.where("root != main").select("bucket", *(F.col(c).alias(f"{c}_a") for c in other))
             pairs = marked.join(outer, (marked["bucket"] == outer["bucket"]) & (F.col("root") != F.col("root_a")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("node_a"))) & _partners(similarity))
         pairs = pairs.select(F.col("node_a").alias("a"), F.col("node").alias("b"), "root_a", F.col("root").alias("root_b")).distinct()
-        links = settle(_verify(pairs, sets, similarity), "links")
+        seen = settle(_similarities(pairs, sets), "similarities")
+        if turn == 0:
+            leaders = outer.select("bucket", F.col("node_a").alias("a"))
+            away = F.when(F.col("node") == F.col("a"), 0.0).otherwise(1 - F.col("similarity"))
+            known = rest.drop("away").join(leaders, "bucket").join(seen.select("a", F.col("b").alias("node"), "similarity"), ["a", "node"], "left")
+            placed = settle(known.withColumn("away", away).select(rest.columns), "buckets")
+            discard(rest)
+            rest = placed
+        links = seen.where(F.col("similarity") >= similarity).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
         if links.isEmpty():
             continue
         roots = components(links)
