@@ -7,8 +7,8 @@ comes later than all registers of its document. Two documents agree in a registe
 Texts with the same words are one node, so copies are never compared. The signature's bands deal the nodes into
 buckets. A shingle that only one node holds can't be shared, which bounds every similarity from above: nodes of which
 too many shingles are their own have no partner and leave, and pairs that the bound rules out are not formed. Nor are
-pairs whose distances from the bucket's first leader differ too much, for Jaccard distance obeys the triangle rule. In two
-rounds every node of a bucket meets the bucket's leader, first the node with the fewest shingles of its own, then any;
+pairs whose distances from the bucket's first leader differ too much, for Jaccard distance obeys the triangle rule. In a
+few rounds every node of a bucket meets the bucket's leader, first the node with the fewest shingles of its own, then any;
 pairs are verified by the Jaccard similarity of their shingle sets, and verified links are joined to classes by
 alternating large-star and small-star steps. Nodes of one class need not meet again, so buckets of one class are done.
 Last, the nodes outside each bucket's largest class meet all nodes of the bucket's other classes, which finds every link
@@ -41,6 +41,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 36, 6
 #: Words whose shingles a task holds at once, beside one whole text.
 RUN_WORDS = 1_000_000
+#: Rounds of leaders before the comparison across classes.
+LEADERS = 4
 NO_ID = -(2**63)
 
 _word = re.compile(r"\w+").findall
@@ -213,8 +215,8 @@ def labels(nodes: DataFrame, identified: DataFrame, similarity: float = SIMILARI
     rest = settle(_open(first.join(_linkable(sets, similarity), "node").withColumn("away", F.lit(None).cast("double"))), "buckets")
     discard(first)
     other = ["node", "root", "n", "shared", "away"]
-    for turn in range(3):
-        if turn < 2:
+    for turn in range(LEADERS + 1):
+        if turn < LEADERS:
             own = (F.col("n") - F.col("shared")) / F.col("n") if turn == 0 else F.lit(0.0)
             lead = F.min(F.struct(own.alias("own"), F.xxhash64("node", F.lit(turn)).alias("rank"), *other)).alias("lead")
             outer = rest.groupBy("bucket").agg(lead).select("bucket", *(F.col(f"lead.{c}").alias(f"{c}_a") for c in other))
@@ -241,7 +243,7 @@ def labels(nodes: DataFrame, identified: DataFrame, similarity: float = SIMILARI
         grown = settle(_relabel(found, roots).select("node", "root"), "labels")
         discard(found)
         found = grown
-        if turn < 2:
+        if turn < LEADERS:
             fewer = settle(_open(_relabel(rest, roots)), "buckets")
             discard(rest)
             rest = fewer
