@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 10_000
 BITS = 20
 SELECTED = 3000
 LEAST_Z = 4.0
