@@ -43,6 +43,8 @@ BANDS, ROWS = 36, 6
 RUN_WORDS = 1_000_000
 #: Rounds of leaders before the comparison across classes.
 LEADERS = 4
+#: What bounds are lowered by, for a bound computed in doubles may lie just above a pair that meets it exactly.
+SLACK = 1e-9
 NO_ID = -(2**63)
 
 _word = re.compile(r"\w+").findall
@@ -196,14 +198,15 @@ def _linkable(sets: DataFrame, similarity: float) -> DataFrame:
     held = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("holders"), F.min("node").alias("node"))
     alone = held.where("holders = 1").groupBy("node").agg(F.count("*").alias("alone"))
     rows = sets.select("node", F.size("shingles").alias("n")).join(alone, "node", "left")
-    return rows.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")).where(F.col("shared") >= similarity * F.col("n"))
+    return rows.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")).where(F.col("shared") >= similarity * F.col("n") - SLACK)
 
 
 def _partners(similarity: float) -> Column:
     """Whether two nodes can be similar at all, by sizes, shared shingles and distances from the bucket's first leader."""
     least, most = F.least("n", "n_a"), F.greatest("n", "n_a")
-    near = F.coalesce(F.abs(F.col("away") - F.col("away_a")) <= 1 - similarity + 1e-9, F.lit(True))
-    return near & (least >= similarity * most) & (F.least("shared", "shared_a") >= similarity / (1 + similarity) * (F.col("n") + F.col("n_a")))
+    near = F.coalesce(F.abs(F.col("away") - F.col("away_a")) <= 1 - similarity + SLACK, F.lit(True))
+    common = similarity / (1 + similarity) * (F.col("n") + F.col("n_a"))
+    return near & (least >= similarity * most - SLACK) & (F.least("shared", "shared_a") >= common - SLACK)
 
 
 def labels(nodes: DataFrame, identified: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -197,6 +197,22 @@ def test_near_dedup_of_a_large_family(spark):
     assert dict(zip(got["doc_id"], got["class_id"], strict=True)) == brute_classes(texts)
 
 
+def test_bounds_let_pairs_of_exactly_four_fifths_pass(spark):
+    sizes = [(4 * m, 5 * m, 4 * m, s, None, None) for m in range(1, 400) for s in (4 * m, 5 * m)]
+    sizes += [(9 * m, 9 * m, 8 * m, 8 * m, None, None) for m in range(1, 200)]
+    pairs = spark.createDataFrame(sizes, "n long, n_a long, shared long, shared_a long, away double, away_a double")
+    assert pairs.where(near_dedup._partners(0.8)).count() == len(sizes)
+
+
+def test_near_dedup_links_appended_texts_of_exactly_four_fifths(spark):
+    texts = {}
+    for m in (7, 13, 14, 15, 26, 28, 30):
+        words = [f"w{m}x{i}" for i in range(5 * m + 4)]
+        texts |= {2 * m: " ".join(words[: 4 * m + 4]), 2 * m + 1: " ".join(words)}
+    got = near_dedup.resolve(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).toPandas()
+    assert dict(zip(got["doc_id"], got["class_id"], strict=True)) == {i: i // 2 * 2 for i in texts}
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     a, b = (dict(zip(range(k, k + 60), rng.integers(1, 5, 60).tolist(), strict=True)) for k in (0, 20))
