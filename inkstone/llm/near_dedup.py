@@ -2,9 +2,12 @@
 
 Shingles are weighted 1 + ln(count). Every shingle is a Poisson process whose rate is its weight; its arrivals fall on
 random registers, a register keeps the shingle of its earliest arrival, and a shingle stops as soon as its next arrival
-comes later than all registers of its document. Two documents agree in a register with their probability Jaccard.
+comes later than all registers of its document. Two documents agree in a register with their probability Jaccard. That may
+lie far below the Jaccard similarity of their shingle sets where a passage is repeated in one and stands once in the
+other, so a document with repeated shingles has a second signature, in which all its weights are one; two such signatures
+agree in a register with the Jaccard similarity itself. Where nothing is repeated both signatures are the same.
 
-Texts with the same words are one node, so copies are never compared. The signature's bands deal the nodes into
+Texts with the same words are one node, so copies are never compared. The signatures' bands deal the nodes into
 buckets. A shingle that only one node holds can't be shared, which bounds every similarity from above: nodes of which
 too many shingles are their own have no partner and leave, and pairs that the bound rules out are not formed. Nor are
 pairs whose distances from the bucket's first leader differ too much, for Jaccard distance obeys the triangle rule. In a
@@ -37,7 +40,7 @@ from .common import discard, settle
 
 WIDTH = 5
 SIMILARITY = 0.8
-#: A pair of similarity 0.8 shares no band with probability 2e-5, one of 0.85 with 2e-8.
+#: A pair of similarity 0.8 shares no band with probability 2e-5, one of 0.85 with 2e-8, however often shingles are repeated.
 BANDS, ROWS = 36, 6
 #: Words whose shingles a task holds at once, beside one whole text.
 RUN_WORDS = 1_000_000
@@ -130,12 +133,15 @@ def _signed(bands: int, rows: int):
         sizes = [len(x[3]) for x in run]
         full = [k for k, n in enumerate(sizes) if n]
         keys: list = [[] for _ in run]
-        if full:
-            e = np.concatenate([run[k][3] for k in full])
-            w = 1.0 + np.log(np.concatenate([run[k][4] for k in full]))
-            d = np.repeat(np.arange(len(full)), [sizes[k] for k in full])
-            for k, b in zip(full, bands_of(prob_minhash(e, w, d, len(full), bands * rows), bands, rows), strict=True):
-                keys[k] = b
+        for weighted in (False, True):
+            of = [k for k in full if not weighted or run[k][4].max() > 1]
+            if not of:
+                continue
+            e = np.concatenate([run[k][3] for k in of])
+            w = 1.0 + np.log(np.concatenate([run[k][4] for k in of])) if weighted else np.ones(len(e))
+            d = np.repeat(np.arange(len(of)), [sizes[k] for k in of])
+            for k, b in zip(of, bands_of(prob_minhash(e, w, d, len(of), bands * rows), bands, rows), strict=True):
+                keys[k] = np.union1d(keys[k], b) if weighted else b
         return [x[0] for x in run], [x[1] for x in run], [x[2] for x in run], keys
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

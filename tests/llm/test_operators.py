@@ -213,6 +213,17 @@ def test_near_dedup_links_appended_texts_of_exactly_four_fifths(spark):
     assert dict(zip(got["doc_id"], got["class_id"], strict=True)) == {i: i // 2 * 2 for i in texts}
 
 
+def test_near_dedup_links_texts_that_differ_in_repetition(spark):
+    texts = {}
+    for m in range(80):
+        once, rest, tail = ([f"{c}{m}x{i}" for i in range(n)] for c, n in (("p", 44), ("q", 44), ("t", 17)))
+        texts |= {2 * m: " ".join(once * 10 + rest), 2 * m + 1: " ".join(once + rest + tail)}
+    want = brute_classes(texts)
+    assert set(want.values()) == set(range(0, 160, 2))
+    got = near_dedup.resolve(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).toPandas()
+    assert dict(zip(got["doc_id"], got["class_id"], strict=True)) == want
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     a, b = (dict(zip(range(k, k + 60), rng.integers(1, 5, 60).tolist(), strict=True)) for k in (0, 20))
