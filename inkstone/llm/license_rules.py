@@ -1,11 +1,13 @@
 """The license signatures: fixed values, matched against texts whose words are lower-cased and set apart by one space.
 
 A family is (label, keyword, name patterns, SPDX words). Its names and SPDX words are put into the statement forms
-below, which gives several hundred rules. A rule's keyword is a word part that every match contains.
+below, which gives several hundred rules. A rule's keyword is a word part that every match contains: it is taken from
+the pattern's own fixed text, and the keyword of the family only says which part of that is telling.
 """
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 
@@ -16,8 +18,8 @@ class Rule(NamedTuple):
     pattern: str
 
 
-#: One of these parts is in every text that any rule or base phrase can match.
-GATE = ("licen", "rights reserved", " cc ", "creative commons", "gpl", "public domain", "spdx", "copyright", "permission is hereby", "redistribution and use", "software is provided", "proprietary", "beerware", "wtfpl", "cc0", "terms of use")
+#: Parts that many rules' matches hold; gate() adds what the others need.
+COMMON = ("licen", "rights reserved", " cc ", "creative commons", "gpl", "public domain", "spdx", "copyright", "permission is hereby", "redistribution and use", "software is provided", "proprietary", "beerware", "wtfpl", "cc0", "terms of use")
 
 FAMILIES: list[tuple[str, str, list[str], list[str]]] = [
     ("apache-1.0", "apache", [r"apache(?: software)? license(?: version| v)? v?1(?: 0)?"], ["apache 1 0"]),
@@ -138,8 +140,34 @@ SENTENCES: list[tuple[str, int, str, str]] = [
 ]
 
 
+_GROUP = re.compile(r"\(\?:[^()]*\)(?:\?|\{[\d,]+\}\??)?")
+_LOOSE = re.compile(r"\[[^\]]*\]|\\[a-zA-Z]\+?|[^\x00]\?")
+
+
+def fixed_parts(pattern: str) -> list[str]:
+    """The runs of characters that every match of a pattern holds, with the spaces around it; groups count as unknown."""
+    held = f" {pattern} "
+    while (less := _GROUP.sub("\0", held)) != held:
+        held = less
+    return [x for x in _LOOSE.sub("\0", held).split("\0") if x.strip()]
+
+
+def keyword_of(pattern: str, telling: str) -> str:
+    """The longest run that every match of a pattern holds, of those with the telling part if there are any."""
+    parts = fixed_parts(pattern)
+    return max([x for x in parts if telling in x] or parts, key=len)
+
+
+def gate(phrases: tuple[str, ...] = ()) -> list[str]:
+    """Parts of which every match of any rule, and every phrase, holds one."""
+    needed = [(r.pattern, r.keyword) for r in rules()] + [(p, f" {p} ") for p in phrases]
+    found = {next((c for c in COMMON if any(c in x for x in fixed_parts(pattern))), keyword) for pattern, keyword in needed}
+    return sorted(x for x in found if not any(y != x and y in x for y in found))
+
+
 def _forms(label: str, keyword: str, name: str) -> list[Rule]:
     """A name by itself, and in the statements that say a work is under it."""
+    keyword = keyword_of(name, keyword)
     return [
         Rule(label, 2, keyword, name),
         Rule(label, 4, keyword, rf"(?:licen[sc]ed|released|distributed|available|published|provided|made available) under (?:the )?(?:terms of )?(?:the )?{name}"),
@@ -147,6 +175,10 @@ def _forms(label: str, keyword: str, name: str) -> list[Rule]:
     ]
 
 
+def _rule(label: str, priority: int, keyword: str, pattern: str) -> Rule:
+    return Rule(label, priority, keyword_of(pattern, keyword), pattern)
+
+
 def rules() -> list[Rule]:
     """All rules, first those of higher priority; the order settles nothing else."""
     found: list[Rule] = []
@@ -154,15 +186,15 @@ def rules() -> list[Rule]:
         for name in names:
             found += _forms(label, keyword, name)
         for words in spdx:
-            found.append(Rule(label, 5, "spdx", rf"spdx license identifier {words}"))
+            found.append(_rule(label, 5, "spdx", rf"spdx license identifier {words}"))
     for short, long in CC_ELEMENTS:
         label = "cc-" + short.replace(" ", "-")
         for version in CC_VERSIONS:
             dotted = version.replace(" ", ".")
             found += _forms(f"{label}-{dotted}", " cc ", rf"cc {short} {version}")
-            found.append(Rule(f"{label}-{dotted}", 5, "spdx", rf"spdx license identifier cc {short} {version}"))
-            found.append(Rule(f"{label}-{dotted}", 4, "creativecommons", rf"creativecommons org licenses {short} {version}"))
+            found.append(_rule(f"{label}-{dotted}", 5, "spdx", rf"spdx license identifier cc {short} {version}"))
+            found.append(_rule(f"{label}-{dotted}", 4, "creativecommons", rf"creativecommons org licenses {short} {version}"))
         found += _forms(label, "creative commons", rf"creative commons {long}(?: \d \d)?(?: international| unported)?(?: license)?")
         found += _forms(label, " cc ", rf"cc {short}")
-    found += [Rule(*s) for s in SENTENCES]
+    found += [_rule(*s) for s in SENTENCES]
     return sorted(found, key=lambda r: (-r.priority, r.label, r.pattern))

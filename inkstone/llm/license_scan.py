@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower
-from .license_rules import GATE, rules
+from .license_rules import gate, rules
 
 #: What parts words, after lower-casing.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -79,10 +79,10 @@ def scan(docs: DataFrame) -> DataFrame:
     """The base figures, labels, score and detections of every row."""
     words = F.col("words")
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), padded_words(F.col("text").cast("string")).alias("words"))
-    gate = F.lit(False)
-    for part in GATE:
-        gate = gate | F.contains(words, F.lit(part))
-    held = held.withColumn("gated", gate)
+    gated = F.lit(False)
+    for part in gate(tuple(p for p, _ in BASE)):
+        gated = gated | F.contains(words, F.lit(part))
+    held = held.withColumn("gated", gated)
     counted = [F.when(F.col("gated"), F.regexp_count(words, F.lit(f"(?= {p} )"))).otherwise(F.lit(0)).cast("long") for p, _ in BASE]
     firsts = [F.when(F.col("gated"), _first(words, f" {p} ")) for p, _ in BASE]
     lasts = [F.when(F.col("gated"), _last(words, f" {p} ")) for p, _ in BASE]

@@ -281,6 +281,40 @@ def test_license_detections_equal_brute_force(spark):
     assert len(license_scan.rules()) >= 300
 
 
+def sample(tree, pick):
+    """A text that a parsed pattern matches: repeats as often and branches as far down the list as pick(least, most) says."""
+    out = ""
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            first = arg[pick(0, len(arg) - 1)]
+            out += chr(first[1]) if str(first[0]) == "LITERAL" else {"CATEGORY_DIGIT": "7", "CATEGORY_WORD": "u"}.get(str(first[1]), "q")
+        elif name == "BRANCH":
+            out += sample(arg[1][pick(0, len(arg[1]) - 1)], pick)
+        elif name == "SUBPATTERN":
+            out += sample(arg[3], pick)
+        else:
+            assert name in ("MAX_REPEAT", "MIN_REPEAT"), name
+            out += "".join(sample(arg[2], pick) for _ in range(pick(arg[0], min(arg[1], 3))))
+    return out
+
+
+def test_each_license_rule_is_found_in_a_text_of_its_phrase_alone(spark):
+    rules = license_scan.rules()
+    texts = sorted({sample(re._parser.parse(r.pattern), pick) for r in rules for pick in (min, max)})
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: {(d.label, d.priority, d.start, d.stop) for d in r.detections} for r in license_scan.scan(rows).collect()}
+    compiled = [(r, re.compile(f" {r.pattern}(?= )")) for r in rules]
+    for i, text in enumerate(texts):
+        padded = f" {text} "
+        found = {(r.label, r.priority, padded[: m.start()].count(" "), padded[: m.start()].count(" ") + m[0].count(" ")) for r, p in compiled for m in p.finditer(padded)}
+        assert found
+        want = {d for d in found if not any(e[2] <= d[2] and e[3] >= d[3] and (e[1] > d[1] or (e[1] == d[1] and e[3] - e[2] > d[3] - d[2])) for e in found)}
+        assert got[i] == want, text
+
+
 # 6 exact duplicates
 
 
