@@ -2,9 +2,10 @@
 
 A page becomes a run of text nodes, each with its root-to-leaf path of tags. Text length and punctuation are aggregated
 per path and divided by the path's nodes; both ratios are smoothed along the page with a Gaussian window, fused into
-one, and thresholded, which selects the paths of content. The smallest element that holds nearly all selected text is
-the article; its other nodes, headings and list items too, belong to it unless they stand in a menu, header, footer,
-sidebar, notice, advert, form or comment section, which tags, roles and class names tell.
+one, and thresholded, which selects the paths of content; every node of such a path is output. The article elements, or
+else the smallest element that holds nearly all selected text, add their other nodes, headings and list items too. What
+stands in a menu, header, footer, sidebar, notice, advert, form or comment section, which tags, roles and class names
+tell, is never output.
 
 Every page is a row of its own, so pages are read where they lie and nothing is shuffled.
 
@@ -176,9 +177,10 @@ def main_text(page: str | None) -> str:
         scope = {max(within)}  # elements are numbered as they open, so the deepest has the largest number
     else:
         scope = None
+    paths = {n.path for n in chosen}
     blocks: dict[int, list[str]] = {}
     for n in usable:
-        if scope is None or scope.intersection(n.inside):
+        if scope is None or n.path in paths or scope.intersection(n.inside):
             blocks.setdefault(n.block, []).append(n.text)
     return " ".join(t for b in blocks.values() if (t := " ".join("".join(b).split())))
 

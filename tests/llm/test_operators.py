@@ -431,6 +431,19 @@ def test_main_text(page, text):
     assert html_main_text.main_text(page) == text
 
 
+def test_selected_text_outside_the_scope_stays():
+    para = [f"Paragraph {i} tells of many things, and it is long enough to be read; so it goes on." for i in range(12)]
+    tagged = lambda some: "".join(f"<p>{p}</p>" for p in some)
+    lead = f"<html><body><div class=page><p>{para[0]}</p><div class=text>{tagged(para[1:])}</div></div></body></html>"
+    assert html_main_text.main_text(lead) == " ".join(para)
+    split = f"<html><body><article>{tagged(para[:7])}</article><div><section>{tagged(para[7:])}</section></div><ul class=menu><li>Home</li></ul></body></html>"
+    assert html_main_text.main_text(split) == " ".join(para)
+    siblings = f"<div>{tagged(para[:6])}</div><div class=sidebar><p>{para[0]}</p></div><div>{tagged(para[6:])}</div>"
+    assert html_main_text.main_text(siblings) == " ".join(para)
+    around = f"<html><body><div>Skip</div><article><h1>Title</h1>{tagged(para)}</article><div>Top</div></body></html>"
+    assert html_main_text.main_text(around) == " ".join(["Title", *para])
+
+
 def test_html_query_equals_the_articles(spark, sf_dir):
     import html
 
