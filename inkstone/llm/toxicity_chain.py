@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_ROWS = 10_000
+TRAIN_ROWS = 20_000
 BITS = 20
 SELECTED = 3000
 LEAST_Z = 4.0
@@ -202,11 +202,14 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> l
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(work, "doc_id bigint, toxic int, ids array<int>, held array<boolean>")
     rows = rows.dropDuplicates(["doc_id", "toxic"])  # a doc_id that many rows share counts once, so that the bound holds
-    got = rows.toPandas().sort_values(["doc_id", "toxic"], kind="stable")
-    toxic = got["toxic"].to_numpy(int)
-    marks = np.array(got["held"].tolist(), bool).reshape(len(got), len(LEXICON))
+    got = rows.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    toxic, held, ids = (got[c].combine_chunks() for c in ("toxic", "held", "ids"))
+    toxic = toxic.to_numpy(zero_copy_only=False)
+    marks = held.flatten().to_numpy(zero_copy_only=False).astype(bool).reshape(len(toxic), len(LEXICON))
     named = {c: marks[:, i] & (toxic == 1) for i, c in enumerate(LEXICON)} | {OVERALL: toxic == 1}
-    return fit_chain([np.asarray(x, np.int64) for x in got["ids"]], marks, named)
+    ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
+    found = np.split(ids.flatten().to_numpy(zero_copy_only=False), ends[:-1]) if len(toxic) else []
+    return fit_chain(found, marks, named)
 
 
 def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:

@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from inkstone.llm import bpe, exact_dedup, html_main_text, language_crf, license_scan, near_dedup, packing, quality_gam, quality_rules, queries, textstats, toxicity_chain
@@ -146,6 +147,17 @@ def test_chain_feeds_earlier_probabilities_to_later_links():
     assert 7 in chain[2].words and chain[-1].dense[6] > 0
 
 
+def test_toxicity_learns_words_beyond_ten_thousand_rows(spark):
+    own = spark.range(15_500).toDF("doc_id").where(~toxicity_chain.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = [r.doc_id for r in own.collect()]
+    late = set(ids[10_000:])
+    assert len(late) > 1_000
+    rows = [(i, "plain words zorble" if i in late else "plain words", int(i in late)) for i in ids]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    chain = toxicity_chain.train(frame.drop("toxic"), frame.drop("text"))
+    assert toxicity_chain.bucket("zorble") in chain[-1].words
+
+
 # 4 near duplicates
 
 
