@@ -14,9 +14,17 @@ pairs whose distances from the bucket's first leader differ too much, for Jaccar
 few rounds every node of a bucket meets the bucket's leader, first the node with the fewest shingles of its own, then any;
 pairs are verified by the Jaccard similarity of their shingle sets, and verified links are joined to classes by
 alternating large-star and small-star steps. Nodes of one class need not meet again, so buckets of one class are done.
-Last, the nodes outside each bucket's largest class meet all nodes of the bucket's other classes, which finds every link
-that the leaders missed. All of it is joins and aggregates; no group is gathered in a task, and the side of a join that
-holds leaders, verdicts or labels is unique by key, so adaptive execution can split a hot one.
+
+What the leaders missed is found in one last comparison of the nodes whose buckets still hold two classes, and it is
+exact. Order a node's shingles by the number of such nodes that hold them. Two similar nodes share one of the first
+n - ceil(similarity * n) + 1 shingles of each. If the rarest shingle they share has few holders, the lists of holders of
+such rare shingles give the pair; a list has at most RARE nodes, so these pairs are in proportion to the shingles. If it
+has many, all that they share is common shingles, and both must hold enough of those; such pairs meet in their buckets,
+the nodes outside a bucket's largest class against its other classes. Random edits of one text hold rare shingles of
+their own, so a large group of them that aren't linked makes few pairs.
+
+All of it is joins and aggregates; no group is gathered in a task, and the side of a join that holds leaders, verdicts
+or labels is unique by key, so adaptive execution can split a hot one.
 
 Defined results: words are runs of letters, digits and underscores, lower-cased. A text of one to four words has one
 shingle, so it is similar only to the same words. Texts without a word (null and empty too) are copies of one another.
@@ -29,6 +37,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +54,9 @@ BANDS, ROWS = 36, 6
 #: Words whose shingles a task holds at once, beside one whole text.
 RUN_WORDS = 1_000_000
 #: Rounds of leaders before the comparison across classes.
-LEADERS = 4
+LEADERS = 3
+#: The most holders of a shingle that counts as rare in the comparison across classes; pairs beyond it meet in buckets.
+RARE = 32
 #: What bounds are lowered by, for a bound computed in doubles may lie just above a pair that meets it exactly.
 SLACK = 1e-9
 NO_ID = -(2**63)
@@ -127,39 +138,40 @@ def bands_of(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signed(bands: int, rows: int):
-    """(doc_id, text_hash, text) to (doc_id, text_hash, words_key, bands)."""
+    """(doc_id, text_hash, row, text) to (doc_id, text_hash, row, words_key, bands)."""
 
-    def flush(run: list[tuple]) -> tuple[list, list, list, list]:
-        sizes = [len(x[3]) for x in run]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
+    names = ["doc_id", "text_hash", "row", "words_key", "bands"]
+
+    def flush(run: list[tuple]) -> pa.RecordBatch:
+        sizes = [len(x[4]) for x in run]
         full = [k for k, n in enumerate(sizes) if n]
         keys: list = [[] for _ in run]
         for weighted in (False, True):
-            of = [k for k in full if not weighted or run[k][4].max() > 1]
+            of = [k for k in full if not weighted or run[k][5].max() > 1]
             if not of:
                 continue
-            e = np.concatenate([run[k][3] for k in of])
-            w = 1.0 + np.log(np.concatenate([run[k][4] for k in of])) if weighted else np.ones(len(e))
+            e = np.concatenate([run[k][4] for k in of])
+            w = 1.0 + np.log(np.concatenate([run[k][5] for k in of])) if weighted else np.ones(len(e))
             d = np.repeat(np.arange(len(of)), [sizes[k] for k in of])
             for k, b in zip(of, bands_of(prob_minhash(e, w, d, len(of), bands * rows), bands, rows), strict=True):
                 keys[k] = np.union1d(keys[k], b) if weighted else b
-        return [x[0] for x in run], [x[1] for x in run], [x[2] for x in run], keys
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((*([x[k] for x in run] for k in range(4)), keys), types, strict=True)], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
-        names = ["doc_id", "text_hash", "words_key", "bands"]
         for batch in batches:
             run: list[tuple] = []
             size = 0
-            for i, t, text in zip(*(batch.column(c) for c in range(3)), strict=True):
+            for i, t, row, text in zip(*(batch.column(c) for c in range(4)), strict=True):
                 words = words_of(text.as_py())
                 key = hashlib.blake2b(" ".join(words).encode(), digest_size=16).hexdigest()
-                run.append((i.as_py(), t.as_py(), key, *shingles(words)))
+                run.append((i.as_py(), t.as_py(), row.as_py(), key, *shingles(words)))
                 size += len(words)
                 if size > RUN_WORDS:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(flush(run), types, strict=True)], names)
+                    yield flush(run)
                     run, size = [], 0
             if run:
-                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(flush(run), types, strict=True)], names)
+                yield flush(run)
 
     return work
 
@@ -199,14 +211,58 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(mixed, "bucket").select(*rows.columns)
 
 
+def _held(sets: DataFrame) -> DataFrame:
+    """(shingle, holders, node): how many nodes hold each shingle, and the smallest of them."""
+    return sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("holders"), F.min("node").alias("node"))
+
+
 def _linkable(sets: DataFrame, similarity: float) -> DataFrame:
     """(node, n, shared): the nodes whose shingles are shared with others often enough for a link, with both counts."""
-    held = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("holders"), F.min("node").alias("node"))
-    alone = held.where("holders = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    alone = _held(sets).where("holders = 1").groupBy("node").agg(F.count("*").alias("alone"))
     rows = sets.select("node", F.size("shingles").alias("n")).join(alone, "node", "left")
     return rows.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")).where(F.col("shared") >= similarity * F.col("n") - SLACK)
 
 
+def _ranked(rest: DataFrame, sets: DataFrame, similarity: float, rare: int) -> DataFrame:
+    """(node, root, n, common, first) of the open nodes: how many of their shingles are common among the open nodes, and
+    the rare ones that stand among the first of their order."""
+    own = settle(sets.join(rest.select("node", "root").distinct(), "node").select("node", "root", "shingles"), "open-sets")
+    held = settle(_held(own), "holders")
+    alone = held.where("holders = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    few = held.where(F.col("holders").between(2, rare)).select("shingle", "holders")
+    listed = own.select("node", F.explode("shingles").alias("shingle")).join(few, "shingle")
+    listed = listed.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "shingle"))).alias("listed"))
+    each = own.select("node", "root", F.size("shingles").alias("n")).join(alone, "node", "left").join(listed, "node", "left")
+    alone_n, listed_n = F.coalesce("alone", F.lit(0)), F.coalesce(F.array_size("listed"), F.lit(0))
+    first_n = F.greatest(F.col("n") - F.ceil(similarity * F.col("n") - SLACK) + 1 - alone_n, F.lit(0)).cast("int")
+    found = each.select("node", "root", "n", (F.col("n") - alone_n - listed_n).alias("common"), F.slice("listed", 1, first_n)["shingle"].alias("first"))
+    found = settle(found, "ranked")
+    discard(own)
+    discard(held)
+    return found
+
+
+def _across(rest: DataFrame, sets: DataFrame, similarity: float, rare: int = RARE) -> DataFrame:
+    """The pairs (a, b, root_a, root_b) of nodes of two classes that may be similar."""
+    ranked = _ranked(rest, sets, similarity, rare)
+    one = ranked.select("node", "root", "n", F.explode("first").alias("shingle"))
+    two = one.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("node", "root", "n")))
+    sized = F.least("n", "n_a") >= similarity * F.greatest("n", "n_a") - SLACK
+    by_rare = one.join(two, "shingle").where((F.col("node") < F.col("node_a")) & (F.col("root") != F.col("root_a")) & sized)
+    other = ["node", "root", "n", "shared", "away"]
+    rows = rest.drop("shared").join(ranked.select("node", F.col("common").alias("shared")), "node").where(F.col("shared") >= similarity * F.col("n") - SLACK)
+    rows = settle(_open(rows), "buckets")
+    sizes = rows.groupBy("bucket", "root").agg(F.count("*").alias("rows"))
+    main = settle(sizes.groupBy("bucket").agg(F.max(F.struct("rows", "root"))["root"].alias("main")), "main-classes")
+    marked = rows.join(main, "bucket")
+    outer = marked.where("root != main").select("bucket", *(F.col(c).alias(f"{c}_a") for c in other))
+    once = (F.col("root") == F.col("main")) | (F.col("node") < F.col("node_a"))
+    by_bucket = marked.join(outer, "bucket").where((F.col("root") != F.col("root_a")) & once & _partners(similarity))
+    pairs = [p.select(F.greatest("node", "node_a").alias("a"), F.least("node", "node_a").alias("b"), F.col("root").alias("r"), F.col("root_a").alias("s"), (F.col("node") > F.col("node_a")).alias("first")) for p in (by_rare, by_bucket)]
+    both = pairs[0].union(pairs[1])
+    return both.select("a", "b", F.when(F.col("first"), F.col("r")).otherwise(F.col("s")).alias("root_a"), F.when(F.col("first"), F.col("s")).otherwise(F.col("r")).alias("root_b")).distinct()
+
+
 def _partners(similarity: float) -> Column:
     """Whether two nodes can be similar at all, by sizes, shared shingles and distances from the bucket's first leader."""
     least, most = F.least("n", "n_a"), F.greatest("n", "n_a")
@@ -215,33 +271,31 @@ def _partners(similarity: float) -> Column:
     return near & (least >= similarity * most - SLACK) & (F.least("shared", "shared_a") >= common - SLACK)
 
 
-def labels(nodes: DataFrame, identified: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def labels(nodes: DataFrame, identified: DataFrame, similarity: float = SIMILARITY, leaders: int = LEADERS) -> DataFrame:
     """(node, root) of every node that shares a bucket; nodes: (node, doc_id, text_hash, bands)."""
     first = settle(_open(nodes.select(F.explode("bands").alias("bucket"), "node", F.col("node").alias("root"))), "buckets")
     busy = nodes.join(first.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
-    sets = settle(identified.join(busy, ["doc_id", "text_hash"]).select("node", "text").mapInArrow(_sets, "node bigint, shingles array<int>"), "sets")
+    texts = identified.join(busy, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"])  # a row per node, however many copies
+    sets = settle(texts.mapInArrow(_sets, "node bigint, shingles array<int>"), "sets")
     found = settle(busy.select("node", F.col("node").alias("root")), "labels")
     rest = settle(_open(first.join(_linkable(sets, similarity), "node").withColumn("away", F.lit(None).cast("double"))), "buckets")
     discard(first)
     other = ["node", "root", "n", "shared", "away"]
-    for turn in range(LEADERS + 1):
-        if turn < LEADERS:
+    for turn in range(leaders + 1):
+        if rest.isEmpty():
+            break
+        if turn < leaders:
             own = (F.col("n") - F.col("shared")) / F.col("n") if turn == 0 else F.lit(0.0)
             lead = F.min(F.struct(own.alias("own"), F.xxhash64("node", F.lit(turn)).alias("rank"), *other)).alias("lead")
-            outer = rest.groupBy("bucket").agg(lead).select("bucket", *(F.col(f"lead.{c}").alias(f"{c}_a") for c in other))
+            outer = settle(rest.groupBy("bucket").agg(lead).select("bucket", *(F.col(f"lead.{c}").alias(f"{c}_a") for c in other)), "leaders")
             pairs = rest.join(outer, "bucket").where(F.col("root") != F.col("root_a")).where(_partners(similarity))
+            pairs = pairs.select(F.col("node_a").alias("a"), F.col("node").alias("b"), "root_a", F.col("root").alias("root_b")).distinct()
         else:
-            sizes = rest.groupBy("bucket", "root").agg(F.count("*").alias("rows"))
-            main = sizes.groupBy("bucket").agg(F.max(F.struct("rows", "root")).alias("main")).select("bucket", F.col("main.root").alias("main"))
-            marked = rest.join(main, "bucket")
-            outer = marked.where("root != main").select("bucket", *(F.col(c).alias(f"{c}_a") for c in other))
-            pairs = marked.join(outer, (marked["bucket"] == outer["bucket"]) & (F.col("root") != F.col("root_a")) & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("node_a"))) & _partners(similarity))
-        pairs = pairs.select(F.col("node_a").alias("a"), F.col("node").alias("b"), "root_a", F.col("root").alias("root_b")).distinct()
+            pairs = _across(rest, sets, similarity)
         seen = settle(_similarities(pairs, sets), "similarities")
         if turn == 0:
-            leaders = outer.select("bucket", F.col("node_a").alias("a"))
             away = F.when(F.col("node") == F.col("a"), 0.0).otherwise(1 - F.col("similarity"))
-            known = rest.drop("away").join(leaders, "bucket").join(seen.select("a", F.col("b").alias("node"), "similarity"), ["a", "node"], "left")
+            known = rest.drop("away").join(outer.select("bucket", F.col("node_a").alias("a")), "bucket").join(seen.select("a", F.col("b").alias("node"), "similarity"), ["a", "node"], "left")
             placed = settle(known.withColumn("away", away).select(rest.columns), "buckets")
             discard(rest)
             rest = placed
@@ -252,12 +306,10 @@ def labels(nodes: DataFrame, identified: DataFrame, similarity: float = SIMILARI
         grown = settle(_relabel(found, roots).select("node", "root"), "labels")
         discard(found)
         found = grown
-        if turn < LEADERS:
+        if turn < leaders:
             fewer = settle(_open(_relabel(rest, roots)), "buckets")
             discard(rest)
             rest = fewer
-            if rest.isEmpty():
-                break
     discard(sets)
     return found
 
@@ -281,35 +333,41 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, text_hash, copies, rep_id, rep_hash): each distinct row of docs with the one that stands for its class."""
+class Classes(NamedTuple):
+    """rows: (doc_id, row, words_key) of every row; of: words_key with its class, by the row that stands for it."""
+
+    rows: DataFrame
+    of: DataFrame
+
+
+def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY) -> Classes:
+    """The near-duplicate classes of docs."""
     identified = _identified(docs)
-    signed = settle(identified.mapInArrow(_signed(bands, rows), "doc_id bigint, text_hash bigint, words_key string, bands array<bigint>"), "signed")
-    least = F.min(F.struct("doc_id", "text_hash")).alias("least")
-    nodes = signed.groupBy("words_key").agg(least, F.first("bands").alias("bands"))
-    nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "words_key", "least.*", "bands")
-    nodes = settle(nodes, "nodes")
-    of = nodes.drop("bands").join(labels(nodes, identified, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rep = of.groupBy("root").agg(least).select("root", F.col("least.doc_id").alias("rep_id"), F.col("least.text_hash").alias("rep_hash"))
-    of = of.join(rep, "root").select("words_key", "rep_id", "rep_hash")
-    each = signed.groupBy("words_key", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
-    return each.join(of, "words_key").drop("words_key")
+    numbered = identified.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "text_hash", "row", "text")
+    signed = settle(numbered.mapInArrow(_signed(bands, rows), "doc_id bigint, text_hash bigint, row bigint, words_key string, bands array<bigint>"), "signed")
+    least = F.min(F.struct("doc_id", "text_hash", "row")).alias("least")
+    nodes = signed.groupBy("words_key").agg(least, F.first("bands").alias("bands"), F.count("*").alias("copies"))
+    nodes = settle(nodes.select(F.monotonically_increasing_id().alias("node"), "words_key", "least.*", "copies", "bands"), "nodes")
+    found = nodes.drop("bands").join(labels(nodes, identified, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = settle(found, "labelled")
+    rep = settle(found.groupBy("root").agg(least, F.sum("copies").alias("class_size")).select("root", F.col("least.doc_id").alias("rep_id"), F.col("least.text_hash").alias("rep_hash"), F.col("least.row").alias("rep_row"), "class_size"), "representatives")
+    of = settle(found.select("root", "words_key").join(rep, "root").select("words_key", "rep_id", "rep_hash", "rep_row", "class_size"), "classes")
+    for done in (nodes, found, rep):
+        discard(done)
+    return Classes(signed.select("doc_id", "row", "words_key"), of)
 
 
 def resolve(docs: DataFrame) -> DataFrame:
     """A row per row of docs: doc_id, class_id (smallest doc_id of its class), class_size, kept."""
-    found = settle(classes(docs), "classes")
-    sizes = found.groupBy("rep_id", "rep_hash").agg(F.sum("copies").alias("class_size"))
-    each = found.join(sizes, ["rep_id", "rep_hash"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    kept = (F.col("doc_id") == F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash")) & (F.col("copy") == 1)
+    found = classes(docs)
     real = lambda c, name: F.when(F.col(c) != NO_ID, F.col(c)).alias(name)
-    return each.select(real("doc_id", "doc_id"), real("rep_id", "class_id"), "class_size", kept.alias("kept"))
+    return found.rows.join(found.of, "words_key").select(real("doc_id", "doc_id"), real("rep_id", "class_id"), "class_size", (F.col("row") == F.col("rep_row")).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each class; all columns as they were."""
     names = docs.columns
-    reps = classes(docs).select(F.col("rep_id").alias("__id"), F.col("rep_hash").alias("__hash")).distinct()
+    reps = classes(docs).of.select(F.col("rep_id").alias("__id"), F.col("rep_hash").alias("__hash")).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     marked = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__hash": F.xxhash64(text)})
     return marked.join(reps, ["__id", "__hash"]).dropDuplicates(["__id", "__hash"]).select(*names)
