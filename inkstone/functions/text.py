@@ -43,6 +43,20 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(text), NOT_TERM), lambda t: F.octet_length(t) >= 2)
 
 
+def counted(items: Column) -> Column:
+    """An array's distinct strings in order with their counts: array<struct<term, tf>>. No shuffle, one sort of the array."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: ~F.get(s, i - 1).eqNullSafe(F.get(s, i - 2)))
+        ends = lambda b: F.concat(F.slice(b, 2, F.size(b)), F.array(F.size(s) + 1))
+        cut = lambda b: F.zip_with(b, ends(b), lambda i, j: F.struct(F.get(s, i - 1).alias("term"), (j - i).cast("long").alias("tf")))
+        return F.flatten(F.transform(F.array(starts), cut))
+
+    # one-element arrays name what is used more than once, so that it is computed once
+    held = F.filter(F.array(F.sort_array(items)), lambda s: F.size(s) > 0)
+    return F.flatten(F.transform(held, runs))
+
+
 def lines(text: Column) -> Column:
     """Lines without their ends; a final line end opens no further line."""
     parts = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, "\r$", ""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkstone.functions import tables
 from inkstone.functions import text as T
 
 K1, B = 1.2, 0.75
@@ -22,13 +23,12 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame, wanted: list[str] | None = None) -> DataFrame:
-    """(doc_key, ordinal, term, tf, dl); only the wanted terms where given, so that others are never exploded."""
+    """(doc_key, ordinal, dl, term, tf), counted inside each chunk's row; only the wanted terms where given."""
     terms = F.col("terms")
     if wanted is not None:
         keep = F.array(*(F.lit(w) for w in wanted)) if wanted else F.array().cast("array<string>")
         terms = F.filter(terms, lambda t: F.array_contains(keep, t))
-    rows = chunks.select("doc_key", "ordinal", F.size("terms").alias("dl"), F.explode(terms).alias("term"))
-    return rows.groupBy("doc_key", "ordinal", "dl", "term").agg(F.count("*").alias("tf"))
+    return chunks.select("doc_key", "ordinal", F.size("terms").alias("dl"), F.inline(T.counted(terms)))
 
 
 def document_frequency(rows: DataFrame) -> DataFrame:
@@ -48,20 +48,27 @@ def search(chunks: DataFrame, query: str, limit: int, only: Column | None = None
     spark = chunks.sparkSession
     wanted = query_terms(spark, query)
     terms = [r["term"] for r in wanted.collect()]  # a query is a parameter, not data
-    rows = postings(chunks, terms)
-    scored = rows.join(F.broadcast(document_frequency(rows)), "term").join(F.broadcast(wanted), "term").crossJoin(F.broadcast(corpus_stats(chunks)))
-    if only is not None:
-        scored = scored.join(chunks.where(only).select("doc_key", "ordinal"), ["doc_key", "ordinal"], "left_semi")
+    keep = F.array(*(F.lit(t) for t in terms)).cast("array<string>")
+    hits = F.filter("terms", lambda t: F.array_contains(keep, t))
+    slim = chunks.select("doc_key", "ordinal", F.size("terms").alias("dl"), hits.alias("hits"), (F.lit(True) if only is None else only).alias("shown"))
+    slim = tables.settle(slim, "query-terms")  # the corpus is cut and split once, for frequencies, statistics and scores
+    rows = slim.where(F.size("hits") > 0).select("doc_key", "ordinal", "dl", "shown", F.inline(T.counted(F.col("hits"))))
+    stats = slim.agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"))
+    scored = rows.where("shown").join(F.broadcast(document_frequency(rows)), "term").join(F.broadcast(wanted), "term").crossJoin(F.broadcast(stats))
     part = F.col("qtf") * idf(F.col("n_chunks"), F.col("df")) * weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     hits = scored.groupBy("doc_key", "ordinal").agg(F.round(F.sum(part), 6).alias("score"))
     return hits.orderBy(F.desc("score"), "ordinal", "doc_key").limit(limit)
 
 
 def search_many(chunks: DataFrame, queries: DataFrame, limit: int, k1: float = K1, b: float = B) -> DataFrame:
-    """The best chunks of each row (query_id, query): query_id, doc_key, ordinal, score, rank."""
+    """The best chunks of each row (query_id, query): query_id, doc_key, ordinal, score, rank.
+
+    Postings meet the queries' terms in one join, which adaptive execution splits where a term is in very many chunks;
+    a query's hits are cut to the limit in every task before they meet."""
     asked = queries.select("query_id", F.explode(T.terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    rows = postings(chunks).join(asked.select("term").distinct(), "term", "left_semi")
-    scored = rows.join(document_frequency(rows), "term").join(asked, "term").crossJoin(F.broadcast(corpus_stats(chunks)))
+    rows = postings(chunks)
+    weights = tables.settle(asked.join(document_frequency(rows), "term"), "query-weights")
+    scored = rows.join(weights, "term").crossJoin(F.broadcast(corpus_stats(chunks)))
     part = F.col("qtf") * idf(F.col("n_chunks"), F.col("df")) * weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     hits = scored.groupBy("query_id", "doc_key", "ordinal").agg(F.round(F.sum(part), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "ordinal", "doc_key")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
 
+from . import history, render
+
 MAX_TOKENS, OVERLAP_TOKENS = 512, 64
 
 
@@ -49,6 +51,31 @@ def chunk_plain_text(files: DataFrame, max_tokens: int = MAX_TOKENS, overlap: in
     )
 
 
+def chunk_blocks(blocks: DataFrame, sources: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
+    """Chunks of the block table: a heading, a paragraph or its windows, a list, code in its fence, a table or its runs of
+    rows. Every chunk carries the nearest heading and the page at or before it. sources: doc_key, digest, display_name.
+
+    Headings and pages are carried, and chunks numbered, along each document, whose blocks a file's bounds bound."""
+    title = render.run_text(F.col("runs"))
+    rows = blocks.where("pos IS NOT NULL").withColumn("text", title)
+    rows = history.carry_page(history.carry_heading(rows, "doc_key", "pos"), "doc_key", "pos")
+    piece = lambda text, of=None: F.struct(text.alias("text"), T.approx_tokens(text).alias("token_count"), T.terms(text if of is None else of).alias("terms"))
+    fence = F.concat(F.lit("```"), F.coalesce("language", F.lit("")), F.lit("\n"), F.col("code_text"), F.lit("\n```"))
+    kind = F.col("kind")
+    pieces = (
+        F.when(kind == "heading", F.array(piece(F.concat(F.lit("# "), title))))
+        .when(kind == "paragraph", F.transform(split_long(title, max_tokens, overlap), lambda p: piece(p)))
+        .when(kind == "list", F.array(piece(render.block_text())))
+        .when(kind == "code", F.array(piece(fence, F.col("code_text"))))
+        .when(kind == "table", F.transform(render.table_parts(max_tokens), lambda p: F.struct(p["text"].alias("text"), p["token_count"].alias("token_count"), T.terms(p["text"]).alias("terms"))))
+    )
+    each = rows.select("doc_key", "pos", "nearest_heading", F.col("carried_page").alias("page"), F.posexplode(pieces).alias("part", "c"))
+    order = Window.partitionBy("doc_key").orderBy("pos", "part")
+    numbered = each.select("doc_key", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), "pos", "nearest_heading", "page", "c.*")
+    out = numbered.join(sources.select("doc_key", "digest", "display_name"), "doc_key")
+    return out.withColumn("chunk_id", F.concat(F.substring("digest", 1, 8), F.lit(":c"), F.col("ordinal")))
+
+
 def citation_label(chunk_id: Column, display_name: Column, heading: Column | None = None, page: Column | None = None) -> Column:
     parts = [F.concat(F.lit("[source: "), chunk_id), F.concat(F.lit('"'), display_name, F.lit('"'))]
     if heading is not None:

@@ -85,9 +85,29 @@ def select_retrieval(hits: DataFrame, chunks: DataFrame, budget: int, window: in
     return lists.select("query_id", F.inline(F.aggregate("items", zero, step, lambda s: s["out"])))
 
 
-def assemble(requests: DataFrame, chunks: DataFrame, system_tokens: int, budget: tuple[int, int] = LITE) -> DataFrame:
-    """User prompts. requests: request_id, query; chunks: request_id, position, chunk_id, label, text, cost."""
-    room = F.greatest(F.lit(0), budget[0] - budget[1] - system_tokens - T.approx_tokens(F.col("query")) - 50)
+def reading_order(taken: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Adds read_at, each chunk's place when a query's chunks are read by file digest and ordinal. chunks: doc_key, ordinal, digest."""
+    order = Window.partitionBy("query_id").orderBy("digest", "ordinal", "doc_key")
+    placed = taken.join(chunks.select("doc_key", "ordinal", "digest"), ["doc_key", "ordinal"])
+    return placed.withColumn("read_at", F.row_number().over(order).cast("long")).select(*taken.columns, "read_at")
+
+
+def system_prompt(policy: Column, skills: Column, preferences: Column) -> Column:
+    """The layers in front of the documents: the policy, each skill (an array of title and content) under its title, and
+    the client's preferences, which stand last and only if there are any."""
+    titled = F.transform(skills, lambda s: F.concat(F.lit("## "), s["title"], F.lit("\n"), s["content"]))
+    own = T.trim_space(F.coalesce(preferences, F.lit("")))
+    last = F.when(own != "", F.array(F.concat(F.lit("## Client Preferences\n"), own))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(F.array(policy), titled, last), "\n\n")
+
+
+def assemble(requests: DataFrame, chunks: DataFrame, system_tokens: int | Column, budget: tuple[int, int] = LITE) -> DataFrame:
+    """User prompts. requests: request_id, query; chunks: request_id, position, chunk_id, label, text, cost.
+
+    system_tokens: what the layers in front take, a number or a column of requests."""
+    system = system_tokens if isinstance(system_tokens, Column) else F.lit(system_tokens)
+    requests = requests.withColumn("system_tokens", system.cast("long"))
+    room = F.greatest(F.lit(0), budget[0] - budget[1] - F.col("system_tokens") - T.approx_tokens(F.col("query")) - 50)
     window = Window.partitionBy("request_id").orderBy("position")
     offered = chunks.join(requests.select("request_id", room.alias("room")), "request_id")
     offered = offered.withColumn("n", F.row_number().over(window)).withColumn("run", F.sum("cost").over(window.rowsBetween(Window.unboundedPreceding, 0)))
@@ -97,5 +117,5 @@ def assemble(requests: DataFrame, chunks: DataFrame, system_tokens: int, budget:
     block = F.concat(F.lit(DOC_START + "\n"), F.array_join(F.transform("parts", lambda p: p["part"]), ""), F.lit(DOC_END + "\n\n"))
     out = requests.join(held, "request_id", "left")
     prompt = F.concat(F.when(F.col("parts").isNotNull(), block).otherwise(F.lit("")), F.col("query"))
-    out = out.select("request_id", prompt.alias("user_prompt"), F.coalesce(F.transform("parts", lambda p: p["chunk_id"]), F.array().cast("array<string>")).alias("included"))
-    return out.withColumn("estimated_tokens", F.lit(system_tokens) + T.approx_tokens(F.col("user_prompt")))
+    out = out.select("request_id", "system_tokens", prompt.alias("user_prompt"), F.coalesce(F.transform("parts", lambda p: p["chunk_id"]), F.array().cast("array<string>")).alias("included"))
+    return out.withColumn("estimated_tokens", F.col("system_tokens") + T.approx_tokens(F.col("user_prompt"))).drop("system_tokens")

@@ -46,6 +46,15 @@ def invented_facts(expected: DataFrame, extracted: DataFrame) -> DataFrame:
 GATES = {"lite": (0.85, 0.95, 0, 8192, 5_905_580_032), "pro": (0.92, 0.97, 0, 16384, 12_348_030_976)}
 
 
+def tallies(expected: DataFrame, extracted: DataFrame) -> DataFrame:
+    """item_id, matched_facts, missing_facts, invented_values, is_perfect of every item with an expected or invented fact."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    known = match_facts(expected, extracted).select("item_id", F.when(F.col("matched"), one).otherwise(none).alias("m"), F.when(F.col("matched"), none).otherwise(one).alias("x"), none.alias("i"))
+    rest = invented_facts(expected, extracted).select("item_id", none.alias("m"), none.alias("x"), one.alias("i"))
+    sums = known.unionByName(rest).groupBy("item_id").agg(F.sum("m").alias("matched_facts"), F.sum("x").alias("missing_facts"), F.sum("i").alias("invented_values"))
+    return sums.withColumn("is_perfect", (F.col("missing_facts") == 0) & (F.col("invented_values") == 0))
+
+
 def gate_failures(profile: str) -> Column:
     """Names of the requirements that a row of metrics misses."""
     accuracy, rate, invented, context, memory = GATES[profile]

@@ -61,6 +61,11 @@ def carry_page(blocks: DataFrame, group: str, position: str) -> DataFrame:
     return blocks.withColumn("carried_page", F.coalesce("page", F.last("page", ignorenulls=True).over(window)))
 
 
+def committed(answers: DataFrame) -> DataFrame:
+    """The answers (of decode_events) that enter a history: finished and within their bounds; others leave nothing behind."""
+    return answers.where(F.col("finished") & ~F.col("too_long"))
+
+
 def decode_events(lines: DataFrame, max_line: int = 262_144, max_answer: int = 1_048_576) -> DataFrame:
     """stream_id, answer, finished, too_long from event lines (stream_id, seq, line): data: JSON deltas up to [DONE]."""
     body = F.regexp_extract("line", r"^data:\s?(.*)$", 1)

@@ -60,8 +60,8 @@ def documents(blocks: DataFrame, text: Column) -> DataFrame:
     return held.groupBy("doc_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "t"))), lambda b: b["t"]), "\n\n").alias("text"))
 
 
-def split_table(blocks: DataFrame, max_tokens: int) -> DataFrame:
-    """Tables as chunks of rows under their header: doc_key, pos, part, text, token_count. A table that fits is one chunk."""
+def table_parts(max_tokens: int) -> Column:
+    """A table as an array of (text, token_count): the whole if it fits, else runs of rows, each under the header."""
     from inkstone.functions.text import approx_tokens
 
     head = F.array_join("headers", " | ")
@@ -81,5 +81,9 @@ def split_table(blocks: DataFrame, max_tokens: int) -> DataFrame:
 
     parts = F.aggregate(lines, zero, step, lambda s: F.when(F.size(s["rows"]) > 0, F.concat(s["done"], F.array(s["rows"]))).otherwise(s["done"]))
     with_head = F.transform(parts, lambda p: F.concat(head, F.lit("\n"), F.array_join(p, "\n"), F.lit("\n")))
-    cut = F.when(approx_tokens(whole) <= max_tokens, F.array(F.struct(whole.alias("text"), approx_tokens(whole).alias("token_count")))).otherwise(F.transform(with_head, lambda t: F.struct(F.rtrim(F.regexp_replace(t, r"\s+$", "")).alias("text"), approx_tokens(t).alias("token_count"))))
-    return blocks.where("kind = 'table'").select("doc_key", "pos", F.posexplode(cut).alias("part", "c")).select("doc_key", "pos", F.col("part").cast("long").alias("part"), "c.text", "c.token_count")
+    return F.when(approx_tokens(whole) <= max_tokens, F.array(F.struct(whole.alias("text"), approx_tokens(whole).alias("token_count")))).otherwise(F.transform(with_head, lambda t: F.struct(F.rtrim(F.regexp_replace(t, r"\s+$", "")).alias("text"), approx_tokens(t).alias("token_count"))))
+
+
+def split_table(blocks: DataFrame, max_tokens: int) -> DataFrame:
+    """Tables as chunks of rows under their header: doc_key, pos, part, text, token_count."""
+    return blocks.where("kind = 'table'").select("doc_key", "pos", F.posexplode(table_parts(max_tokens)).alias("part", "c")).select("doc_key", "pos", F.col("part").cast("long").alias("part"), "c.text", "c.token_count")

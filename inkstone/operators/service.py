@@ -47,12 +47,14 @@ def source_record(chunk_id: Column, file: Column, heading: Column, page: Column)
     return F.to_json(F.struct(chunk_id.alias("id"), file.alias("file"), heading.alias("heading"), page.alias("page")))
 
 
-def complete(names: DataFrame, typed: DataFrame) -> DataFrame:
-    """typed (query): how many names match each, and what all that match start with. names: name.
-
-    A name matches when it starts with the query or, ASCII case apart, contains it."""
-    match = F.startswith("name", F.col("query")) | F.contains(T.ascii_lower(F.col("name")), T.ascii_lower(F.col("query")))
-    ends = names.join(F.broadcast(typed), match).groupBy("query").agg(F.count("*").alias("n_matches"), F.min("name").alias("lo"), F.max("name").alias("hi"))
+def complete(names: DataFrame, typed: list[str]) -> DataFrame:
+    """For each query typed, how many names match it and what all that match start with. names: name.
+
+    A name matches when it starts with the query or, ASCII case apart, contains it. The queries are parameters, so each
+    name is held against them in its own row, and only counts and ends are shuffled."""
+    asked = F.array(*(F.lit(t) for t in typed))
+    matches = F.filter(asked, lambda q: F.startswith(F.col("name"), q) | F.contains(T.ascii_lower(F.col("name")), T.ascii_lower(q)))
+    ends = names.select("name", F.explode(matches).alias("query")).groupBy("query").agg(F.count("*").alias("n_matches"), F.min("name").alias("lo"), F.max("name").alias("hi"))
     same = F.array_max(F.filter(F.sequence(F.lit(0), F.least(F.length("lo"), F.length("hi"))), lambda n: F.substring(F.col("lo"), F.lit(1), n) == F.substring(F.col("hi"), F.lit(1), n)))
     return ends.select("query", "n_matches", F.substring(F.col("lo"), F.lit(1), same).alias("common"))
 
@@ -62,6 +64,41 @@ def writable(files: DataFrame, grants: DataFrame) -> DataFrame:
     return files.join(grants.select("root"), "root", "left_semi")
 
 
+def human_bytes(n: Column) -> Column:
+    """A byte count with the largest unit that it reaches."""
+    sized = lambda power, digits, unit: F.concat(F.format_number(n / float(1024**power), digits), F.lit(f" {unit}"))
+    shown = F.when(n >= 1024**3, sized(3, 2, "GiB")).when(n >= 1024**2, sized(2, 1, "MiB")).when(n >= 1024, sized(1, 1, "KiB")).otherwise(F.concat(n, F.lit(" bytes")))
+    return F.replace(shown, F.lit(","), F.lit(""))
+
+
+#: The fields that a chat request may have, and the roles of its messages.
+REQUEST_FIELDS = ["model", "messages", "stream", "temperature", "top_p", "max_tokens", "stop"]
+ROLES = ["system", "user", "assistant"]
+
+
+def chat_request_error(body: Column) -> Column:
+    """Why a chat request (a JSON text) is refused: invalid_request, unsupported_field or invalid_parameter with the
+    parameter's name; null where it is taken. The first fault in the order of the checks counts."""
+    v = F.try_parse_json(body)
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    number = lambda path: F.coalesce(kind(path).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.lit(False))
+    held = lambda name: F.array_contains(keys, name)
+    keys = F.json_object_keys(body)
+    value = lambda path: F.try_variant_get(v, path, "double")
+    messages = F.try_variant_get(v, "$.messages", "array<variant>")
+    said = lambda m, path: F.coalesce(F.when(F.schema_of_variant(F.try_variant_get(m, path, "variant")) == "STRING", F.try_variant_get(m, path, "string")), F.lit(""))
+    bad = F.exists(messages, lambda m: (said(m, "$.role") == "") | (said(m, "$.content") == "") | ~said(m, "$.role").isin(ROLES))
+    outside = lambda name, low, high: held(name) & ~(number(f"$.{name}") & F.coalesce(value(f"$.{name}").between(low, high), F.lit(False)))
+    return (
+        F.when(v.isNull() | ~F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False)), "invalid_request")
+        .when(F.exists(keys, lambda k: ~k.isin(REQUEST_FIELDS)), "unsupported_field")
+        .when(outside("temperature", 0.0, 2.0), "invalid_parameter:temperature")
+        .when(outside("top_p", 0.0, 1.0), "invalid_parameter:top_p")
+        .when(held("max_tokens") & ~((kind("$.max_tokens") == "BIGINT") & (value("$.max_tokens") >= 1)), "invalid_parameter:max_tokens")
+        .when(messages.isNull() | (F.size(messages) == 0) | bad, "invalid_parameter:messages")
+    )
+
+
 def export_warnings(blocks: DataFrame, group: str, position: str) -> DataFrame:
     """A warning for each block that an export can't show, in order."""
     lost = blocks.where("kind = 'unsupported'").groupBy(group).agg(F.sort_array(F.collect_list(F.struct(position, "description"))).alias("w"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
-from inkstone.operators import render
+from inkstone.operators import chunking, render
 from inkstone.sources import blocks as B
 from inkstone.sources import writers
 
@@ -58,27 +58,86 @@ def render_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_key", T.digest(F.col("text")).alias("text_digest"))
 
 
+def written_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Markdown files whose blocks follow their lines: by turns of five a heading, a paragraph with strong
+    text, a list, code and a table, so no two documents have the same blocks."""
+    clean = lambda x: T.trim_space(F.regexp_replace(F.translate(x, SPECIAL + "\f\x0b_", " " * (len(SPECIAL) + 3)), r"\s+", " "))
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), clean), lambda x: x != "")
+
+    def block(x: F.Column, i: F.Column) -> F.Column:
+        kinds = [
+            F.concat(F.lit("## "), x),
+            F.concat(F.lit("P "), x, F.lit(" **"), F.col("lang"), F.lit("** end")),
+            F.concat(F.lit("- "), x, F.lit("\n- second")),
+            F.concat(F.lit("```"), F.col("lang"), F.lit("\n"), x, F.lit("\n```")),
+            F.concat(F.lit("| a | b |\n|---|---|\n| "), x, F.lit(" | "), i, F.lit(" |")),
+        ]
+        out = kinds[4]
+        for k in (3, 2, 1, 0):
+            out = F.when(i % 5 == k, kinds[k]).otherwise(out)
+        return out
+
+    body = F.array_join(F.transform(lines, block), "\n\n")
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("doc_key"), F.lit("md").alias("format"), body.cast("binary").alias("content"))
+
+
+def sources(files: DataFrame) -> DataFrame:
+    """doc_key, digest and display_name of files."""
+    return files.select("doc_key", F.sha2("content", 256).alias("digest"), F.concat(F.lit("doc-"), F.col("doc_key"), F.lit("."), F.col("format")).alias("display_name"))
+
+
+def chunk_markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = written_lines(spark, sf_dir)
+    out = chunking.chunk_blocks(B.read_blocks(files), sources(files))
+    return out.select("doc_key", "ordinal", "pos", T.digest(F.col("nearest_heading")).alias("heading_digest"), "token_count", T.digest(F.col("text")).alias("text_digest"), F.size("terms").cast("long").alias("n_terms"))
+
+
+def citation_labels_of_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with the heading and page of each chunk, over PDF files."""
+    files = pdf_files(spark, sf_dir)
+    out = chunking.chunk_blocks(B.read_blocks(files), sources(files))
+    label = chunking.citation_label(F.lit("c"), F.col("display_name"), F.col("nearest_heading"), F.col("page"))
+    return out.select("doc_key", "ordinal", "page", label.alias("label"))
+
+
+def block_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of whole documents: the characters of all blocks, without what stands between them."""
+    rows = B.read_blocks(written_lines(spark, sf_dir)).where("pos IS NOT NULL")
+    sums = rows.groupBy("doc_key").agg(F.sum(F.length(render.block_text())).alias("chars"))
+    return sums.select("doc_key", T.approx_tokens_of(F.col("chars")).alias("n_tokens"))
+
+
+def document_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.headings(B.read_blocks(written_lines(spark, sf_dir)))
+    return rows.select("doc_key", "pos", F.col("level").cast("int").alias("level"), T.digest(F.col("title")).alias("title_digest"))
+
+
 def write_files(blocks: DataFrame, fmt: str) -> DataFrame:
-    """doc_key, format, content: each document's blocks as a file. blocks: the block table."""
-    listed = blocks.where("pos is not null").groupBy("doc_key").agg(F.sort_array(F.collect_list(F.struct("pos", *B.FIELDS))).alias("blocks"))
+    """doc_key, format, content: each document's blocks as a file. blocks: the block table, with a title if there is one."""
+    title = F.max("title") if "title" in blocks.columns else F.lit(None).cast("string")
+    listed = blocks.where("pos is not null").groupBy("doc_key").agg(F.sort_array(F.collect_list(F.struct("pos", *B.FIELDS))).alias("blocks"), title.alias("title"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = writers.WRITERS[fmt]
         for batch in batches:
-            made = pa.array([make(b.as_py()) for b in batch.column(1)], pa.binary())
+            made = pa.array([make(b.as_py(), t.as_py()) for b, t in zip(batch.column(1), batch.column(2), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fmt] * batch.num_rows), made], ["doc_key", "format", "content"])
 
     return listed.mapInArrow(work, "doc_key bigint, format string, content binary")
 
 
-def _round_trip(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
+def as_files(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
+    """Documents as files of a format: a heading, and a paragraph for each line."""
     lines = F.filter(F.transform(F.split(F.translate(F.coalesce("text", F.lit("")), "\r\t\f\x0b", "    "), "\n"), T.trim_space), lambda x: x != "")
     empty = {c: F.lit(None) for c in ("ordered", "items", "headers", "rows", "language", "code_text", "page", "description", "section", "line_start", "line_end")}
     rows = documents(spark, sf_dir).select(F.col("doc_id").alias("doc_key"), F.posexplode(F.concat(F.array(F.concat(F.lit("Doc "), F.col("doc_id"))), lines)).alias("pos", "text"))
     kind = F.when(F.col("pos") == 0, F.lit("heading")).otherwise(F.lit("paragraph"))
     rows = rows.select("doc_key", F.col("pos").cast("long").alias("pos"), kind.alias("kind"), F.lit(1).cast("smallint").alias("level"), F.array(F.struct(F.lit("text").alias("kind"), "text", F.lit(None).cast("string").alias("url"))).alias("runs"), *(v.cast(_TYPE[k]).alias(k) for k, v in empty.items()))
-    back = B.read_blocks(write_files(rows, fmt))
-    shown = render.documents(back, render.block_text())
+    return write_files(rows.withColumn("title", F.concat(F.lit("Title of "), F.col("doc_key"))), fmt)
+
+
+def _round_trip(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
+    shown = render.documents(B.read_blocks(as_files(spark, sf_dir, fmt)), render.block_text())
     return shown.select("doc_key", T.digest(F.col("text")).alias("text_digest"))
 
 
@@ -97,13 +156,41 @@ def roundtrip_rtf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_trip(spark, sf_dir, "rtf")
 
 
-def pdf_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a PDF of two text streams, its letters and digits shown line by line, read back."""
+def _chunked(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
+    files = as_files(spark, sf_dir, fmt)
+    out = chunking.chunk_blocks(B.read_blocks(files), sources(files))
+    return out.select("doc_key", "ordinal", "nearest_heading", "token_count", T.digest(F.col("text")).alias("text_digest"), F.size("terms").cast("long").alias("n_terms"))
+
+
+def chunk_docx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunked(spark, sf_dir, "docx")
+
+
+def chunk_odt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunked(spark, sf_dir, "odt")
+
+
+def chunk_rtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunked(spark, sf_dir, "rtf")
+
+
+def document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and authors that DOCX, ODT and RTF files carry, a third of the documents each."""
+    each = [B.read_metadata(as_files(spark, sf_dir, fmt).where(F.col("doc_key") % 3 == k)) for k, fmt in enumerate(("docx", "odt", "rtf"))]
+    return each[0].unionByName(each[1]).unionByName(each[2]).select("doc_key", "title", "author")
+
+
+def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a PDF of two text streams, its letters and digits shown line by line."""
     ascii_only = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9 .,\n]", "?")
     shown = F.transform(F.filter(F.transform(F.split(ascii_only, "\n"), T.trim_space), lambda x: x != ""), lambda x: F.concat(F.lit("("), x, F.lit(") Tj T*\n")))
     stream = lambda body: F.concat(F.lit("<< /Length 0 >>\nstream\nBT\n"), body, F.lit("ET\nendstream\n"))
     pdf = F.concat(F.lit("%PDF-1.4\n"), stream(F.concat(F.lit("(Doc "), F.col("doc_id"), F.lit(") Tj\n"))), stream(F.array_join(shown, "")))
-    rows = B.read_blocks(documents(spark, sf_dir).select(F.col("doc_id").alias("doc_key"), F.lit("pdf").alias("format"), pdf.cast("binary").alias("content")))
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("doc_key"), F.lit("pdf").alias("format"), pdf.cast("binary").alias("content"))
+
+
+def pdf_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.read_blocks(pdf_files(spark, sf_dir))
     return rows.select("doc_key", "pos", "page", T.digest(render.block_text()).alias("text_digest"))
 
 
@@ -120,7 +207,7 @@ def stream_ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest_once(spark, f"{sf_dir}/documents.parquet").select("doc_key", "ordinal", "chunk_id", "token_count")
 
 
-QUERIES = [markdown_blocks, markdown_inline_runs, markdown_table_split, render_markdown, render_plain, roundtrip_docx, roundtrip_odt, roundtrip_rtf, pdf_extract, read_errors, stream_ingest_chunks]
+QUERIES = [markdown_blocks, markdown_inline_runs, markdown_table_split, render_markdown, render_plain, roundtrip_docx, roundtrip_odt, roundtrip_rtf, pdf_extract, read_errors, stream_ingest_chunks, chunk_markdown_blocks, chunk_docx, chunk_odt, chunk_rtf, citation_labels_of_blocks, block_tokens, document_headings, document_metadata]
 
 _N = "chr(10)"
 _BODY = f"trim(regexp_replace(translate(text, '|*[]()#`~-' || chr(13) || chr(10) || chr(9), repeat(' ', {len(SPECIAL)})), '\\s+', ' ', 'g'))"
@@ -131,7 +218,27 @@ _TEXTS = f"['Doc ' || doc_id, 'Text ' || source || ' and link: ' || body, lang,
 _MARKED = f"['# Doc ' || doc_id, 'Text **' || source || '** and [link](http://x/' || doc_id || '): ' || body, '```txt' || {_N} || lang || {_N} || '```', '1. one' || {_N} || '2. *two*', '| id | lang | source |' || {_N} || '|---|---|---|' || {_N} || '| ' || doc_id || ' | ' || lang || ' | ' || source || ' |' || {_N} || '| x | y | z |' || {_N} || '| p | q | r |']"
 _PDF = f"list_filter(list_transform(string_split(regexp_replace(text, '[^A-Za-z0-9 .,\\n]', '?', 'g'), {_N}), lambda x: {S.trim('x')}), lambda x: x <> '')"
 
+_CLEAN = f"trim(regexp_replace(translate(x, '|*[]()#`~-_' || chr(13) || chr(10) || chr(9) || chr(12) || chr(11), repeat(' ', {len(SPECIAL) + 3})), '\\s+', ' ', 'g'))"
+_WRITTEN = f"""SELECT doc_key, pos, lang, x, CASE pos % 5 WHEN 0 THEN x WHEN 1 THEN 'P ' || x || ' ' || lang || ' end' WHEN 2 THEN '- ' || x || {_N} || '- second' WHEN 3 THEN x ELSE 'a | b' || {_N} || x || ' | ' || pos END AS shown
+    FROM (SELECT doc_id AS doc_key, lang, unnest(l) AS x, CAST(unnest(range(len(l))) AS BIGINT) AS pos FROM (SELECT doc_id, lang, list_filter(list_transform(string_split(text, {_N}), lambda x: {_CLEAN}), lambda x: x <> '') AS l FROM documents))"""
+_WINDOWS = lambda p: f"CASE WHEN {S.tokens(p)} <= 512 THEN [{p}] ELSE list_transform(range(CASE WHEN len({S.words(p)}) <= 384 THEN 1 ELSE CAST(ceil((len({S.words(p)}) - 384) / 336.0) AS BIGINT) + 1 END), lambda i: array_to_string(list_slice({S.words(p)}, i * 336 + 1, i * 336 + 384), ' ')) END"
+_CHUNKED = f"""SELECT doc_key, row_number() OVER (PARTITION BY doc_key ORDER BY pos, part) - 1 AS ordinal, pos, heading, CASE WHEN pos % 5 = 4 AND {S.tokens('text')} > 512 THEN {S.tokens(f"text || {_N}")} ELSE {S.tokens('text')} END AS token_count, text, CASE WHEN pos % 5 = 3 THEN x ELSE text END AS said
+    FROM (SELECT doc_key, pos, x, heading, unnest(t) AS text, unnest(range(len(t))) AS part FROM (
+        SELECT *, last_value(CASE WHEN pos % 5 = 0 THEN x END IGNORE NULLS) OVER (PARTITION BY doc_key ORDER BY pos ROWS UNBOUNDED PRECEDING) AS heading,
+               CASE pos % 5 WHEN 0 THEN ['# ' || x] WHEN 1 THEN {_WINDOWS('shown')} WHEN 3 THEN ['```' || lang || {_N} || x || {_N} || '```'] ELSE [shown] END AS t FROM ({_WRITTEN})))"""
+_LINED = lambda head, heading: f"""SELECT doc_key, row_number() OVER (PARTITION BY doc_key ORDER BY pos, part) - 1 AS ordinal, {heading} AS nearest_heading, {S.tokens('text')} AS token_count, sha256(text) AS text_digest, len({S.terms('text')}) AS n_terms
+    FROM (SELECT doc_key, pos, unnest(t) AS text, unnest(range(len(t))) AS part FROM (SELECT doc_key, pos, {_WINDOWS('x')} AS t FROM (
+        SELECT doc_id AS doc_key, unnest(list_prepend({head}, l)) AS x, unnest(range(len(l) + 1)) AS pos FROM (SELECT doc_id, {_LINES} AS l FROM documents))))"""
+
 SQL = {
+    "chunk_markdown_blocks": f"SELECT doc_key, ordinal, pos, sha256(heading) AS heading_digest, token_count, sha256(text) AS text_digest, len({S.terms('said')}) AS n_terms FROM ({_CHUNKED})",
+    "chunk_docx": _LINED("'# Doc ' || doc_id", "'Doc ' || doc_key"),
+    "chunk_odt": _LINED("'# Doc ' || doc_id", "'Doc ' || doc_key"),
+    "chunk_rtf": _LINED("'Doc ' || doc_id", "NULL"),
+    "citation_labels_of_blocks": f"SELECT doc_key, row_number() OVER (PARTITION BY doc_key ORDER BY page, part) - 1 AS ordinal, page, '[source: c, \"doc-' || doc_key || '.pdf\", Page ' || page || ']' AS label FROM (SELECT doc_id AS doc_key, 1 AS page, 0 AS part FROM documents UNION ALL SELECT doc_key, 2, unnest(range(len(t))) FROM (SELECT doc_id AS doc_key, {_WINDOWS('x')} AS t FROM (SELECT doc_id, array_to_string({_PDF}, {_N}) AS x FROM documents) WHERE x <> ''))",
+    "block_tokens": f"SELECT doc_key, CAST(greatest(1, ceil(sum(length(shown)) / 4.0)) AS BIGINT) AS n_tokens FROM ({_WRITTEN}) GROUP BY doc_key",
+    "document_headings": f"SELECT doc_key, pos, 2 AS level, sha256(x) AS title_digest FROM ({_WRITTEN}) WHERE pos % 5 = 0",
+    "document_metadata": "SELECT doc_id AS doc_key, 'Title of ' || doc_id AS title, 'inkstone' AS author FROM documents",
     "markdown_blocks": f"SELECT doc_id AS doc_key, CAST(unnest(range(5)) AS BIGINT) AS pos, unnest(['heading', 'paragraph', 'code', 'list', 'table']) AS kind, 'Doc ' || doc_id AS section, CAST(unnest([1, 3, 5, 9, 12]) AS BIGINT) AS line_start, CAST(unnest([1, 3, 7, 10, 16]) AS BIGINT) AS line_end, sha256(unnest({_TEXTS})) AS text_digest FROM ({_WRAP})",
     "markdown_inline_runs": f"SELECT doc_id AS doc_key, CAST(unnest(range(5)) AS BIGINT) AS n, unnest(['text', 'strong', 'text', 'link', 'text']) AS kind, sha256(unnest(['Text ', source, ' and ', 'link', ': ' || body])) AS text_digest, unnest([NULL, NULL, NULL, 'http://x/' || doc_id, NULL]) AS url FROM ({_WRAP})",
     "markdown_table_split": f"""SELECT doc_key, part, h || {_N} || array_to_string(r, {_N}) AS text, {S.tokens(f"h || {_N} || array_to_string(r, {_N}) || {_N}")} AS token_count FROM (

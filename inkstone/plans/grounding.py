@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
-from inkstone.operators import grounding, history
+from inkstone.operators import grounding, history, service
+from inkstone.streaming import answers
 
 from . import sql as S
 from .documents import documents
@@ -63,6 +64,40 @@ def eval_facts_invented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.invented_facts(*_facts(spark, sf_dir)).select("item_id", "key", "value")
 
 
+def eval_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grounding.tallies(*_facts(spark, sf_dir))
+
+
+def committed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers of the streams that finished, as a history takes them; unfinished ones leave nothing."""
+    done = history.committed(history.decode_events(event_lines(spark, sf_dir)))
+    return done.select("stream_id", T.digest(F.col("answer")).alias("answer_digest"))
+
+
+def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of data lines, one answer for each user and thousand events, which an error event completes."""
+    path = f"{sf_dir}/[e]vents.parquet"  # a pattern may be a file or a folder
+    events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(path)
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.concat("event_type", F.lit(" ")).alias("content")).alias("delta"))).alias("choices")))
+    line = F.when(F.col("event_type") == "error", F.lit("data: [DONE]")).otherwise(F.concat(F.lit("data: "), body))
+    lines = events.select((F.col("user_id") * 1_000_000_000 + F.floor(F.col("event_id") / 1000)).alias("stream_id"), F.col("event_id").alias("seq"), line.alias("line"))
+    return answers.committed_once(spark, lines).select("stream_id", T.digest(F.col("answer")).alias("answer_digest"))
+
+
+def chat_request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as chat requests: a field or value that is refused comes in by turns of eleven."""
+    turn = (F.col("conv_id") + F.col("turn")) % 11
+    body = F.struct(
+        F.when(turn == 1, F.lit(2.5)).when(turn == 2, F.lit(0.5)).alias("temperature"),
+        F.when(turn == 3, F.lit(-1)).when(turn == 4, F.lit(1)).alias("top_p"),
+        F.when(turn == 5, F.lit(0)).when(turn == 6, F.lit(7)).alias("max_tokens"),
+        F.when(turn == 7, F.lit(1)).alias("tools"),
+        F.when(turn != 8, F.array(F.struct(F.when(turn == 9, F.lit("tool")).otherwise(F.col("role")).alias("role"), F.coalesce("text", F.lit("")).alias("content")))).alias("messages"),
+    )
+    text = F.when(turn == 10, F.concat(F.lit("["), F.to_json(F.array("text")), F.lit("]"))).otherwise(F.to_json(body))
+    return conversations(spark, sf_dir).select("conv_id", "turn", service.chat_request_error(text).alias("error"))
+
+
 def eval_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both gates against one row of metrics for each source, drawn from its matched facts."""
     rows = grounding.match_facts(*_facts(spark, sf_dir)).join(documents(spark, sf_dir).select(F.col("doc_id").alias("item_id"), "source", "n_chars"), "item_id")
@@ -120,26 +155,29 @@ def transcript_to_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _marked_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a source as blocks: every seventh a heading, every fifth with a page of its own."""
-    kind = F.when(F.col("doc_id") % 7 == 0, F.lit("heading")).otherwise(F.lit("paragraph"))
-    page = F.when(F.col("doc_id") % 5 == 0, (F.col("doc_id") / 5).cast("int"))
-    return documents(spark, sf_dir).select("source", "doc_id", kind.alias("kind"), page.alias("page"), F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("text"))
+    """Lines of documents as blocks: by turns of seven a heading, by turns of five with a page of its own."""
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "text"))
+    turn = F.col("doc_id") + F.col("n")
+    kind = F.when(turn % 7 == 0, F.lit("heading")).otherwise(F.lit("paragraph"))
+    page = F.when(turn % 5 == 0, F.col("n") + 1)
+    return rows.select("doc_id", F.col("n").cast("long").alias("n"), kind.alias("kind"), page.alias("page"), "text")
 
 
 def heading_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.carry_heading(_marked_blocks(spark, sf_dir), "source", "doc_id").select("source", "doc_id", "nearest_heading")
+    return history.carry_heading(_marked_blocks(spark, sf_dir), "doc_id", "n").select("doc_id", "n", T.digest(F.col("nearest_heading")).alias("heading_digest"))
 
 
 def page_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.carry_page(_marked_blocks(spark, sf_dir), "source", "doc_id").select("source", "doc_id", "carried_page")
+    return history.carry_page(_marked_blocks(spark, sf_dir), "doc_id", "n").select("doc_id", "n", "carried_page")
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as data lines of one stream for each user; users divisible by three never finish."""
+    """Events as data lines, a stream for each user and thousand events; streams of users divisible by three never finish."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     body = F.to_json(F.struct(F.array(F.struct(F.struct(F.concat("event_type", F.lit(" ")).alias("content")).alias("delta"))).alias("choices")))
-    lines = events.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.concat(F.lit("data: "), body).alias("line"))
-    ends = events.where("user_id % 3 <> 0").groupBy(F.col("user_id").alias("stream_id")).agg((F.max("event_id") + 1).alias("seq")).withColumn("line", F.lit("data: [DONE]"))
+    stream = (F.col("user_id") * 1_000_000_000 + F.floor(F.col("event_id") / 1000)).alias("stream_id")
+    lines = events.select(stream, F.col("event_id").alias("seq"), F.concat(F.lit("data: "), body).alias("line"))
+    ends = events.where("user_id % 3 <> 0").groupBy(stream).agg((F.max("event_id") + 1).alias("seq")).withColumn("line", F.lit("data: [DONE]"))
     return lines.unionByName(ends)
 
 
@@ -147,7 +185,7 @@ def sse_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.decode_events(event_lines(spark, sf_dir)).select("stream_id", T.digest(F.col("answer")).alias("answer_digest"), F.length("answer").cast("long").alias("n_chars"), "finished", "too_long")
 
 
-QUERIES = [extract_citations, citation_verified, citation_unverified, citation_ratio, citation_rewrite, eval_facts_match, eval_facts_invented, eval_gates, positional_diff_counts, positional_diff_text, select_skills, chat_request_fold, history_bounded_push, transcript_to_blocks, heading_carry_forward, page_carry_forward, sse_decode]
+QUERIES = [extract_citations, citation_verified, citation_unverified, citation_ratio, citation_rewrite, eval_facts_match, eval_facts_invented, eval_tallies, eval_gates, positional_diff_counts, positional_diff_text, select_skills, chat_request_fold, history_bounded_push, transcript_to_blocks, heading_carry_forward, page_carry_forward, sse_decode, committed_answers, stream_answers, chat_request_validation]
 
 _TAGGED = "SELECT conv_id, turn, '[source: a:c0] ' || text || ' [source: b:c' || (turn % 3) || ', \"x\"] then [source: zz, 1] [source: open' AS text FROM conversations"
 _CITED = f"SELECT conv_id, turn, unnest(ids) AS cited, CAST(unnest(range(len(ids))) AS BIGINT) AS n FROM (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '\\[source:([^\\]]*)\\]', 1), lambda x: trim(string_split(x, ',')[1])) AS ids FROM ({_TAGGED}))"
@@ -164,7 +202,7 @@ def _any(words: list[str]) -> str:
 
 
 _EDIT, _FIND, _COMPARE, _SUMMARIZE = (_any(w) for w in grounding.SKILL_WORDS.values())
-_BLOCKS = "SELECT source, doc_id, CASE WHEN doc_id % 7 = 0 THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN doc_id % 5 = 0 THEN CAST(doc_id // 5 AS INTEGER) END AS page, substr(text, 1, 40) AS text FROM documents"
+_BLOCKS = "SELECT doc_id, n, CASE WHEN (doc_id + n) % 7 = 0 THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN (doc_id + n) % 5 = 0 THEN CAST(n + 1 AS INTEGER) END AS page, text FROM (SELECT doc_id, unnest(t) AS text, CAST(unnest(range(len(t))) AS BIGINT) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents))"
 _GATE = lambda p: "SELECT source, '{}' AS profile, array_to_string(list_filter([CASE WHEN acc < {} THEN 'factual_qa_accuracy' END, CASE WHEN rate < {} THEN 'valid_citation_rate' END, CASE WHEN inv > {} THEN 'invented_values' END, CASE WHEN rss > {} THEN 'peak_rss_bytes' END, CASE WHEN ctx < {} THEN 'active_context_tokens' END], lambda x: x IS NOT NULL), ',') AS failures FROM m".format(p, *(grounding.GATES[p][i] for i in (0, 1, 2, 4, 3)))
 
 SQL = {
@@ -175,6 +213,10 @@ SQL = {
     "citation_rewrite": f"SELECT conv_id, turn, sha256(replace(CASE WHEN turn % 3 = 2 THEN replace(text, '[source: b:c2, \"x\"]', '[unverified source: b:c2]') ELSE text END, '[source: zz, 1]', '[unverified source: zz]')) AS cleaned_digest FROM ({_TAGGED})",
     "eval_facts_match": _MATCH,
     "eval_facts_invented": f"SELECT item_id, key, value FROM ({_FOUND}) g ANTI JOIN ({_FACTS}) f USING (item_id, key)",
+    "eval_tallies": f"SELECT item_id, CAST(sum(m) AS BIGINT) AS matched_facts, CAST(sum(x) AS BIGINT) AS missing_facts, CAST(sum(i) AS BIGINT) AS invented_values, sum(x) = 0 AND sum(i) = 0 AS is_perfect FROM (SELECT item_id, CAST(matched AS INTEGER) AS m, CAST(NOT matched AS INTEGER) AS x, 0 AS i FROM ({_MATCH}) UNION ALL SELECT g.item_id, 0, 0, 1 FROM ({_FOUND}) g ANTI JOIN ({_FACTS}) f USING (item_id, key)) GROUP BY item_id",
+    "committed_answers": "SELECT user_id * 1000000000 + event_id // 1000 AS stream_id, sha256(string_agg(event_type || ' ', '' ORDER BY event_id)) AS answer_digest FROM events WHERE user_id % 3 <> 0 GROUP BY 1",
+    "stream_answers": "SELECT stream_id, sha256(coalesce(string_agg(event_type || ' ', '' ORDER BY event_id) FILTER (event_id < stop), '')) AS answer_digest FROM (SELECT *, min(event_id) FILTER (event_type = 'error') OVER (PARTITION BY stream_id) AS stop FROM (SELECT event_id, event_type, user_id * 1000000000 + event_id // 1000 AS stream_id FROM events)) WHERE stop IS NOT NULL GROUP BY stream_id",
+    "chat_request_validation": "SELECT conv_id, turn, CASE (conv_id + turn) % 11 WHEN 1 THEN 'invalid_parameter:temperature' WHEN 3 THEN 'invalid_parameter:top_p' WHEN 5 THEN 'invalid_parameter:max_tokens' WHEN 7 THEN 'unsupported_field' WHEN 8 THEN 'invalid_parameter:messages' WHEN 9 THEN 'invalid_parameter:messages' WHEN 10 THEN 'invalid_request' ELSE CASE WHEN text = '' OR text IS NULL OR role NOT IN ('system', 'user', 'assistant') THEN 'invalid_parameter:messages' END END AS error FROM conversations",
     "eval_gates": f"WITH m AS (SELECT source, avg(CAST(matched AS DOUBLE)) AS acc, avg(CAST(key <> 'size' AS DOUBLE) + CAST(matched AS DOUBLE) / 3) AS rate, count(*) FILTER (NOT matched AND key = 'size' AND n_chars > 5000) AS inv, max(n_chars) AS ctx, sum(n_chars) * 20000 AS rss FROM ({_MATCH}) e JOIN documents ON doc_id = item_id GROUP BY source) {_GATE('lite')} UNION ALL {_GATE('pro')}",
     "positional_diff_counts": f"SELECT doc_id, count(*) FILTER (y IS NOT NULL AND x IS DISTINCT FROM y) AS added, count(*) FILTER (x IS NOT NULL AND x IS DISTINCT FROM y) AS removed, count(*) FILTER (x = y) AS unchanged FROM ({_PAIRS}) GROUP BY doc_id",
     "positional_diff_text": f"SELECT doc_id, sha256('--- a/doc-' || doc_id || '.txt' || chr(10) || '+++ b/doc-' || doc_id || '.txt' || chr(10) || '@@ -1,' || any_value(na) || ' +1,' || any_value(nb) || ' @@' || string_agg(CASE WHEN x = y THEN chr(10) || ' ' || x ELSE coalesce(chr(10) || '-' || x, '') || coalesce(chr(10) || '+' || y, '') END, '' ORDER BY i)) AS diff_digest FROM ({_PAIRS}) GROUP BY doc_id",
@@ -186,7 +228,7 @@ SQL = {
               FROM h JOIN m ON m.conv_id = h.conv_id AND m.i = h.i + 1)
         SELECT conv_id, turn, accepted, CAST(history_bytes AS BIGINT) AS history_bytes FROM h""",
     "transcript_to_blocks": f"SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, n) AS pos, 'paragraph' AS kind, prefix, text FROM (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'User: ' WHEN 'assistant' THEN 'Assistant: ' ELSE 'Notice: ' END AS prefix, unnest(p) AS text, unnest(range(len(p))) AS n FROM (SELECT *, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {S.trim('x')}), lambda x: x <> '') AS p FROM conversations)) UNION ALL SELECT DISTINCT conv_id, 0, 'heading', NULL, 'Transcript' FROM conversations",
-    "heading_carry_forward": f"SELECT source, doc_id, last_value(CASE WHEN kind = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS nearest_heading FROM ({_BLOCKS})",
-    "page_carry_forward": f"SELECT source, doc_id, coalesce(page, last_value(page IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)) AS carried_page FROM ({_BLOCKS})",
-    "sse_decode": "SELECT user_id AS stream_id, sha256(a) AS answer_digest, length(a) AS n_chars, user_id % 3 <> 0 AS finished, false AS too_long FROM (SELECT user_id, string_agg(event_type || ' ', '' ORDER BY event_id) AS a FROM events GROUP BY user_id)",
+    "heading_carry_forward": f"SELECT doc_id, n, sha256(last_value(CASE WHEN kind = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING)) AS heading_digest FROM ({_BLOCKS})",
+    "page_carry_forward": f"SELECT doc_id, n, coalesce(page, last_value(page IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING)) AS carried_page FROM ({_BLOCKS})",
+    "sse_decode": "SELECT stream_id, sha256(a) AS answer_digest, length(a) AS n_chars, user_id % 3 <> 0 AS finished, false AS too_long FROM (SELECT user_id, user_id * 1000000000 + event_id // 1000 AS stream_id, string_agg(event_type || ' ', '' ORDER BY event_id) AS a FROM events GROUP BY 1, 2)",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstone.functions import tables
 from inkstone.functions import text as T
 from inkstone.operators import bm25, chunking, context
 
@@ -20,6 +21,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_plain_text(chunking.as_files(documents(spark, sf_dir)))
 
 
+def settled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks with labels and costs as a written table, for queries that read them more than once."""
+    return tables.settle(costed(chunks(spark, sf_dir)), "chunks")
+
+
 def costed(rows: DataFrame) -> DataFrame:
     label = chunking.citation_label(F.col("chunk_id"), F.col("display_name"))
     return rows.withColumn("label", label).withColumn("cost", chunking.prompt_cost(F.col("token_count"), label))
@@ -36,7 +42,7 @@ def chunk_count_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_overlap_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that each window shares with the next one of its document."""
-    rows = chunks(spark, sf_dir).select("doc_key", "ordinal", T.words(F.col("text")).alias("w"))
+    rows = tables.settle(chunks(spark, sf_dir).select("doc_key", "ordinal", T.words(F.col("text")).alias("w")), "chunk-words")
     after = rows.select("doc_key", (F.col("ordinal") - 1).alias("ordinal"), F.slice("w", 1, 48).alias("head"))
     tail = F.slice("w", F.greatest(F.lit(1), F.size("w") - 47), 48)
     return rows.join(after, ["doc_key", "ordinal"]).select("doc_key", "ordinal", F.when(tail == F.col("head"), F.size("head")).otherwise(0).cast("long").alias("shared_words"))
@@ -85,7 +91,7 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.search_many(chunks(spark, sf_dir), asked(spark, sf_dir), 20)
+    return bm25.search_many(settled_chunks(spark, sf_dir), asked(spark, sf_dir), 20)
 
 
 def query_file_filter_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,18 +102,19 @@ def query_file_filter_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adjacent_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(spark, sf_dir)
+    rows = settled_chunks(spark, sf_dir)
     return bm25.neighbours(bm25.search(rows, QUERY, 10), rows, 1).select("doc_key", "ordinal", "chunk_id")
 
 
 def pack_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = costed(chunks(spark, sf_dir)).select("source", "doc_key", "ordinal", "cost")
-    return context.pack_prefix(rows, "source", ["doc_key", "ordinal"], BUDGET)
+    """The chunks of each document that fit a prompt."""
+    rows = costed(chunks(spark, sf_dir)).select("doc_key", "ordinal", "cost")
+    return context.pack_prefix(rows, "doc_key", ["ordinal"], BUDGET)
 
 
 def pack_prompt_first_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = costed(chunks(spark, sf_dir)).select("source", "doc_key", "ordinal", "cost")
-    return context.pack_prefix(rows, "source", ["doc_key", "ordinal"], 100, keep_first=True)
+    rows = costed(chunks(spark, sf_dir)).select("doc_key", "ordinal", "cost")
+    return context.pack_prefix(rows, "doc_key", ["ordinal"], 100, keep_first=True)
 
 
 def map_reduce_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,9 +122,10 @@ def map_reduce_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def select_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = costed(chunks(spark, sf_dir))
+    rows = settled_chunks(spark, sf_dir)
     hits = bm25.search_many(rows, asked(spark, sf_dir), 20)
-    return context.select_retrieval(hits, rows, SELECT_BUDGET)
+    taken = context.select_retrieval(hits, rows, SELECT_BUDGET)
+    return context.reading_order(taken, rows.select("doc_key", "ordinal", "digest"))
 
 
 def assemble_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +145,7 @@ def sanitize_delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [chunk_documents, chunk_count_by_source, chunk_overlap_words, citation_labels, terms_exploded, term_frequency, document_frequency, corpus_stats, bm25_search, bm25_repeated_terms, bm25_file_filter, bm25_digest_prefix_filter, bm25_multi_query, query_file_filter_parse, adjacent_chunks, pack_direct, pack_prompt_first_kept, map_reduce_batches, select_retrieval, assemble_prompt, sanitize_delimiters]
 
 _C = f"WITH c AS ({S.chunks()})"
-_PACK = f"{_C} SELECT source, doc_key, ordinal, cost, CAST(running AS BIGINT) AS running_cost FROM (SELECT *, sum(cost) OVER w AS running, row_number() OVER w AS n FROM (SELECT *, {S.COST} AS cost FROM c) WINDOW w AS (PARTITION BY source ORDER BY doc_key, ordinal ROWS UNBOUNDED PRECEDING)) WHERE "
+_PACK = f"{_C} SELECT doc_key, ordinal, cost, CAST(running AS BIGINT) AS running_cost FROM (SELECT *, sum(cost) OVER w AS running, row_number() OVER w AS n FROM (SELECT *, {S.COST} AS cost FROM c) WINDOW w AS (PARTITION BY doc_key ORDER BY ordinal ROWS UNBOUNDED PRECEDING)) WHERE "
 _MANY = f"""{_C},
     q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({S.terms('text')}) AS term FROM benchmark) GROUP BY ALL),
     p AS (SELECT doc_key, ordinal, term, dl, count(*) AS tf FROM (SELECT doc_key, ordinal, len(terms) AS dl, unnest(terms) AS term FROM c) WHERE term IN (SELECT term FROM q) GROUP BY ALL),

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.operators import service
+from inkstone.sources import discovery
 
 from . import sql as S
 from .documents import documents
 from .retrieval import chunks
 
+FOLDERS = ["", "sub/", ".git/", "models/", "a/node_modules/", "out/", ".hidden/"]
 TYPED = ["doc-1", "DOC-2", "c-33", "doc-", "zz"]
 
 
@@ -32,7 +34,7 @@ def source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def name_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = documents(spark, sf_dir).select(F.concat(F.lit("doc-"), F.col("doc_id"), F.lit(".txt")).alias("name"))
-    return service.complete(names, spark.createDataFrame([(t,) for t in TYPED], "query string"))
+    return service.complete(names, TYPED)
 
 
 def granted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,13 +44,41 @@ def granted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("doc_id") % 9 == 0, F.lit("unsupported")).otherwise(F.lit("paragraph"))
-    rows = documents(spark, sf_dir).select("source", "doc_id", kind.alias("kind"), F.concat(F.lit("chart "), F.col("doc_id")).alias("description"))
-    return service.export_warnings(rows, "source", "doc_id").select("source", F.size("warnings").cast("long").alias("n_warnings"), F.array_join("warnings", "; ").alias("warnings"))
+    """Lines of documents as blocks, of which every ninth stands for a chart."""
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line"))
+    kind = F.when(F.col("n") % 9 == 4, F.lit("unsupported")).otherwise(F.lit("paragraph"))
+    rows = rows.select("doc_id", "n", kind.alias("kind"), F.concat(F.lit("chart "), F.col("n"), F.lit(" of "), F.length("line")).alias("description"))
+    return service.export_warnings(rows, "doc_id", "n").select("doc_id", F.size("warnings").cast("long").alias("n_warnings"), F.array_join("warnings", "; ").alias("warnings"))
 
 
-QUERIES = [upload_validation, source_records, name_completion, granted_documents, export_warnings]
+def shown_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of documents' texts, by turns as bytes, kilobytes, megabytes and gigabytes."""
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long") * F.pow(F.lit(1024), F.col("doc_id") % 4).cast("long")
+    return documents(spark, sf_dir).select("doc_id", service.human_bytes(size).alias("shown"))
 
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a workspace: by turns in a source, an excluded and a hidden folder, some too large."""
+    turn = F.col("doc_id") % len(FOLDERS)
+    folder = F.element_at(F.array(*(F.lit(f) for f in FOLDERS)), (turn + 1).cast("int"))
+    ext = F.element_at(F.array(*(F.lit(e) for e in (".md", ".txt", ".exe", ".PDF", ""))), (F.col("doc_id") % 5 + 1).cast("int"))
+    path = F.concat("source", F.lit("/"), folder, F.lit("d"), F.col("doc_id"), ext)
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long") * F.when(F.col("doc_id") % 13 == 0, 1 << 20).otherwise(1)
+    return documents(spark, sf_dir).select("doc_id", path.alias("path"), size.alias("byte_size"))
+
+
+def discover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discovery.usable(_listed(spark, sf_dir)).select("doc_id", "path", "byte_size", "format")
+
+
+def discovery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discovery.report(_listed(spark, sf_dir)).withColumn("within_limits", discovery.within_limits())
+
+
+QUERIES = [upload_validation, source_records, name_completion, granted_documents, export_warnings, shown_sizes, discover_files, discovery_report]
+
+_FILES = """SELECT doc_id, source || '/' || ['', 'sub/', '.git/', 'models/', 'a/node_modules/', 'out/', '.hidden/'][doc_id % 7 + 1] || 'd' || doc_id || ['.md', '.txt', '.exe', '.PDF', ''][doc_id % 5 + 1] AS path,
+    strlen(text) * CASE WHEN doc_id % 13 = 0 THEN 1048576 ELSE 1 END AS byte_size, ['md', 'txt', NULL, 'pdf', NULL][doc_id % 5 + 1] AS format, doc_id % 7 IN (0, 1, 5) AND doc_id % 5 IN (0, 1, 3) AS usable FROM documents"""
 _ASKED = ", ".join(f"('{t}')" for t in TYPED)
 SQL = {
     "upload_validation": """SELECT doc_id, 'd' || doc_id || ['.md', '.TXT', '.pdf', '.xlsx', '.rtf'][doc_id % 5 + 1] AS name,
@@ -60,5 +90,8 @@ SQL = {
     "source_records": f"WITH c AS ({S.chunks()}) SELECT doc_key, ordinal, '{{\"id\":\"' || chunk_id || '\",\"file\":\"' || display_name || '\"' || CASE WHEN doc_key % 2 = 0 THEN ',\"heading\":\"' || source || '\"' ELSE '' END || CASE WHEN doc_key % 3 = 0 THEN ',\"page\":' || (ordinal + 1) ELSE '' END || '}}' AS record FROM c",
     "name_completion": f"SELECT query, n_matches, CASE WHEN lo = hi THEN lo ELSE substr(lo, 1, CAST(list_max(list_filter(range(least(length(lo), length(hi)) + 1), lambda n: substr(lo, 1, n) = substr(hi, 1, n))) AS BIGINT)) END AS common FROM (SELECT query, count(*) AS n_matches, min(name) AS lo, max(name) AS hi FROM (SELECT 'doc-' || doc_id || '.txt' AS name FROM documents) JOIN (VALUES {_ASKED}) t(query) ON starts_with(name, query) OR contains(lower(name), lower(query)) GROUP BY query)",
     "granted_documents": "SELECT doc_id, source AS root FROM documents WHERE source IN (SELECT source FROM documents WHERE n_chars > 20000)",
-    "export_warnings": "SELECT source, count(*) AS n_warnings, string_agg('not exported: chart ' || doc_id, '; ' ORDER BY doc_id) AS warnings FROM documents WHERE doc_id % 9 = 0 GROUP BY source",
+    "export_warnings": "SELECT doc_id, count(*) AS n_warnings, string_agg('not exported: chart ' || n || ' of ' || length(line), '; ' ORDER BY n) AS warnings FROM (SELECT doc_id, unnest(t) AS line, unnest(range(len(t))) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)) WHERE n % 9 = 4 GROUP BY doc_id",
+    "shown_sizes": "SELECT doc_id, CASE WHEN n >= 1073741824 THEN printf('%.2f GiB', n / 1073741824.0) WHEN n >= 1048576 THEN printf('%.1f MiB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.1f KiB', n / 1024.0) ELSE n || ' bytes' END AS shown FROM (SELECT doc_id, CAST(strlen(text) * power(1024, doc_id % 4) AS BIGINT) AS n FROM documents)",
+    "discover_files": f"SELECT doc_id, path, byte_size, format FROM ({_FILES}) WHERE usable AND byte_size <= 52428800",
+    "discovery_report": f"SELECT count(*) FILTER (byte_size <= 52428800) AS n_files, CAST(coalesce(sum(byte_size) FILTER (byte_size <= 52428800), 0) AS BIGINT) AS total_bytes, count(*) FILTER (byte_size > 52428800) AS oversized, count(*) FILTER (byte_size <= 52428800) <= 10000 AND coalesce(sum(byte_size) FILTER (byte_size <= 52428800), 0) <= 262144000 AS within_limits FROM ({_FILES}) WHERE usable",
 }

@@ -17,6 +17,33 @@ _TYPES = [pa.string(), pa.int16(), pa.list_(_RUN), pa.bool_(), pa.list_(pa.list_
 _BLOCK = pa.struct(list(zip(FIELDS, _TYPES, strict=True)))
 
 
+METADATA = ("title", "author", "created", "modified")
+
+
+def read_metadata(files: DataFrame) -> DataFrame:
+    """files: doc_key, format, content. doc_key, title, author, created and modified of every file; null what it lacks."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .readers import metadata
+
+        for batch in batches:
+            found = []
+            for fmt, content in zip(batch.column(1), batch.column(2), strict=True):
+                try:
+                    found.append(metadata(fmt.as_py(), content.as_py() or b""))
+                except Exception:  # a file that can't be read has no metadata; read_blocks says why
+                    found.append({})
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x.get(k) for x in found], pa.string()) for k in METADATA)], ["doc_key", *METADATA])
+
+    return files.select("doc_key", "format", "content").mapInArrow(work, "doc_key bigint, " + ", ".join(f"{k} string" for k in METADATA))
+
+
+def headings(blocks: DataFrame) -> DataFrame:
+    """doc_key, pos, level, title, page, section and lines of every heading."""
+    title = F.array_join(F.transform("runs", lambda r: F.coalesce(r["text"], F.lit(""))), "")
+    return blocks.where("kind = 'heading'").select("doc_key", "pos", "level", title.alias("title"), "page", "section", "line_start", "line_end")
+
+
 def read_blocks(files: DataFrame) -> DataFrame:
     """files: doc_key, format, content. A row per block with pos, or one row with error_code where a file can't be read."""
 
@@ -32,6 +59,9 @@ def read_blocks(files: DataFrame) -> DataFrame:
                 except ReadError as e:
                     found.append([])
                     errors.append(e.code)
+                except Exception:  # whatever a file does to its reader is that file's error and no other's
+                    found.append([])
+                    errors.append("corrupted")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(errors, pa.string()), pa.array(found, pa.list_(_BLOCK))], ["doc_key", "error_code", "blocks"])
 
     schema = "doc_key bigint, error_code string, blocks array<struct<" + BLOCK.replace(" array<", ": array<").replace(" string", ": string").replace(" smallint", ": smallint").replace(" boolean", ": boolean").replace(" int,", ": int,").replace(" bigint", ": bigint").replace("::", ":") + ">>"

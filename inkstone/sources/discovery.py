@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import formats
 
 #: Folders that are never entered, and the limits of a workspace.
-EXCLUDED = [".git", ".hg", ".svn", "node_modules", "target", "build", "dist", "out", "vendor", "venv", ".venv", "__pycache__", ".cache"]
+EXCLUDED = [".git", ".github", "target", "node_modules", "dist", "build", ".cache", "vendor", ".cargo", ".gemini", ".vscode", ".idea", "models"]
 MAX_FILE, MAX_TOTAL, MAX_FILES = 50 << 20, 250 << 20, 10_000
 
 
@@ -95,6 +95,11 @@ def usable(files: DataFrame) -> DataFrame:
     return rows.where(~hidden(F.col("path")) & ~excluded(F.col("path")) & F.col("format").isNotNull() & (F.col("byte_size") <= MAX_FILE))
 
 
+def within_limits(max_total: int = MAX_TOTAL, max_files: int = MAX_FILES) -> Column:
+    """Whether the files of a row of report() stay within the limits of a workspace."""
+    return (F.col("n_files") <= max_files) & (F.col("total_bytes") <= max_total)
+
+
 def report(files: DataFrame) -> DataFrame:
     """One row: files, bytes and what was passed over for its size."""
     rows = files.withColumn("format", formats.from_path(F.col("path"))).where(~hidden(F.col("path")) & ~excluded(F.col("path")) & F.col("format").isNotNull())

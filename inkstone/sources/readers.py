@@ -57,10 +57,23 @@ def _part(data: bytes, name: str) -> ElementTree.Element:
         raise ReadError("corrupted") from None
 
 
+def _has(data: bytes, name: str) -> bool:
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            return name in z.namelist()
+    except zipfile.BadZipFile:
+        return False
+
+
 def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
+def _number(text: str | None, low: int, high: int) -> int:
+    """A number of a file within bounds; what isn't a number counts as the lower one."""
+    return min(high, max(low, int(text))) if re.fullmatch(r"\d{1,9}", text or "") else low
+
+
 def _attribute(e: ElementTree.Element, name: str) -> str | None:
     return next((v for k, v in e.attrib.items() if _local(k) == name), None)
 
@@ -99,10 +112,26 @@ def read_docx(data: bytes) -> list[dict]:
 
 
 def read_odt(data: bytes) -> list[dict]:
+    size = 0
+
     def text(e: ElementTree.Element) -> str:
-        gaps = {"tab": "\t", "line-break": "\n"}
-        own = gaps.get(_local(e.tag), " " * int(_attribute(e, "c") or 1) if _local(e.tag) == "s" else "")
-        return own + (e.text or "") + "".join(text(c) + (c.tail or "") for c in e)
+        nonlocal size
+        out: list[str] = []
+        rest: list = [e]  # elements and the texts after them, last in first out, however deep they nest
+        while rest:
+            x = rest.pop()
+            if isinstance(x, str):
+                out.append(x)
+                continue
+            kind = _local(x.tag)
+            out.append({"tab": "\t", "line-break": "\n"}.get(kind, "") or (" " * _number(_attribute(x, "c"), 1, MAX_TEXT + 1) if kind == "s" else ""))
+            size += len(out[-1])
+            if size > MAX_TEXT:
+                raise ReadError("too_large")
+            for c in reversed(x):
+                rest += [c.tail or "", c]
+            rest.append(x.text or "")
+        return "".join(out)
 
     out: list[dict] = []
 
@@ -110,7 +139,7 @@ def read_odt(data: bytes) -> list[dict]:
         for e in parent:
             kind = _local(e.tag)
             if kind == "h":
-                out.append({"kind": "heading", "level": min(6, max(1, int(_attribute(e, "outline-level") or 1))), "runs": _paragraph(text(e))["runs"]})
+                out.append({"kind": "heading", "level": _number(_attribute(e, "outline-level"), 1, 6), "runs": _paragraph(text(e))["runs"]})
             elif kind == "p" and (t := text(e)):
                 out.append(_paragraph(t))
             elif kind == "list":
@@ -259,6 +288,32 @@ def _ole_stream(data: bytes, name: str) -> bytes:
     raise ReadError("corrupted")
 
 
+def _named(data: bytes, part: str, names: dict[str, str]) -> dict[str, str]:
+    """The trimmed texts of a part's elements, by what their names stand for; later ones replace earlier ones."""
+    found: dict[str, str] = {}
+    for e in _part(data, part).iter():
+        value = (e.text or "").strip()
+        if value and _local(e.tag) in names:
+            found[names[_local(e.tag)]] = value
+    return found
+
+
+_rtf_info = re.compile(r"\{\\(title|author) ((?:[^\\{}]|\\[\\{}]|\\u-?\d+ ?\?)*)\}")
+
+
+def metadata(fmt: str | None, data: bytes) -> dict[str, str]:
+    """Title, author, created and modified, as far as a file has them."""
+    if fmt == "docx" and _has(data, "docProps/core.xml"):
+        return _named(data, "docProps/core.xml", {"title": "title", "creator": "author", "created": "created", "modified": "modified"})
+    if fmt == "odt" and _has(data, "meta.xml"):
+        return _named(data, "meta.xml", {"title": "title", "creator": "author", "date": "created"})
+    if fmt == "rtf" and data.startswith(b"{\\rtf"):
+        plain = lambda x: re.sub(r"\\u(-?\d+) ?\?", lambda m: chr(int(m[1]) % 65536), re.sub(r"\\([\\{}])", r"\1", x))
+        whole = lambda x: x.encode("utf-16", "surrogatepass").decode("utf-16", "replace").strip()
+        return {k: v for k, x in _rtf_info.findall(data[:65_536].decode("cp1252", "replace")) if (v := whole(plain(x)))}
+    return {}
+
+
 READERS = {"txt": read_plain, "md": lambda data: markdown.blocks(_utf8(data)), "docx": read_docx, "odt": read_odt, "rtf": read_rtf, "pdf": read_pdf, "doc": read_doc}
 
 

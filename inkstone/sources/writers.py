@@ -10,6 +10,8 @@ from xml.sax.saxutils import escape, quoteattr
 
 WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 ODF = "urn:oasis:names:tc:opendocument:xmlns:"
+DC = "http://purl.org/dc/elements/1.1/"
+CREATOR = "inkstone"
 
 
 def _text(runs: list[dict] | None) -> str:
@@ -40,7 +42,7 @@ def _lines(block: dict) -> list[str]:
     return [_text(block.get("runs"))]
 
 
-def docx(blocks: list[dict]) -> bytes:
+def docx(blocks: list[dict], title: str | None = None) -> bytes:
     def run(text: str, mark: str = "") -> str:
         pieces = "<w:br/>".join(f'<w:t xml:space="preserve">{escape(x)}</w:t>' for x in text.split("\n"))
         return f"<w:r>{mark and f'<w:rPr><w:{mark}/></w:rPr>'}{pieces}</w:r>"
@@ -59,12 +61,13 @@ def docx(blocks: list[dict]) -> bytes:
         else:
             out += [paragraph(run(x)) for x in _lines(b)]
     head = '<?xml version="1.0" encoding="UTF-8"?>'
-    types = f'{head}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
-    links = f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
-    return _zip([("[Content_Types].xml", types), ("_rels/.rels", links), ("word/document.xml", f'{head}<w:document xmlns:w="{WORD}"><w:body>{"".join(out)}</w:body></w:document>')])
+    types = f'{head}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/><Override PartName="/docProps/core.xml" ContentType="application/vnd.openxmlformats-package.core-properties+xml"/></Types>'
+    links = f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/><Relationship Id="r2" Type="http://schemas.openxmlformats.org/package/2006/relationships/metadata/core-properties" Target="docProps/core.xml"/></Relationships>'
+    core = f'{head}<cp:coreProperties xmlns:cp="http://schemas.openxmlformats.org/package/2006/metadata/core-properties" xmlns:dc="{DC}"><dc:title>{escape(title or "")}</dc:title><dc:creator>{CREATOR}</dc:creator></cp:coreProperties>'
+    return _zip([("[Content_Types].xml", types), ("_rels/.rels", links), ("docProps/core.xml", core), ("word/document.xml", f'{head}<w:document xmlns:w="{WORD}"><w:body>{"".join(out)}</w:body></w:document>')])
 
 
-def odt(blocks: list[dict]) -> bytes:
+def odt(blocks: list[dict], title: str | None = None) -> bytes:
     def spaced(text: str) -> str:
         return escape(text).replace("\n", "<text:line-break/>").replace("\t", "<text:tab/>").replace("  ", ' <text:s text:c="1"/>')
 
@@ -81,11 +84,12 @@ def odt(blocks: list[dict]) -> bytes:
     kind = "application/vnd.oasis.opendocument.text"
     head = '<?xml version="1.0" encoding="UTF-8"?>'
     content = f'{head}<office:document-content xmlns:office="{ODF}office:1.0" xmlns:text="{ODF}text:1.0" xmlns:table="{ODF}table:1.0"><office:body><office:text>{"".join(out)}</office:text></office:body></office:document-content>'
-    manifest = f'{head}<manifest:manifest xmlns:manifest="{ODF}manifest:1.0"><manifest:file-entry manifest:full-path="/" manifest:media-type="{kind}"/><manifest:file-entry manifest:full-path="content.xml" manifest:media-type="text/xml"/></manifest:manifest>'
-    return _zip([("mimetype", kind), ("META-INF/manifest.xml", manifest), ("content.xml", content)], stored="mimetype")
+    manifest = f'{head}<manifest:manifest xmlns:manifest="{ODF}manifest:1.0"><manifest:file-entry manifest:full-path="/" manifest:media-type="{kind}"/><manifest:file-entry manifest:full-path="content.xml" manifest:media-type="text/xml"/><manifest:file-entry manifest:full-path="meta.xml" manifest:media-type="text/xml"/></manifest:manifest>'
+    meta = f'{head}<office:document-meta xmlns:office="{ODF}office:1.0" xmlns:dc="{DC}"><office:meta><dc:title>{escape(title or "")}</dc:title><dc:creator>{CREATOR}</dc:creator></office:meta></office:document-meta>'
+    return _zip([("mimetype", kind), ("META-INF/manifest.xml", manifest), ("content.xml", content), ("meta.xml", meta)], stored="mimetype")
 
 
-def rtf(blocks: list[dict]) -> bytes:
+def rtf(blocks: list[dict], title: str | None = None) -> bytes:
     def plain(text: str) -> str:
         out = []
         for c in text:
@@ -103,7 +107,8 @@ def rtf(blocks: list[dict]) -> bytes:
         return "".join(out)
 
     body = "".join(f"{{\\b {plain(x)}}}\\par\n" if b["kind"] == "heading" else f"{plain(x)}\\par\n" for b in blocks for x in _lines(b))
-    return f"{{\\rtf1\\ansi\\deff0{{\\fonttbl{{\\f0 Times;}}}}\n{body}}}".encode("ascii")
+    info = f"{{\\info{{\\title {plain(title or '')}}}{{\\author {CREATOR}}}}}"
+    return f"{{\\rtf1\\ansi\\deff0{{\\fonttbl{{\\f0 Times;}}}}\n{info}\n{body}}}".encode("ascii")
 
 
 WRITERS = {"docx": docx, "odt": odt, "rtf": rtf}

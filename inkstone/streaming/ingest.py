@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstone.functions import tables
+from inkstone.functions import text as T
 from inkstone.operators import chunking
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only a local master may do without spark.checkpoint.dir."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{found.rstrip('/') if found else tempfile.mkdtemp(prefix='spark-ingest-')}/ingest-{uuid.uuid4().hex}"
-
-
 def chunk_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 16) -> DataFrame:
     """New document files as a stream of chunks; per-row work, so no state is kept."""
     docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -27,7 +18,7 @@ def chunk_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
 
 def ingest_once(spark: SparkSession, path: str) -> DataFrame:
     """Runs the stream over all files there are and returns what it appended; exactly once by the sink's own log."""
-    out = work_dir(spark)
+    out = tables.work_dir(spark, "ingest")
     folder, _, name = path.rpartition("/")
     chunks = chunk_stream(spark, f"{folder}/[{name[0]}]{name[1:]}", spark.read.parquet(path).schema)  # a pattern may be a file or a folder
     query = chunks.writeStream.format("parquet").option("path", f"{out}/chunks").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
@@ -37,5 +28,4 @@ def ingest_once(spark: SparkSession, path: str) -> DataFrame:
 
 def append_postings(spark: SparkSession, chunks: DataFrame, path: str) -> None:
     """Appends a batch's postings to an index folder; corpus statistics are taken over the whole folder when searching."""
-    rows = chunks.select("doc_key", "ordinal", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    rows.groupBy("doc_key", "ordinal", "dl", "term").agg(F.count("*").alias("tf")).write.mode("append").parquet(path)
+    chunks.select("doc_key", "ordinal", F.size("terms").alias("dl"), F.inline(T.counted(F.col("terms")))).write.mode("append").parquet(path)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
-from inkstone.operators import bm25, chunking, context, grounding, history, render
+from inkstone.operators import bm25, chunking, context, grounding, history, render, service
 from inkstone.sources import blocks as B
 from inkstone.sources import discovery, formats, markdown, readers, writers
 
@@ -270,3 +270,159 @@ def test_atomic_write(tmp_path):
     writers.atomic_write(str(tmp_path / "f"), b"1")
     writers.atomic_write(str(tmp_path / "f"), b"2")
     assert (tmp_path / "f").read_bytes() == b"2" and [p.name for p in tmp_path.iterdir()] == ["f"]
+
+
+RUNS = "array<struct<kind: string, text: string, url: string>>"
+
+
+def block_table(spark, *blocks):
+    """Blocks of document 1 as the block table."""
+    defaults = dict.fromkeys(B.FIELDS)
+    rows = [(1, None, pos, *({**defaults, **b}[f] for f in B.FIELDS)) for pos, b in enumerate(blocks)]
+    return spark.createDataFrame(rows, f"doc_key bigint, error_code string, pos bigint, {B.BLOCK}")
+
+
+def named(spark, name="guide.txt"):
+    return spark.createDataFrame([(1, "abcdefgh12", name)], "doc_key long, digest string, display_name string")
+
+
+def said(text):
+    return [("text", text, None)]
+
+
+def test_block_chunks_keep_headings_and_pages(spark):
+    blocks = block_table(
+        spark,
+        {"kind": "heading", "level": 1, "runs": said("Introduction"), "page": 1},
+        {"kind": "paragraph", "runs": [("text", "It is a ", None), ("strong", "local-first", None), ("text", " assistant.", None)], "page": 1},
+        {"kind": "page_break", "page": 2},
+        {"kind": "paragraph", "runs": said("Privacy and security are mandatory.")},
+        {"kind": "unsupported", "description": "chart"},
+        {"kind": "list", "ordered": True, "items": [said("one"), said("two")]},
+        {"kind": "code", "language": "rust", "code_text": "fn main() {}"},
+        {"kind": "code", "code_text": "plain"},
+    )
+    got = chunking.chunk_blocks(blocks, named(spark)).orderBy("ordinal").collect()
+    assert [r.text for r in got] == ["# Introduction", "It is a local-first assistant.", "Privacy and security are mandatory.", "1. one\n2. two", "```rust\nfn main() {}\n```", "```\nplain\n```"]
+    assert [(r.ordinal, r.page) for r in got] == [(0, 1), (1, 1), (2, 2), (3, 2), (4, 2), (5, 2)]
+    assert {r.nearest_heading for r in got} == {"Introduction"} and got[4].terms == ["fn", "main"]
+    assert got[2].chunk_id == "abcdefgh:c2" and got[2].token_count == 9
+    label = chunking.citation_label(F.col("chunk_id"), F.col("display_name"), F.col("nearest_heading"), F.col("page"))
+    assert [r[0] for r in chunking.chunk_blocks(blocks, named(spark)).orderBy("ordinal").select(label).collect()][2] == '[source: abcdefgh:c2, "guide.txt", § Introduction, Page 2]'
+
+
+def test_oversized_blocks_are_cut(spark):
+    words = " ".join(f"w{i}" for i in range(100))
+    table = {"kind": "table", "headers": ["ID", "Name", "Description"], "rows": [[str(i), n, f"{n} record with detailed notes"] for i, n in enumerate(("Alpha", "Beta", "Gamma"))]}
+    got = chunking.chunk_blocks(block_table(spark, {"kind": "paragraph", "runs": said(words)}, table), named(spark), 15, 2).orderBy("ordinal").collect()
+    assert [r.ordinal for r in got] == list(range(len(got)))
+    cut = [r.text for r in got if r.pos == 1]
+    assert len(cut) >= 2 and all(t.startswith("ID | Name | Description\n") for t in cut)
+    assert len([r for r in got if r.pos == 0]) > 5
+
+
+@pytest.mark.parametrize("fmt", ["docx", "odt", "rtf"])
+def test_titles_and_authors_are_written_and_read(fmt):
+    found = readers.metadata(fmt, writers.WRITERS[fmt](BLOCKS, "Quarterly {Report} & Größe 😀"))
+    assert found == {"title": "Quarterly {Report} & Größe 😀", "author": writers.CREATOR}
+
+
+def test_dates_of_office_files():
+    core = '<cp:coreProperties xmlns:cp="c" xmlns:dc="d" xmlns:dcterms="t"><dc:title> T </dc:title><dcterms:created>2024-01-01</dcterms:created><dcterms:modified>2024-02-02</dcterms:modified></cp:coreProperties>'
+    data = writers._zip([("word/document.xml", "<a/>"), ("docProps/core.xml", core)])
+    assert readers.metadata("docx", data) == {"title": "T", "created": "2024-01-01", "modified": "2024-02-02"}
+    assert readers.metadata("txt", b"x") == {} and readers.metadata("docx", b"PK") == {}
+
+
+def odt_of(body):
+    return writers._zip([("content.xml", f'<o:c xmlns:o="o" xmlns:text="t"><o:body><o:text>{body}</o:text></o:body></o:c>')])
+
+
+def test_odd_files_are_errors_or_text_and_fail_no_job(spark):
+    deep = "<text:span>" * 3000 + "deep" + "</text:span>" * 3000
+    cases = {
+        1: ("odt", odt_of('<text:p>a<text:s text:c="abc"/>b</text:p>')),
+        2: ("odt", odt_of('<text:h text:outline-level="x">t</text:h>')),
+        3: ("odt", odt_of(f"<text:p>{deep}</text:p>")),
+        4: ("odt", odt_of('<text:p><text:s text:c="999999999"/></text:p>')),
+        5: ("docx", b"PK\x03\x04" + b"\0" * 40),
+        6: ("doc", bytes.fromhex("D0CF11E0A1B11AE1") + b"\xff" * 600),
+    }
+    rows = spark.createDataFrame([(k, f, bytearray(d)) for k, (f, d) in cases.items()], "doc_key long, format string, content binary")
+    got = {r.doc_key: r for r in B.read_blocks(rows).collect()}
+    assert got[1].runs[0].text == "a b" and got[2].level == 1 and got[3].runs[0].text == "deep"
+    assert got[4].error_code == "too_large" and got[5].error_code == "corrupted" and got[6].error_code == "corrupted"
+    assert B.read_metadata(rows).count() == 6
+
+
+def test_headings_are_listed(spark):
+    rows = B.read_blocks(spark.createDataFrame([(1, "md", bytearray(b"# A *b*\n\ntext\n\n## C\n"))], "doc_key long, format string, content binary"))
+    assert [(r.pos, r.level, r.title, r.line_start) for r in B.headings(rows).orderBy("pos").collect()] == [(0, 1, "A b", 1), (2, 2, "C", 5)]
+
+
+def test_system_prompt_layers(spark):
+    skills = F.array(F.struct(F.lit("Citing").alias("title"), F.lit("Cite.").alias("content")), F.struct(F.lit("Editing").alias("title"), F.lit("Edit.").alias("content")))
+    assert value(spark, context.system_prompt(F.lit("Policy."), skills, F.lit(" be brief \n"))) == "Policy.\n\n## Citing\nCite.\n\n## Editing\nEdit.\n\n## Client Preferences\nbe brief"
+    none = F.array().cast("array<struct<title: string, content: string>>")
+    assert value(spark, context.system_prompt(F.lit("Policy."), none, F.lit("  "))) == "Policy."
+
+
+def test_reading_order(spark):
+    taken = spark.createDataFrame([(1, 5, 1), (1, 4, 0), (1, 5, 0), (2, 4, 0)], "query_id long, doc_key long, ordinal long")
+    chunks = spark.createDataFrame([(5, 0, "aa"), (5, 1, "aa"), (4, 0, "bb")], "doc_key long, ordinal long, digest string")
+    got = {(r.query_id, r.doc_key, r.ordinal): r.read_at for r in context.reading_order(taken, chunks).collect()}
+    assert got == {(1, 5, 0): 1, (1, 5, 1): 2, (1, 4, 0): 3, (2, 4, 0): 1}
+
+
+@pytest.mark.parametrize(
+    ("body", "error"),
+    [
+        ('{"messages": [{"role": "user", "content": "hi"}], "temperature": 2, "top_p": 0.5, "max_tokens": 1, "stream": true, "stop": null}', None),
+        ("[]", "invalid_request"),
+        ("no json", "invalid_request"),
+        (None, "invalid_request"),
+        ('{"tools": []}', "unsupported_field"),
+        ('{"temperature": 2.1, "messages": []}', "invalid_parameter:temperature"),
+        ('{"temperature": "1"}', "invalid_parameter:temperature"),
+        ('{"top_p": -0.1}', "invalid_parameter:top_p"),
+        ('{"max_tokens": 0}', "invalid_parameter:max_tokens"),
+        ('{"max_tokens": 1.5}', "invalid_parameter:max_tokens"),
+        ("{}", "invalid_parameter:messages"),
+        ('{"messages": []}', "invalid_parameter:messages"),
+        ('{"messages": {}}', "invalid_parameter:messages"),
+        ('{"messages": [{"role": "user"}]}', "invalid_parameter:messages"),
+        ('{"messages": [{"role": "tool", "content": "x"}]}', "invalid_parameter:messages"),
+        ('{"messages": [{"role": "user", "content": 5}]}', "invalid_parameter:messages"),
+        ('{"messages": [5]}', "invalid_parameter:messages"),
+    ],
+)
+def test_chat_request_errors(spark, body, error):
+    assert value(spark, service.chat_request_error(F.lit(body).cast("string"))) == error
+
+
+def test_human_bytes(spark):
+    got = [value(spark, service.human_bytes(F.lit(n).cast("long"))) for n in (0, 1023, 1024, 1536, 5 << 20, 3 << 30, 2048 << 30)]
+    assert got == ["0 bytes", "1023 bytes", "1.0 KiB", "1.5 KiB", "5.0 MiB", "3.00 GiB", "2048.00 GiB"]
+
+
+def test_counted_terms(spark):
+    rows = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["x"] * 5)], "k long, t array<string>")
+    got = [(r.k, r.term, r.tf) for r in rows.select("k", F.inline(T.counted(F.col("t")))).collect()]
+    assert sorted(got) == [(1, "a", 1), (1, "b", 2), (4, "x", 5)]
+
+
+def test_committed_answers(spark):
+    rows = spark.createDataFrame([(1, "a", True, False), (2, "b", False, False), (3, "c", True, True)], "stream_id long, answer string, finished boolean, too_long boolean")
+    assert [r.stream_id for r in history.committed(rows).collect()] == [1]
+
+
+def test_answers_stream_over_batches_and_commit_when_finished(spark, tmp_path):
+    from inkstone.streaming import answers
+
+    schema = "stream_id long, seq long, line string"
+    data = lambda s: 'data: {"choices":[{"delta":{"content":"%s"}}]}' % s
+    batches = [[(1, 0, data("a")), (2, 0, data("x")), (3, 0, data("y" * 600_000))], [(1, 2, "data: [DONE]"), (1, 1, data("b")), (1, 3, data("late")), (2, 1, ": note"), (3, 1, data("y" * 600_000)), (3, 2, "data: [DONE]")]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/lines")
+    lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/lines")
+    assert [(r.stream_id, r.answer) for r in answers.committed_once(spark, lines).collect()] == [(1, "ab")]
