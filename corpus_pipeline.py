@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame that is written as Parquet and
 read again as the next stage's docs. All but the last return the columns of documents; the last returns packed pieces.
+
+Every stage reads whole texts of any length and takes a null text for an empty one, null ids and nulls in any other
+column, and further columns of any name, which pass through untouched but for the last stage. An empty table gives an
+empty table. What a stage does with ties and repeated rows stands with it.
 """
 
 from __future__ import annotations
@@ -14,27 +18,31 @@ from inkstone.llm.queries import END_ID, SEQUENCE_TOKENS, TOKENIZER
 
 
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised quality rules keep."""
+    """Documents that the weakly supervised quality rules keep; equal texts, repeated rows too, get the same verdict, and
+    texts without words go."""
     return quality_rules.keep_good(docs)
 
 
 def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps; equal texts get the same score, and a score of exactly the threshold
+    keeps. Without labelled rows every score is one half and all stay."""
     return quality_gam.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest doc_id."""
+    """Of equal texts (A-Z lower-cased), the document with the largest doc_id; null ids come last, one of repeated rows stays."""
     return exact_dedup.keep_one(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class, that with the smallest doc_id; a null id counts as smallest, one of
+    repeated rows stays, and texts without words are one class."""
     return near_dedup.keep_one(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents' token pieces, packed into sequences."""
+    """The kept documents' token pieces, packed into sequences; repeated rows are packed as often as they occur, and an
+    empty text is one piece that holds only the end mark."""
     return packing.pack(docs, TOKENIZER, SEQUENCE_TOKENS, END_ID)
 
 
