@@ -38,13 +38,27 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reads."""
+    files, path = _file_system(spark, name)
+    return files.exists(path)
+
+
+def delete(spark: SparkSession, name: str) -> None:
+    """Deletes a folder, in any store that Spark reads."""
+    files, path = _file_system(spark, name)
+    files.delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a settled table that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, name)
 
 
 def ascii_lower(text: Column) -> Column:

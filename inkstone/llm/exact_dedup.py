@@ -1,93 +1,127 @@
 """Exact deduplication against a persistent digest index, in DataFrame operations only.
 
-The index is a table bucketed and sorted by digest. A batch is first reduced to one row per digest, with partial
-aggregation in front of the shuffle, so copies of one text never meet in a single task. New digests are found by a
-sort-merge anti-join with the index and appended. A batch's rows get their verdict by a join on the digest whose index
-side is unique, which adaptive execution can split where one digest is hot.
-
-Defined results: a null text counts as empty; texts are equal when identical after lower-casing A-Z; of equal texts the
-row with the largest doc_id stays, a null doc_id counting as the smallest; of rows that repeat both, one stays; an empty
-table gives no rows; other columns play no part.
+The index is a folder of rows (digest, keep_id), bucketed and sorted by digest; any session opens it again by its path.
+New data comes in batches. A batch is first reduced to one row per digest, with partial aggregation in front of the
+shuffle, so copies of one text never meet in a single task. The digests that the index lacks are found by a sort-merge
+anti-join, which leaves the index where it lies, and are appended. Verdicts reach the rows by a join on the digest whose
+other side is unique, which adaptive execution can split where one digest is hot.
+
+A table without an earlier index is added in ranges of doc_id, the largest first, so that of equal texts the largest
+doc_id enters the index and all later ranges pass the anti-join.
+
+Defined results: a null text counts as empty, and texts of any length are read whole; texts are equal when identical
+after lower-casing A-Z; of equal texts the row with the largest doc_id stays, a null doc_id counting as the smallest; of
+rows that repeat both, one stays; what an earlier call has put into the index stays there and no row of a later call
+with that text is kept; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, new_path, settle
+from .common import ascii_lower, delete, discard, exists, new_path, settle
 
 #: Stands for a null doc_id in joins.
 NO_ID = -(2**63)
+#: Ranges of doc_id in which a table is added to an index.
+RANGES = 2
+ENTRY = "digest string, keep_id bigint"
 
 
 def digested(docs: DataFrame) -> DataFrame:
-    """doc_id, digest and number of the rows that share both."""
+    """doc_id, digest and a number of every row."""
     text = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.sha2(text, 256).alias("digest"))
-    return rows.groupBy("digest", "doc_id").agg(F.count("*").alias("copies"))
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    return docs.select(doc_id.alias("doc_id"), F.sha2(text, 256).alias("digest"), F.monotonically_increasing_id().alias("row"))
 
 
 class DigestIndex:
-    """A table (digest, keep_id, copies) bucketed and sorted by digest; batches append the digests that are new to it."""
-
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
-        self.spark = spark
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.path = new_path(spark, self.name)
-
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+    """The index at a path: entries bucketed and sorted by digest, and the number of buckets beside them."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path.rstrip("/")
+        if exists(spark, f"{self.path}/spec"):
+            buckets = spark.read.parquet(f"{self.path}/spec").first()["buckets"]
+        else:
+            buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{self.path}/spec")
+        self.buckets = buckets
+        self.table = "digest_index_" + hashlib.sha256(self.path.encode()).hexdigest()[:24]
+        if not spark.catalog.tableExists(self.table):  # a catalogue that doesn't know the folder yet
+            spark.sql(f"CREATE TABLE {self.table} ({ENTRY}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}/entries'")
 
     def read(self) -> DataFrame:
-        return self.spark.table(self.name)
+        """The entries, with their buckets known to the planner."""
+        return self.spark.table(self.table)
 
     def entries(self) -> DataFrame:
-        """The index as plain files: a join with it deals both sides out anew, so that a hot digest can be split."""
-        return self.spark.read.schema(self.read().schema).parquet(self.path)
-
-    def append(self, entries: DataFrame) -> None:
-        placed = entries.repartition(self.buckets, "digest") if self.exists() else entries
-        writer = placed.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
-        (writer.mode("append") if self.exists() else writer.option("path", self.path)).saveAsTable(self.name)
+        """The entries as plain files: a join with them deals both sides out anew, so that a hot digest can be split."""
+        return self.spark.read.schema(ENTRY).parquet(f"{self.path}/entries") if exists(self.spark, f"{self.path}/entries") else self.spark.createDataFrame([], ENTRY)
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Appends the batch's new digests; returns them. batch: the rows of digested()."""
-        seen = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("copies"))
-        if self.exists():
-            seen = settle(seen.join(self.read().select("digest").hint("merge"), "digest", "left_anti"), "new-digests")
-        self.append(seen)
-        return seen
+        """Appends the digests of batch (doc_id, digest, row) that are new; returns them: (digest, keep_id, keep_row)."""
+        top = batch.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("top")).select("digest", F.col("top.doc_id").alias("keep_id"), F.col("top.row").alias("keep_row"))
+        new = settle(top.join(self.read().select("digest").hint("merge"), "digest", "left_anti"), "new-digests")
+        placed = new.select("digest", "keep_id").repartition(self.buckets, "digest")
+        placed.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").option("path", f"{self.path}/entries").saveAsTable(self.table)
+        return new
+
+    def drop(self) -> None:
+        """Removes the index, its table and its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        delete(self.spark, self.path)
+
+
+def _ranges(rows: DataFrame, n: int) -> list[DataFrame]:
+    """rows in n ranges of doc_id, the largest first; null ids are in the last."""
+    low, high = rows.where(F.col("doc_id") != NO_ID).agg(F.min("doc_id"), F.max("doc_id")).first()
+    if low is None or low == high or n < 2:
+        return [rows]
+    bounds = sorted({low + (high - low) * k // n for k in range(1, n)}, reverse=True)
+    above = [None, *bounds]
+    return [rows.where((F.col("doc_id") >= lo if lo is not None else F.lit(True)) & (F.col("doc_id") < hi if hi is not None else F.lit(True))) for hi, lo in zip(above, [*bounds, None], strict=True)]
+
+
+def added(docs: DataFrame, index: DigestIndex | None = None, ranges: int = RANGES) -> tuple[DataFrame, DataFrame]:
+    """Adds docs to the index. Gives the rows (doc_id, digest, row) and a verdict for each digest of theirs: (digest,
+    keep_id, keep_row, group_size); keep_row is null where an earlier call has the text. Without an index a new one
+    serves this call alone."""
+    own = index is None
+    index = index or DigestIndex(docs.sparkSession, new_path(docs.sparkSession, "digest-index"))
+    rows = settle(digested(docs), "digests")
+    new = [index.add(part) for part in _ranges(rows, ranges)]
+    entered = new[0]
+    for part in new[1:]:
+        entered = entered.unionByName(part)
+    sizes = rows.groupBy("digest").agg(F.count("*").alias("group_size"))
+    verdict = sizes.join(index.entries(), "digest").join(entered.select("digest", "keep_row"), "digest", "left")
+    verdict = settle(verdict.select("digest", "keep_id", "keep_row", "group_size"), "verdicts")
+    for part in new:
+        discard(part)
+    if own:
+        index.drop()
+    return rows, verdict
 
 
 def resolve(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """A row per row of docs: doc_id, keep_id, group_size, kept, text_sha256. An index of earlier batches keeps what it has."""
-    index = index or DigestIndex(docs.sparkSession)
-    rows = settle(digested(docs), "digests")
-    known = index.exists()
-    new = index.add(rows)
-    verdict = index.entries() if not known else index.entries().withColumn("earlier", F.lit(True)).join(new.select("digest", F.lit(True).alias("fresh")), "digest", "left")
-    kept = (F.col("doc_id") == F.col("keep_id")) & (F.col("copy") == 1)
-    if known:  # a digest of an earlier batch has its row already
-        kept &= F.coalesce(F.col("fresh"), F.lit(False))
-    each = rows.join(verdict.withColumnRenamed("copies", "group_size"), "digest")
-    each = each.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    """A row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+    rows, verdict = added(docs, index)
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return each.select(real("doc_id"), real("keep_id"), "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
+    kept = F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept")
+    return rows.join(verdict, "digest").select(real("doc_id"), real("keep_id"), "group_size", kept, F.col("digest").alias("text_sha256"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text another row holds; all columns as they were."""
+def keep_one(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """docs without the rows whose text another row, or an earlier entry of the index, holds; all columns as they were."""
     names = docs.columns
-    rows = digested(docs)
-    keep = rows.groupBy("digest").agg(F.max("doc_id").alias("__keep_id"))
+    rows, verdict = added(docs, index)
+    keep = verdict.where("keep_row IS NOT NULL").select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__id"))
     text = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     marked = docs.withColumns({"__digest": F.sha2(text, 256), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))})
-    held = marked.join(keep.withColumnRenamed("digest", "__digest").withColumnRenamed("__keep_id", "__id"), ["__digest", "__id"])
-    return held.dropDuplicates(["__digest", "__id"]).select(*names)
+    return marked.join(keep, ["__digest", "__id"]).dropDuplicates(["__digest", "__id"]).select(*names)
 
 
 ORACLE_SQL = """
