@@ -26,7 +26,7 @@ their own, so a large group of them that aren't linked makes few pairs.
 All of it is joins and aggregates; no group is gathered in a task, and the side of a join that holds leaders, verdicts
 or labels is unique by key, so adaptive execution can split a hot one.
 
-Defined results: words are runs of letters, digits and underscores, lower-cased. A text of one to four words has one
+Defined results: texts of any length are read whole; words are runs of letters, digits and underscores, lower-cased. A text of one to four words has one
 shingle, so it is similar only to the same words. Texts without a word (null and empty too) are copies of one another.
 A class is named by its smallest doc_id, a null doc_id counting as smallest, and that document stays; of repeated rows
 one stays. An empty table gives no rows; other columns play no part.
@@ -242,7 +242,7 @@ def _ranked(rest: DataFrame, sets: DataFrame, similarity: float, rare: int) -> D
     return found
 
 
-def _across(rest: DataFrame, sets: DataFrame, similarity: float, rare: int = RARE) -> DataFrame:
+def _across(rest: DataFrame, sets: DataFrame, similarity: float, rare: int) -> DataFrame:
     """The pairs (a, b, root_a, root_b) of nodes of two classes that may be similar."""
     ranked = _ranked(rest, sets, similarity, rare)
     one = ranked.select("node", "root", "n", F.explode("first").alias("shingle"))
@@ -271,7 +271,7 @@ def _partners(similarity: float) -> Column:
     return near & (least >= similarity * most - SLACK) & (F.least("shared", "shared_a") >= common - SLACK)
 
 
-def labels(nodes: DataFrame, identified: DataFrame, similarity: float = SIMILARITY, leaders: int = LEADERS) -> DataFrame:
+def labels(nodes: DataFrame, identified: DataFrame, similarity: float = SIMILARITY, leaders: int = LEADERS, rare: int = RARE) -> DataFrame:
     """(node, root) of every node that shares a bucket; nodes: (node, doc_id, text_hash, bands)."""
     first = settle(_open(nodes.select(F.explode("bands").alias("bucket"), "node", F.col("node").alias("root"))), "buckets")
     busy = nodes.join(first.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
@@ -291,9 +291,9 @@ def labels(nodes: DataFrame, identified: DataFrame, similarity: float = SIMILARI
             pairs = rest.join(outer, "bucket").where(F.col("root") != F.col("root_a")).where(_partners(similarity))
             pairs = pairs.select(F.col("node_a").alias("a"), F.col("node").alias("b"), "root_a", F.col("root").alias("root_b")).distinct()
         else:
-            pairs = _across(rest, sets, similarity)
+            pairs = _across(rest, sets, similarity, rare)
         seen = settle(_similarities(pairs, sets), "similarities")
-        if turn == 0:
+        if turn == 0 and leaders:
             away = F.when(F.col("node") == F.col("a"), 0.0).otherwise(1 - F.col("similarity"))
             known = rest.drop("away").join(outer.select("bucket", F.col("node_a").alias("a")), "bucket").join(seen.select("a", F.col("b").alias("node"), "similarity"), ["a", "node"], "left")
             placed = settle(known.withColumn("away", away).select(rest.columns), "buckets")
@@ -340,7 +340,7 @@ class Classes(NamedTuple):
     of: DataFrame
 
 
-def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY) -> Classes:
+def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY, leaders: int = LEADERS, rare: int = RARE) -> Classes:
     """The near-duplicate classes of docs."""
     identified = _identified(docs)
     numbered = identified.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "text_hash", "row", "text")
@@ -348,7 +348,7 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: f
     least = F.min(F.struct("doc_id", "text_hash", "row")).alias("least")
     nodes = signed.groupBy("words_key").agg(least, F.first("bands").alias("bands"), F.count("*").alias("copies"))
     nodes = settle(nodes.select(F.monotonically_increasing_id().alias("node"), "words_key", "least.*", "copies", "bands"), "nodes")
-    found = nodes.drop("bands").join(labels(nodes, identified, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = nodes.drop("bands").join(labels(nodes, identified, similarity, leaders, rare), "node", "left").withColumn("root", F.coalesce("root", "node"))
     found = settle(found, "labelled")
     rep = settle(found.groupBy("root").agg(least, F.sum("copies").alias("class_size")).select("root", F.col("least.doc_id").alias("rep_id"), F.col("least.text_hash").alias("rep_hash"), F.col("least.row").alias("rep_row"), "class_size"), "representatives")
     of = settle(found.select("root", "words_key").join(rep, "root").select("words_key", "rep_id", "rep_hash", "rep_row", "class_size"), "classes")

@@ -86,6 +86,40 @@ def test_packing_over_several_levels(spark):
     assert got["sequence_id"].nunique() <= 1.06 * alone  # groups of forty pieces can't reach what one group does
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 40), min_size=2, max_size=24), st.integers(40, 60))
+def test_the_search_ends_only_where_no_step_helps(sizes, capacity):
+    lengths = np.array(sizes)
+    bins = packing.improve(lengths, packing.best_fit(lengths, capacity), capacity)
+    fill = np.bincount(bins, weights=lengths).astype(int)
+    assert fill.max() <= capacity and fill.sum() == lengths.sum()
+    open_bins = [b for b in range(len(fill)) if 0 < fill[b] < capacity]
+    for source in sorted(open_bins, key=lambda b: fill[b])[:1]:
+        mine = np.flatnonzero(bins == source)
+        gives = [(i,) for i in mine] + [(i, j) for i in mine for j in mine if i < j]
+        for t in open_bins:
+            if t == source or fill[t] < fill[source]:
+                continue
+            theirs = np.flatnonzero(bins == t)
+            takes = [()] + [(i,) for i in theirs] + [(i, j) for i in theirs for j in theirs if i < j]
+            for give in gives:
+                for take in takes:
+                    if len(give) + len(take) > 3 or (len(give) == 2 and not take):
+                        continue
+                    gain = lengths[list(give)].sum() - (lengths[list(take)].sum() if take else 0)
+                    assert not 0 < gain <= capacity - fill[t]
+
+
+def test_rows_without_doc_id_are_dealt_evenly(spark):
+    rows = spark.createDataFrame([(None, "word " * (5 + 37 * i % 90)) for i in range(3000)], "doc_id long, text string").repartition(4)
+    numbered = packing.pieces(rows, PATH, 512, 0).withColumn("row", F.monotonically_increasing_id())
+    groups = numbered.groupBy(F.pmod(F.xxhash64("row", F.lit(0)), F.lit(10)).alias("grp")).count().collect()
+    assert len(groups) == 10 and max(r["count"] for r in groups) < 400
+    got = packing.pack(rows, PATH, 512, 0, group_pieces=300).toPandas()
+    fill = got.groupby("sequence_id")["length"].sum()
+    assert len(got) == 3000 and fill.max() <= 512 and len(fill) <= 1.02 * got["length"].sum() / 512 + 1
+
+
 # 2 BPE
 
 
@@ -142,9 +176,25 @@ def test_chain_feeds_earlier_probabilities_to_later_links():
     first = rng.random(n) < 0.4
     docs = [np.array(sorted({*rng.integers(100, 200, 5).tolist(), *([7] if f else [])})) for f in first]
     labels = {c: first if c in ("insult", toxicity_chain.OVERALL) else np.zeros(n, bool) for c in toxicity_chain.CHAIN}
-    chain = toxicity_chain.fit_chain(docs, np.zeros((n, 4)), labels)
-    assert [len(link.dense) for link in chain] == [4, 5, 6, 7, 8]
-    assert 7 in chain[2].words and chain[-1].dense[6] > 0
+    chain = toxicity_chain.fit_chain(docs, labels)
+    assert [link.feeds for link in chain] == [False, False, True, False, True]  # categories that no row shows feed nothing
+    assert [len(link.dense) for link in chain] == [0, 0, 0, 1, 1]
+    assert 7 in chain[2].words and chain[-1].dense[0] > 0
+
+
+def test_toxicity_query_equals_a_plain_chain(spark, sf_dir, docs):
+    chain = toxicity_chain.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    got = {r.doc_id: r for r in queries.op3_toxicity_chain(spark, sf_dir).collect()}
+    for doc_id, text in zip(docs["doc_id"], docs["text"], strict=True):
+        words = {toxicity_chain.bucket(w) for w in re.findall(r"\w+", (text or "").lower())}
+        logits = []
+        for name, link in zip([f"p_{c}" for c in toxicity_chain.LEXICON] + ["score"], chain, strict=True):
+            f = link.intercept + sum(link.words.get(w, 0.0) for w in words) + sum(a * b for a, b in zip(link.dense, logits, strict=True))
+            p = 1 / (1 + np.exp(-np.clip(f, -40, 40)))
+            assert got[doc_id][name] == pytest.approx(p, abs=1e-9)
+            q = min(max(p, 1e-4), 1 - 1e-4)
+            logits += [np.log(q / (1 - q))] if link.feeds else []
+        assert got[doc_id].predicted == int(got[doc_id].score >= 0.3)
 
 
 def test_toxicity_learns_words_beyond_ten_thousand_rows(spark):
@@ -216,6 +266,44 @@ def test_bounds_let_pairs_of_exactly_four_fifths_pass(spark):
     assert pairs.where(near_dedup._partners(0.8)).count() == len(sizes)
 
 
+@pytest.mark.parametrize(("leaders", "rare"), [(0, 1), (0, 4), (1, 32), (3, 32)])
+def test_near_dedup_of_edits_that_mostly_are_not_linked(spark, leaders, rare):
+    """The last comparison finds every link, whether rare shingles or common ones show it."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in rng.integers(0, 500, 140)]
+    texts = {}
+    for i in range(160):
+        words = list(base)
+        for at in rng.choice(140, rng.integers(1, 9), replace=False):
+            words[at] = f"x{rng.integers(0, 6)}" if i % 2 else f"y{rng.integers(0, 10_000)}"
+        texts[i] = " ".join(words)
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in texts:
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = near_dedup.classes(frame, leaders=leaders, rare=rare)
+    got = {r.doc_id: r.rep_id for r in found.rows.join(found.of, "words_key").collect()}
+    assert got == {i: find(i) for i in texts} and 10 < len(set(got.values())) < 160
+
+
+def test_near_dedup_of_a_hundred_thousand_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    near = spark.createDataFrame([(7, text + " w60 w61"), (8, "something else is said in this text")], "doc_id long, text string")
+    got = near_dedup.resolve(rows.union(near).repartition(8)).groupBy("class_id", "class_size", "kept").count().collect()
+    assert sorted((r.class_size, r.kept, r["count"]) for r in got) == [(1, True, 1), (100_001, False, 100_000), (100_001, True, 1)]
+
+
 def test_near_dedup_links_appended_texts_of_exactly_four_fifths(spark):
     texts = {}
     for m in (7, 13, 14, 15, 26, 28, 30):
@@ -341,13 +429,38 @@ def test_exact_dedup_query(spark, sf_dir, docs):
             assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (max(members), len(members), doc_id == max(members), hashlib.sha256(text.encode()).hexdigest())
 
 
-def test_index_persists_over_batches(spark):
-    index = exact_dedup.DigestIndex(spark)
-    frame = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
-    exact_dedup.resolve(frame((1, "A"), (2, "b")), index).collect()
-    second = exact_dedup.resolve(frame((5, "a"), (6, "c"), (7, "C")), index)
+def test_index_persists_over_batches_and_sessions(spark, tmp_path):
+    frame = lambda session, *rows: session.createDataFrame(list(rows), "doc_id long, text string")
+    path = f"file://{tmp_path}/index"
+    first = exact_dedup.DigestIndex(spark, path, buckets=3)
+    exact_dedup.resolve(frame(spark, (1, "A"), (2, "b")), first).collect()
+    spark.sql(f"DROP TABLE {first.table}")  # as in a session whose catalogue doesn't know it
+    other = spark.newSession()
+    index = exact_dedup.DigestIndex(other, path)
+    assert index.buckets == 3
+    second = exact_dedup.resolve(frame(other, (5, "a"), (6, "c"), (7, "C")), index)
     assert {r.doc_id: (r.keep_id, r.kept) for r in second.collect()} == {5: (1, False), 6: (7, False), 7: (7, True)}
-    assert index.read().count() == 3
+    assert [r.doc_id for r in exact_dedup.keep_one(frame(other, (8, "B"), (9, "d")), index).collect()] == [9]
+    assert index.read().count() == 4
+    index.drop()
+    assert not (tmp_path / "index").exists()
+
+
+def test_new_digests_come_from_an_anti_join_that_leaves_the_index_in_place(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", buckets=4)
+    rows = exact_dedup.digested(spark.range(50).selectExpr("id AS doc_id", "CAST(id % 20 AS string) AS text"))
+    index.add(rows)
+    top = rows.groupBy("digest").agg(F.max("doc_id"))
+    plan = top.join(index.read().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Bucketed: true" in plan
+    assert index.add(rows).count() == 0 and index.read().count() == 20
+    index.drop()
+
+
+def test_exact_dedup_in_more_ranges_gives_the_same(spark, docs):
+    frame = spark.createDataFrame(docs[["doc_id", "text"]])
+    one, many = (sorted(v.select("digest", "keep_id", "group_size").collect()) for v in (exact_dedup.added(frame, ranges=n)[1] for n in (1, 5)))
+    assert one == many
 
 
 # 7 rules
@@ -456,6 +569,50 @@ def test_selected_text_outside_the_scope_stays():
     assert html_main_text.main_text(around) == " ".join(["Title", *para])
 
 
+PARA = [f"Paragraph {i} tells of many things, and it is long enough to be read; so it goes on." for i in range(12)]
+
+
+def tagged(some):
+    return "".join(f"<p>{p}</p>" for p in some)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # no article element: only the ratios tell what is content
+        (f"<body><div><a href=/>Home</a> <a href=/x>News</a></div><div>Buy shoes now</div><div><h2>Title</h2>{tagged(PARA)}</div><div>Call us</div></body>", ["Title", *PARA]),
+        (f"<body><table><tr><td>Shop</td><td><div>{'<br><br>'.join(PARA)}</div></td></tr></table></body>", PARA),
+        # reader comments without a class of theirs
+        (f"<body><div>{tagged(PARA)}</div><div><h3>3 Comments</h3><div><p>{PARA[1]}</p></div></div></body>", PARA),
+        (f"<article>{tagged(PARA)}<div><p>Posted by reader: Tom</p><p>{PARA[2]}</p></div></article>", PARA),
+        # attributes whose values only look like marks
+        (f"<article><p title='the hidden cave'>{PARA[0]}</p><p data-x='comments'>{PARA[1]}</p><section class='related-work'>{tagged(PARA[2:5])}</section><p id=notice>{PARA[5]}</p></article>", PARA[:6]),
+        (f"<article>{tagged(PARA)}<p hidden>{PARA[0]}</p><p style='display: none'>{PARA[0]}</p><p aria-hidden=true>{PARA[0]}</p></article>", PARA),
+    ],
+)
+def test_main_text_without_telling_marks(page, text):
+    assert html_main_text.main_text(page) == " ".join(text)
+
+
+def test_the_ratios_decide_what_is_output(monkeypatch, sf_dir):
+    pages = [h for (h,) in duckdb.sql(f"SELECT html FROM '{sf_dir}/pages.parquet'").fetchall()]
+    before = [html_main_text.main_text(h) for h in pages]
+    monkeypatch.setattr(html_main_text, "selected", lambda nodes: np.ones(len(nodes), bool))
+    assert all(a != b for a, b in zip(before, map(html_main_text.main_text, pages), strict=True))
+
+
+@pytest.mark.parametrize("page", ["<div>x<p>y</p>", "<b>x<i>y", "<ul><li>x", "<table><tr><td>x"])
+def test_deep_pages_are_read_in_linear_time(page):
+    import time
+
+    took = []
+    for n in (4_000, 32_000):
+        began = time.process_time()
+        html_main_text.main_text(page * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0] + 1
+
+
 def test_html_query_equals_the_articles(spark, sf_dir):
     import html
 
