@@ -1,13 +1,17 @@
 """Best-fit packing of token sequences, improved by a swap-based local search.
 
-Documents are tokenized, cut into pieces of at most ``capacity`` tokens and dealt by hash into groups of a bounded
-number of pieces. Each group is packed best-fit decreasing; then the emptiest bin gives its pieces away to fuller bins
-by moves, one-for-one exchanges, one-for-two and two-for-one exchanges, each of which raises the sum of squared fills,
-until the bin is empty or nothing helps. Bins that are exactly full are closed. Only the pieces of the few bins that
-stay open meet again, dealt into fewer groups, level by level, so no task ever holds more than a group.
-
-Defined results: a null text counts as empty and makes one piece that holds only the end mark; repeated rows are packed
-as separate pieces; an empty table gives no rows; other columns of the input are not read.
+Documents are tokenized, cut into pieces of at most ``capacity`` tokens and dealt by a hash of the row's number into
+groups; so a group has about ``group_pieces`` pieces whatever ids the rows carry (the sizes are binomial, a group of
+twice the mean doesn't occur). Each group is packed best-fit decreasing; then the emptiest bin gives its pieces away to
+fuller bins by moves, one-for-one, one-for-two and two-for-one exchanges, each of which raises the sum of squared fills,
+until the bin is empty or none helps. Every piece and every pair of pieces of every bin is considered: only lengths
+matter, and the distinct lengths of a bin are few because they must add up to no more than its capacity. Bins that are
+exactly full are closed. The pieces of bins that stay open meet again, dealt anew, level by level, until one group holds
+them all or a level saves under one sequence in a thousand.
+
+Defined results: a null text counts as empty and makes one piece that holds only the end mark; texts of any length are
+encoded whole; of pieces of one length any order is as good, and the one by doc_id, piece and start is taken; repeated
+rows are packed as separate pieces; an empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -26,9 +30,11 @@ from pyspark.sql import functions as F
 from .common import settle
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-PACKED = f"{PIECES}, sequence_id bigint, offset bigint, is_open boolean"
-#: The most pieces that one task packs together.
+PACKED = f"{PIECES}, row bigint, sequence_id bigint, offset bigint, is_open boolean"
+#: About how many pieces one task packs together.
 GROUP_PIECES = 4096
+#: The share of the open sequences that a level must save for another to follow.
+LEAST_SAVED = 0.001
 
 
 @lru_cache(maxsize=2)
@@ -129,71 +135,66 @@ def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
         gain = int(lengths[give].sum() - lengths[take].sum())
         fill[target] += gain
         fill[source] -= gain
-        stuck[source] = False
+
+
+def _pairs(lengths: np.ndarray, bins: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each bin and each two lengths that it holds, two pieces of them. The pieces are sorted by bin and length."""
+    starts = np.ones(len(pieces), bool)
+    starts[1:] = (bins[pieces][1:] != bins[pieces][:-1]) | (lengths[pieces][1:] != lengths[pieces][:-1])
+    nth = np.arange(len(pieces)) - np.flatnonzero(starts)[np.cumsum(starts) - 1]
+    pieces = pieces[nth < 2]  # two of a length suffice
+    at = bins[pieces]
+    begin = np.concatenate([[True], at[1:] != at[:-1]])
+    size = np.diff(np.append(np.flatnonzero(begin), len(pieces)))
+    later = np.repeat(size, size) - (np.arange(len(pieces)) - np.repeat(np.flatnonzero(begin), size)) - 1
+    one = np.repeat(np.arange(len(pieces)), later)
+    two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(later) - later, later)
+    return pieces[one], pieces[two]
 
 
 def _step(lengths, bins, fill, capacity, mine, others):
     """(pieces given, pieces taken, target bin) of the step that raises squared fill most, the simplest kind first."""
-    room = capacity - fill
     if not len(others):
         return None
-    at = bins[others]
-    targets = np.unique(at)
-    # A move of a whole piece into free room.
-    best = None
-    for i in mine:
-        fits = targets[room[targets] >= lengths[i]]
-        if len(fits):
-            t = fits[np.argmin(room[fits])]
-            if best is None or lengths[i] > lengths[best[0][0]]:
-                best = (np.array([i]), np.array([], np.int64), t)
-    if best:
-        return best
-
-    def pick(give: np.ndarray, size: int, taken: np.ndarray, where: np.ndarray):
-        """Of exchanges with pieces of these sizes in these bins, the one that fills most."""
-        gain = size - taken
-        ok = (gain > 0) & (gain <= room[where])
-        if not ok.any():
+    source = fill[bins[mine[0]]]
+    none = np.empty(0, np.int64)
+
+    def best(give: np.ndarray, taken: np.ndarray, where: np.ndarray) -> tuple[int, int, int] | None:
+        """(value, which size is given, which of taken) of the best exchange; give is sorted, taken are sizes in bins where."""
+        if not len(give) or not len(taken):
             return None
-        value = np.where(ok, gain * (fill[where] - fill[bins[give[0]]] + gain), -1)
-        k = int(np.argmax(value))
-        return int(value[k]), k
-
-    found = None
-    single = lengths[others]
-    for i in mine:
-        got = pick(np.array([i]), int(lengths[i]), single, at)
-        if got and (found is None or got[0] > found[0]):
-            found = (got[0], np.array([i]), others[[got[1]]], at[got[1]])
-    if found:
-        return found[1:]
-    order = np.argsort(at, kind="stable")
-    o, b = others[order], at[order]
-    for gap in range(1, 8):  # two pieces that stand next or near each other in a target bin, for one of mine
-        if gap >= len(o):
-            break
-        same = np.flatnonzero(b[gap:] == b[:-gap])
-        if not len(same):
-            break
-        two = lengths[o[same]] + lengths[o[same + gap]]
-        for i in mine:
-            got = pick(np.array([i]), int(lengths[i]), two, b[same])
-            if got and (found is None or got[0] > found[0]):
-                k = same[got[1]]
-                found = (got[0], np.array([i]), o[[k, k + gap]], b[k])
-    for x in range(min(len(mine), 12)):  # two of mine for one
-        for y in range(x):
-            give = mine[[x, y]]
-            got = pick(give, int(lengths[give].sum()), single, at)
-            if got and (found is None or got[0] > found[0]):
-                found = (got[0], give, others[[got[1]]], at[got[1]])
-    return found[1:] if found else None
+        k = np.searchsorted(give, taken + capacity - fill[where], "right") - 1
+        gain = np.where(k >= 0, give[k] - taken, 0)
+        value = np.where(gain > 0, gain * (fill[where] - source + gain), 0)
+        top = int(np.argmax(value))
+        return (int(value[top]), int(k[top]), top) if value[top] > 0 else None
+
+    sizes, of = np.unique(lengths[mine], return_index=True)
+    targets = np.unique(bins[others])
+    if found := best(sizes, np.zeros(len(targets), np.int64), targets):
+        return mine[[of[found[1]]]], none, targets[found[2]]
+    _, once = np.unique(bins[others] * np.int64(capacity + 1) + lengths[others], return_index=True)
+    single = others[once]
+    if found := best(sizes, lengths[single], bins[single]):
+        return mine[[of[found[1]]]], single[[found[2]]], bins[single[found[2]]]
+    order = others[np.lexsort((lengths[others], bins[others]))]
+    one, two = _pairs(lengths, bins, order)
+    for_two = best(sizes, lengths[one] + lengths[two], bins[one])
+    x, y = _pairs(lengths, bins, mine[np.argsort(lengths[mine], kind="stable")])
+    sums, of_two = np.unique(lengths[x] + lengths[y], return_index=True)
+    two_for = best(sums, lengths[single], bins[single])
+    if for_two and (two_for is None or for_two[0] >= two_for[0]):
+        k = for_two[2]
+        return mine[[of[for_two[1]]]], np.array([one[k], two[k]]), bins[one[k]]
+    if two_for:
+        k = of_two[two_for[1]]
+        return np.array([x[k], y[k]]), single[[two_for[2]]], bins[single[two_for[2]]]
+    return None
 
 
 def pack_group(frame: pd.DataFrame, capacity: int, first_id: int) -> pd.DataFrame:
     """Packs the pieces of one group; sequence ids count up from first_id."""
-    frame = frame.sort_values(["length", "doc_id", "piece", "start"], kind="stable").reset_index(drop=True)
+    frame = frame.sort_values(["length", "doc_id", "piece", "start", "row"], kind="stable").reset_index(drop=True)
     lengths = frame["length"].to_numpy(np.int64)
     bins = improve(lengths, best_fit(lengths, capacity), capacity)
     _, bins = np.unique(bins, return_inverse=True)
@@ -201,7 +202,7 @@ def pack_group(frame: pd.DataFrame, capacity: int, first_id: int) -> pd.DataFram
     frame, bins, lengths = frame.iloc[order], bins[order], lengths[order]
     ends = np.cumsum(lengths)
     fill = np.bincount(bins, weights=lengths).astype(np.int64)
-    frame = frame[["doc_id", "piece", "start", "length", "ids_crc32"]].copy()
+    frame = frame[["doc_id", "piece", "start", "length", "ids_crc32", "row"]].copy()
     frame["sequence_id"] = first_id + bins
     frame["offset"] = ends - lengths - (np.cumsum(fill) - fill)[bins]
     frame["is_open"] = fill[bins] < capacity
@@ -217,21 +218,24 @@ def _packer(capacity: int, first: int):
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """A row for each piece with its sequence and its place there. Lays intermediate tables in the shared folder."""
-    level, rest, done = 0, settle(pieces(docs, tokenizer, capacity, end_id), "pieces"), []
+    numbered = pieces(docs, tokenizer, capacity, end_id).withColumn("row", F.monotonically_increasing_id())
+    level, rest, n, held, done = 0, settle(numbered, "pieces"), None, None, []
     while True:
-        n = rest.count()
+        n = rest.count() if n is None else n
         groups = max(1, -(-n // group_pieces))
-
-        first = level << 54
-        dealt = rest.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(groups)))
-        packed = settle(dealt.groupBy("grp").applyInPandas(_packer(capacity, first), PACKED), "packed")
-        still = packed.where("is_open").drop("sequence_id", "offset", "is_open")
-        if groups == 1 or level >= 30 or still.count() > 0.9 * n:
+        dealt = rest.select(*numbered.columns).withColumn("grp", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(groups)))
+        packed = settle(dealt.groupBy("grp").applyInPandas(_packer(capacity, level << 54), PACKED), "packed")
+        first = (F.col("offset") == 0).cast("long")  # a sequence has one piece there
+        count = packed.agg(F.sum(first).alias("sequences"), F.sum(F.col("is_open").cast("long")).alias("pieces"), F.sum(F.when(F.col("is_open"), first)).alias("held")).first()
+        if held is not None and (count["sequences"] or 0) > held * (1 - LEAST_SAVED):
+            done.append(packed if count["sequences"] <= held else rest)
+            break
+        if groups == 1 or not count["pieces"]:
             done.append(packed)
             break
         done.append(packed.where("not is_open"))
-        level, rest = level + 1, still
+        level, rest, n, held = level + 1, packed.where("is_open"), count["pieces"], count["held"]
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.drop("is_open")
+    return out.drop("is_open", "row")
