@@ -178,6 +178,17 @@ SQL = {
               UNION ALL SELECT r.doc_key, r.ordinal, r.cost, CASE WHEN held + r.cost > {BATCH} THEN batch + 1 ELSE batch END, CASE WHEN held + r.cost > {BATCH} THEN r.cost ELSE held + r.cost END
               FROM b JOIN r ON r.doc_key = b.doc_key AND r.ordinal = b.ordinal + 1)
         SELECT doc_key, ordinal, cost, batch FROM b""",
+    "select_retrieval": f"""WITH RECURSIVE m AS ({_MANY}), c AS (SELECT doc_key, ordinal, chunk_id, digest, {S.COST} AS cost FROM ({S.chunks()})),
+        k AS (SELECT query_id, doc_key, ordinal, chunk_id, cost, beside, row_number() OVER (PARTITION BY query_id ORDER BY rank, beside, ordinal) AS i
+              FROM (SELECT query_id, rank, doc_key, unnest([ordinal - 1, ordinal, ordinal + 1]) AS ordinal, unnest([true, false, true]) AS beside FROM m) JOIN c USING (doc_key, ordinal)),
+        s AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS taken, CAST(0 AS BIGINT) AS used, false AS stop, false AS active FROM k
+              UNION ALL
+              SELECT query_id, i, CASE WHEN add THEN list_append(taken, doc_key || ' ' || ordinal) ELSE taken END, CASE WHEN add THEN used + cost ELSE used END, stop, CASE WHEN beside THEN active ELSE add END
+              FROM (SELECT *, NOT stop AND NOT seen AND used + cost <= {SELECT_BUDGET} AND (active OR NOT beside) AS add
+                    FROM (SELECT k.*, taken, used, active, list_contains(taken, k.doc_key || ' ' || k.ordinal) AS seen, stop OR (NOT beside AND NOT list_contains(taken, k.doc_key || ' ' || k.ordinal) AND used + cost > {SELECT_BUDGET}) AS stop
+                          FROM s JOIN k ON k.query_id = s.query_id AND k.i = s.i + 1))),
+        t AS (SELECT query_id, unnest(taken) AS key FROM (SELECT query_id, arg_max(taken, i) AS taken FROM s GROUP BY query_id))
+        SELECT query_id, doc_key, ordinal, chunk_id, cost, row_number() OVER (PARTITION BY query_id ORDER BY digest, ordinal, doc_key) AS read_at FROM t JOIN c ON key = doc_key || ' ' || ordinal""",
     "assemble_prompt": f"""{_C}, t AS (SELECT conv_id AS request_id, text AS query, greatest(0, 2048 - 512 - {SYSTEM_TOKENS} - {S.tokens('text')} - 50) AS room FROM conversations WHERE turn = 0),
         o AS (SELECT *, sum(cost) OVER w AS run, row_number() OVER w AS n FROM (SELECT request_id, room, ordinal, {S.LABEL} AS label, c.text, {S.COST} AS cost FROM t JOIN c ON doc_key = request_id) WINDOW w AS (PARTITION BY request_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING)),
         k AS (SELECT request_id, count(*) AS n, string_agg(label || chr(10) || {_ESCAPED.format('text')} || chr(10) || chr(10), '' ORDER BY ordinal) AS parts FROM o WHERE run <= room OR n = 1 GROUP BY request_id),
