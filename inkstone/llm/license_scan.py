@@ -5,8 +5,9 @@ hold none of them and are done. For the others, each rule's keyword decides whet
 match is an interval of words with the rule's label and priority. A match that lies inside another of higher priority,
 or of equal priority and greater length, is suppressed. The base phrases are found beside the rules and always stay.
 
-Defined results: null and empty texts have no words, no labels, null first_word and last_word and score 0; repeated
-rows give repeated results; an empty table gives no rows; other columns are not read.
+Defined results: null and empty texts have no words, no labels, null first_word and last_word and score 0; texts of any
+length are scanned whole; of detections of the same words and priority all stay; repeated rows give repeated results; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -66,13 +67,25 @@ def detections(words: Column) -> Column:
 
 
 def suppressed(found: Column) -> Column:
-    """The detections that no stronger one contains."""
-
-    def stronger(e: Column, d: Column) -> Column:
-        longer = (e["stop"] - e["start"]) > (d["stop"] - d["start"])
-        return (e["start"] <= d["start"]) & (e["stop"] >= d["stop"]) & ((e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & longer))
-
-    return F.filter(found, lambda d: ~F.exists(found, lambda e: stronger(e, d)))
+    """The detections that no stronger one contains.
+
+    In the order of their starts, longer ones first, a detection is contained if the furthest end seen so far reaches its
+    own; those ends are kept by priority, so each detection is looked at once.
+    """
+    order = F.array_sort(F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["stop"]).alias("back"), (-d["priority"]).alias("weight"), d["label"].alias("label"))))
+    ends = F.array_repeat(F.lit(-1).cast("long"), 8)
+
+    def look(seen: Column, d: Column) -> Column:
+        stop, priority = -d["back"], -d["weight"]
+        before = F.when((seen["start"] == d["start"]) & (seen["back"] == d["back"]), seen["before"]).otherwise(seen["ends"])
+        contained = (F.get(seen["ends"], priority + 1) >= stop) | (F.get(before, priority) >= stop)
+        reached = F.transform(seen["ends"], lambda end, k: F.when(k <= priority, F.greatest(end, stop)).otherwise(end))
+        return F.struct(reached.alias("ends"), before.alias("before"), d["start"].alias("start"), d["back"].alias("back"), F.concat(seen["kept"], F.array(~contained)).alias("kept"))
+
+    none = F.struct(ends.alias("ends"), ends.alias("before"), F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("back"), F.array().cast("array<boolean>").alias("kept"))
+    kept = F.aggregate(order, none, look, lambda s: s["kept"])
+    pairs = F.filter(F.arrays_zip(order.alias("d"), kept.alias("kept")), lambda x: x["kept"])
+    return F.transform(pairs, lambda x: F.struct(x["d"]["label"].alias("label"), (-x["d"]["weight"]).alias("priority"), x["d"]["start"].alias("start"), (-x["d"]["back"]).alias("stop")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
