@@ -1,16 +1,22 @@
 """Main text of web pages by tag-path ratios.
 
 A page becomes a run of text nodes, each with its root-to-leaf path of tags. Text length and punctuation are aggregated
-per path and divided by the path's nodes; both ratios are smoothed along the page with a Gaussian window, fused into
-one, and thresholded, which selects the paths of content; every node of such a path is output. The article elements, or
-else the smallest element that holds nearly all selected text, add their other nodes, headings and list items too. What
-stands in a menu, header, footer, sidebar, notice, advert, form or comment section, which tags, roles and class names
-tell, is never output.
+per path and divided by the path's nodes, where linked text counts nothing; both ratios are smoothed along the page with
+a Gaussian window and fused into one. Landmark tags, class names, ids and roles lower the ratio of the paths they stand
+over, strongly where they name a menu, an advert or reader comments and a little where they could mean either, as
+``related`` or ``notice`` do. The paths whose ratio passes a share of the page's mean are content, and every node of
+theirs is output.
 
-Every page is a row of its own, so pages are read where they lie and nothing is shuffled.
+Ratios can't see short blocks of the article, so the selected text then places the article: its article or main
+elements, or else the smallest element that holds nearly all of it. Unmarked headings, list items, cells and short
+paragraphs inside are output too. A heading such as "Comments" marks what follows it in its element.
+
+Every page is a row of its own, so pages are read where they lie and nothing is shuffled. A page is read in time
+proportional to its length, however deep its elements nest.
 
 Defined results: null or empty html, or html without any text of content, gives an empty text and n_chars 0; html
-without tags is one block; repeated rows give repeated results; other columns are not read.
+without tags is one block; pages of any length are read whole; of paths with the same ratio all or none are selected;
+repeated rows give repeated results; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,69 +40,111 @@ LANDMARK = frozenset("nav header footer aside form".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-LIST_LIKE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
-SHUTS = {"dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}}
-#: Words of class names, ids and roles that mark what is not the article.
+#: Elements whose start ends an open element of these tags, unless an element of the bounds was opened after it.
+ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
+    "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
+    "article": (LANDMARK, set()), "main": (LANDMARK, set()), "footer": (LANDMARK, {"article", "main"}),
+}
+PARAGRAPH = ({"p"}, {"article", "main", "section", "div", "body", "table", "td", "th", "blockquote", "li", "form", "ul", "ol", "dl"})
+#: Blocks that are output inside the article even if their path's ratio is low.
+CONTENT = frozenset("article main p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption blockquote pre".split())
+ARTICLE_TAGS = ("article", "main")
+#: Words of class names, ids and roles that name what is not the article, and words that can mean either.
 NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login comment comments respond disqus related recommended share sharing social pagination pager widget toolbar search complementary contentinfo dialog".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo navbar navigation breadcrumb breadcrumbs sidebar masthead cookie cookies consent gdpr popup modal newsletter subscribe comments disqus pagination pager contentinfo".split()
 )
-ARTICLE_TAGS = ("article", "main")
+MAYBE_WORDS = frozenset("promotion banner nav menu aside header footer notice alert overlay subscription signup login comment respond responses related recommended share sharing social widget toolbar search complementary dialog".split())
+#: What a ratio is multiplied by under landmark tags and such words.
+OUTSIDE, NOISE, MAYBE = 0.02, 0.1, 0.5
+#: The share of the page's mean ratio that selects a path.
+SHARE = 0.3
 
 _tag = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_attribute = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_name_words = re.compile(r"[a-z]+").findall
+_attribute = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_name_words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+").findall
 _marks = re.compile(r"[.,;:!?…。，！？、；：]").findall
+_comments = re.compile(r"(?:\d+\s+)?(?:reader |user |leave (?:a|your) |add (?:a|your) |post (?:a|your) )?(?:comments?|responses|reply|replies|kommentare?|commentaires?|comentarios?)(?:\s*\(?\d+\)?)?\s*:?", re.I).fullmatch
+_by_reader = re.compile(r"(?:posted|written|commented|comment) by (?:a |an )?(?:reader|user|guest|visitor|member|anonymous)\b", re.I).match
 
 
 class Node(NamedTuple):
-    """A run of text: its path, the elements it stands in, its block and whether something marks it as no content."""
+    """A run of text: the number of its path, its innermost element, its block, that block's tag, how much of its ratio
+    its marks leave, and whether it is a link."""
 
-    path: str
-    inside: tuple[int, ...]
+    path: int
+    element: int
     block: int
-    noise: bool
+    tag: str
+    worth: float
     linked: bool
     text: str
 
 
-def _marked(attributes: str) -> bool:
-    for name, a, b, c in _attribute.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "style":
-            if "display:none" in value.replace(" ", ""):
-                return True
-        elif any(w in NOISE_WORDS for w in _name_words(value)):
-            return True
-    return False
-
-
-class _Open(NamedTuple):
+class Element(NamedTuple):
+    """An element and the number of the one around it, -1 for none; elements are numbered as they open."""
+
     tag: str
-    key: int
-    noise: bool
+    parent: int
+
+
+def _worth(attributes: str) -> float:
+    """What the attributes of an element leave of the ratios inside it; 0 hides it."""
+    worth = 1.0
+    for name, a, b, c in _attribute.findall(attributes):
+        name, value = name.lower(), a or b or c
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
+            return 0.0
+        if name in ("class", "id", "role"):
+            words = {w.lower() for w in _name_words(value)}
+            worth = min(worth, NOISE if words & NOISE_WORDS else MAYBE if words & MAYBE_WORDS else 1.0)
+    return worth
 
 
-def nodes_of(page: str) -> tuple[list[Node], list[str]]:
-    """The text nodes of a page and the tag of each element by its number."""
-    stack: list[_Open] = []
-    tags: list[str] = []
+class _Open:
+    """An open element. ends: for each kind of implied end, the place on the stack of the element that it would end."""
+
+    __slots__ = ("tag", "element", "path", "block_tag", "worth", "seen", "linked", "ends")
+
+    def __init__(self, tag, element, path, block_tag, worth, seen, linked, ends):
+        self.tag, self.element, self.path, self.block_tag = tag, element, path, block_tag
+        self.worth, self.seen, self.linked, self.ends = worth, seen, linked, ends
+
+
+_KINDS = {**ENDS, "": PARAGRAPH}
+_TURNS = {tag: [kind for kind, (names, bounds) in _KINDS.items() if tag in names or tag in bounds] for tag in {t for names, bounds in _KINDS.values() for t in {*names, *bounds}}}
+
+
+def nodes_of(page: str) -> tuple[list[Node], list[Element]]:
+    """The text nodes of a page and its elements."""
+    root = _Open("", -1, 0, "", 1.0, True, False, {})
+    stack = [root]
+    count: dict[str, int] = {}
+    elements: list[Element] = []
     nodes: list[Node] = []
+    paths: dict[tuple[int, str], int] = {}
     block = at = 0
     low = None
 
     def text(s: str) -> None:
-        if s and not any(o.tag in UNSEEN for o in stack):
-            nodes.append(Node("/".join(o.tag for o in stack if o.tag not in INLINE), tuple(o.key for o in stack), block, any(o.noise for o in stack), any(o.tag == "a" for o in stack), entities.unescape(s)))
+        top = stack[-1]
+        if not s or not top.seen or not top.worth:
+            return
+        s = entities.unescape(s)
+        plain = s.strip()
+        if plain and (_by_reader(plain) or (len(plain) < 60 and _comments(plain))):
+            around = stack[-2] if len(stack) > 1 and (stack[-2].tag not in ARTICLE_TAGS or not _by_reader(plain)) else top
+            around.worth, top.worth = min(around.worth, NOISE), min(top.worth, NOISE)
+        nodes.append(Node(top.path, top.element, block, top.block_tag, top.worth, top.linked, s))
 
-    def shut(names: set[str] | frozenset[str], bounds: set[str]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                return
-            if stack[k].tag in bounds:
-                return
+    def cut(size: int) -> None:
+        for o in stack[size:]:
+            count[o.tag] -= 1
+        del stack[size:]
+
+    def end(kind: str) -> None:
+        if found := stack[-1].ends.get(kind, 0):
+            cut(found)
 
     while m := _tag.search(page, at):
         text(page[at : m.start()])
@@ -107,33 +155,40 @@ def nodes_of(page: str) -> tuple[list[Node], list[str]]:
         if name not in INLINE:
             block += 1
         if m[1] or m[4]:
-            if any(o.tag == name for o in stack):
-                while stack.pop().tag != name:
-                    pass
+            if count.get(name):
+                size = len(stack) - 1
+                while stack[size].tag != name:
+                    size -= 1
+                cut(size)
             continue
         attributes = m[3] or m[6] or ""
         if name in VOID or attributes.endswith("/"):
             continue
-        if name in ARTICLE_TAGS or name == "footer":
-            shut(LANDMARK, {*ARTICLE_TAGS} if name == "footer" else set())
         if name not in INLINE:
-            shut({"p"}, {"article", "main", "section", "div", "body", "table", "td", "th", "blockquote", "li", "form", "ul", "ol", "dl"})
-        if name in LIST_LIKE:
-            shut(SHUTS.get(name, {name}), LIST_LIKE[name])
-        if name == "body":
-            shut({"head"}, set())
-        tags.append(name)
+            end("")
+        if name in ENDS:
+            end(name)
+        around = stack[-1]
+        element = len(elements)
+        elements.append(Element(name, around.element))
         if name in RAW:
             low = page.lower() if low is None and len(page) == len(page.lower()) else low
-            end = (low or page).find(f"</{name}", at)
-            at = len(page) if end < 0 else end
+            close = (low or page).find(f"</{name}", at)
+            at = len(page) if close < 0 else close
             if name in UNSEEN:
                 close = page.find(">", at)
                 at = len(page) if close < 0 else close + 1
                 continue
-        stack.append(_Open(name, len(tags) - 1, name in LANDMARK or (name not in ("html", "body", *ARTICLE_TAGS) and _marked(attributes))))
+        worth = OUTSIDE if name in LANDMARK else 1.0 if name in ("html", "body", *ARTICLE_TAGS) else _worth(attributes) if attributes else 1.0
+        inline = name in INLINE
+        path = around.path if inline and worth == 1.0 else paths.setdefault((around.path, f"{name}*{worth}"), len(paths) + 1)
+        ends = around.ends
+        if turns := _TURNS.get(name):
+            ends = ends | {kind: len(stack) if name in _KINDS[kind][0] else 0 for kind in turns}
+        stack.append(_Open(name, element, path, around.block_tag if inline else name, min(worth, around.worth), around.seen and name not in UNSEEN, around.linked or name == "a", ends))
+        count[name] = count.get(name, 0) + 1
     text(page[at:])
-    return nodes, tags
+    return nodes, elements
 
 
 def _smooth(x: np.ndarray, width: int = 2) -> np.ndarray:
@@ -142,45 +197,51 @@ def _smooth(x: np.ndarray, width: int = 2) -> np.ndarray:
 
 
 def selected(nodes: list[Node]) -> np.ndarray:
-    """Which nodes have a path whose fused ratio passes the threshold."""
-    _, path = np.unique([n.path for n in nodes], return_inverse=True)
+    """Which nodes have a path whose fused ratio, lowered by its marks, passes the threshold."""
+    worth = np.array([n.worth for n in nodes])
+    _, path = np.unique([(n.path, n.worth) for n in nodes], axis=0, return_inverse=True)
+    path = path.ravel()
     length = np.array([0 if n.linked else len(n.text.strip()) for n in nodes], float)
-    marks = np.array([len(_marks(n.text)) for n in nodes], float)
+    marks = np.array([0 if n.linked else len(_marks(n.text)) for n in nodes], float)
     count = np.bincount(path)
     ratio = (np.bincount(path, length) / count)[path]
     mark_ratio = (np.bincount(path, marks) / count)[path]
-    order = [_smooth(x) if len(x) >= 5 else x for x in (ratio, mark_ratio)]
-    fused = np.sqrt(order[0] * (1.0 + order[1]) * ratio)
+    smooth_length, smooth_marks = (_smooth(x) if len(x) >= 5 else x for x in (ratio, mark_ratio))
+    fused = np.sqrt(smooth_length * (1.0 + smooth_marks) * ratio)
     by_path = (np.bincount(path, fused) / count)[path]
-    weight = np.where(length > 0, length, 1e-9)
-    return by_path >= 0.3 * float((by_path * weight).sum() / weight.sum())
+    weight = np.where(length > 0, length, 1e-9) * worth
+    limit = SHARE * float((by_path * weight).sum() / weight.sum())
+    return (by_path * worth >= limit) & ((by_path > 0) | (limit == 0))
 
 
 def main_text(page: str | None) -> str:
-    nodes, tags = nodes_of(page or "")
-    usable = [n for n in nodes if not n.noise]
-    solid = [n for n in usable if n.text.strip()]
+    nodes, elements = nodes_of(page or "")
+    solid = [n for n in nodes if n.text.strip()]
     if not solid:
         return ""
     chosen = [n for n, on in zip(solid, selected(solid), strict=True) if on]
-    inside: dict[int, int] = {}
+    if not chosen:
+        return ""
+    held = [0] * (len(elements) + 1)  # the last is for what stands in no element
     for n in chosen:
-        for key in n.inside:
-            inside[key] = inside.get(key, 0) + len(n.text)
-    total = sum(len(n.text) for n in chosen)
-    within = {k for k, v in inside.items() if v >= 0.9 * total}
-    articles = {k for k in inside if tags[k] == "article"} or {k for k in inside if tags[k] == "main"}
-    held = sum(len(n.text) for n in chosen if articles.intersection(n.inside))
-    if held >= 0.5 * total:
-        scope = articles
-    elif within:
-        scope = {max(within)}  # elements are numbered as they open, so the deepest has the largest number
-    else:
-        scope = None
-    paths = {n.path for n in chosen}
+        held[n.element] += len(n.text)
+    for k in range(len(elements) - 1, -1, -1):
+        held[elements[k].parent] += held[k]
+    total = held[-1]
+    inside = {tag: [False] * (len(elements) + 1) for tag in ARTICLE_TAGS}
+    for k, e in enumerate(elements):
+        for tag, marked in inside.items():
+            marked[k] = marked[e.parent] or e.tag == tag
+    scope = next((marked for marked in inside.values() if 2 * sum(len(n.text) for n in chosen if marked[n.element]) >= total), None)
+    if scope is None:
+        top = max((k for k in range(len(elements)) if held[k] >= 0.9 * total), default=-1)
+        scope = [False] * len(elements) + [top < 0]
+        for k, e in enumerate(elements):
+            scope[k] = k == top or scope[e.parent]
+    paths = {(n.path, n.worth) for n in chosen}
     blocks: dict[int, list[str]] = {}
-    for n in usable:
-        if scope is None or n.path in paths or scope.intersection(n.inside):
+    for n in nodes:
+        if (n.path, n.worth) in paths or (n.worth == 1.0 and n.tag in CONTENT and scope[n.element]):
             blocks.setdefault(n.block, []).append(n.text)
     return " ".join(t for b in blocks.values() if (t := " ".join("".join(b).split())))
 
