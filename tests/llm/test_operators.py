@@ -415,6 +415,32 @@ def test_each_license_rule_is_found_in_a_text_of_its_phrase_alone(spark):
         assert got[i] == want, text
 
 
+def test_license_query_labels_equal_every_rule_without_gate(spark, sf_dir, docs):
+    compiled = [(r.label, r.priority, re.compile(f" {r.pattern}(?= )")) for r in license_scan.rules()]
+    base = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
+    got = {r.doc_id: r for r in queries.op5_license_scan(spark, sf_dir).collect()}
+    for doc_id, text in zip(docs["doc_id"], docs["text"], strict=True):
+        padded = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))) + " "
+        found = {(label, p, padded[: m.start()].count(" "), padded[: m.start()].count(" ") + m[0].count(" ")) for label, p, rx in compiled for m in rx.finditer(padded)}
+        kept = {d[0] for d in found if not any(e[2] <= d[2] and e[3] >= d[3] and (e[1] > d[1] or (e[1] == d[1] and e[3] - e[2] > d[3] - d[2])) for e in found)}
+        kept |= {label for phrase, label in base if f" {phrase} " in padded}
+        assert got[doc_id].labels == ",".join(sorted(kept))
+
+
+@pytest.mark.parametrize(("name", "label"), [("GPLv2", "gpl-2.0"), ("GPLv3", "gpl-3.0"), ("LGPLv3", "lgpl-3.0"), ("LGPLv2.1", "lgpl-2.1"), ("AGPLv3", "agpl-3.0"), ("Expat License", "mit"), ("PSF license", "psf-2.0"), ("Internet Systems Consortium License", "isc"), ("Apache 2.0", "apache-2.0"), ("CeCILL-B", "cecill-b"), ("Commons Clause", "commons-clause")])
+def test_license_names(spark, name, label):
+    assert label in license_scan.scan(spark.createDataFrame([(1, f"it is licensed under {name} here")], "doc_id long, text string")).first().labels.split(",")
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 5), st.integers(0, 12), st.integers(1, 6)), max_size=25))
+def test_suppression_equals_all_pairs(spark, spans):
+    found = [(f"l{i}", p, start, start + size) for i, (p, start, size) in enumerate(spans)]
+    row = spark.createDataFrame([(found,)], f"all array<{license_scan.DETECTION}>").select(license_scan.suppressed(F.col("all")).alias("kept")).first()
+    want = {d for d in found if not any(e[2] <= d[2] and e[3] >= d[3] and (e[1] > d[1] or (e[1] == d[1] and e[3] - e[2] > d[3] - d[2])) for e in found)}
+    assert {tuple(d) for d in row.kept} == want
+
+
 # 6 exact duplicates
 
 
@@ -497,6 +523,16 @@ def test_rules_keep_clean_documents(spark, sf_dir, labelled):
     assert np.mean([r.kept for r in good]) > 0.97 and np.mean([r.kept for r in bad]) < 0.1
 
 
+def test_rules_query_verdicts_equal_a_plain_version(spark, sf_dir, docs):
+    counted = {i: textstats.counts(t) for i, t in zip(docs["doc_id"], docs["text"], strict=True)}
+    votes = {i: "".join(str(rule(c)) for _, rule in quality_rules.RULES) for i, c in counted.items()}
+    good = quality_rules.fit(sorted(Counter(votes.values()).items()))
+    for r in queries.op7_quality_rules(spark, sf_dir).collect():
+        n_words, *_, n_repeat = brute_base(docs["text"][docs["doc_id"] == r.doc_id].iloc[0])
+        failed = n_words < 50 or 100 * n_repeat > 50 * n_words
+        assert (r.votes, r.kept) == (votes[r.doc_id], not failed and good[votes[r.doc_id]] >= 0.5)
+
+
 def test_expectation_maximisation_finds_the_accurate_rule():
     rng = np.random.default_rng(2)
     truth = rng.random(5000) < 0.7
@@ -528,6 +564,25 @@ def test_language_query_on_held_out_documents(spark, sf_dir, docs):
     assert np.mean([r.lang_pred == lang[r.doc_id] for r in got if r.held_out]) > 0.95
 
 
+def test_language_query_equals_forward_backward_over_whole_texts(spark, sf_dir, docs):
+    model = language_crf.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    text = dict(zip(docs["doc_id"], docs["text"], strict=True))
+    for r in queries.op8_language_crf(spark, sf_dir).collect():
+        words = language_crf.words_of(text[r.doc_id])
+        if not words:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        known = {w: e for w, e in zip(dict.fromkeys(words), language_crf.emissions(list(dict.fromkeys(words)), model), strict=True)}
+        share = language_crf._expected(np.array([known[w] for w in words], np.float64)[None], model.transitions.astype(np.float64))[0][0].mean(axis=0)
+        assert r.score == pytest.approx(share.max(), abs=2e-3)
+        assert r.lang_pred == model.languages[int(share.argmax())] or np.sort(share)[-1] - np.sort(share)[-2] < 4e-3
+
+
+@pytest.mark.parametrize(("text", "words"), [("²", []), ("① Ⅷ ½ 12 _", []), ("a²b", ["a", "b"]), ("Größe 3x", ["größe", "x"]), ("日本語", ["日本語"]), (None, [])])
+def test_words_are_runs_of_letters(text, words):
+    assert language_crf.words_of(text) == words
+
+
 def test_words_of_a_switched_text(docs):
     passages = [(lang, language_crf.words_of(t)[:80]) for lang, t in zip(docs["lang"], docs["text"], strict=True)]
     model = language_crf.fit(passages)
@@ -634,6 +689,17 @@ def test_classifier_query_on_held_out_documents(spark):
     assert np.mean([p == q for p, q in held]) > 0.85
 
 
+def test_classifier_query_equals_plain_lookups(spark, sf_dir, docs):
+    model = quality_gam.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    text = dict(zip(docs["doc_id"], docs["text"], strict=True))
+    find = lambda edges, v: int(np.searchsorted(edges, v, side="right"))
+    for r in queries.op10_quality_classifier(spark, sf_dir).collect():
+        x = quality_gam.features(text[r.doc_id])
+        f = model.intercept + sum(t[find(e, v)] for t, e, v in zip(model.tables, model.edges, x, strict=True))
+        f += sum(t[find(model.pair_edges[i], x[i]), find(model.pair_edges[j], x[j])] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-f)), abs=1e-9)
+
+
 def test_additive_model_learns_a_pair():
     rng = np.random.default_rng(4)
     x = rng.random((4000, 4))
@@ -654,5 +720,5 @@ def test_scores_are_sums_of_table_entries():
 
 
 def test_packing_result_is_a_frame():
-    frame = pd.DataFrame([(1, 0, 0, 5, 1), (2, 0, 0, 5, 2)], columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+    frame = pd.DataFrame([(1, 0, 0, 5, 1, 0), (2, 0, 0, 5, 2, 1)], columns=["doc_id", "piece", "start", "length", "ids_crc32", "row"])
     assert packing.pack_group(frame, 10, 40)["sequence_id"].tolist() == [40, 40]
