@@ -3,16 +3,19 @@
 Linear models predict one category after another, and each is given the probabilities of the categories before it.
 While training, those probabilities come from models that did not see the row (out-of-fold), so that a later model
 meets the same kind of input in training and in use. The last link is the overall label that the labels table carries;
-the earlier categories are labelled from it together with a lexicon: a toxic row that holds a word of the category. All
-links see the words of a text, of which training selects those whose log odds differ from zero significantly, and
-whether the text holds a word of each lexicon.
+the earlier categories are labelled from it together with a lexicon: a toxic row that holds a word of the category. The
+lexicons label training rows and are no inputs: all links see the words of a text, of which training selects those whose
+log odds differ from zero significantly, and the probabilities before them, nothing else. A category that too few
+training rows show has no link; it scores its base rate and feeds no later link.
 
 The models are fitted on at most ``train_rows`` labelled rows (smallest hash of doc_id first, a documented bound);
 every document is scored on all its words.
 
-Defined results: null and empty texts have no words and score the base rates; a category with fewer than ``least_rows``
-rows of either kind in training scores its base rate; without labelled rows all scores are 0; a null doc_id counts as
-the empty string for the fold; repeated rows get the same scores; other columns are not read.
+Defined results: null and empty texts have no words and score what the intercepts give; a text of any length is scored
+on all its words; a category with fewer than ``least_rows`` rows of either kind in training scores its base rate;
+without labelled rows all scores are 0; a null doc_id counts as the empty string for the fold; of training rows that
+share doc_id and label, the one with the smallest set of words counts, so training gives the same model each time;
+repeated rows get the same scores; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ BITS = 20
 SELECTED = 3000
 LEAST_Z = 4.0
 FOLDS = 3
+#: Ridge penalties: a category is settled by its words, the overall label carries noise.
+CATEGORY_L2, OVERALL_L2 = 0.1, 1.0
 THRESHOLD = 0.3
 OVERALL = "toxic"
 
@@ -56,11 +61,13 @@ def bucket(word: str) -> int:
 
 
 class Link(NamedTuple):
-    """One model: weights by word bucket, weights of the lexicon marks and earlier probabilities, intercept."""
+    """One model: weights by word bucket, weights of the earlier links' log odds, intercept. feeds: whether it is a model
+    that later links are given, and not just a base rate."""
 
     words: dict[int, float]
     dense: np.ndarray
     intercept: float
+    feeds: bool = True
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -80,7 +87,7 @@ def _select(ids: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
     return best[z[best] >= LEAST_Z]
 
 
-def _fit(ids: np.ndarray, rows: np.ndarray, n: int, extra: np.ndarray, y: np.ndarray, rounds: int = 150, l2: float = 1.0) -> Link:
+def _fit(ids: np.ndarray, rows: np.ndarray, n: int, extra: np.ndarray, y: np.ndarray, l2: float, rounds: int = 150) -> Link:
     """Ridge logistic regression over binary words and earlier logits, by accelerated gradient steps."""
     chosen = np.sort(_select(ids, rows, y)) if len(ids) else np.empty(0, np.int64)
     at = np.searchsorted(chosen, ids) if len(chosen) else np.zeros(len(ids), np.int64)
@@ -119,34 +126,34 @@ def _apply(link: Link, ids: np.ndarray, rows: np.ndarray, n: int, extra: np.ndar
     return 1 / (1 + np.exp(-np.clip(f, -40, 40)))
 
 
-def fit_chain(docs: list[np.ndarray], marks: np.ndarray, labels: dict[str, np.ndarray], least_rows: int = 10) -> list[Link]:
-    """The links in chain order; docs are the word buckets of each training row, marks (rows, lexicons) its lexicon hits."""
+def fit_chain(docs: list[np.ndarray], labels: dict[str, np.ndarray], least_rows: int = 10) -> list[Link]:
+    """The links in chain order; docs are the word buckets of each training row."""
     n = len(docs)
     if not n:
-        return [Link({}, np.zeros(len(LEXICON) + i), -40.0) for i in range(len(CHAIN))]
+        return [Link({}, np.zeros(0), -40.0, False) for _ in CHAIN]
     sizes = np.array([len(d) for d in docs])
     ids = np.concatenate([*docs, np.empty(0, np.int64)]).astype(np.int64)
     rows = np.repeat(np.arange(n), sizes)
     fold = np.arange(n) % FOLDS
-    extra = marks.astype(float)
+    extra = np.empty((n, 0))
     chain: list[Link] = []
     for name in CHAIN:
         y = labels[name].astype(float)
         if min(y.sum(), n - y.sum()) < least_rows:
-            rate = float(y.mean())
-            chain.append(Link({}, np.zeros(extra.shape[1]), float(_logit(np.array([rate]))[0])))
-            out_of_fold = np.full(n, rate)
-        else:
-            chain.append(_fit(ids, rows, n, extra, y))
-            out_of_fold = np.empty(n)
-            if name != OVERALL:
-                for k in range(FOLDS):
-                    learn, hold = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-                    to = np.full(n, -1)
-                    to[learn] = np.arange(len(learn))
-                    on = to[rows] >= 0
-                    link = _fit(ids[on], to[rows[on]], len(learn), extra[learn], y[learn])
-                    out_of_fold[hold] = _apply(link, ids, rows, n, extra)[hold]
+            chain.append(Link({}, np.zeros(extra.shape[1]), float(_logit(np.array([y.mean()]))[0]), False))
+            continue
+        l2 = OVERALL_L2 if name == OVERALL else CATEGORY_L2
+        chain.append(_fit(ids, rows, n, extra, y, l2))
+        if name == OVERALL:
+            continue
+        out_of_fold = np.empty(n)
+        for k in range(FOLDS):
+            learn, hold = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+            to = np.full(n, -1)
+            to[learn] = np.arange(len(learn))
+            on = to[rows] >= 0
+            link = _fit(ids[on], to[rows[on]], len(learn), extra[learn], y[learn], l2)
+            out_of_fold[hold] = _apply(link, ids, rows, n, extra)[hold]
         extra = np.column_stack([extra, _logit(out_of_fold)])
     return chain
 
@@ -173,13 +180,14 @@ class Scorer:
         words = tokens(text)
         rows = {r for w in words if (r := self._row(w)) >= 0}
         linear = self.table[sorted(rows)].sum(axis=0) if rows else np.zeros(len(self.chain))
-        earlier = [float(not words.isdisjoint(found)) for found in LEXICON.values()]
+        earlier: list[float] = []
         out: list[float] = []
         for i, link in enumerate(self.chain):
             f = linear[i] + link.intercept + float(np.dot(earlier, link.dense))
             p = 1 / (1 + np.exp(-np.clip(f, -40, 40)))
             out.append(float(p))
-            earlier.append(float(_logit(np.array(p))))
+            if link.feeds:
+                earlier.append(float(_logit(np.array(p))))
         return out
 
 
@@ -201,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> l
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(work, "doc_id bigint, toxic int, ids array<int>, held array<boolean>")
-    rows = rows.dropDuplicates(["doc_id", "toxic"])  # a doc_id that many rows share counts once, so that the bound holds
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("ids", "held")).alias("one")).select("doc_id", "toxic", "one.*")  # a doc_id that many rows share counts once, so that the bound holds
     got = rows.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     toxic, held, ids = (got[c].combine_chunks() for c in ("toxic", "held", "ids"))
     toxic = toxic.to_numpy(zero_copy_only=False)
@@ -209,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> l
     named = {c: marks[:, i] & (toxic == 1) for i, c in enumerate(LEXICON)} | {OVERALL: toxic == 1}
     ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
     found = np.split(ids.flatten().to_numpy(zero_copy_only=False), ends[:-1]) if len(toxic) else []
-    return fit_chain(found, marks, named)
+    return fit_chain(found, named)
 
 
 def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
