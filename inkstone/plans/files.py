@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -157,7 +159,10 @@ def roundtrip_rtf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunked(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
-    files = as_files(spark, sf_dir, fmt)
+    return _chunks_of(as_files(spark, sf_dir, fmt))
+
+
+def _chunks_of(files: DataFrame) -> DataFrame:
     out = chunking.chunk_blocks(B.read_blocks(files), sources(files))
     return out.select("doc_key", "ordinal", "nearest_heading", "token_count", T.digest(F.col("text")).alias("text_digest"), F.size("terms").cast("long").alias("n_terms"))
 
@@ -180,13 +185,64 @@ def document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each[0].unionByName(each[1]).unionByName(each[2]).select("doc_key", "title", "author")
 
 
+def pdf_bytes(number: int, lines: list[str]) -> bytes:
+    """A PDF of two text streams, by turns of four with plain strings, deflated, with spaced arrays or with hex strings."""
+    turn = number % 4
+
+    def shown(k: int, x: str) -> str:
+        if turn == 2:
+            half = len(x) // 2
+            return f"[({x[:half]}) -120 ({x[half:]})] TJ T*\n"
+        if turn == 3:
+            return f"<{x.encode().hex()}> " + ("Tj\n" if k == 0 else "'\n")
+        return f"({x}) Tj T*\n"
+
+    def stream(some: list[str]) -> bytes:
+        body = ("BT\n" + "".join(shown(k, x) for k, x in enumerate(some)) + "ET\n").encode()
+        if turn == 1:
+            return b"<< /Filter /FlateDecode /Length 0 >>\nstream\n" + zlib.compress(body) + b"\nendstream\n"
+        return b"<< /Length 0 >>\nstream\n" + body + b"endstream\n"
+
+    return b"%PDF-1.4\n" + stream([f"Doc {number}"]) + stream(lines)
+
+
+def doc_bytes(number: int, lines: list[str]) -> bytes:
+    """A compound file whose document stream holds the lines in two-byte characters."""
+    stream = bytes(32) + "\r".join([f"Doc {number}", *lines]).encode("utf-16-le")
+    used = -(-len(stream) // 512)
+    tables = -(-(used + 1) // 127)  # sectors of the allocation table, which has an entry for each of its own too
+    chain = [0xFFFFFFFD] * tables + [0xFFFFFFFE] + [*range(tables + 2, tables + 1 + used), 0xFFFFFFFE]
+    chain += [0xFFFFFFFF] * (tables * 128 - len(chain))
+    name = "WordDocument".encode("utf-16-le")
+    entry = name.ljust(64, b"\0") + struct.pack("<H", len(name) + 2) + bytes(50) + struct.pack("<IQ", tables + 1, len(stream))
+    head = bytes.fromhex("D0CF11E0A1B11AE1") + bytes(22) + struct.pack("<H", 9) + bytes(16) + struct.pack("<I", tables) + bytes(24)
+    listed = struct.pack("<109I", *range(tables), *[0xFFFFFFFF] * (109 - tables))
+    return head + listed + struct.pack(f"<{tables * 128}I", *chain) + entry.ljust(512, b"\0") + stream.ljust(used * 512, b"\0")
+
+
+def _made(spark: SparkSession, sf_dir: str, fmt: str, make) -> DataFrame:
+    """Every document's lines, in letters, digits and stops, as a file that make puts together."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9 .,\n]", "?")
+    lines = F.filter(F.transform(F.split(plain, "\n"), T.trim_space), lambda x: x != "")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([make(i.as_py(), x.as_py()) for i, x in zip(batch.column(0), batch.column(1), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fmt] * batch.num_rows), made], ["doc_key", "format", "content"])
+
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("doc_key"), lines.alias("lines")).mapInArrow(work, "doc_key bigint, format string, content binary")
+
+
 def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a PDF of two text streams, its letters and digits shown line by line."""
-    ascii_only = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9 .,\n]", "?")
-    shown = F.transform(F.filter(F.transform(F.split(ascii_only, "\n"), T.trim_space), lambda x: x != ""), lambda x: F.concat(F.lit("("), x, F.lit(") Tj T*\n")))
-    stream = lambda body: F.concat(F.lit("<< /Length 0 >>\nstream\nBT\n"), body, F.lit("ET\nendstream\n"))
-    pdf = F.concat(F.lit("%PDF-1.4\n"), stream(F.concat(F.lit("(Doc "), F.col("doc_id"), F.lit(") Tj\n"))), stream(F.array_join(shown, "")))
-    return documents(spark, sf_dir).select(F.col("doc_id").alias("doc_key"), F.lit("pdf").alias("format"), pdf.cast("binary").alias("content"))
+    return _made(spark, sf_dir, "pdf", pdf_bytes)
+
+
+def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _made(spark, sf_dir, "doc", doc_bytes)
+
+
+def chunk_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks_of(doc_files(spark, sf_dir))
 
 
 def pdf_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +263,7 @@ def stream_ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest_once(spark, f"{sf_dir}/documents.parquet").select("doc_key", "ordinal", "chunk_id", "token_count")
 
 
-QUERIES = [markdown_blocks, markdown_inline_runs, markdown_table_split, render_markdown, render_plain, roundtrip_docx, roundtrip_odt, roundtrip_rtf, pdf_extract, read_errors, stream_ingest_chunks, chunk_markdown_blocks, chunk_docx, chunk_odt, chunk_rtf, citation_labels_of_blocks, block_tokens, document_headings, document_metadata]
+QUERIES = [markdown_blocks, markdown_inline_runs, markdown_table_split, render_markdown, render_plain, roundtrip_docx, roundtrip_odt, roundtrip_rtf, pdf_extract, read_errors, stream_ingest_chunks, chunk_markdown_blocks, chunk_docx, chunk_odt, chunk_rtf, chunk_doc, citation_labels_of_blocks, block_tokens, document_headings, document_metadata]
 
 _N = "chr(10)"
 _BODY = f"trim(regexp_replace(translate(text, '|*[]()#`~-' || chr(13) || chr(10) || chr(9), repeat(' ', {len(SPECIAL)})), '\\s+', ' ', 'g'))"
@@ -226,15 +282,16 @@ _CHUNKED = f"""SELECT doc_key, row_number() OVER (PARTITION BY doc_key ORDER BY
     FROM (SELECT doc_key, pos, x, heading, unnest(t) AS text, unnest(range(len(t))) AS part FROM (
         SELECT *, last_value(CASE WHEN pos % 5 = 0 THEN x END IGNORE NULLS) OVER (PARTITION BY doc_key ORDER BY pos ROWS UNBOUNDED PRECEDING) AS heading,
                CASE pos % 5 WHEN 0 THEN ['# ' || x] WHEN 1 THEN {_WINDOWS('shown')} WHEN 3 THEN ['```' || lang || {_N} || x || {_N} || '```'] ELSE [shown] END AS t FROM ({_WRITTEN})))"""
-_LINED = lambda head, heading: f"""SELECT doc_key, row_number() OVER (PARTITION BY doc_key ORDER BY pos, part) - 1 AS ordinal, {heading} AS nearest_heading, {S.tokens('text')} AS token_count, sha256(text) AS text_digest, len({S.terms('text')}) AS n_terms
+_LINED = lambda head, heading, lines=_LINES: f"""SELECT doc_key, row_number() OVER (PARTITION BY doc_key ORDER BY pos, part) - 1 AS ordinal, {heading} AS nearest_heading, {S.tokens('text')} AS token_count, sha256(text) AS text_digest, len({S.terms('text')}) AS n_terms
     FROM (SELECT doc_key, pos, unnest(t) AS text, unnest(range(len(t))) AS part FROM (SELECT doc_key, pos, {_WINDOWS('x')} AS t FROM (
-        SELECT doc_id AS doc_key, unnest(list_prepend({head}, l)) AS x, unnest(range(len(l) + 1)) AS pos FROM (SELECT doc_id, {_LINES} AS l FROM documents))))"""
+        SELECT doc_id AS doc_key, unnest(list_prepend({head}, l)) AS x, unnest(range(len(l) + 1)) AS pos FROM (SELECT doc_id, {lines} AS l FROM documents))))"""
 
 SQL = {
     "chunk_markdown_blocks": f"SELECT doc_key, ordinal, pos, sha256(heading) AS heading_digest, token_count, sha256(text) AS text_digest, len({S.terms('said')}) AS n_terms FROM ({_CHUNKED})",
     "chunk_docx": _LINED("'# Doc ' || doc_id", "'Doc ' || doc_key"),
     "chunk_odt": _LINED("'# Doc ' || doc_id", "'Doc ' || doc_key"),
     "chunk_rtf": _LINED("'Doc ' || doc_id", "NULL"),
+    "chunk_doc": _LINED("'Doc ' || doc_id", "NULL", f"list_filter({_PDF}, lambda x: length(x) >= 4)"),
     "citation_labels_of_blocks": f"SELECT doc_key, row_number() OVER (PARTITION BY doc_key ORDER BY page, part) - 1 AS ordinal, page, '[source: c, \"doc-' || doc_key || '.pdf\", Page ' || page || ']' AS label FROM (SELECT doc_id AS doc_key, 1 AS page, 0 AS part FROM documents UNION ALL SELECT doc_key, 2, unnest(range(len(t))) FROM (SELECT doc_id AS doc_key, {_WINDOWS('x')} AS t FROM (SELECT doc_id, array_to_string({_PDF}, {_N}) AS x FROM documents) WHERE x <> ''))",
     "block_tokens": f"SELECT doc_key, CAST(greatest(1, ceil(sum(length(shown)) / 4.0)) AS BIGINT) AS n_tokens FROM ({_WRITTEN}) GROUP BY doc_key",
     "document_headings": f"SELECT doc_key, pos, 2 AS level, sha256(x) AS title_digest FROM ({_WRITTEN}) WHERE pos % 5 = 0",

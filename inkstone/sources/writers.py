@@ -106,7 +106,16 @@ def rtf(blocks: list[dict], title: str | None = None) -> bytes:
                 out += [f"\\u{int.from_bytes(units[i : i + 2], 'little', signed=True)}?" for i in range(0, len(units), 2)]
         return "".join(out)
 
-    body = "".join(f"{{\\b {plain(x)}}}\\par\n" if b["kind"] == "heading" else f"{plain(x)}\\par\n" for b in blocks for x in _lines(b))
+    def marked(runs: list[dict]) -> str:
+        return "".join({"strong": "{{\\b {}}}", "emphasis": "{{\\i {}}}"}.get(r["kind"], "{}").format(plain(r["text"] or "")) for r in runs)
+
+    def shown(b: dict) -> list[str]:
+        """A block's paragraphs; a heading is bold and the larger the higher its level."""
+        if b["kind"] == "heading":
+            return [f"{{\\b\\fs{44 - 4 * b['level']} {plain(_text(b['runs']))}}}"]
+        return [marked(b["runs"])] if b["kind"] == "paragraph" else [plain(x) for x in _lines(b)]
+
+    body = "".join(f"{x}\\par\n" for b in blocks for x in shown(b))
     info = f"{{\\info{{\\title {plain(title or '')}}}{{\\author {CREATOR}}}}}"
     return f"{{\\rtf1\\ansi\\deff0{{\\fonttbl{{\\f0 Times;}}}}\n{info}\n{body}}}".encode("ascii")
 
