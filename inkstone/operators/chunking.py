@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
+from inkstone.sources.blocks import anchor
 
 from . import history, render
 
@@ -69,9 +70,9 @@ def chunk_blocks(blocks: DataFrame, sources: DataFrame, max_tokens: int = MAX_TO
         .when(kind == "code", F.array(piece(fence, F.col("code_text"))))
         .when(kind == "table", F.transform(render.table_parts(max_tokens), lambda p: F.struct(p["text"].alias("text"), p["token_count"].alias("token_count"), T.terms(p["text"]).alias("terms"))))
     )
-    each = rows.select("doc_key", "pos", "nearest_heading", F.col("carried_page").alias("page"), F.posexplode(pieces).alias("part", "c"))
+    each = rows.select("doc_key", "pos", anchor().alias("anchor"), "nearest_heading", F.col("carried_page").alias("page"), F.posexplode(pieces).alias("part", "c"))
     order = Window.partitionBy("doc_key").orderBy("pos", "part")
-    numbered = each.select("doc_key", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), "pos", "nearest_heading", "page", "c.*")
+    numbered = each.select("doc_key", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), "pos", "anchor", "nearest_heading", "page", "c.*")
     out = numbered.join(sources.select("doc_key", "digest", "display_name"), "doc_key")
     return out.withColumn("chunk_id", F.concat(F.substring("digest", 1, 8), F.lit(":c"), F.col("ordinal")))
 

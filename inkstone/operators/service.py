@@ -99,6 +99,30 @@ def chat_request_error(body: Column) -> Column:
     )
 
 
+#: The fields of a settings file and of a remote profile in it, and their limits.
+SETTINGS_FIELDS = ["schema_version", "preferred_local_profile", "write_workspaces", "remote_profiles"]
+PROFILE_FIELDS = ["name", "base_url", "model", "credential"]
+MAX_SETTINGS, MAX_WORKSPACES, MAX_PROFILES = 65_536, 256, 32
+
+
+def settings_valid(body: Column) -> Column:
+    """Whether a settings file (a JSON text) may be used: size, fields, version 1, absolute workspaces, and profiles with
+    names of their own and the texts that they need. The form of their addresses is not judged."""
+    v = F.try_parse_json(body)
+    kind = lambda x, path: F.schema_of_variant(F.try_variant_get(x, path, "variant"))
+    held = lambda name: F.coalesce(F.array_contains(F.json_object_keys(body), name), F.lit(False))
+    spaces, profiles = F.try_variant_get(v, "$.write_workspaces", "array<variant>"), F.try_variant_get(v, "$.remote_profiles", "array<variant>")
+    absolute = F.forall(spaces, lambda x: F.coalesce((F.schema_of_variant(x) == "STRING") & F.startswith(F.try_variant_get(x, "$", "string"), F.lit("/")), F.lit(False)))
+    names = F.transform(profiles, lambda p: F.try_variant_get(p, "$.name", "string"))
+    texts = lambda p: [kind(p, f"$.{f}") == "STRING" for f in ("name", "base_url", "model")]
+    whole = F.forall(profiles, lambda p: F.coalesce(texts(p)[0] & texts(p)[1] & texts(p)[2] & (F.try_variant_get(p, "$.name", "string") != "") & (F.try_variant_get(p, "$.model", "string") != ""), F.lit(False)))
+    known = F.forall(F.json_object_keys(body), lambda k: k.isin(SETTINGS_FIELDS))
+    good = known & (kind(v, "$.schema_version") == "BIGINT") & (F.try_variant_get(v, "$.schema_version", "bigint") == 1)
+    good &= ~held("write_workspaces") | F.coalesce((F.size(spaces) <= MAX_WORKSPACES) & absolute, F.lit(False))
+    good &= ~held("remote_profiles") | F.coalesce((F.size(profiles) <= MAX_PROFILES) & whole & (F.size(F.array_distinct(names)) == F.size(names)), F.lit(False))
+    return F.coalesce((F.octet_length(body) <= MAX_SETTINGS) & good, F.lit(False))
+
+
 def export_warnings(blocks: DataFrame, group: str, position: str) -> DataFrame:
     """A warning for each block that an export can't show, in order."""
     lost = blocks.where("kind = 'unsupported'").groupBy(group).agg(F.sort_array(F.collect_list(F.struct(position, "description"))).alias("w"))

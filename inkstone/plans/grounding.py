@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
-from inkstone.operators import grounding, history, service
+from inkstone.operators import context, grounding, history, service
 from inkstone.streaming import answers
 
 from . import sql as S
 from .documents import documents
+from .retrieval import ESCAPED, chunks, costed
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +146,26 @@ def chat_request_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.chat_requests(_with_system(spark, sf_dir))
 
 
+#: The policy and the skills' texts of the prompts below; parameters of the query.
+POLICY = "Answer from the given sources alone and cite them."
+
+
+def skill_text(name: F.Column) -> F.Column:
+    return F.struct(F.concat(F.lit("Skill "), name).alias("title"), F.concat(F.lit("Follow the rules of "), name, F.lit(".")).alias("content"))
+
+
+def layered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt for every conversation: policy, the skills that its question asks for, the preferences that its system turns
+    state, and the chunks of the document of its number, within what the layers leave."""
+    asked = history.chat_requests(_with_system(spark, sf_dir))
+    skills = F.transform(grounding.select_skills(F.col("query"), F.lit(True), F.lit(False)), skill_text)
+    requests = asked.select(F.col("conv_id").alias("request_id"), "query", context.system_prompt(F.lit(POLICY), skills, F.col("preferences")).alias("system"))
+    own = costed(chunks(spark, sf_dir)).select(F.col("doc_key").alias("request_id"), F.col("ordinal").alias("position"), "chunk_id", "label", "text", "cost")
+    made = context.assemble(requests, own, T.approx_tokens(F.col("system")), (2048, 512))
+    held = requests.select("request_id", T.digest(F.col("system")).alias("system_digest"))
+    return made.join(held, "request_id").select("request_id", "system_digest", T.digest(F.col("user_prompt")).alias("prompt_digest"), F.size("included").cast("long").alias("n_included"), "estimated_tokens")
+
+
 def history_bounded_push(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histories bounded to four messages and 600 bytes, so that the bounds bite on these conversations."""
     return history.bounded(conversations(spark, sf_dir), 4, 600)
@@ -185,7 +206,7 @@ def sse_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.decode_events(event_lines(spark, sf_dir)).select("stream_id", T.digest(F.col("answer")).alias("answer_digest"), F.length("answer").cast("long").alias("n_chars"), "finished", "too_long")
 
 
-QUERIES = [extract_citations, citation_verified, citation_unverified, citation_ratio, citation_rewrite, eval_facts_match, eval_facts_invented, eval_tallies, eval_gates, positional_diff_counts, positional_diff_text, select_skills, chat_request_fold, history_bounded_push, transcript_to_blocks, heading_carry_forward, page_carry_forward, sse_decode, committed_answers, stream_answers, chat_request_validation]
+QUERIES = [extract_citations, citation_verified, citation_unverified, citation_ratio, citation_rewrite, eval_facts_match, eval_facts_invented, eval_tallies, eval_gates, positional_diff_counts, positional_diff_text, select_skills, chat_request_fold, layered_prompts, history_bounded_push, transcript_to_blocks, heading_carry_forward, page_carry_forward, sse_decode, committed_answers, stream_answers, chat_request_validation]
 
 _TAGGED = "SELECT conv_id, turn, '[source: a:c0] ' || text || ' [source: b:c' || (turn % 3) || ', \"x\"] then [source: zz, 1] [source: open' AS text FROM conversations"
 _CITED = f"SELECT conv_id, turn, unnest(ids) AS cited, CAST(unnest(range(len(ids))) AS BIGINT) AS n FROM (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '\\[source:([^\\]]*)\\]', 1), lambda x: trim(string_split(x, ',')[1])) AS ids FROM ({_TAGGED}))"
@@ -222,6 +243,14 @@ SQL = {
     "positional_diff_text": f"SELECT doc_id, sha256('--- a/doc-' || doc_id || '.txt' || chr(10) || '+++ b/doc-' || doc_id || '.txt' || chr(10) || '@@ -1,' || any_value(na) || ' +1,' || any_value(nb) || ' @@' || string_agg(CASE WHEN x = y THEN chr(10) || ' ' || x ELSE coalesce(chr(10) || '-' || x, '') || coalesce(chr(10) || '+' || y, '') END, '' ORDER BY i)) AS diff_digest FROM ({_PAIRS}) GROUP BY doc_id",
     "select_skills": f"SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN {_EDIT} OR turn = 3 THEN 'safe-editing' END, CASE WHEN {_FIND} THEN 'discovery' END, CASE WHEN {_COMPARE} THEN 'comparison' END, CASE WHEN {_SUMMARIZE} THEN 'summarization' END, CASE WHEN turn % 2 = 0 AND NOT ({_COMPARE} OR {_SUMMARIZE}) THEN 'grounded-reading' END, CASE WHEN turn % 2 = 0 OR {_COMPARE} OR {_SUMMARIZE} THEN 'citation' END], lambda x: x IS NOT NULL), ',') AS skills FROM (SELECT *, {S.lower('text')} AS q FROM conversations)",
     "chat_request_fold": "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (turn % 5 = 0) AS preferences, coalesce(arg_max(text, turn) FILTER (turn % 5 <> 0 AND role = 'user'), '') AS query FROM conversations GROUP BY conv_id",
+    "layered_prompts": f"""WITH r AS (SELECT conv_id AS request_id, query, '{POLICY}' || array_to_string(list_transform(skills, lambda s: chr(10) || chr(10) || '## Skill ' || s || chr(10) || 'Follow the rules of ' || s || '.'), '') || CASE WHEN {S.trim("coalesce(preferences, '')")} <> '' THEN chr(10) || chr(10) || '## Client Preferences' || chr(10) || {S.trim('preferences')} ELSE '' END AS system
+              FROM (SELECT *, list_filter([CASE WHEN {_EDIT} THEN 'safe-editing' END, CASE WHEN {_FIND} THEN 'discovery' END, CASE WHEN {_COMPARE} THEN 'comparison' END, CASE WHEN {_SUMMARIZE} THEN 'summarization' END, CASE WHEN NOT ({_COMPARE} OR {_SUMMARIZE}) THEN 'grounded-reading' END, 'citation'], lambda x: x IS NOT NULL) AS skills
+                    FROM (SELECT *, {S.lower('query')} AS q FROM (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (turn % 5 = 0) AS preferences, coalesce(arg_max(text, turn) FILTER (turn % 5 <> 0 AND role = 'user'), '') AS query FROM conversations GROUP BY conv_id)))),
+        t AS (SELECT *, {S.tokens('system')} AS st, greatest(0, 2048 - 512 - {S.tokens('system')} - {S.tokens('query')} - 50) AS room FROM r),
+        o AS (SELECT *, sum(cost) OVER w AS run, row_number() OVER w AS n FROM (SELECT request_id, room, ordinal, {S.LABEL} AS label, c.text, {S.COST} AS cost FROM t JOIN ({S.chunks()}) c ON doc_key = request_id) WINDOW w AS (PARTITION BY request_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING)),
+        k AS (SELECT request_id, count(*) AS n, string_agg(label || chr(10) || {ESCAPED.format('text')} || chr(10) || chr(10), '' ORDER BY ordinal) AS parts FROM o WHERE run <= room OR n = 1 GROUP BY request_id),
+        u AS (SELECT request_id, system, st, coalesce(n, 0) AS n, CASE WHEN parts IS NULL THEN '' ELSE '=== BEGIN UNTRUSTED DOCUMENT CONTENT ===' || chr(10) || parts || '=== END UNTRUSTED DOCUMENT CONTENT ===' || chr(10) || chr(10) END || query AS prompt FROM t LEFT JOIN k USING (request_id))
+        SELECT request_id, sha256(system) AS system_digest, sha256(prompt) AS prompt_digest, n AS n_included, st + {S.tokens('prompt')} AS estimated_tokens FROM u""",
     "history_bounded_push": """WITH RECURSIVE m AS (SELECT conv_id, turn, strlen(text) AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
         h AS (SELECT conv_id, turn, i, b <= 600 AS accepted, CASE WHEN b <= 600 THEN b ELSE 0 END AS history_bytes, CASE WHEN b <= 600 THEN 1 ELSE 0 END AS n FROM m WHERE i = 1
               UNION ALL SELECT m.conv_id, m.turn, m.i, n < 4 AND b <= 600 - history_bytes, history_bytes + CASE WHEN n < 4 AND b <= 600 - history_bytes THEN b ELSE 0 END, n + CASE WHEN n < 4 AND b <= 600 - history_bytes THEN 1 ELSE 0 END

@@ -153,7 +153,7 @@ _MANY = f"""{_C},
     s AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM c),
     h AS (SELECT query_id, doc_key, ordinal, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM p JOIN d USING (term) JOIN q USING (term) CROSS JOIN s GROUP BY ALL)
     SELECT query_id, doc_key, ordinal, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal, doc_key) AS rank FROM h) WHERE rank <= 20"""
-_ESCAPED = "replace(replace({}, '=== BEGIN UNTRUSTED DOCUMENT CONTENT ===', '[escaped-delimiter: begin-untrusted-content]'), '=== END UNTRUSTED DOCUMENT CONTENT ===', '[escaped-delimiter: end-untrusted-content]')"
+ESCAPED = "replace(replace({}, '=== BEGIN UNTRUSTED DOCUMENT CONTENT ===', '[escaped-delimiter: begin-untrusted-content]'), '=== END UNTRUSTED DOCUMENT CONTENT ===', '[escaped-delimiter: end-untrusted-content]')"
 
 SQL = {
     "chunk_documents": f"{_C} SELECT doc_key, ordinal, chunk_id, token_count, sha256(text) AS text_digest, len(terms) AS n_terms FROM c",
@@ -191,7 +191,7 @@ SQL = {
         SELECT query_id, doc_key, ordinal, chunk_id, cost, row_number() OVER (PARTITION BY query_id ORDER BY digest, ordinal, doc_key) AS read_at FROM t JOIN c ON key = doc_key || ' ' || ordinal""",
     "assemble_prompt": f"""{_C}, t AS (SELECT conv_id AS request_id, text AS query, greatest(0, 2048 - 512 - {SYSTEM_TOKENS} - {S.tokens('text')} - 50) AS room FROM conversations WHERE turn = 0),
         o AS (SELECT *, sum(cost) OVER w AS run, row_number() OVER w AS n FROM (SELECT request_id, room, ordinal, {S.LABEL} AS label, c.text, {S.COST} AS cost FROM t JOIN c ON doc_key = request_id) WINDOW w AS (PARTITION BY request_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING)),
-        k AS (SELECT request_id, count(*) AS n, string_agg(label || chr(10) || {_ESCAPED.format('text')} || chr(10) || chr(10), '' ORDER BY ordinal) AS parts FROM o WHERE run <= room OR n = 1 GROUP BY request_id),
+        k AS (SELECT request_id, count(*) AS n, string_agg(label || chr(10) || {ESCAPED.format('text')} || chr(10) || chr(10), '' ORDER BY ordinal) AS parts FROM o WHERE run <= room OR n = 1 GROUP BY request_id),
         u AS (SELECT request_id, coalesce(n, 0) AS n, CASE WHEN parts IS NULL THEN '' ELSE '=== BEGIN UNTRUSTED DOCUMENT CONTENT ===' || chr(10) || parts || '=== END UNTRUSTED DOCUMENT CONTENT ===' || chr(10) || chr(10) END || query AS prompt FROM t LEFT JOIN k USING (request_id))
         SELECT request_id, sha256(prompt) AS prompt_digest, n AS n_included, {SYSTEM_TOKENS} + {S.tokens('prompt')} AS estimated_tokens FROM u""",
     "sanitize_delimiters": "SELECT doc_id, sha256('[escaped-delimiter: end-untrusted-content]' || text || '[escaped-delimiter: begin-untrusted-content]') AS clean_digest FROM documents",

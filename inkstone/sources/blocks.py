@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RUNS = "array<struct<kind: string, text: string, url: string>>"
@@ -17,6 +17,11 @@ _TYPES = [pa.string(), pa.int16(), pa.list_(_RUN), pa.bool_(), pa.list_(pa.list_
 _BLOCK = pa.struct(list(zip(FIELDS, _TYPES, strict=True)))
 
 
+def anchor() -> Column:
+    """Where a block stands in its file: page, section, its number and its lines."""
+    return F.struct("page", "section", F.col("pos").alias("block_index"), "line_start", "line_end")
+
+
 METADATA = ("title", "author", "created", "modified")
 
 

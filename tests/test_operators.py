@@ -426,3 +426,27 @@ def test_answers_stream_over_batches_and_commit_when_finished(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/lines")
     lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/lines")
     assert [(r.stream_id, r.answer) for r in answers.committed_once(spark, lines).collect()] == [(1, "ab")]
+
+
+@pytest.mark.parametrize(
+    ("body", "valid"),
+    [
+        ('{"schema_version": 1}', True),
+        ('{"schema_version": 1, "write_workspaces": ["/a"], "remote_profiles": [{"name": "p", "base_url": "https://x/", "model": "m"}]}', True),
+        ('{"schema_version": 2}', False),
+        ("{}", False),
+        ("[1]", False),
+        ("x", False),
+        (None, False),
+        ('{"schema_version": 1, "more": 2}', False),
+        ('{"schema_version": 1, "write_workspaces": ["a"]}', False),
+        ('{"schema_version": 1, "write_workspaces": "/a"}', False),
+        ('{"schema_version": 1, "remote_profiles": [{"name": "p", "base_url": "u", "model": "m"}, {"name": "p", "base_url": "u", "model": "m"}]}', False),
+        ('{"schema_version": 1, "remote_profiles": [{"name": "", "base_url": "u", "model": "m"}]}', False),
+        ('{"schema_version": 1, "remote_profiles": [{"name": "p"}]}', False),
+        ('{"schema_version": 1, "write_workspaces": [' + ", ".join(['"/a"'] * 257) + "]}", False),
+        ('{"schema_version": 1}' + " " * 70_000, False),
+    ],
+)
+def test_settings(spark, body, valid):
+    assert value(spark, service.settings_valid(F.lit(body).cast("string"))) is valid
