@@ -1,12 +1,14 @@
 """Byte-level BPE encoding and decoding with a pair occurrence index.
 
-Each task gathers the new words of its partition, a batch at a time, lays them out as one run of symbols and indexes
-every mergeable pair by its rank with the list of all its positions. Ranks are then applied in ascending order: a rank
-merges all its positions at once, left to right, and the pairs that the merges make or break update the lists of the
-affected ranks. Words once encoded stay in a bounded table, so that common words cost a lookup.
-
-Defined results: a null text counts as empty (no ids, empty decoded text); a special token's string in a text becomes
-its single id, as in the tokenizers library; repeated rows give repeated results; other columns are not read.
+Each task takes its partition in runs of up to four million characters (or one longer text), which bounds its memory. It
+gathers the words of a run that it hasn't met before in the partition, lays them out as one row of symbols and indexes
+every mergeable pair by its rank with the list of all its positions there. Ranks are then applied in ascending order: a
+rank merges all its positions at once, left to right, and the pairs that the merges make or break update the lists of
+the affected ranks. Words once encoded stay in a bounded table, so that in the rest of the partition they cost a lookup.
+
+Defined results: a null text counts as empty (no ids, empty decoded text); texts of any length are encoded whole; a
+special token's string in a text becomes its single id, as in the tokenizers library; of equal pairs the leftmost merges
+first; repeated rows give repeated results; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
