@@ -13,6 +13,7 @@ from .documents import documents
 from .retrieval import chunks
 
 FOLDERS = ["", "sub/", ".git/", "models/", "a/node_modules/", "out/", ".hidden/"]
+RULES = ["# files that are left out", "", "out/", "*.txt", "!d1*.txt", "/*/sub/d?.md", "**/models/*.PDF"]
 TYPED = ["doc-1", "DOC-2", "c-33", "doc-", "zz"]
 
 
@@ -71,11 +72,15 @@ def discover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.usable(_listed(spark, sf_dir)).select("doc_id", "path", "byte_size", "format")
 
 
+def ignored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(spark, sf_dir).select("doc_id", "path", discovery.ignored_by(F.col("path"), RULES).alias("ignored"))
+
+
 def discovery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.report(_listed(spark, sf_dir)).withColumn("within_limits", discovery.within_limits())
 
 
-QUERIES = [upload_validation, source_records, name_completion, granted_documents, export_warnings, shown_sizes, discover_files, discovery_report]
+QUERIES = [upload_validation, source_records, name_completion, granted_documents, export_warnings, shown_sizes, discover_files, ignored_files, discovery_report]
 
 _FILES = """SELECT doc_id, source || '/' || ['', 'sub/', '.git/', 'models/', 'a/node_modules/', 'out/', '.hidden/'][doc_id % 7 + 1] || 'd' || doc_id || ['.md', '.txt', '.exe', '.PDF', ''][doc_id % 5 + 1] AS path,
     strlen(text) * CASE WHEN doc_id % 13 = 0 THEN 1048576 ELSE 1 END AS byte_size, ['md', 'txt', NULL, 'pdf', NULL][doc_id % 5 + 1] AS format, doc_id % 7 IN (0, 1, 5) AND doc_id % 5 IN (0, 1, 3) AS usable FROM documents"""
@@ -93,5 +98,6 @@ SQL = {
     "export_warnings": "SELECT doc_id, count(*) AS n_warnings, string_agg('not exported: chart ' || n || ' of ' || length(line), '; ' ORDER BY n) AS warnings FROM (SELECT doc_id, unnest(t) AS line, unnest(range(len(t))) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)) WHERE n % 9 = 4 GROUP BY doc_id",
     "shown_sizes": "SELECT doc_id, CASE WHEN n >= 1073741824 THEN printf('%.2f GiB', n / 1073741824.0) WHEN n >= 1048576 THEN printf('%.1f MiB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.1f KiB', n / 1024.0) ELSE n || ' bytes' END AS shown FROM (SELECT doc_id, CAST(strlen(text) * power(1024, doc_id % 4) AS BIGINT) AS n FROM documents)",
     "discover_files": f"SELECT doc_id, path, byte_size, format FROM ({_FILES}) WHERE usable AND byte_size <= 52428800",
+    "ignored_files": f"SELECT doc_id, path, doc_id % 7 = 5 OR (doc_id % 5 = 1 AND CAST(doc_id AS VARCHAR) NOT LIKE '1%') OR (doc_id % 7 = 1 AND doc_id % 5 = 0 AND doc_id < 10) OR (doc_id % 7 = 3 AND doc_id % 5 = 3) AS ignored FROM ({_FILES})",
     "discovery_report": f"SELECT count(*) FILTER (byte_size <= 52428800) AS n_files, CAST(coalesce(sum(byte_size) FILTER (byte_size <= 52428800), 0) AS BIGINT) AS total_bytes, count(*) FILTER (byte_size > 52428800) AS oversized, count(*) FILTER (byte_size <= 52428800) <= 10000 AND coalesce(sum(byte_size) FILTER (byte_size <= 52428800), 0) <= 262144000 AS within_limits FROM ({_FILES}) WHERE usable",
 }

@@ -80,6 +80,25 @@ def walk(root: str) -> dict:
     return {"files": found, **counts}
 
 
+def ignored_by(path: Column, lines: list[str]) -> Column:
+    """Whether the lines of an ignore file at the root leave out the file at path, or a folder that it lies in."""
+
+    def verdict(at: Column, is_dir: bool) -> Column:
+        out = F.lit(False)
+        for line in lines:  # the last that matches decides
+            rule = line.strip()
+            if not rule or rule.startswith("#"):
+                continue
+            keep, rule = rule.startswith("!"), rule.removeprefix("!")
+            if is_dir or not rule.endswith("/"):
+                out = F.when(at.rlike(f"^(?:{glob_pattern(rule).pattern})$"), F.lit(not keep)).otherwise(out)
+        return out
+
+    parts = F.split(path, "/")
+    folders = F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: n > 0), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return F.exists(folders, lambda f: verdict(f, True)) | verdict(path, False)
+
+
 def hidden(path: Column) -> Column:
     return F.exists(F.split(path, "/"), lambda p: F.startswith(p, F.lit(".")))
 
