@@ -52,7 +52,7 @@ SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares no band with probability 2e-5, one of 0.85 with 2e-8, however often shingles are repeated.
 BANDS, ROWS = 36, 6
 #: Words whose shingles a task holds at once, beside one whole text.
-RUN_WORDS = 1_000_000
+RUN_WORDS = 400_000
 #: Rounds of leaders before the comparison across classes.
 LEADERS = 3
 #: The most holders of a shingle that counts as rare in the comparison across classes; pairs beyond it meet in buckets.
@@ -205,10 +205,11 @@ def _relabel(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(new, "root", "left").withColumn("root", F.coalesce("__new", "root")).drop("__new")
 
 
-def _open(rows: DataFrame) -> DataFrame:
-    """The rows of buckets that hold two classes or more."""
-    mixed = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    return rows.join(mixed, "bucket").select(*rows.columns)
+def _open(rows: DataFrame, label: str = "root") -> DataFrame:
+    """The rows of buckets that hold two classes or more. The list of these is written first, so that the join deals out
+    both of its sides anew and can split a bucket that holds very many nodes."""
+    mixed = rows.groupBy("bucket").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo < hi").select("bucket")
+    return rows.join(settle(mixed, "open-buckets"), "bucket").select(*rows.columns)
 
 
 def _held(sets: DataFrame) -> DataFrame:
@@ -273,7 +274,7 @@ def _partners(similarity: float) -> Column:
 
 def labels(nodes: DataFrame, identified: DataFrame, similarity: float = SIMILARITY, leaders: int = LEADERS, rare: int = RARE) -> DataFrame:
     """(node, root) of every node that shares a bucket; nodes: (node, doc_id, text_hash, bands)."""
-    first = settle(_open(nodes.select(F.explode("bands").alias("bucket"), "node", F.col("node").alias("root"))), "buckets")
+    first = settle(_open(nodes.select(F.explode("bands").alias("bucket"), "node"), "node").withColumn("root", F.col("node")), "buckets")
     busy = nodes.join(first.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
     texts = identified.join(busy, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"])  # a row per node, however many copies
     sets = settle(texts.mapInArrow(_sets, "node bigint, shingles array<int>"), "sets")
@@ -320,12 +321,14 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        # the least neighbours are written, so that the joins can split a node that very many are linked to
+        least = settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = settle(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "stars")
+        low = settle(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = settle(small.union(low.select("a", F.col("m").alias("b"))).where("a != b").distinct(), "edges")
-        discard(edges)
+        for done in (edges, least, large, low):
+            discard(done)
         edges = new
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
