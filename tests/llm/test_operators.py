@@ -266,7 +266,7 @@ def test_bounds_let_pairs_of_exactly_four_fifths_pass(spark):
     assert pairs.where(near_dedup._partners(0.8)).count() == len(sizes)
 
 
-@pytest.mark.parametrize(("leaders", "rare"), [(0, 1), (0, 4), (1, 32), (3, 32)])
+@pytest.mark.parametrize(("leaders", "rare"), [(0, 1), (1, 32)])
 def test_near_dedup_of_edits_that_mostly_are_not_linked(spark, leaders, rare):
     """The last comparison finds every link, whether rare shingles or common ones show it."""
     rng = np.random.default_rng(5)
