@@ -66,13 +66,15 @@ def committed(answers: DataFrame) -> DataFrame:
     return answers.where(F.col("finished") & ~F.col("too_long"))
 
 
-def decode_events(lines: DataFrame, max_line: int = 262_144, max_answer: int = 1_048_576) -> DataFrame:
-    """stream_id, answer, finished, too_long from event lines (stream_id, seq, line): data: JSON deltas up to [DONE]."""
+def decode_events(lines: DataFrame, max_line: int = 262_144, max_answer: int = 1_048_576, max_stream: int = 8_388_608) -> DataFrame:
+    """stream_id, answer, finished, too_long from event lines (stream_id, seq, line): data: JSON deltas up to [DONE].
+
+    too_long: a line, the answer or all lines of the stream together pass their bound, in bytes."""
     body = F.regexp_extract("line", r"^data:\s?(.*)$", 1)
     delta = F.get_json_object(body, "$.choices[0].delta.content")
-    rows = lines.where(F.startswith("line", F.lit("data:"))).select("stream_id", "seq", (body == "[DONE]").alias("done"), F.coalesce(delta, F.lit("")).alias("delta"), (F.octet_length("line") > max_line).alias("long"))
+    rows = lines.where(F.startswith("line", F.lit("data:"))).select("stream_id", "seq", (body == "[DONE]").alias("done"), F.coalesce(delta, F.lit("")).alias("delta"), (F.octet_length("line") > max_line).alias("long"), F.octet_length("line").cast("long").alias("size"))
     end = F.min(F.when(F.col("done"), F.col("seq")))
-    parts = rows.groupBy("stream_id").agg(end.alias("stop"), F.sort_array(F.collect_list(F.struct("seq", "delta"))).alias("parts"), F.max("long").alias("long"))
+    parts = rows.groupBy("stream_id").agg(end.alias("stop"), F.sort_array(F.collect_list(F.struct("seq", "delta"))).alias("parts"), (F.max("long") | (F.sum("size") > max_stream)).alias("long"))
     kept = F.filter("parts", lambda p: F.col("stop").isNull() | (p["seq"] < F.col("stop")))
     answer = F.array_join(F.transform(kept, lambda p: p["delta"]), "")
     return parts.select("stream_id", answer.alias("answer"), F.col("stop").isNotNull().alias("finished"), (F.col("long") | (F.octet_length(answer) > max_answer)).alias("too_long"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkstone.functions import tables
 from inkstone.functions import text as T
 from inkstone.operators import bm25, chunking, context
+from inkstone.streaming import ingest
 
 from . import sql as S
 from .documents import documents
@@ -65,6 +66,14 @@ def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.document_frequency(bm25.postings(chunks(spark, sf_dir)))
 
 
+def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequencies over an index folder to which documents were added in two batches."""
+    path = tables.work_dir(spark, "postings")
+    for turn in range(2):
+        ingest.append_postings(spark, chunks(spark, sf_dir).where(F.col("doc_key") % 2 == turn), path)
+    return bm25.document_frequency(spark.read.parquet(path))
+
+
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.corpus_stats(chunks(spark, sf_dir)).select("n_chunks", F.round("avgdl", 6).alias("avgdl"))
 
@@ -142,7 +151,7 @@ def sanitize_delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", T.digest(context.sanitize(body)).alias("clean_digest"))
 
 
-QUERIES = [chunk_documents, chunk_count_by_source, chunk_overlap_words, citation_labels, terms_exploded, term_frequency, document_frequency, corpus_stats, bm25_search, bm25_repeated_terms, bm25_file_filter, bm25_digest_prefix_filter, bm25_multi_query, query_file_filter_parse, adjacent_chunks, pack_direct, pack_prompt_first_kept, map_reduce_batches, select_retrieval, assemble_prompt, sanitize_delimiters]
+QUERIES = [chunk_documents, chunk_count_by_source, chunk_overlap_words, citation_labels, terms_exploded, term_frequency, document_frequency, incremental_index, corpus_stats, bm25_search, bm25_repeated_terms, bm25_file_filter, bm25_digest_prefix_filter, bm25_multi_query, query_file_filter_parse, adjacent_chunks, pack_direct, pack_prompt_first_kept, map_reduce_batches, select_retrieval, assemble_prompt, sanitize_delimiters]
 
 _C = f"WITH c AS ({S.chunks()})"
 _PACK = f"{_C} SELECT doc_key, ordinal, cost, CAST(running AS BIGINT) AS running_cost FROM (SELECT *, sum(cost) OVER w AS running, row_number() OVER w AS n FROM (SELECT *, {S.COST} AS cost FROM c) WINDOW w AS (PARTITION BY doc_key ORDER BY ordinal ROWS UNBOUNDED PRECEDING)) WHERE "
@@ -163,6 +172,7 @@ SQL = {
     "terms_exploded": f"{_C} SELECT doc_key, ordinal, count(*) AS n_terms, min(term) AS first_term, max(term) AS last_term FROM (SELECT doc_key, ordinal, unnest(terms) AS term FROM c) GROUP BY ALL",
     "term_frequency": f"{_C} SELECT doc_key, ordinal, term, count(*) AS tf FROM (SELECT doc_key, ordinal, unnest(terms) AS term FROM c) GROUP BY ALL",
     "document_frequency": f"{_C} SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_key, ordinal, term FROM (SELECT doc_key, ordinal, unnest(terms) AS term FROM c)) GROUP BY term",
+    "incremental_index": f"{_C} SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_key, ordinal, term FROM (SELECT doc_key, ordinal, unnest(terms) AS term FROM c)) GROUP BY term",
     "corpus_stats": f"{_C} SELECT count(*) AS n_chunks, round(avg(len(terms)), 6) AS avgdl FROM c",
     "bm25_search": S.bm25(QUERY, 10),
     "bm25_repeated_terms": S.bm25(REPEATED, 10),

@@ -450,3 +450,10 @@ def test_answers_stream_over_batches_and_commit_when_finished(spark, tmp_path):
 )
 def test_settings(spark, body, valid):
     assert value(spark, service.settings_valid(F.lit(body).cast("string"))) is valid
+
+
+def test_streams_have_bounds(spark):
+    data = lambda s: 'data: {"choices":[{"delta":{"content":"%s"}}]}' % s
+    rows = [(1, 0, data("a")), (2, 0, data("b" * 200)), (3, 0, data("c" * 60)), (3, 1, data("c" * 60)), (4, 0, data("d" * 30)), (4, 1, data("d" * 30)), *((5, i, data("e")) for i in range(6))]
+    found = history.decode_events(spark.createDataFrame(rows, "stream_id long, seq long, line string"), max_line=150, max_answer=100, max_stream=240)
+    assert {r.stream_id: r.too_long for r in found.collect()} == {1: False, 2: True, 3: True, 4: False, 5: True}
