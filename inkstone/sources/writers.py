@@ -71,9 +71,15 @@ def odt(blocks: list[dict], title: str | None = None) -> bytes:
     def spaced(text: str) -> str:
         return escape(text).replace("\n", "<text:line-break/>").replace("\t", "<text:tab/>").replace("  ", ' <text:s text:c="1"/>')
 
+    def marked(runs: list[dict]) -> str:
+        style = {"strong": "Strong", "emphasis": "Emphasis"}
+        return "".join(f'<text:span text:style-name="{style[r["kind"]]}">{spaced(r["text"] or "")}</text:span>' if r["kind"] in style else spaced(r["text"] or "") for r in runs)
+
     out = []
     for b in blocks:
-        if b["kind"] == "heading":
+        if b["kind"] == "paragraph":
+            out.append(f"<text:p>{marked(b['runs'])}</text:p>")
+        elif b["kind"] == "heading":
             out.append(f'<text:h text:outline-level="{b["level"]}">{spaced(_text(b["runs"]))}</text:h>')
         elif b["kind"] == "list":
             out.append("<text:list>" + "".join(f"<text:list-item><text:p>{spaced(_text(x))}</text:p></text:list-item>" for x in b["items"]) + "</text:list>")
@@ -83,7 +89,8 @@ def odt(blocks: list[dict], title: str | None = None) -> bytes:
             out += [f"<text:p>{spaced(x)}</text:p>" for x in _lines(b)]
     kind = "application/vnd.oasis.opendocument.text"
     head = '<?xml version="1.0" encoding="UTF-8"?>'
-    content = f'{head}<office:document-content xmlns:office="{ODF}office:1.0" xmlns:text="{ODF}text:1.0" xmlns:table="{ODF}table:1.0"><office:body><office:text>{"".join(out)}</office:text></office:body></office:document-content>'
+    styles = '<office:automatic-styles><style:style style:name="Strong" style:family="text"><style:text-properties fo:font-weight="bold"/></style:style><style:style style:name="Emphasis" style:family="text"><style:text-properties fo:font-style="italic"/></style:style></office:automatic-styles>'
+    content = f'{head}<office:document-content xmlns:office="{ODF}office:1.0" xmlns:text="{ODF}text:1.0" xmlns:table="{ODF}table:1.0" xmlns:style="{ODF}style:1.0" xmlns:fo="{ODF}xsl-fo-compatible:1.0">{styles}<office:body><office:text>{"".join(out)}</office:text></office:body></office:document-content>'
     manifest = f'{head}<manifest:manifest xmlns:manifest="{ODF}manifest:1.0"><manifest:file-entry manifest:full-path="/" manifest:media-type="{kind}"/><manifest:file-entry manifest:full-path="content.xml" manifest:media-type="text/xml"/><manifest:file-entry manifest:full-path="meta.xml" manifest:media-type="text/xml"/></manifest:manifest>'
     meta = f'{head}<office:document-meta xmlns:office="{ODF}office:1.0" xmlns:dc="{DC}"><office:meta><dc:title>{escape(title or "")}</dc:title><dc:creator>{CREATOR}</dc:creator></office:meta></office:document-meta>'
     return _zip([("mimetype", kind), ("META-INF/manifest.xml", manifest), ("content.xml", content), ("meta.xml", meta)], stored="mimetype")
