@@ -10,8 +10,10 @@ The model is fitted on a bounded sample: about ``per_language`` documents of eac
 most ``passage`` words each (documented parameters). Every word of every text is labelled. Forward-backward runs over
 many texts at once in chunks: chunk transfer matrices first, then the chain of chunks, then inside all chunks together.
 
-Defined results: null text, or text without a letter, is ``und`` with score 0; without training rows everything is
-``und``; a null doc_id counts as the empty string for the fold; repeated rows get the same result; an empty table gives
+Defined results: null text, or text without a letter (numerals such as the superscript two are none), is ``und`` with
+score 0; of languages with the same share the first by name is taken; without training rows everything is ``und``; of
+training rows that share doc_id and language one passage counts, the smallest, and rows without doc_id are not learned
+from; a null doc_id counts as the empty string for the fold; repeated rows get the same result; an empty table gives
 no rows; lang, source and other columns are no inputs of a prediction.
 """
 
@@ -29,6 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 PER_LANGUAGE = 1500
 PASSAGE = 80
 MOST_PASSAGES = 100_000
@@ -45,7 +49,11 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    return _word((text or "").lower())
+    """Runs of letters; the numerals that the expression takes for letters, such as the superscript two, part words."""
+    words = _word((text or "").lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [part for w in words for part in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 class Model(NamedTuple):
@@ -273,8 +281,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, passage: int = PASS
     """Fits on about per_language documents of each language outside the held-out fold, most altogether."""
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 1))
     own = own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    share = own.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share"))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("share") * 1_000_003
+    share = settle(own.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share")), "language-shares")
+    chosen = own.select("doc_id", "lang").join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    chosen = chosen.select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id", "lang"), "doc_id", "lang").limit(most)
 
     def passages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -285,9 +294,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, passage: int = PASS
                 rows.append((i, lang, "\n".join(words[at : at + passage])))
             yield pd.DataFrame(rows, columns=["doc_id", "lang", "words"])
 
-    sample = own.join(F.broadcast(share), "lang").where(drawn).select("doc_id", "lang", "text")
-    drawn_passages = sample.mapInPandas(passages, "doc_id bigint, lang string, words string").dropDuplicates(["doc_id", "lang"])
-    got = drawn_passages.limit(most).toPandas()
+    sample = own.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text")  # most rows at most are broadcast
+    drawn_passages = sample.mapInPandas(passages, "doc_id bigint, lang string, words string").groupBy("doc_id", "lang").agg(F.min("words").alias("words"))
+    got = drawn_passages.toPandas()
     got = got.sort_values(["doc_id", "lang", "words"], kind="stable")
     return fit([(lang, words.split("\n") if words else []) for lang, words in zip(got["lang"], got["words"], strict=True)])
 
