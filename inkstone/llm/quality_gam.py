@@ -8,8 +8,10 @@ table entry for each feature and pair.
 The model is fitted on at most ``train_rows`` labelled rows (smallest hash of doc_id first, a documented bound); every
 document is scored. Labels, lang, source and doc_id play no part in a score.
 
-Defined results: a null text counts as empty and is scored; a null doc_id counts as the empty string for the fold;
-without labelled rows every score is one half; repeated rows get the same score; other columns are not read.
+Defined results: a null text counts as empty and is scored; texts of any length are counted whole; a null doc_id counts
+as the empty string for the fold; without labelled rows every score is one half; of training rows that share doc_id and
+label the one with the smallest ratios counts, so training gives the same model each time; repeated rows get the same
+score; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -156,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> P
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(train_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", F.pandas_udf(_features, "array<double>")("text").alias("x"))
-    rows = rows.dropDuplicates(["doc_id", "quality"])  # a doc_id that many rows share counts once, so that the bound holds
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("x").alias("x"))  # a doc_id that many rows share counts once, so that the bound holds
     rows = rows.toPandas().sort_values(["doc_id", "quality"], kind="stable")
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), N_FEATURES)
     return PairwiseGam().fit(x, rows["quality"].to_numpy(float))
