@@ -10,6 +10,9 @@ empty table. What a stage does with ties and repeated rows stands with it.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from inkstone.llm import exact_dedup, near_dedup, packing, quality_gam, quality_rules
@@ -17,29 +20,50 @@ from inkstone.llm.common import settle, table
 from inkstone.llm.queries import END_ID, SEQUENCE_TOKENS, TOKENIZER
 
 
+#: Rows that go to a Python worker at once. Spark's ten thousand would hold a whole input split, some fifty megabytes of
+#: texts, in the executor and again in the worker.
+BATCH_ROWS = 1000
+
+
+def in_short_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with the session set to short Arrow batches; the setting stays, for the stage's result is lazy."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@in_short_batches
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised quality rules keep; equal texts, repeated rows too, get the same verdict, and
     texts without words go."""
     return quality_rules.keep_good(docs)
 
 
+@in_short_batches
 def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps; equal texts get the same score, and a score of exactly the threshold
     keeps. Without labelled rows every score is one half and all stay."""
     return quality_gam.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@in_short_batches
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased), the document with the largest doc_id; null ids come last, one of repeated rows stays."""
     return exact_dedup.keep_one(docs)
 
 
+@in_short_batches
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, that with the smallest doc_id; a null id counts as smallest, one of
     repeated rows stays, and texts without words are one class."""
     return near_dedup.keep_one(docs)
 
 
+@in_short_batches
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents' token pieces, packed into sequences; repeated rows are packed as often as they occur, and an
     empty text is one piece that holds only the end mark."""
