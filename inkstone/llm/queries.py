@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_main_text, language_crf, license_scan, near_dedup, packing, quality_gam, quality_rules, toxicity_chain
+from . import bpe, exact_dedup, html_main_text, importance_planes, language_crf, license_scan, near_dedup, packing, quality_gam, quality_rules, secret_cnn, shared_search, toxicity_chain
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,6 +55,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_cnn.scan(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_planes.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 ALL = (
     op1_best_fit_packing,
     op2_bpe_round_trip,
@@ -66,6 +78,9 @@ ALL = (
     op8_language_crf,
     op9_html_extraction,
     op10_quality_classifier,
+    op11_secret_scan,
+    op12_ranked_search,
+    op13_importance_resampling,
 )
 
 
@@ -74,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op6_exact_dedup": exact_dedup.ORACLE_SQL, "op12_ranked_search": shared_search.ORACLE_SQL, "op13_importance_resampling": importance_planes.ORACLE_SQL}
