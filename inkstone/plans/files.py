@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import struct
+import zipfile
 import zlib
 from collections.abc import Iterator
 
@@ -10,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstone.functions import tables
 from inkstone.functions import text as T
 from inkstone.operators import chunking, render
 from inkstone.sources import blocks as B
-from inkstone.sources import writers
+from inkstone.sources import workspace, writers
 
 from . import sql as S
 from .documents import documents
@@ -263,7 +266,73 @@ def stream_ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest_once(spark, f"{sf_dir}/documents.parquet").select("doc_key", "ordinal", "chunk_id", "token_count")
 
 
-QUERIES = [markdown_blocks, markdown_inline_runs, markdown_table_split, render_markdown, render_plain, roundtrip_docx, roundtrip_odt, roundtrip_rtf, pdf_extract, read_errors, stream_ingest_chunks, chunk_markdown_blocks, chunk_docx, chunk_odt, chunk_rtf, chunk_doc, citation_labels_of_blocks, block_tokens, document_headings, document_metadata]
+def _workspace(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A folder to which every document was written as a file, some in folders or under names that aren't looked at, some
+    under paths that lead out of it; and what writing said."""
+    turn = F.col("doc_id") % 9
+    folder = F.element_at(F.array(*(F.lit(f) for f in ("", "a/", "a/b/", "out/", "a/.hidden/", "build/", "a/b/c/", "", "../"))), (turn + 1).cast("int"))
+    ext = F.element_at(F.array(*(F.lit(e) for e in (".md", ".txt", ".bin", ".TEXT"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    path = F.concat(F.col("lang"), F.lit("/"), folder, F.lit("d"), F.col("doc_id"), ext)
+    rules = spark.createDataFrame([(".gitignore", "out/\n")], "path string, text string")
+    files = documents(spark, sf_dir).select(F.when(turn == 8, F.concat(F.lit("../"), path)).otherwise(path).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    inner = documents(spark, sf_dir).select(F.concat("lang", F.lit("/a/.gitignore")).alias("path"), F.lit("*1.md\n!*11.md\n").alias("text")).distinct()
+    root = tables.work_dir(spark, "workspace")
+    every = files.unionByName(rules).unionByName(inner)
+    return root, workspace.write(every.select("path", F.col("text").cast("binary").alias("content")), root)
+
+
+def written_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _workspace(spark, sf_dir)[1]
+
+
+def workspace_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a discovery of that folder reads: by listing, ignore files on two levels, formats, then contents."""
+    root, _ = _workspace(spark, sf_dir)
+    files = workspace.listed(spark, root)
+    found = tables.settle(workspace.discovered(files, workspace.rule_files(spark, root, files)), "discovered")
+    return workspace.read(spark, root, found).select("path", "format", "byte_size", F.sha2("content", 256).alias("digest"))
+
+
+def workspace_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, _ = _workspace(spark, sf_dir)
+    files = workspace.listed(spark, root)
+    return workspace.report(workspace.discovered(files, workspace.rule_files(spark, root, files)))
+
+
+def broken_office_file(fmt: str, lines: list[str]) -> bytes:
+    """A heading and a paragraph a line, in a part that no strict parser takes: comments with tags in them, processing
+    instructions, a document type, CDATA, entities, stray end tags, attributes without quotes, an end that is cut off."""
+    if fmt == "docx":
+        name, level = "word/document.xml", "<w:pPr><w:pStyle w:val=Heading1/></w:pPr>"
+        paragraph = lambda x, more="": f"<w:p>{more}<w:r></w:b><w:t>{x}</w:t></w:r></w:p></w:q>"
+    else:
+        name, level = "content.xml", ""
+        paragraph = lambda x, more="": f"<text:p><text:span style=a>{x}</text:q></text:p></text:b>"
+    head = "A &amp; B <![CDATA[<]]>&#xE9;&gt;"
+    first = paragraph(head, level) if fmt == "docx" else f"<text:h text:outline-level='1'>{head}</text:h>"
+    body = "<?xml version='1.0'?><!DOCTYPE x [ ]><doc><!-- <w:p><w:r><w:t>no</w:t></w:r></w:p> -->" + first + "<?skip <w:t> ?>" + "".join(map(paragraph, lines)) + "</stray><w:p><text:p unclosed"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(name, body)
+    return out.getvalue()
+
+
+def broken_office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOCX and ODT files by turns whose parts have comments, declarations, stray end tags and an end that is cut off."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9 .,\n]", "?")
+    lines = F.filter(F.transform(F.split(plain, "\n"), T.trim_space), lambda x: x != "")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fmt = ["docx" if i.as_py() % 2 else "odt" for i in batch.column(0)]
+            made = [broken_office_file(f, x.as_py()) for f, x in zip(fmt, batch.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fmt), pa.array(made, pa.binary())], ["doc_key", "format", "content"])
+
+    files = documents(spark, sf_dir).select(F.col("doc_id").alias("doc_key"), lines.alias("lines")).mapInArrow(work, "doc_key bigint, format string, content binary")
+    return B.read_blocks(files).select("doc_key", "pos", "kind", T.digest(render.block_text()).alias("text_digest"), "error_code")
+
+
+QUERIES = [written_files, workspace_files, workspace_report, broken_office_files, markdown_blocks, markdown_inline_runs, markdown_table_split, render_markdown, render_plain, roundtrip_docx, roundtrip_odt, roundtrip_rtf, pdf_extract, read_errors, stream_ingest_chunks, chunk_markdown_blocks, chunk_docx, chunk_odt, chunk_rtf, chunk_doc, citation_labels_of_blocks, block_tokens, document_headings, document_metadata]
 
 _N = "chr(10)"
 _BODY = f"trim(regexp_replace(translate(text, '|*[]()#`~-' || chr(13) || chr(10) || chr(9), repeat(' ', {len(SPECIAL)})), '\\s+', ' ', 'g'))"
@@ -286,7 +355,15 @@ _LINED = lambda head, heading, lines=_LINES: f"""SELECT doc_key, row_number() OV
     FROM (SELECT doc_key, pos, unnest(t) AS text, unnest(range(len(t))) AS part FROM (SELECT doc_key, pos, {_WINDOWS('x')} AS t FROM (
         SELECT doc_id AS doc_key, unnest(list_prepend({head}, l)) AS x, unnest(range(len(l) + 1)) AS pos FROM (SELECT doc_id, {lines} AS l FROM documents))))"""
 
+_PLACED = """SELECT *, CASE WHEN f = 8 THEN '../' ELSE '' END || lang || '/' || ['', 'a/', 'a/b/', 'out/', 'a/.hidden/', 'build/', 'a/b/c/', '', '../'][f + 1] || 'd' || doc_id || ['.md', '.txt', '.bin', '.TEXT'][doc_id % 4 + 1] AS path,
+    CASE WHEN f IN (3, 4, 5, 8) THEN 'out' WHEN f IN (1, 2, 6) AND doc_id % 4 = 0 AND doc_id % 10 = 1 AND doc_id % 100 <> 11 THEN 'ignored' WHEN doc_id % 4 = 2 THEN 'unsupported' ELSE 'usable' END AS status
+    FROM (SELECT *, doc_id % 9 AS f FROM documents)"""
 SQL = {
+    "written_files": f"""SELECT path, CASE WHEN f <> 8 THEN strlen(text) END AS byte_size, CASE WHEN f <> 8 THEN sha256(text) END AS digest, CASE WHEN f = 8 THEN 'path_escape' END AS error_code FROM ({_PLACED})
+        UNION ALL SELECT '.gitignore', 5, sha256('out/' || chr(10)), NULL UNION ALL SELECT DISTINCT lang || '/a/.gitignore', 14, sha256('*1.md' || chr(10) || '!*11.md' || chr(10)), NULL FROM documents""",
+    "workspace_files": f"SELECT path, CASE WHEN doc_id % 4 = 0 THEN 'md' ELSE 'txt' END AS format, strlen(text) AS byte_size, sha256(text) AS digest FROM ({_PLACED}) WHERE status = 'usable'",
+    "workspace_report": f"SELECT count(*) FILTER (status = 'usable') AS n_files, CAST(coalesce(sum(strlen(text)) FILTER (status = 'usable'), 0) AS BIGINT) AS total_bytes, count(*) FILTER (status = 'ignored') AS ignored, CAST(0 AS BIGINT) AS oversized, count(*) FILTER (status = 'usable') <= 10000 AND coalesce(sum(strlen(text)) FILTER (status = 'usable'), 0) <= 262144000 AS within_limits FROM ({_PLACED})",
+    "broken_office_files": f"SELECT doc_key, CAST(n AS BIGINT) AS pos, CASE WHEN n = 0 THEN 'heading' ELSE 'paragraph' END AS kind, sha256(x) AS text_digest, NULL AS error_code FROM (SELECT doc_id AS doc_key, unnest(list_prepend('A & B <' || chr(233) || '>', l)) AS x, unnest(range(len(l) + 1)) AS n FROM (SELECT doc_id, {_PDF} AS l FROM documents))",
     "chunk_markdown_blocks": f"SELECT doc_key, ordinal, pos, sha256(heading) AS heading_digest, token_count, sha256(text) AS text_digest, len({S.terms('said')}) AS n_terms FROM ({_CHUNKED})",
     "chunk_docx": _LINED("'# Doc ' || doc_id", "'Doc ' || doc_key"),
     "chunk_odt": _LINED("'# Doc ' || doc_id", "'Doc ' || doc_key"),

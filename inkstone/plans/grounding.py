@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstone.functions import tables
 from inkstone.functions import text as T
 from inkstone.operators import context, grounding, history, service
 from inkstone.streaming import answers
@@ -75,14 +76,44 @@ def committed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("stream_id", T.digest(F.col("answer")).alias("answer_digest"))
 
 
+def _delta(text: F.Column) -> F.Column:
+    """An event line that adds a text."""
+    return F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(text.alias("content")).alias("delta"))).alias("choices"))))
+
+
+def _arriving(spark: SparkSession, rows: DataFrame, files_per_trigger: int = 2) -> DataFrame:
+    """Rows as a stream that comes in four batches, each row in any of them."""
+    written = tables.settle(rows.repartition(8, F.xxhash64("seq", "stream_id")), "arriving")
+    path = written.inputFiles()[0].rpartition("/")[0]
+    return spark.readStream.schema(written.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
 def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream of data lines, one answer for each user and thousand events, which an error event completes."""
-    path = f"{sf_dir}/[e]vents.parquet"  # a pattern may be a file or a folder
-    events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(path)
-    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.concat("event_type", F.lit(" ")).alias("content")).alias("delta"))).alias("choices")))
-    line = F.when(F.col("event_type") == "error", F.lit("data: [DONE]")).otherwise(F.concat(F.lit("data: "), body))
-    lines = events.select((F.col("user_id") * 1_000_000_000 + F.floor(F.col("event_id") / 1000)).alias("stream_id"), F.col("event_id").alias("seq"), line.alias("line"))
-    return answers.committed_once(spark, lines).select("stream_id", T.digest(F.col("answer")).alias("answer_digest"))
+    """Events as data lines of streams of 250, out of order over several batches; an error of every 25th user completes one."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    done = (F.col("event_type") == "error") & (F.col("user_id") % 25 == 0)
+    line = F.when(done, F.lit("data: [DONE]")).otherwise(_delta(F.concat("event_type", F.lit(" "))))
+    lines = events.select(F.floor(F.col("event_id") / 250).alias("stream_id"), (F.col("event_id") % 250).alias("seq"), line.alias("line"))
+    return answers.committed_once(spark, _arriving(spark, lines)).select("stream_id", T.digest(F.col("answer")).alias("answer_digest"))
+
+
+def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as event streams cut anywhere into some 500 bytes: every seventh ends early, every eleventh has a broken line."""
+    text, turn = F.coalesce("text", F.lit("")), F.col("doc_id")
+    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.length(text) / 150).cast("int")), lambda i: _delta(F.substring(text, i * 150 + 1, F.lit(150))))
+    lines = F.concat(F.array(F.lit(": hello"), F.lit("")), pieces, F.when(turn % 11 == 5, F.array(F.lit("data: {"))).otherwise(F.array(F.lit("event: x"))), F.when(turn % 7 != 3, F.array(F.lit("data: [DONE]"))).otherwise(F.array(F.lit("id: 1"))))
+    body = F.concat(F.array_join(lines, "\r\n"), F.lit("\n")).cast("binary")
+    rows = documents(spark, sf_dir).select(turn.alias("stream_id"), body.alias("body"), (turn % 97 + 450).cast("int").alias("size"))
+    cuts = F.transform(F.sequence(F.lit(0), F.floor(F.octet_length("body") / F.col("size")).cast("int")), lambda i: F.substring("body", i * F.col("size") + 1, F.col("size")))
+    end = F.array(F.lit(None).cast("binary"))
+    return rows.select("stream_id", F.posexplode(F.concat(cuts, end)).alias("seq", "data"))
+
+
+def stream_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each of these streams ends, and how many texts came before."""
+    events = answers.fragment_events(_arriving(spark, _fragments(spark, sf_dir))).where(F.col("kind") != answers.TOKEN)
+    rows = answers.run_once(spark, events)
+    return rows.select("stream_id", "n", "kind", F.when(F.col("kind") == answers.FINISHED, T.digest(F.col("text"))).otherwise(F.col("text")).alias("result"))
 
 
 def chat_request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +237,7 @@ def sse_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.decode_events(event_lines(spark, sf_dir)).select("stream_id", T.digest(F.col("answer")).alias("answer_digest"), F.length("answer").cast("long").alias("n_chars"), "finished", "too_long")
 
 
-QUERIES = [extract_citations, citation_verified, citation_unverified, citation_ratio, citation_rewrite, eval_facts_match, eval_facts_invented, eval_tallies, eval_gates, positional_diff_counts, positional_diff_text, select_skills, chat_request_fold, layered_prompts, history_bounded_push, transcript_to_blocks, heading_carry_forward, page_carry_forward, sse_decode, committed_answers, stream_answers, chat_request_validation]
+QUERIES = [extract_citations, citation_verified, citation_unverified, citation_ratio, citation_rewrite, eval_facts_match, eval_facts_invented, eval_tallies, eval_gates, positional_diff_counts, positional_diff_text, select_skills, chat_request_fold, layered_prompts, history_bounded_push, transcript_to_blocks, heading_carry_forward, page_carry_forward, sse_decode, committed_answers, stream_answers, stream_fragments, chat_request_validation]
 
 _TAGGED = "SELECT conv_id, turn, '[source: a:c0] ' || text || ' [source: b:c' || (turn % 3) || ', \"x\"] then [source: zz, 1] [source: open' AS text FROM conversations"
 _CITED = f"SELECT conv_id, turn, unnest(ids) AS cited, CAST(unnest(range(len(ids))) AS BIGINT) AS n FROM (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '\\[source:([^\\]]*)\\]', 1), lambda x: trim(string_split(x, ',')[1])) AS ids FROM ({_TAGGED}))"
@@ -236,7 +267,8 @@ SQL = {
     "eval_facts_invented": f"SELECT item_id, key, value FROM ({_FOUND}) g ANTI JOIN ({_FACTS}) f USING (item_id, key)",
     "eval_tallies": f"SELECT item_id, CAST(sum(m) AS BIGINT) AS matched_facts, CAST(sum(x) AS BIGINT) AS missing_facts, CAST(sum(i) AS BIGINT) AS invented_values, sum(x) = 0 AND sum(i) = 0 AS is_perfect FROM (SELECT item_id, CAST(matched AS INTEGER) AS m, CAST(NOT matched AS INTEGER) AS x, 0 AS i FROM ({_MATCH}) UNION ALL SELECT g.item_id, 0, 0, 1 FROM ({_FOUND}) g ANTI JOIN ({_FACTS}) f USING (item_id, key)) GROUP BY item_id",
     "committed_answers": "SELECT user_id * 1000000000 + event_id // 1000 AS stream_id, sha256(string_agg(event_type || ' ', '' ORDER BY event_id)) AS answer_digest FROM events WHERE user_id % 3 <> 0 GROUP BY 1",
-    "stream_answers": "SELECT stream_id, sha256(coalesce(string_agg(event_type || ' ', '' ORDER BY event_id) FILTER (event_id < stop), '')) AS answer_digest FROM (SELECT *, min(event_id) FILTER (event_type = 'error') OVER (PARTITION BY stream_id) AS stop FROM (SELECT event_id, event_type, user_id * 1000000000 + event_id // 1000 AS stream_id FROM events)) WHERE stop IS NOT NULL GROUP BY stream_id",
+    "stream_answers": "SELECT stream_id, sha256(coalesce(string_agg(event_type || ' ', '' ORDER BY event_id) FILTER (event_id < stop), '')) AS answer_digest FROM (SELECT *, min(event_id) FILTER (event_type = 'error' AND user_id % 25 = 0) OVER (PARTITION BY stream_id) AS stop FROM (SELECT event_id, event_type, user_id, event_id // 250 AS stream_id FROM events)) WHERE stop IS NOT NULL GROUP BY stream_id",
+    "stream_fragments": "SELECT doc_id AS stream_id, CAST(ceil(length(text) / 150) AS BIGINT) AS n, CASE WHEN doc_id % 11 = 5 OR doc_id % 7 = 3 THEN 'failed' ELSE 'finished' END AS kind, CASE WHEN doc_id % 11 = 5 THEN 'invalid_response' WHEN doc_id % 7 = 3 THEN 'incomplete' ELSE sha256(text) END AS result FROM documents",
     "chat_request_validation": "SELECT conv_id, turn, CASE (conv_id + turn) % 11 WHEN 1 THEN 'invalid_parameter:temperature' WHEN 3 THEN 'invalid_parameter:top_p' WHEN 5 THEN 'invalid_parameter:max_tokens' WHEN 7 THEN 'unsupported_field' WHEN 8 THEN 'invalid_parameter:messages' WHEN 9 THEN 'invalid_parameter:messages' WHEN 10 THEN 'invalid_request' ELSE CASE WHEN text = '' OR text IS NULL OR role NOT IN ('system', 'user', 'assistant') THEN 'invalid_parameter:messages' END END AS error FROM conversations",
     "eval_gates": f"WITH m AS (SELECT source, avg(CAST(matched AS DOUBLE)) AS acc, avg(CAST(key <> 'size' AS DOUBLE) + CAST(matched AS DOUBLE) / 3) AS rate, count(*) FILTER (NOT matched AND key = 'size' AND n_chars > 5000) AS inv, max(n_chars) AS ctx, sum(n_chars) * 20000 AS rss FROM ({_MATCH}) e JOIN documents ON doc_id = item_id GROUP BY source) {_GATE('lite')} UNION ALL {_GATE('pro')}",
     "positional_diff_counts": f"SELECT doc_id, count(*) FILTER (y IS NOT NULL AND x IS DISTINCT FROM y) AS added, count(*) FILTER (x IS NOT NULL AND x IS DISTINCT FROM y) AS removed, count(*) FILTER (x = y) AS unchanged FROM ({_PAIRS}) GROUP BY doc_id",

@@ -67,11 +67,21 @@ def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequencies over an index folder to which documents were added in two batches."""
-    path = tables.work_dir(spark, "postings")
+    """Frequencies over an index to which documents were added in two batches."""
+    index = ingest.TermIndex(spark, tables.work_dir(spark, "index"))
     for turn in range(2):
-        ingest.append_postings(spark, chunks(spark, sf_dir).where(F.col("doc_key") % 2 == turn), path)
-    return bm25.document_frequency(spark.read.parquet(path))
+        index.add(chunks(spark, sf_dir).where(F.col("doc_key") % 2 == turn), turn)
+    return index.document_frequency()
+
+
+def streaming_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over an index that a stream of documents filled in three batches, of which the second came once more."""
+    written = tables.settle(documents(spark, sf_dir).repartition(6, "doc_id"), "arriving-documents")
+    index = ingest.TermIndex(spark, tables.work_dir(spark, "index"))
+    rows = ingest.chunk_stream(spark, written.inputFiles()[0].rpartition("/")[0], written.schema, 2)
+    ingest.index_stream(rows, index, tables.work_dir(spark, "index-log")).awaitTermination()
+    index.add(chunks(spark, sf_dir), 1)
+    return index.search(QUERY, 10)
 
 
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +161,7 @@ def sanitize_delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", T.digest(context.sanitize(body)).alias("clean_digest"))
 
 
-QUERIES = [chunk_documents, chunk_count_by_source, chunk_overlap_words, citation_labels, terms_exploded, term_frequency, document_frequency, incremental_index, corpus_stats, bm25_search, bm25_repeated_terms, bm25_file_filter, bm25_digest_prefix_filter, bm25_multi_query, query_file_filter_parse, adjacent_chunks, pack_direct, pack_prompt_first_kept, map_reduce_batches, select_retrieval, assemble_prompt, sanitize_delimiters]
+QUERIES = [chunk_documents, chunk_count_by_source, chunk_overlap_words, citation_labels, terms_exploded, term_frequency, document_frequency, incremental_index, streaming_index_search, corpus_stats, bm25_search, bm25_repeated_terms, bm25_file_filter, bm25_digest_prefix_filter, bm25_multi_query, query_file_filter_parse, adjacent_chunks, pack_direct, pack_prompt_first_kept, map_reduce_batches, select_retrieval, assemble_prompt, sanitize_delimiters]
 
 _C = f"WITH c AS ({S.chunks()})"
 _PACK = f"{_C} SELECT doc_key, ordinal, cost, CAST(running AS BIGINT) AS running_cost FROM (SELECT *, sum(cost) OVER w AS running, row_number() OVER w AS n FROM (SELECT *, {S.COST} AS cost FROM c) WINDOW w AS (PARTITION BY doc_key ORDER BY ordinal ROWS UNBOUNDED PRECEDING)) WHERE "
@@ -175,6 +185,7 @@ SQL = {
     "incremental_index": f"{_C} SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_key, ordinal, term FROM (SELECT doc_key, ordinal, unnest(terms) AS term FROM c)) GROUP BY term",
     "corpus_stats": f"{_C} SELECT count(*) AS n_chunks, round(avg(len(terms)), 6) AS avgdl FROM c",
     "bm25_search": S.bm25(QUERY, 10),
+    "streaming_index_search": S.bm25(QUERY, 10),
     "bm25_repeated_terms": S.bm25(REPEATED, 10),
     "bm25_file_filter": S.bm25(QUERY, 10, f"{S.lower('display_name')} = 'doc-11.txt' OR starts_with(digest, 'DOC-11.TXT')"),
     "bm25_digest_prefix_filter": S.bm25(QUERY, 10, "starts_with(digest, 'a')"),

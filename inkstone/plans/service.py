@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.operators import service
-from inkstone.sources import discovery
+from inkstone.sources import discovery, ignore, multipart
 
 from . import sql as S
 from .documents import documents
@@ -80,12 +80,69 @@ def discovery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.report(_listed(spark, sf_dir)).withColumn("within_limits", discovery.within_limits())
 
 
-QUERIES = [upload_validation, source_records, name_completion, granted_documents, export_warnings, shown_sizes, discover_files, ignored_files, discovery_report]
+#: Folders of a workspace below each source, and what ignore files at the root, in each source and in two folders below say.
+TREE = ["", "sub/", "sub/deep/", "out/", "logs/", "a/out/", "sub/out/"]
+ROOT_RULES = "# all\n*.log\n\nlogs/\n/*/a/out/\n"
+INNER_RULES = {"": "*.txt\r\n!d1*.txt\r\n  out/  \r\n", "sub": "!*.log\n! out/\nd?.md", "sub/deep": "*\n!*.md\n"}
+
+
+def nested_ignored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree with ignore files in four places of it, inner ones taking back what outer ones say."""
+    folder = F.element_at(F.array(*(F.lit(f) for f in TREE)), (F.col("doc_id") % len(TREE) + 1).cast("int"))
+    ext = F.element_at(F.array(*(F.lit(e) for e in (".md", ".txt", ".log", ".PDF", ".rtf"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    files = documents(spark, sf_dir).select("doc_id", F.concat("source", F.lit("/"), folder, F.lit("d"), F.col("doc_id"), ext).alias("path"))
+    said = F.array(*(F.struct(F.lit(f).alias("inner"), F.lit(c).alias("content")) for f, c in INNER_RULES.items()))
+    inner = documents(spark, sf_dir).select("source").distinct().select("source", F.inline(said))
+    rule_files = inner.select(F.when(F.col("inner") == "", F.col("source")).otherwise(F.concat("source", F.lit("/"), "inner")).alias("folder"), "content")
+    rule_files = rule_files.unionByName(spark.range(1).select(F.lit("").alias("folder"), F.lit(ROOT_RULES).alias("content")))
+    return ignore.judged(files, rule_files).select("doc_id", "path", "ignored_by")
+
+
+BOUNDARY = "cut.here+17"
+
+
+def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as upload requests: a note, the text as a file, an unnamed part. Line ends go by turns of two, faults by
+    turns of eleven: no boundary named, no closing boundary, no parts between; texts have lines like boundaries in them."""
+    turn, end = F.col("doc_id") % 11, F.when(F.col("doc_id") % 2 == 0, "\r\n").otherwise("\n")
+    mark = F.lit(f"--{BOUNDARY}")
+    text = F.concat(F.lit("--cut.here"), end, F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), end), end, F.lit("--"))
+    part = lambda head, data: F.concat(mark, end, head, end, end, data, end)
+    note = part(F.lit('Content-Disposition: form-data; name="note"'), F.col("lang"))
+    file = part(F.concat(F.lit('CONTENT-disposition: form-data; name="file"; filename="dir/d'), F.col("doc_id"), F.lit('.txt"'), end, F.lit("content-type:  text/plain; charset=utf-8 ")), text)
+    lost = part(F.lit("Content-Disposition: form-data"), F.lit("nobody's"))
+    body = F.when(turn == 3, F.concat(mark, end, note.substr(F.lit(1), F.lit(0)))).when(turn == 4, F.concat(mark, F.lit("--"), end, mark, F.lit("--"))).otherwise(F.concat(F.lit("before"), end, note, file, lost, mark, F.lit("--"), end))
+    kind = F.when(turn == 2, F.lit("multipart/form-data")).when(turn == 5, F.lit(f'multipart/form-data; charset=x; boundary="{BOUNDARY}"')).otherwise(F.lit(f"multipart/form-data; boundary={BOUNDARY} "))
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("request_id"), kind.alias("content_type"), body.cast("binary").alias("body"))
+
+
+def multipart_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = multipart.parts(_forms(spark, sf_dir))
+    return rows.select("request_id", F.col("part").cast("long").alias("part"), "name", "filename", "content_type", F.sha2("data", 256).alias("data_digest"), F.octet_length("data").cast("long").alias("n_bytes"), "error_code")
+
+
+def multipart_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What uploads the requests above hold, and whether they are taken."""
+    rows = multipart.upload(multipart.parts(_forms(spark, sf_dir)))
+    return rows.select("request_id", service.base_name(F.col("filename")).alias("name"), service.upload_error(F.col("filename"), F.col("content_type"), F.col("data")).alias("error_code"))
+
+
+QUERIES = [nested_ignored_files, multipart_parts, multipart_uploads, upload_validation, source_records, name_completion, granted_documents, export_warnings, shown_sizes, discover_files, ignored_files, discovery_report]
 
 _FILES = """SELECT doc_id, source || '/' || ['', 'sub/', '.git/', 'models/', 'a/node_modules/', 'out/', '.hidden/'][doc_id % 7 + 1] || 'd' || doc_id || ['.md', '.txt', '.exe', '.PDF', ''][doc_id % 5 + 1] AS path,
     strlen(text) * CASE WHEN doc_id % 13 = 0 THEN 1048576 ELSE 1 END AS byte_size, ['md', 'txt', NULL, 'pdf', NULL][doc_id % 5 + 1] AS format, doc_id % 7 IN (0, 1, 5) AND doc_id % 5 IN (0, 1, 3) AS usable FROM documents"""
 _ASKED = ", ".join(f"('{t}')" for t in TYPED)
+_FORMS = """SELECT doc_id, lang, doc_id % 11 AS turn, '--cut.here' || e || replace(text, chr(10), e) || e || '--' AS body
+    FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN chr(13) || chr(10) ELSE chr(10) END AS e FROM documents)"""
 SQL = {
+    "multipart_parts": f"""WITH f AS ({_FORMS})
+        SELECT doc_id AS request_id, CAST(0 AS BIGINT) AS part, 'note' AS name, NULL AS filename, NULL AS content_type, sha256(lang) AS data_digest, strlen(lang) AS n_bytes, NULL AS error_code FROM f WHERE turn NOT IN (2, 3, 4)
+        UNION ALL SELECT doc_id, 1, 'file', 'dir/d' || doc_id || '.txt', 'text/plain; charset=utf-8', sha256(body), strlen(body), NULL FROM f WHERE turn NOT IN (2, 3, 4)
+        UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, NULL, ['no_boundary', 'malformed', 'no_parts'][turn - 1] FROM f WHERE turn IN (2, 3, 4)""",
+    "multipart_uploads": "SELECT doc_id AS request_id, 'd' || doc_id || '.txt' AS name, NULL AS error_code FROM documents WHERE doc_id % 11 NOT IN (2, 3, 4)",
+    "nested_ignored_files": """SELECT doc_id, path, CASE WHEN f IN (3, 4, 5) THEN 'folder'
+            WHEN f = 2 AND e <> 0 OR f = 0 AND e = 2 OR f IN (0, 1, 6) AND e = 1 AND NOT starts_with(CAST(doc_id AS VARCHAR), '1') OR f IN (1, 6) AND e = 0 AND doc_id < 10 THEN 'file' END AS ignored_by
+        FROM (SELECT doc_id, doc_id % 7 AS f, doc_id % 5 AS e, source || '/' || ['', 'sub/', 'sub/deep/', 'out/', 'logs/', 'a/out/', 'sub/out/'][doc_id % 7 + 1] || 'd' || doc_id || ['.md', '.txt', '.log', '.PDF', '.rtf'][doc_id % 5 + 1] AS path FROM documents)""",
     "upload_validation": """SELECT doc_id, 'd' || doc_id || ['.md', '.TXT', '.pdf', '.xlsx', '.rtf'][doc_id % 5 + 1] AS name,
         CASE WHEN doc_id % 3 = 2 AND text = '' THEN 'empty_file' WHEN doc_id % 5 = 3 THEN 'unsupported_format'
              WHEN doc_id % 5 = 2 AND doc_id % 3 <> 0 OR doc_id % 5 = 4 AND doc_id % 3 <> 1 THEN 'signature_mismatch'

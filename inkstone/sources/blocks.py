@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import closing
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .guarded import DEADLINE, ReaderProcess
+
 RUNS = "array<struct<kind: string, text: string, url: string>>"
 BLOCK = f"kind string, level smallint, runs {RUNS}, ordered boolean, items array<{RUNS}>, headers array<string>, rows array<array<string>>, language string, code_text string, page int, description string, section string, line_start bigint, line_end bigint"
 FIELDS = [f.split(" ")[0] for f in BLOCK.replace(f"array<{RUNS}>", "x").replace(RUNS, "x").split(", ")]
@@ -29,16 +32,10 @@ def read_metadata(files: DataFrame) -> DataFrame:
     """files: doc_key, format, content. doc_key, title, author, created and modified of every file; null what it lacks."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .readers import metadata
-
-        for batch in batches:
-            found = []
-            for fmt, content in zip(batch.column(1), batch.column(2), strict=True):
-                try:
-                    found.append(metadata(fmt.as_py(), content.as_py() or b""))
-                except Exception:  # a file that can't be read has no metadata; read_blocks says why
-                    found.append({})
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x.get(k) for x in found], pa.string()) for k in METADATA)], ["doc_key", *METADATA])
+        with closing(ReaderProcess()) as reader:
+            for batch in batches:
+                found = [reader("metadata", f.as_py(), c.as_py() or b"")[1] or {} for f, c in zip(batch.column(1), batch.column(2), strict=True)]  # read_blocks says why a file can't be read
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x.get(k) for x in found], pa.string()) for k in METADATA)], ["doc_key", *METADATA])
 
     return files.select("doc_key", "format", "content").mapInArrow(work, "doc_key bigint, " + ", ".join(f"{k} string" for k in METADATA))
 
@@ -49,25 +46,16 @@ def headings(blocks: DataFrame) -> DataFrame:
     return blocks.where("kind = 'heading'").select("doc_key", "pos", "level", title.alias("title"), "page", "section", "line_start", "line_end")
 
 
-def read_blocks(files: DataFrame) -> DataFrame:
-    """files: doc_key, format, content. A row per block with pos, or one row with error_code where a file can't be read."""
+def read_blocks(files: DataFrame, deadline: float = DEADLINE) -> DataFrame:
+    """files: doc_key, format, content. A row per block with pos, or one row with error_code where a file can't be read, or
+    not within the deadline (seconds a file) and the readers' memory."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .readers import ReadError, read
-
-        for batch in batches:
-            found, errors = [], []
-            for fmt, content in zip(batch.column(1), batch.column(2), strict=True):
-                try:
-                    found.append([{k: b.get(k) for k in FIELDS} for b in read(fmt.as_py(), content.as_py() or b"")])
-                    errors.append(None)
-                except ReadError as e:
-                    found.append([])
-                    errors.append(e.code)
-                except Exception:  # whatever a file does to its reader is that file's error and no other's
-                    found.append([])
-                    errors.append("corrupted")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(errors, pa.string()), pa.array(found, pa.list_(_BLOCK))], ["doc_key", "error_code", "blocks"])
+        with closing(ReaderProcess(deadline)) as reader:
+            for batch in batches:
+                read = [reader("read", f.as_py(), c.as_py() or b"") for f, c in zip(batch.column(1), batch.column(2), strict=True)]
+                found = [[{k: b.get(k) for k in FIELDS} for b in blocks or []] for _, blocks in read]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e for e, _ in read], pa.string()), pa.array(found, pa.list_(_BLOCK))], ["doc_key", "error_code", "blocks"])
 
     schema = "doc_key bigint, error_code string, blocks array<struct<" + BLOCK.replace(" array<", ": array<").replace(" string", ": string").replace(" smallint", ": smallint").replace(" boolean", ": boolean").replace(" int,", ": int,").replace(" bigint", ": bigint").replace("::", ":") + ">>"
     read_ = files.select("doc_key", "format", "content").mapInArrow(work, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,6 @@ EXCLUDED = [".git", ".github", "target", "node_modules", "dist", "build", ".cach
 MAX_FILE, MAX_TOTAL, MAX_FILES = 50 << 20, 250 << 20, 10_000
 
 
-@lru_cache(maxsize=1000)
 def glob_pattern(rule: str) -> re.Pattern:
     """A rule's path pattern: * and ? within a name, ** across names."""
     parts = [".*" if p == "**" else "".join({"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)) for c in p) for p in rule.strip("/").split("/")]
@@ -24,19 +24,48 @@ def glob_pattern(rule: str) -> re.Pattern:
     return re.compile(("" if "/" in rule.rstrip("/") else "(?:.*/)?") + body)
 
 
+class Rule(NamedTuple):
+    """A line of an ignore file. A rooted rule's pattern is for a whole path with a slash behind every name, any other's for a name."""
+
+    pattern: re.Pattern
+    keep: bool
+    folders_only: bool
+    rooted: bool
+
+    def matches(self, inner: bytes, is_dir: bool) -> bool:
+        if self.folders_only and not is_dir:
+            return False
+        if self.rooted:
+            return self.pattern.fullmatch(inner + b"/") is not None
+        names = inner.split(b"/")
+        return any(self.pattern.fullmatch(n) for n in (names if is_dir else names[-1:]))
+
+
+@lru_cache(maxsize=1000)
+def parsed(line: str) -> Rule | None:
+    """The rule that a line states, for bytes of names; null for comments and blank lines."""
+    rule = line.strip()
+    if not rule or rule.startswith("#"):
+        return None
+    keep = rule.startswith("!")
+    rule = rule[keep:].strip()
+    bare = rule.rstrip("/")
+    name = lambda x: b"".join({42: b"[^/]*", 63: b"[^/]"}.get(c, re.escape(bytes([c]))) for c in x)
+    parts = bare.removeprefix("/").encode().split(b"/")
+    whole = b"".join(b"(?:[^/]*/)*" if p == b"**" else name(p) + b"/" for p in parts)
+    rooted = "/" in bare
+    return Rule(re.compile(whole if rooted else name(parts[0]), re.S), keep, rule.endswith("/"), rooted) if bare else None
+
+
 def ignored(path: str, is_dir: bool, rules: list[tuple[str, list[str]]]) -> bool:
-    """Whether ignore files, outermost first as (folder, lines), leave a path out. The last rule that matches decides."""
-    verdict = False
-    for folder, lines in rules:
-        inner = path.removeprefix(folder).lstrip("/") if path.startswith(folder) else None
-        for line in lines if inner is not None else []:
-            rule = line.strip()
-            if not rule or rule.startswith("#"):
-                continue
-            keep, rule = rule.startswith("!"), rule.removeprefix("!")
-            if (is_dir or not rule.endswith("/")) and glob_pattern(rule).fullmatch(inner):
-                verdict = not keep
-    return verdict
+    """Whether ignore files, outermost first as (folder, lines), leave a path out: the innermost file with a rule that
+    matches decides, by the last of these."""
+    for folder, lines in reversed(rules):
+        inner = path[len(folder) + 1 :] if folder else path
+        said = [r for line in lines if (r := parsed(line)) and r.matches(inner.encode(), is_dir)]
+        if said:
+            return not said[-1].keep
+    return False
 
 
 def walk(root: str) -> dict:
@@ -62,7 +91,6 @@ def walk(root: str) -> dict:
                     continue
             if entry.is_dir(follow_symlinks=False):
                 if entry.name not in EXCLUDED:
-                    counts["ignored"] += ignored(path, True, rules)
                     if not ignored(path, True, rules):
                         visit(path, rules)
             elif ignored(path, False, rules):

@@ -10,7 +10,7 @@ TABLE, RULE = re.compile(r"\|.*\||\|"), re.compile(r"[\s:|-]*")
 ITEM = re.compile(r"[-*] |[0-9].*\. ")
 MARKER = re.compile(r"(?:[-*]|[0-9]+\.) ")
 
-LINK, STRONG, EMPHASIS = re.compile(r"\[(.*?)\]\((.*?)\)", re.S), re.compile(r"\*\*(.*?)\*\*", re.S), re.compile(r"\*(.*?)\*", re.S)
+STRONG, EMPHASIS = re.compile(r"\*\*(.*?)\*\*", re.S), re.compile(r"\*(.*?)\*", re.S)
 
 
 def split_lines(text: str) -> list[str]:
@@ -35,12 +35,11 @@ def inline_runs(text: str) -> list[dict]:
         return out
 
     found: list[dict] = []
-    parts = LINK.split(text)
-    for k in range(0, len(parts), 3):
-        found += styled(parts[k])
-        if k + 2 < len(parts):
-            found.append(_run("link", parts[k + 1], parts[k + 2]))
-    return found or [_run("text", text)]
+    at = 0
+    while (start := text.find("[", at)) >= 0 and (middle := text.find("](", start)) >= 0 and (end := text.find(")", middle)) >= 0:
+        found += [*styled(text[at:start]), _run("link", text[start + 1 : middle], text[middle + 2 : end])]
+        at = end + 1
+    return found + styled(text[at:]) or [_run("text", text)]
 
 
 def _kind(line: str) -> str:

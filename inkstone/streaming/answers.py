@@ -1,64 +1,179 @@
-"""Structured Streaming: answers that grow token by token and enter a history only when they are complete."""
+"""Structured Streaming: answers that arrive as byte fragments of event streams, in any order, and enter a history once.
+
+Fragments of a stream are numbered from 0. What comes early waits in the state until its turn, what comes again is
+passed over, so the same events come out whatever the order, the batches and the frames. Bytes become lines only when a
+line's end is there, so a character cut in two is whole again before it is read. The answer lies in the state in parts,
+one for each batch that added to it, and is put together once, when it finishes; all bounds are kept as running counts.
+"""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from inkstone.functions import tables
 
-MAX_LINE, MAX_ANSWER = 262_144, 1_048_576
-EVENTS = "stream_id bigint, seq bigint, kind string, text string"
-OPEN, FINISHED, FAILED = "open", "finished", "failed"
+#: Bounds in bytes: a line, an answer, and all that a stream brings.
+MAX_LINE, MAX_ANSWER, MAX_STREAM = 262_144, 1_048_576, 8_388_608
+EVENTS = "stream_id bigint, n bigint, kind string, text string"
+TOKEN, FINISHED, FAILED = "token", "finished", "failed"
+#: Why an answer fails: a bound is passed, a line isn't what it should be, the stream ends before [DONE].
+LIMIT, INVALID, INCOMPLETE = "response_limit", "invalid_response", "incomplete"
+
+
+class Failure(Exception):
+    pass
 
 
-def _delta(line: str) -> str | None:
-    """The text that an event line adds; None where the stream ends."""
-    body = line.removeprefix("data:").strip()
-    if body == "[DONE]":
+def contents(line: bytes) -> list[str] | None:
+    """The texts that an event line adds; None where the stream ends. Lines of other fields and comments add nothing."""
+    if line == b"data: [DONE]":
         return None
+    if not line.startswith(b"data:"):
+        return []
     try:
-        return json.loads(body)["choices"][0]["delta"].get("content") or ""
-    except (ValueError, KeyError, IndexError, TypeError, AttributeError):
-        return ""
-
-
-def _turn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    answer, status = state.get if state.exists else ("", OPEN)
-    out: list[tuple[int, int, str, str]] = []
-    for frame in frames:
-        for seq, line in frame.sort_values("seq")[["seq", "line"]].itertuples(index=False):
-            if status != OPEN or not line.startswith("data:"):
-                continue
-            delta = _delta(line)
-            if delta is None:
-                status = FINISHED
-                out.append((key[0], seq, FINISHED, answer))
-            elif len(line.encode()) > MAX_LINE or len((answer + delta).encode()) > MAX_ANSWER:
-                status = FAILED
-                out.append((key[0], seq, FAILED, ""))
-            elif delta:
-                answer += delta
-                out.append((key[0], seq, "token", delta))
-    state.update(("" if status != OPEN else answer, status))
-    yield pd.DataFrame(out, columns=["stream_id", "seq", "kind", "text"])
+        choices = json.loads(line[5:].removeprefix(b" ").decode("utf-8"))["choices"]
+        found = [c["delta"].get("content") for c in choices]
+        if not isinstance(choices, list) or any(not isinstance(x, str | None) for x in found):
+            raise Failure(INVALID)
+        for x in found:
+            (x or "").encode("utf-8")
+    except (ValueError, KeyError, TypeError, AttributeError):
+        raise Failure(INVALID) from None
+    return [x for x in found if x]
+
+
+class LineReader:
+    """Lines out of bytes that come in pieces; keeps an open line as the pieces that it came in."""
+
+    def __init__(self, open_line: bytes = b""):
+        self.pieces, self.size = ([open_line] if open_line else []), len(open_line)
+
+    def feed(self, data: bytes) -> Iterator[bytes]:
+        start = 0
+        while (end := data.find(b"\n", start)) >= 0:
+            line = b"".join([*self.pieces, data[start:end]]).removesuffix(b"\r")
+            self.pieces, self.size, start = [], 0, end + 1
+            if len(line) > MAX_LINE:
+                raise Failure(LIMIT)
+            yield line
+        if start < len(data):
+            self.pieces.append(data[start:])
+            self.size += len(data) - start
+            if self.size > MAX_LINE:
+                raise Failure(LIMIT)
+
+
+class AnswerReader(StatefulProcessor):
+    """Rows (stream_id, seq, data) to tokens and one finished or failed row. A row without data ends its stream."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", "status string, next bigint, seen bigint, waiting bigint, size bigint, n bigint, line binary")
+        self.parts = handle.getListState("parts", "text string")
+        self.early = handle.getMapState("early", "seq bigint", "data binary")
+
+    def handleInputRows(self, key, rows, timerValues):
+        found = self.head.get() if self.head.exists() else ("open", 0, 0, 0, 0, 0, b"")
+        status, following, seen, waiting, size, n, line = found
+        if status != "open":
+            for _ in rows:
+                pass
+            return
+        reader = LineReader(bytes(line))
+        early = {k[0]: v[0] for k, v in self.early.iterator()} if waiting else {}
+        stored = set(early)
+        held = sum(len(d or b"") for d in early.values())
+        new: list[str] = []
+        end = None
+        try:
+            for row in rows:
+                if end is not None or row.seq is None or row.seq < following or row.seq in early:
+                    continue
+                early[row.seq] = None if row.data is None else bytes(row.data)
+                held += len(early[row.seq] or b"")
+                if seen + held > MAX_STREAM:
+                    raise Failure(LIMIT)
+                while end is None and following in early:
+                    data = early.pop(following)
+                    following += 1
+                    if data is None:
+                        raise Failure(INCOMPLETE)
+                    seen, held = seen + len(data), held - len(data)
+                    for text in reader.feed(data):
+                        added = contents(text)
+                        if added is None:
+                            end = FINISHED
+                            break
+                        for x in added:
+                            size += len(x.encode())
+                            if size > MAX_ANSWER:
+                                raise Failure(LIMIT)
+                            new.append(x)
+                            yield Row(stream_id=key[0], n=n, kind=TOKEN, text=x)
+                            n += 1
+        except Failure as e:
+            end = FAILED
+            yield Row(stream_id=key[0], n=n, kind=FAILED, text=str(e))
+        if end is None:
+            if new:
+                self.parts.appendValue(("".join(new),))
+            for seq in early.keys() - stored:
+                self.early.updateValue((seq,), (early[seq],))
+            for seq in stored - early.keys():
+                self.early.removeKey((seq,))
+            self.head.update(("open", following, seen, len(early), size, n, b"".join(reader.pieces)))
+            return
+        if end == FINISHED:
+            before = [p[0] for p in self.parts.get()] if self.parts.exists() else []
+            yield Row(stream_id=key[0], n=n, kind=FINISHED, text="".join([*before, *new]))
+        self.parts.clear()
+        self.early.clear()
+        self.head.update((end, following, seen, 0, size, n, b""))
+
+    def close(self) -> None:
+        pass
+
+
+def fragment_events(fragments: DataFrame) -> DataFrame:
+    """A stream of fragments (stream_id, seq, data) as tokens in order, and one row when an answer finishes or fails (with
+    its reason). What comes after that is passed over. A stream's state is bounded by MAX_STREAM."""
+    rows = fragments.select(F.col("stream_id").cast("long"), F.col("seq").cast("long"), F.col("data").cast("binary"))
+    return rows.groupBy("stream_id").transformWithState(AnswerReader(), EVENTS, "append", "none")
 
 
 def answer_events(lines: DataFrame) -> DataFrame:
-    """A stream of event lines (stream_id, seq, line) as tokens, and one row when an answer finishes or fails. A stream's
-    state is its answer so far, which its bound bounds; what comes after the end is passed over."""
-    return lines.groupBy("stream_id").applyInPandasWithState(_turn, EVENTS, "answer string, status string", "append", GroupStateTimeout.NoTimeout)
+    """The same for whole event lines (stream_id, seq, line)."""
+    return fragment_events(lines.select("stream_id", "seq", F.concat("line", F.lit("\n")).cast("binary").alias("data")))
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The store that states of several parts need, for the queries started inside; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def run_once(spark: SparkSession, events: DataFrame, path: str | None = None) -> DataFrame:
+    """Runs a stream of events over all there is and returns the rows written, from earlier runs at the same path too;
+    the sink's log and the checkpoint there make it exactly once."""
+    out = path or tables.work_dir(spark, "answers")
+    with state_store(spark):
+        query = events.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{out}/rows")
 
 
-def committed_once(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """Runs the stream over all there is; stream_id and answer of those that finished. The sink's log makes it exactly once."""
-    out = tables.work_dir(spark, "answers")
+def committed_once(spark: SparkSession, lines: DataFrame, path: str | None = None) -> DataFrame:
+    """stream_id and answer of the streams of lines that finished."""
     done = answer_events(lines).where(F.col("kind") == FINISHED).select("stream_id", F.col("text").alias("answer"))
-    query = done.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(done.schema).parquet(f"{out}/rows")
+    return run_once(spark, done, path)
