@@ -33,11 +33,21 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def settle(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Writes df once to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
+    return settle_at(df, new_path(df.sparkSession, name), compression)
+
+
+def settle_at(df: DataFrame, path: str, compression: str | None = None) -> DataFrame:
+    """The same at a path of its own, over what an earlier attempt left there."""
+    df.write.parquet(path, mode="overwrite", compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def beside_row(docs: DataFrame, **helpers: Column) -> DataFrame:
+    """Every row of docs as one struct, row, and helper columns of its own beside it: names in docs can't clash with them.
+    select("row.*") gives the columns back as they were."""
+    return docs.select(F.struct("*").alias("row"), *(c.alias(name) for name, c in helpers.items()))
+
+
 def _file_system(spark: SparkSession, name: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path

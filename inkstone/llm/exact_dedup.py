@@ -12,7 +12,8 @@ doc_id enters the index and all later ranges pass the anti-join.
 Defined results: a null text counts as empty, and texts of any length are read whole; texts are equal when identical
 after lower-casing A-Z; of equal texts the row with the largest doc_id stays, a null doc_id counting as the smallest; of
 rows that repeat both, one stays; what an earlier call has put into the index stays there and no row of a later call
-with that text is kept; an empty table gives no rows; other columns play no part.
+with that text is kept; a call that repeats an earlier one's batch name, because that stopped midway or not, gives the
+result that the earlier one gives; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, delete, discard, exists, new_path, settle
+from .common import ascii_lower, beside_row, delete, discard, exists, new_path, settle_at
 
 #: Stands for a null doc_id in joins.
 NO_ID = -(2**63)
@@ -61,13 +62,25 @@ class DigestIndex:
         """The entries as plain files: a join with them deals both sides out anew, so that a hot digest can be split."""
         return self.spark.read.schema(ENTRY).parquet(f"{self.path}/entries") if exists(self.spark, f"{self.path}/entries") else self.spark.createDataFrame([], ENTRY)
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Appends the digests of batch (doc_id, digest, row) that are new; returns them: (digest, keep_id, keep_row)."""
-        top = batch.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("top")).select("digest", F.col("top.doc_id").alias("keep_id"), F.col("top.row").alias("keep_row"))
-        new = settle(top.join(self.read().select("digest").hint("merge"), "digest", "left_anti"), "new-digests")
+    def add(self, batch: DataFrame, place: str) -> DataFrame:
+        """Appends the digests of batch (doc_id, digest, row) that are new; returns them: (digest, keep_id, keep_row).
+
+        They are written at place first and appended last. A call that is repeated with the same place finds them there,
+        appends what the index still lacks of them, and returns the same."""
+        schema = f"{ENTRY}, keep_row bigint"
+        again = exists(self.spark, f"{place}/new/_SUCCESS")
+        if not again:
+            top = batch.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("top")).select("digest", F.col("top.doc_id").alias("keep_id"), F.col("top.row").alias("keep_row"))
+            settle_at(top.join(self.read().select("digest").hint("merge"), "digest", "left_anti"), f"{place}/new")
+        new = self.spark.read.schema(schema).parquet(f"{place}/new")
+        if not exists(self.spark, f"{place}/appended/_SUCCESS"):
+            self._append(new.join(self.read().select("digest").hint("merge"), "digest", "left_anti") if again else new)
+            settle_at(self.spark.range(1), f"{place}/appended")
+        return new
+
+    def _append(self, new: DataFrame) -> None:
         placed = new.select("digest", "keep_id").repartition(self.buckets, "digest")
         placed.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").option("path", f"{self.path}/entries").saveAsTable(self.table)
-        return new
 
     def drop(self) -> None:
         """Removes the index, its table and its files."""
@@ -85,43 +98,50 @@ def _ranges(rows: DataFrame, n: int) -> list[DataFrame]:
     return [rows.where((F.col("doc_id") >= lo if lo is not None else F.lit(True)) & (F.col("doc_id") < hi if hi is not None else F.lit(True))) for hi, lo in zip(above, [*bounds, None], strict=True)]
 
 
-def added(docs: DataFrame, index: DigestIndex | None = None, ranges: int = RANGES) -> tuple[DataFrame, DataFrame]:
+def added(docs: DataFrame, index: DigestIndex | None = None, ranges: int = RANGES, batch: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Adds docs to the index. Gives the rows (doc_id, digest, row) and a verdict for each digest of theirs: (digest,
     keep_id, keep_row, group_size); keep_row is null where an earlier call has the text. Without an index a new one
-    serves this call alone."""
+    serves this call alone.
+
+    batch names the call: one with a name that the index knows goes on where the earlier one stopped and gives its result,
+    whatever docs are then. All that a named call finds lies beside the index."""
+    spark = docs.sparkSession
     own = index is None
-    index = index or DigestIndex(docs.sparkSession, new_path(docs.sparkSession, "digest-index"))
-    rows = settle(digested(docs), "digests")
-    new = [index.add(part) for part in _ranges(rows, ranges)]
-    entered = new[0]
-    for part in new[1:]:
-        entered = entered.unionByName(part)
-    sizes = rows.groupBy("digest").agg(F.count("*").alias("group_size"))
-    verdict = sizes.join(index.entries(), "digest").join(entered.select("digest", "keep_row"), "digest", "left")
-    verdict = settle(verdict.select("digest", "keep_id", "keep_row", "group_size"), "verdicts")
-    for part in new:
-        discard(part)
+    index = index or DigestIndex(spark, new_path(spark, "digest-index"))
+    home = f"{index.path}/batches/{batch}" if batch is not None and not own else new_path(spark, "digest-batch")
+    if not exists(spark, f"{home}/rows/_SUCCESS"):
+        settle_at(digested(docs), f"{home}/rows")
+    rows = spark.read.schema("doc_id bigint, digest string, row bigint").parquet(f"{home}/rows")
+    if not exists(spark, f"{home}/verdicts/_SUCCESS"):
+        entered = None
+        for k, part in enumerate(_ranges(rows, ranges)):
+            new = index.add(part, f"{home}/{k}")
+            entered = new if entered is None else entered.unionByName(new)
+        sizes = rows.groupBy("digest").agg(F.count("*").alias("group_size"))
+        verdict = sizes.join(index.entries(), "digest").join(entered.select("digest", "keep_row"), "digest", "left")
+        settle_at(verdict.select("digest", "keep_id", "keep_row", "group_size"), f"{home}/verdicts")
+        discard(entered)
+    verdict = spark.read.schema(f"{ENTRY}, keep_row bigint, group_size bigint").parquet(f"{home}/verdicts")
     if own:
         index.drop()
     return rows, verdict
 
 
-def resolve(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def resolve(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """A row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows, verdict = added(docs, index)
+    rows, verdict = added(docs, index, batch=batch)
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     kept = F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept")
     return rows.join(verdict, "digest").select(real("doc_id"), real("keep_id"), "group_size", kept, F.col("digest").alias("text_sha256"))
 
 
-def keep_one(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """docs without the rows whose text another row, or an earlier entry of the index, holds; all columns as they were."""
-    names = docs.columns
-    rows, verdict = added(docs, index)
-    keep = verdict.where("keep_row IS NOT NULL").select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__id"))
+    _, verdict = added(docs, index, batch=batch)
+    keep = verdict.where("keep_row IS NOT NULL").select("digest", F.col("keep_id").alias("id"))
     text = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    marked = docs.withColumns({"__digest": F.sha2(text, 256), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))})
-    return marked.join(keep, ["__digest", "__id"]).dropDuplicates(["__digest", "__id"]).select(*names)
+    marked = beside_row(docs, digest=F.sha2(text, 256), id=F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    return marked.join(keep, ["digest", "id"]).dropDuplicates(["digest", "id"]).select("row.*")
 
 
 ORACLE_SQL = """

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, settle
+from .common import beside_row, discard, settle
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -369,8 +369,7 @@ def resolve(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each class; all columns as they were."""
-    names = docs.columns
-    reps = classes(docs).of.select(F.col("rep_id").alias("__id"), F.col("rep_hash").alias("__hash")).distinct()
+    reps = classes(docs).of.select(F.col("rep_id").alias("id"), F.col("rep_hash").alias("text_hash")).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__hash": F.xxhash64(text)})
-    return marked.join(reps, ["__id", "__hash"]).dropDuplicates(["__id", "__hash"]).select(*names)
+    marked = beside_row(docs, id=F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), text_hash=F.xxhash64(text))
+    return marked.join(reps, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("row.*")

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import beside_row, settle
 from .textstats import Counts, counts
 
 TRAIN_ROWS = 20_000
@@ -179,7 +180,6 @@ def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score reaches the threshold; all columns as they were."""
-    names = docs.columns
-    scored = docs.withColumn("__score", _scored(train(docs, labels, train_rows)))
-    return scored.where(F.col("__score") >= threshold).select(*names)
+    """The rows of docs whose score reaches the threshold; all columns as they were. Scores are written before it returns."""
+    scored = settle(beside_row(docs, score=_scored(train(docs, labels, train_rows))).where(F.col("score") >= threshold), "scored")
+    return scored.select("row.*")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import beside_row, settle
 from .textstats import Counts, counts
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
@@ -122,10 +122,8 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept; all columns as they were."""
-    names = docs.columns
     voted = F.pandas_udf(_voted, "struct<base_failed: boolean, votes: string>")
-    marked = docs.withColumn("__v", voted(F.col("text").cast("string"))).select(*names, F.col("__v.base_failed").alias("__base_failed"), F.col("__v.votes").alias("__votes"))
+    marked = beside_row(docs, found=voted(F.col("text").cast("string"))).select("row", "found.*")
     marked = settle(marked, "marked")  # each text is read and counted once, for the histogram and the verdict
-    posteriors = _posteriors(marked.select(F.col("__votes").alias("votes")))
-    good = posteriors.where("posterior >= 0.5").select(F.col("votes").alias("__votes"))
-    return marked.where("not __base_failed").join(F.broadcast(good), "__votes", "left_semi").select(*names)
+    good = _posteriors(marked.select("votes")).where("posterior >= 0.5").select("votes")
+    return marked.where("not base_failed").join(F.broadcast(good), "votes", "left_semi").select("row.*")

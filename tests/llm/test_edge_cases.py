@@ -107,6 +107,23 @@ def test_odd_pages(spark):
 
 
 STAGES = corpus_pipeline.STAGES
+#: Names that the stages use for helpers, now or earlier, and names that must be quoted.
+HELPERS = ["row", "found", "base_failed", "votes", "posterior", "score", "digest", "id", "text_hash", "words_key", "__id", "__digest", "__hash", "__votes", "__score", "__v", "a.b", "x y", "struct"]
+
+
+@pytest.mark.parametrize(("name", "stage"), STAGES[:-1], ids=[n for n, _ in STAGES[:-1]])
+def test_stages_leave_clashing_columns_as_they_were(spark, sf_dir, name, stage):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    marked = docs.selectExpr("*", *(f"concat('{k}:', doc_id) AS `{c}`" for k, c in enumerate(HELPERS)), "struct(doc_id AS id, text AS `row`) AS nested")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    out = stage(spark, marked, sf_dir)
+    assert out.columns == marked.columns and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    got = out.collect()
+    assert {r.doc_id for r in got} == {r.doc_id for r in stage(spark, docs, sf_dir).collect()} and got
+    for r in got:
+        assert [r[c] for c in HELPERS] == [f"{k}:{r.doc_id}" for k in range(len(HELPERS))] and r.nested == (r.doc_id, r.text)
+
+
 
 
 @pytest.mark.parametrize(("name", "stage"), STAGES, ids=[n for n, _ in STAGES])

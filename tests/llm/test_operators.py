@@ -475,11 +475,50 @@ def test_index_persists_over_batches_and_sessions(spark, tmp_path):
 def test_new_digests_come_from_an_anti_join_that_leaves_the_index_in_place(spark, tmp_path):
     index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", buckets=4)
     rows = exact_dedup.digested(spark.range(50).selectExpr("id AS doc_id", "CAST(id % 20 AS string) AS text"))
-    index.add(rows)
+    index.add(rows, f"file://{tmp_path}/first")
     top = rows.groupBy("digest").agg(F.max("doc_id"))
     plan = top.join(index.read().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Bucketed: true" in plan
-    assert index.add(rows).count() == 0 and index.read().count() == 20
+    assert index.add(rows, f"file://{tmp_path}/second").count() == 0 and index.read().count() == 20
+    index.drop()
+
+
+class Lost(Exception):
+    pass
+
+
+@pytest.mark.parametrize("stop", ["rows", "0/new", "append 0", "0/appended", "1/new", "append 1", "1/appended", "verdicts", None])
+def test_a_batch_that_stops_anywhere_goes_on(spark, tmp_path, monkeypatch, stop):
+    frame = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", buckets=2)
+    exact_dedup.resolve(frame((1, "a"), (9, "Z")), index, "earlier").collect()
+    docs = frame((10, "A"), (11, "b"), (12, "B"), (13, "c"), (14, "c"), (90, "d"), (91, "z"), (92, "D"), (None, "e"))
+    with monkeypatch.context() as m:
+        settle_at, append, appended = exact_dedup.settle_at, exact_dedup.DigestIndex._append, []
+
+        def stopping_settle(df, path, *more):
+            if stop and path.endswith("/" + stop):
+                raise Lost
+            out = settle_at(df, path, *more)
+            return out
+
+        def stopping_append(self, new):
+            append(self, new)
+            appended.append(1)
+            if stop == f"append {len(appended) - 1}":
+                raise Lost
+
+        m.setattr(exact_dedup, "settle_at", stopping_settle)
+        m.setattr(exact_dedup.DigestIndex, "_append", stopping_append)
+        if stop:
+            with pytest.raises(Lost):
+                exact_dedup.resolve(docs, index, "second")
+    want = {10: (1, False), 11: (12, False), 12: (12, True), 13: (14, False), 14: (14, True), 90: (92, False), 91: (9, False), 92: (92, True), None: (None, True)}
+    for _ in range(2):  # the retry, and the same batch once more
+        assert {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.resolve(docs, index, "second").collect()} == want
+        assert {r.doc_id for r in exact_dedup.keep_one(docs, index, "second").collect()} == {12, 14, 92, None}
+        assert index.entries().count() == 6 == index.entries().distinct().count()
+    assert [r.kept for r in exact_dedup.resolve(docs, index, "third").collect()] == [False] * 9
     index.drop()
 
 
