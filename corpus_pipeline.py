@@ -26,12 +26,18 @@ BATCH_ROWS = 1000
 
 
 def in_short_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage, with the session set to short Arrow batches; the setting stays, for the stage's result is lazy."""
+    """The stage, with the session set to short Arrow batches while it runs. What a stage does in Python it does before it
+    returns, so its result, which is lazy, needs the setting no more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-        return stage(spark, docs, sf_dir)
+        before = spark.conf.get(name)
+        spark.conf.set(name, BATCH_ROWS)
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:
+            spark.conf.set(name, before)
 
     return run_stage
 
