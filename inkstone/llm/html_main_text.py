@@ -1,15 +1,15 @@
 """Main text of web pages by tag-path ratios.
 
-A page becomes a run of text nodes, each with its root-to-leaf path of tags. Text length and punctuation are aggregated
-per path and divided by the path's nodes, where linked text counts nothing; both ratios are smoothed along the page with
-a Gaussian window and fused into one. Landmark tags, class names, ids and roles lower the ratio of the paths they stand
-over, strongly where they name a menu, an advert or reader comments and a little where they could mean either, as
-``related`` or ``notice`` do. The paths whose ratio passes a share of the page's mean are content, and every node of
-theirs is output.
+A page becomes a run of text nodes, each with its root-to-leaf path of tags. Three ratios are taken per path: all its
+text that isn't linked (in characters, over the page's greatest), punctuation marks to a node, and unlinked text to all
+text. They are fused by multiplication, smoothed along the page with a Gaussian window, and averaged per path. The paths
+that reach a share of the page's highest are content, and every node of theirs is output. Landmark tags, class names, ids
+and roles are a prior: they multiply the ratios of the paths they stand over and so decide only where these are close.
 
 Ratios can't see short blocks of the article, so the selected text then places the article: its article or main
-elements, or else the smallest element that holds nearly all of it. Unmarked headings, list items, cells and short
-paragraphs inside are output too. A heading such as "Comments" marks what follows it in its element.
+elements, or else the smallest element that holds nearly all of it. Inside, unmarked blocks are output too, and blocks
+under words that can mean either if they are headings or read like sentences. A heading such as "Comments" marks what
+follows it in its element.
 
 Every page is a row of its own, so pages are read where they lie and nothing is shuffled. A page is read in time
 proportional to its length, however deep its elements nest.
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -49,22 +50,31 @@ ENDS = {
 PARAGRAPH = ({"p"}, {"article", "main", "section", "div", "body", "table", "td", "th", "blockquote", "li", "form", "ul", "ol", "dl"})
 #: Blocks that are output inside the article even if their path's ratio is low.
 CONTENT = frozenset("article main p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption blockquote pre".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE_TAGS = ("article", "main")
 #: Words of class names, ids and roles that name what is not the article, and words that can mean either.
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo navbar navigation breadcrumb breadcrumbs sidebar masthead cookie cookies consent gdpr popup modal newsletter subscribe comments disqus pagination pager contentinfo".split()
 )
 MAYBE_WORDS = frozenset("promotion banner nav menu aside header footer notice alert overlay subscription signup login comment respond responses related recommended share sharing social widget toolbar search complementary dialog".split())
+#: Words of names that say nothing about what they name.
+PLAIN_WORDS = frozenset("section area list box container wrapper block item items inner outer content main top bottom left right page site post entry article text id the a my new".split())
 #: What a ratio is multiplied by under landmark tags and such words.
 OUTSIDE, NOISE, MAYBE = 0.02, 0.1, 0.5
-#: The share of the page's mean ratio that selects a path.
-SHARE = 0.3
-
-_tag = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: The share of the page's highest ratio that selects a path, and the weight of the smoothed ratios.
+SHARE, SMOOTHED = 0.4, 0.3
+#: A page whose highest ratio, times its marks, is below this share of the highest without them has no content at all.
+FLOOR = 0.1
+#: Words that make a block under a doubtful mark read like a sentence.
+SENTENCE_WORDS = 8
+
+_open_tag = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_stop = re.compile(r"""[>"']""")
 _attribute = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _name_words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+").findall
 _marks = re.compile(r"[.,;:!?…。，！？、；：]").findall
-_comments = re.compile(r"(?:\d+\s+)?(?:reader |user |leave (?:a|your) |add (?:a|your) |post (?:a|your) )?(?:comments?|responses|reply|replies|kommentare?|commentaires?|comentarios?)(?:\s*\(?\d+\)?)?\s*:?", re.I).fullmatch
+_comments = re.compile(r"(?:\d+\s+)?(?:reader |user |leave (?:a|your) |add (?:a|your) |post (?:a|your) )?(?:comments?|kommentare?|commentaires?|comentarios?)(?:\s*\(?\d+\)?)?\s*:?|(?:what|from) (?:our |the |your )?readers?(?: say| think| write| wrote)?\s*:?|reader reactions?", re.I).fullmatch
+_responses = re.compile(r"(?:\d+\s+)?(?:responses|reply|replies)(?:\s*\(?\d+\)?)?\s*:?", re.I).fullmatch
 _by_reader = re.compile(r"(?:posted|written|commented|comment) by (?:a |an )?(?:reader|user|guest|visitor|member|anonymous)\b", re.I).match
 
 
@@ -96,11 +106,70 @@ def _worth(attributes: str) -> float:
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
             return 0.0
         if name in ("class", "id", "role"):
-            words = {w.lower() for w in _name_words(value)}
-            worth = min(worth, NOISE if words & NOISE_WORDS else MAYBE if words & MAYBE_WORDS else 1.0)
+            worth = min([worth, *(_name_worth(x) for x in value.split())])
     return worth
 
 
+def _name_worth(name: str) -> float:
+    """What one name leaves: a word of noise counts in full where the name has little more to say, and else as doubtful."""
+    words = [w.lower() for w in _name_words(name)]
+    noise = sum(w in NOISE_WORDS for w in words)
+    if noise and 2 * noise >= sum(w not in PLAIN_WORDS for w in words):
+        return NOISE
+    return MAYBE if noise or not MAYBE_WORDS.isdisjoint(words) else 1.0
+
+
+class _Tags:
+    """The tags of a page, in order: (start, end, closes, name, attributes); comments and declarations have no name.
+
+    A tag ends at the first > outside quotes, or, where there is none, at the first one. A search for it that reaches the
+    page's end is remembered by its quoted stretches: a later tag that lies outside these would end as it did, so there are
+    no more such searches than ways to be inside quotes."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.lost: list[tuple[int, list[int], list[int]]] = []
+
+    def _end(self, start: int) -> int:
+        """Where the attributes from start on end; -1 without any >."""
+        page = self.page
+        first = page.find(">", start)
+        if first < 0:
+            return -1
+        for since, opens, closes in self.lost:
+            k = bisect_right(opens, start) - 1
+            if start >= since and (k < 0 or closes[k] < start):
+                return first
+        opens, closes, at = [], [], start
+        while m := _stop.search(page, at):
+            if m[0] == ">":
+                return m.start()
+            close = page.find(m[0], m.end())
+            if close < 0:
+                break
+            opens.append(m.start())
+            closes.append(close)
+            at = close + 1
+        self.lost.append((start, opens, closes))
+        return first
+
+    def __iter__(self) -> Iterator[tuple[int, int, bool, str, str]]:
+        page, at = self.page, 0
+        while m := _open_tag.search(page, at):
+            start = m.start()
+            if m[2]:
+                end = self._end(m.end())
+                if end < 0:
+                    return
+                self.at = end + 1
+                yield start, self.at, bool(m[1]), m[2].lower(), page[m.end() : end]
+            else:
+                close = page.find("-->", m.end()) if m[0] == "<!--" else page.find(">", m.end())
+                self.at = len(page) if close < 0 else close + (3 if m[0] == "<!--" else 1)
+                yield start, self.at, False, "", ""
+            at = self.at  # the reader may have moved it
+
+
 class _Open:
     """An open element. ends: for each kind of implied end, the place on the stack of the element that it would end."""
 
@@ -132,9 +201,10 @@ def nodes_of(page: str) -> tuple[list[Node], list[Element]]:
             return
         s = entities.unescape(s)
         plain = s.strip()
-        if plain and (_by_reader(plain) or (len(plain) < 60 and _comments(plain))):
+        if plain and (_by_reader(plain) or (len(plain) < 60 and (_comments(plain) or _responses(plain)))):
             around = stack[-2] if len(stack) > 1 and (stack[-2].tag not in ARTICLE_TAGS or not _by_reader(plain)) else top
-            around.worth, top.worth = min(around.worth, NOISE), min(top.worth, NOISE)
+            worth = MAYBE if _responses(plain) else NOISE
+            around.worth, top.worth = min(around.worth, worth), min(top.worth, worth)
         nodes.append(Node(top.path, top.element, block, top.block_tag, top.worth, top.linked, s))
 
     def cut(size: int) -> None:
@@ -146,22 +216,21 @@ def nodes_of(page: str) -> tuple[list[Node], list[Element]]:
         if found := stack[-1].ends.get(kind, 0):
             cut(found)
 
-    while m := _tag.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+    tags = _Tags(page)
+    for start, end_of_tag, closes, name, attributes in tags:
+        text(page[at:start])
+        at = end_of_tag
         if not name:
             continue
         if name not in INLINE:
             block += 1
-        if m[1] or m[4]:
+        if closes:
             if count.get(name):
                 size = len(stack) - 1
                 while stack[size].tag != name:
                     size -= 1
                 cut(size)
             continue
-        attributes = m[3] or m[6] or ""
         if name in VOID or attributes.endswith("/"):
             continue
         if name not in INLINE:
@@ -174,10 +243,10 @@ def nodes_of(page: str) -> tuple[list[Node], list[Element]]:
         if name in RAW:
             low = page.lower() if low is None and len(page) == len(page.lower()) else low
             close = (low or page).find(f"</{name}", at)
-            at = len(page) if close < 0 else close
+            tags.at = len(page) if close < 0 else close
             if name in UNSEEN:
-                close = page.find(">", at)
-                at = len(page) if close < 0 else close + 1
+                close = page.find(">", tags.at)
+                at = tags.at = len(page) if close < 0 else close + 1
                 continue
         worth = OUTSIDE if name in LANDMARK else 1.0 if name in ("html", "body", *ARTICLE_TAGS) else _worth(attributes) if attributes else 1.0
         inline = name in INLINE
@@ -196,22 +265,32 @@ def _smooth(x: np.ndarray, width: int = 2) -> np.ndarray:
     return np.convolve(x, kernel, "same") / np.convolve(np.ones(len(x)), kernel, "same") if len(x) > width else x
 
 
-def selected(nodes: list[Node]) -> np.ndarray:
-    """Which nodes have a path whose fused ratio, lowered by its marks, passes the threshold."""
-    worth = np.array([n.worth for n in nodes])
+def ratios(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
+    """Each node's path, and each path's fused and smoothed ratio, without marks."""
     _, path = np.unique([(n.path, n.worth) for n in nodes], axis=0, return_inverse=True)
     path = path.ravel()
-    length = np.array([0 if n.linked else len(n.text.strip()) for n in nodes], float)
-    marks = np.array([0 if n.linked else len(_marks(n.text)) for n in nodes], float)
     count = np.bincount(path)
-    ratio = (np.bincount(path, length) / count)[path]
-    mark_ratio = (np.bincount(path, marks) / count)[path]
-    smooth_length, smooth_marks = (_smooth(x) if len(x) >= 5 else x for x in (ratio, mark_ratio))
-    fused = np.sqrt(smooth_length * (1.0 + smooth_marks) * ratio)
-    by_path = (np.bincount(path, fused) / count)[path]
-    weight = np.where(length > 0, length, 1e-9) * worth
-    limit = SHARE * float((by_path * weight).sum() / weight.sum())
-    return (by_path * worth >= limit) & ((by_path > 0) | (limit == 0))
+    per_path = lambda x: np.bincount(path, np.array(x, float))
+    bare = per_path([0 if n.linked else len(n.text.strip()) for n in nodes])
+    every = per_path([len(n.text.strip()) for n in nodes])
+    marks = per_path([0 if n.linked else len(_marks(n.text)) for n in nodes])
+    fused = (bare / max(bare.max(), 1.0) * np.sqrt(1.0 + marks / count) * bare / np.maximum(every, 1))[path]
+    if len(nodes) >= 5:
+        fused = fused ** (1 - SMOOTHED) * _smooth(fused) ** SMOOTHED
+    return path, np.bincount(path, fused) / count
+
+
+def selected(nodes: list[Node]) -> np.ndarray:
+    """Which nodes have a path whose ratio, times what its marks leave, reaches the share of the highest."""
+    path, ratio = ratios(nodes)
+    worth = np.empty(len(ratio))
+    worth[path] = [n.worth for n in nodes]
+    held = ratio * worth
+    return (held >= SHARE * max(held.max(), FLOOR * ratio.max()))[path] & ((held > 0) | (ratio.max() == 0))[path]
+
+
+def _sentences(text: str) -> bool:
+    return len(text.split()) >= SENTENCE_WORDS and _marks(text) != []
 
 
 def main_text(page: str | None) -> str:
@@ -239,11 +318,28 @@ def main_text(page: str | None) -> str:
         for k, e in enumerate(elements):
             scope[k] = k == top or scope[e.parent]
     paths = {(n.path, n.worth) for n in chosen}
-    blocks: dict[int, list[str]] = {}
+    named = any(e.tag in ARTICLE_TAGS and scope[k] for k, e in enumerate(elements))
+    whole: dict[int, list[Node]] = {}
     for n in nodes:
-        if (n.path, n.worth) in paths or (n.worth == 1.0 and n.tag in CONTENT and scope[n.element]):
-            blocks.setdefault(n.block, []).append(n.text)
-    return " ".join(t for b in blocks.values() if (t := " ".join("".join(b).split())))
+        whole.setdefault(n.block, []).append(n)
+    out: list[str] = []
+    for block in whole.values():
+        bare = "".join(n.text for n in block if not n.linked)
+        fits = {0: False}  # by what a node's marks leave
+        kept = []
+        for n in block:
+            if (n.path, n.worth) in paths:
+                kept.append(n.text)
+            elif scope[n.element] and n.worth not in fits:
+                content = n.tag in CONTENT
+                if n.worth == 1.0:
+                    fits[n.worth] = content or (named and bool(bare.strip()))
+                else:
+                    fits[n.worth] = n.worth >= MAYBE and (n.tag in HEADINGS or _sentences(bare))
+            if (n.path, n.worth) not in paths and scope[n.element] and fits.get(n.worth):
+                kept.append(n.text)
+        out.append(" ".join("".join(kept).split()))
+    return " ".join(t for t in out if t)
 
 
 def extract(pages: DataFrame) -> DataFrame:
