@@ -2,18 +2,19 @@
 
 Linear models predict one category after another, and each is given the probabilities of the categories before it.
 While training, those probabilities come from models that did not see the row (out-of-fold), so that a later model
-meets the same kind of input in training and in use. The last link is the overall label that the labels table carries;
-the earlier categories are labelled from it together with a lexicon: a toxic row that holds a word of the category. The
-lexicons label training rows and are no inputs: all links see the words of a text, of which training selects those whose
-log odds differ from zero significantly, and the probabilities before them, nothing else. A category that too few
-training rows show has no link; it scores its base rate and feeds no later link.
+meets the same kind of input in training and in use. The last link is the overall label that the labels table carries.
+
+That table names no categories, so training finds them: toxic rows are clustered by the words that they share and that
+are much likelier in toxic rows than in others, by spherical k-means from a fixed start. The largest cluster is the first
+category. Toxic rows without such words are in none. No list of words comes from outside, and all links see the words of
+a text, of which training selects those whose log odds differ from zero significantly, and the probabilities before them.
 
 The models are fitted on at most ``train_rows`` labelled rows (smallest hash of doc_id first, a documented bound);
 every document is scored on all its words.
 
 Defined results: null and empty texts have no words and score what the intercepts give; a text of any length is scored
-on all its words; a category with fewer than ``least_rows`` rows of either kind in training scores its base rate;
-without labelled rows all scores are 0; a null doc_id counts as the empty string for the fold; of training rows that
+on all its words; with fewer kinds of toxic rows than categories the last ones score 0 and feed no later link;
+without labelled rows all scores are 0 (so they are with toxic rows alone 1); a null doc_id counts as the empty string for the fold; of training rows that
 share doc_id and label, the one with the smallest set of words counts, so training gives the same model each time;
 repeated rows get the same scores; an empty table gives no rows; other columns are not read.
 """
@@ -39,15 +40,10 @@ FOLDS = 3
 CATEGORY_L2, OVERALL_L2 = 0.1, 1.0
 THRESHOLD = 0.3
 OVERALL = "toxic"
-
-#: Common words of each category.
-LEXICON = {
-    "profanity": "damn crap hell bastard piss bloody arse ass shit fuck bitch".split(),
-    "threat": "kill die hurt destroy punch burn hang shoot stab beat threaten".split(),
-    "insult": "idiot moron loser clown scum fool jerk dunce imbecile coward liar pig rat creep freak".split(),
-    "contempt": "stupid dumb pathetic worthless disgusting trash garbage useless filthy vile ugly hate despise shameful ridiculous".split(),
-}
-CHAIN = [*LEXICON, OVERALL]
+#: The categories that training looks for, how far from zero the log odds of their words lie, and how many words they have at most.
+KINDS, KIND_Z, KIND_WORDS = 4, 2.5, 500
+CATEGORIES = [f"kind_{k + 1}" for k in range(KINDS)]
+CHAIN = [*CATEGORIES, OVERALL]
 
 _word = re.compile(r"\w+").findall
 
@@ -75,19 +71,59 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def _select(ids: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The word buckets, found in five rows or more, whose log odds lie at least LEAST_Z standard errors from zero."""
+def _log_odds(ids: np.ndarray, rows: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word bucket: in how many rows it is found, its log odds, and these in standard errors."""
     pos = np.bincount(ids, y[rows], 2**BITS)
     both = np.bincount(ids, minlength=2**BITS)
     neg = both - pos
     odds = np.log((pos + 0.5) / (y.sum() - pos + 0.5)) - np.log((neg + 0.5) / (len(y) - y.sum() - neg + 0.5))
-    error = np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    z = np.where(both >= 5, np.abs(odds) / error, 0)
+    return both, odds, odds / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+
+
+def _select(ids: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The word buckets, found in five rows or more, whose log odds lie at least LEAST_Z standard errors from zero."""
+    both, _, z = _log_odds(ids, rows, y)
+    z = np.where(both >= 5, np.abs(z), 0)
     best = np.argsort(-z, kind="stable")[:SELECTED]
     return best[z[best] >= LEAST_Z]
 
 
-def _fit(ids: np.ndarray, rows: np.ndarray, n: int, extra: np.ndarray, y: np.ndarray, l2: float, rounds: int = 150) -> Link:
+def kinds_of(docs: list[np.ndarray], toxic: np.ndarray, kinds: int = KINDS) -> np.ndarray:
+    """The category of each row, from 0; -1 for rows that are not toxic or have no telling word."""
+    out = np.full(len(docs), -1)
+    if not toxic.any() or toxic.all():
+        return out
+    sizes = np.array([len(d) for d in docs])
+    ids, rows = np.concatenate([*docs, np.empty(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(docs)), sizes)
+    both, _, z = _log_odds(ids, rows, toxic.astype(float))
+    z = np.where(both >= 3, z, 0)
+    words = np.argsort(-z, kind="stable")[:KIND_WORDS]
+    words = np.sort(words[z[words] >= KIND_Z])
+    x = np.array([np.isin(words, docs[r]) for r in np.flatnonzero(toxic)], float).reshape(-1, len(words))
+    telling = x.any(axis=1) if len(words) else np.zeros(len(x), bool)
+    x, at = x[telling], np.flatnonzero(toxic)[telling]
+    if not len(x):
+        return out
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres = x.mean(axis=0, keepdims=True) / np.linalg.norm(x.mean(axis=0))
+    first = int((x @ centres[0]).argmax())  # the row nearest to the middle, then always the one farthest from those before it
+    chosen = [first]
+    while len(chosen) < kinds and (near := (x @ x[chosen].T).max(axis=1)).min() < 1 - 1e-9:
+        chosen.append(int(near.argmin()))
+    centres = x[chosen]
+    for _ in range(30):
+        kind = (x @ centres.T).argmax(axis=1)
+        moved = np.array([x[kind == k].mean(axis=0) if (kind == k).any() else centres[k] for k in range(len(chosen))])
+        moved /= np.linalg.norm(moved, axis=1, keepdims=True)
+        if np.allclose(moved, centres):
+            break
+        centres = moved
+    order = np.argsort(-np.bincount(kind, minlength=len(chosen)), kind="stable")
+    out[at] = np.argsort(order)[kind]
+    return out
+
+
+def _fit(ids: np.ndarray, rows: np.ndarray, n: int, extra: np.ndarray, y: np.ndarray, l2: float, rounds: int = 250) -> Link:
     """Ridge logistic regression over binary words and earlier logits, by accelerated gradient steps."""
     chosen = np.sort(_select(ids, rows, y)) if len(ids) else np.empty(0, np.int64)
     at = np.searchsorted(chosen, ids) if len(chosen) else np.zeros(len(ids), np.int64)
@@ -126,7 +162,7 @@ def _apply(link: Link, ids: np.ndarray, rows: np.ndarray, n: int, extra: np.ndar
     return 1 / (1 + np.exp(-np.clip(f, -40, 40)))
 
 
-def fit_chain(docs: list[np.ndarray], labels: dict[str, np.ndarray], least_rows: int = 10) -> list[Link]:
+def fit_chain(docs: list[np.ndarray], labels: dict[str, np.ndarray]) -> list[Link]:
     """The links in chain order; docs are the word buckets of each training row."""
     n = len(docs)
     if not n:
@@ -139,7 +175,7 @@ def fit_chain(docs: list[np.ndarray], labels: dict[str, np.ndarray], least_rows:
     chain: list[Link] = []
     for name in CHAIN:
         y = labels[name].astype(float)
-        if min(y.sum(), n - y.sum()) < least_rows:
+        if y.min() == y.max():  # training shows one kind of row alone
             chain.append(Link({}, np.zeros(extra.shape[1]), float(_logit(np.array([y.mean()]))[0]), False))
             continue
         l2 = OVERALL_L2 if name == OVERALL else CATEGORY_L2
@@ -202,28 +238,25 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> l
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [tokens(x.as_py()) for x in batch.column(2)]
-            ids = pa.array([sorted({bucket(w) for w in ws}) for ws in words], pa.list_(pa.int32()))
-            held = pa.array([[not ws.isdisjoint(LEXICON[c]) for c in LEXICON] for ws in words], pa.list_(pa.bool_()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids, held], ["doc_id", "toxic", "ids", "held"])
+            ids = pa.array([sorted({bucket(w) for w in tokens(x.as_py())}) for x in batch.column(2)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], ["doc_id", "toxic", "ids"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(work, "doc_id bigint, toxic int, ids array<int>, held array<boolean>")
-    rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("ids", "held")).alias("one")).select("doc_id", "toxic", "one.*")  # a doc_id that many rows share counts once, so that the bound holds
+    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(work, "doc_id bigint, toxic int, ids array<int>")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("ids").alias("ids"))  # a doc_id that many rows share counts once, so that the bound holds
     got = rows.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    toxic, held, ids = (got[c].combine_chunks() for c in ("toxic", "held", "ids"))
-    toxic = toxic.to_numpy(zero_copy_only=False)
-    marks = held.flatten().to_numpy(zero_copy_only=False).astype(bool).reshape(len(toxic), len(LEXICON))
-    named = {c: marks[:, i] & (toxic == 1) for i, c in enumerate(LEXICON)} | {OVERALL: toxic == 1}
+    toxic, ids = (got[c].combine_chunks() for c in ("toxic", "ids"))
+    toxic = toxic.to_numpy(zero_copy_only=False) == 1
     ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
     found = np.split(ids.flatten().to_numpy(zero_copy_only=False), ends[:-1]) if len(toxic) else []
-    return fit_chain(found, named)
+    kind = kinds_of(found, toxic)
+    return fit_chain(found, {c: kind == k for k, c in enumerate(CATEGORIES)} | {OVERALL: toxic})
 
 
 def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, a probability for each category, score and predicted (1: toxic) of every row."""
     chain = docs.sparkSession.sparkContext.broadcast(train(docs, labels, train_rows))
-    names = [f"p_{c}" for c in LEXICON] + ["score"]
+    names = [f"p_{c}" for c in CATEGORIES] + ["score"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(chain.value)

@@ -159,7 +159,7 @@ def test_bpe_frames_round_trip(spark):
 
 
 def test_toxicity_catches_planted_documents_and_leaves_clean_ones(spark, labelled, docs):
-    words = toxicity_chain.LEXICON["insult"] + toxicity_chain.LEXICON["contempt"]
+    words = "idiot moron loser clown scum fool jerk stupid dumb pathetic worthless disgusting trash".split()
     rng = np.random.default_rng(3)
     clean = [f"the {' '.join(rng.choice(['tree', 'river', 'stone', 'house', 'light', 'road'], 40))}" for _ in range(400)]
     toxic = [f"{c} you {rng.choice(words)} and {rng.choice(words)} so {rng.choice(words)}" for c in clean[:120]]
@@ -175,20 +175,97 @@ def test_chain_feeds_earlier_probabilities_to_later_links():
     n = 600
     first = rng.random(n) < 0.4
     docs = [np.array(sorted({*rng.integers(100, 200, 5).tolist(), *([7] if f else [])})) for f in first]
-    labels = {c: first if c in ("insult", toxicity_chain.OVERALL) else np.zeros(n, bool) for c in toxicity_chain.CHAIN}
+    labels = {c: first if c in ("kind_3", toxicity_chain.OVERALL) else np.zeros(n, bool) for c in toxicity_chain.CHAIN}
     chain = toxicity_chain.fit_chain(docs, labels)
     assert [link.feeds for link in chain] == [False, False, True, False, True]  # categories that no row shows feed nothing
     assert [len(link.dense) for link in chain] == [0, 0, 0, 1, 1]
     assert 7 in chain[2].words and chain[-1].dense[0] > 0
 
 
+def test_categories_are_clusters_of_toxic_rows():
+    rng = np.random.default_rng(1)
+    vocabulary = [range(10, 20), range(20, 28), range(30, 36), range(40, 45)]
+    kind = rng.choice([-1, 0, 1, 2, 3], 1500, p=[0.6, 0.16, 0.12, 0.08, 0.04])
+    docs = [np.array(sorted({*rng.integers(100, 180, 8).tolist(), *(rng.choice(vocabulary[k], 3).tolist() if k >= 0 else [])})) for k in kind]
+    toxic = kind >= 0
+    toxic[:30] |= kind[:30] < 0  # toxic rows without a telling word
+    got = toxicity_chain.kinds_of(docs, toxic)
+    assert (got == kind).mean() > 0.99
+    assert (toxicity_chain.kinds_of(docs, np.zeros(1500, bool)) == -1).all() and (toxicity_chain.kinds_of([], np.zeros(0, bool)) == -1).all()
+
+
+def test_every_link_is_trained_on_small_tables(spark):
+    for sf in ("sf0.01", "sf0.1"):
+        chain = toxicity_chain.train(*(spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels")))
+        assert all(link.feeds and link.words for link in chain) and (chain[-1].dense > 0).any()
+
+
+def plain_logistic(x, y, extra, l2):
+    """Ridge logistic regression by Newton's steps; the intercept isn't pulled."""
+    z = np.column_stack([x, extra, np.ones(len(y))])
+    theta = np.zeros(z.shape[1])
+    pull = np.append(np.full(z.shape[1] - 1, l2), 0.0)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(z @ theta, -40, 40)))
+        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(pull + 1e-9)
+        theta -= np.linalg.solve(h, z.T @ (p - y) + pull * theta)
+    return theta
+
+
+def test_training_equals_a_plain_chain():
+    """Words, folds, out-of-fold inputs and links, by another solver."""
+    rng = np.random.default_rng(2)
+    n = 900
+    kind = rng.choice([-1, 0, 1], n, p=[0.6, 0.25, 0.15])
+    docs = [np.array(sorted({*rng.integers(100, 130, 6).tolist(), *(rng.choice(range(10 * k + 10, 10 * k + 14), 2).tolist() if k >= 0 else [])})) for k in kind]
+    toxic = (kind >= 0) ^ (rng.random(n) < 0.05)
+    labels = {c: kind == k for k, c in enumerate(toxicity_chain.CATEGORIES)} | {toxicity_chain.OVERALL: toxic}
+    chain = toxicity_chain.fit_chain(docs, labels)
+    x = np.zeros((n, 130))
+    for r, d in enumerate(docs):
+        x[r, d] = 1
+
+    def chosen(rows, y):
+        odds = lambda w: (x[rows, w][y == 1].sum(), x[rows, w][y == 0].sum())
+        out = []
+        for w in range(130):
+            (a, b), n1, n0 = odds(w), y.sum(), len(y) - y.sum()
+            z = (np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+            out += [w] if a + b >= 5 and abs(z) >= 4 else []
+        return out
+
+    extra, fold = np.empty((n, 0)), np.arange(n) % toxicity_chain.FOLDS
+    for name, link in zip(toxicity_chain.CHAIN, chain, strict=True):
+        y = labels[name].astype(float)
+        if y.max() == 0:
+            assert not link.feeds
+            continue
+        l2 = toxicity_chain.OVERALL_L2 if name == toxicity_chain.OVERALL else toxicity_chain.CATEGORY_L2
+        words = chosen(np.arange(n), y)
+        theta = plain_logistic(x[:, words], y, extra, l2)
+        assert sorted(link.words) == words
+        f = x[:, words] @ theta[: len(words)] + extra @ theta[len(words) : -1] + theta[-1]
+        g = x[:, words] @ [link.words[w] for w in words] + extra @ link.dense + link.intercept
+        loss = lambda f, held: np.logaddexp(0, -f * (2 * y - 1)).sum() + l2 / 2 * (np.asarray(held) ** 2).sum()  # noqa: B023, E731
+        assert loss(g, [*link.words.values(), *link.dense]) <= loss(f, theta[:-1]) * 1.02 + 0.1
+        assert np.abs(1 / (1 + np.exp(-f)) - 1 / (1 + np.exp(-g))).mean() < 0.01
+        unseen = np.empty(n)
+        for k in range(toxicity_chain.FOLDS):
+            learn, hold = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+            some = chosen(learn, y[learn])
+            t = plain_logistic(x[np.ix_(learn, some)], y[learn], extra[learn], l2)
+            unseen[hold] = x[np.ix_(hold, some)] @ t[: len(some)] + extra[hold] @ t[len(some) : -1] + t[-1]
+        p = np.clip(1 / (1 + np.exp(-unseen)), 1e-4, 1 - 1e-4)
+        extra = np.column_stack([extra, np.log(p / (1 - p))])
+
+
 def test_toxicity_query_equals_a_plain_chain(spark, sf_dir, docs):
     chain = toxicity_chain.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     got = {r.doc_id: r for r in queries.op3_toxicity_chain(spark, sf_dir).collect()}
     for doc_id, text in zip(docs["doc_id"], docs["text"], strict=True):
         words = {toxicity_chain.bucket(w) for w in re.findall(r"\w+", (text or "").lower())}
         logits = []
-        for name, link in zip([f"p_{c}" for c in toxicity_chain.LEXICON] + ["score"], chain, strict=True):
+        for name, link in zip([f"p_{c}" for c in toxicity_chain.CATEGORIES] + ["score"], chain, strict=True):
             f = link.intercept + sum(link.words.get(w, 0.0) for w in words) + sum(a * b for a, b in zip(link.dense, logits, strict=True))
             p = 1 / (1 + np.exp(-np.clip(f, -40, 40)))
             assert got[doc_id][name] == pytest.approx(p, abs=1e-9)
