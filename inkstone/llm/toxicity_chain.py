@@ -123,7 +123,7 @@ def kinds_of(docs: list[np.ndarray], toxic: np.ndarray, kinds: int = KINDS) -> n
     return out
 
 
-def _fit(ids: np.ndarray, rows: np.ndarray, n: int, extra: np.ndarray, y: np.ndarray, l2: float, rounds: int = 250) -> Link:
+def _fit(ids: np.ndarray, rows: np.ndarray, n: int, extra: np.ndarray, y: np.ndarray, l2: float, rounds: int = 400) -> Link:
     """Ridge logistic regression over binary words and earlier logits, by accelerated gradient steps."""
     chosen = np.sort(_select(ids, rows, y)) if len(ids) else np.empty(0, np.int64)
     at = np.searchsorted(chosen, ids) if len(chosen) else np.zeros(len(ids), np.int64)
