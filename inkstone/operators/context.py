@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,22 +41,24 @@ def batches(rows: DataFrame, group: str, budget: int) -> DataFrame:
     """Greedy batches: a row that would overflow a batch that has rows opens the next. rows: group, ordinal, cost.
 
     A batch depends on all rows before it, so each group is folded in order; groups are documents, which bounds them."""
-    state = "struct<batch: bigint, cost: bigint, count: bigint, out: array<struct<ordinal: bigint, cost: bigint, batch: bigint>>>"
-    zero = F.from_json(F.lit('{"batch": 0, "cost": 0, "count": 0, "out": []}'), state)
-
-    def step(s: Column, x: Column) -> Column:
-        full = (s["cost"] + x["cost"] > budget) & (s["count"] > 0)
-        batch = F.when(full, s["batch"] + 1).otherwise(s["batch"])
-        new = F.struct(x["ordinal"].alias("ordinal"), x["cost"].alias("cost"), batch.alias("batch"))
-        return F.struct(
-            batch.alias("batch"),
-            F.when(full, x["cost"]).otherwise(s["cost"] + x["cost"]).alias("cost"),
-            F.when(full, F.lit(1).cast("long")).otherwise(s["count"] + 1).alias("count"),
-            F.concat(s["out"], F.array(new)).alias("out"),
-        )
 
-    folded = _ordered(rows, group, F.struct("ordinal", "cost")).select(group, F.aggregate("items", zero, step, lambda s: s["out"]).alias("out"))
-    return folded.select(group, F.inline("out"))
+    def work(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables:
+            numbers = []
+            for items in table.column(1):
+                batch = held = count = 0
+                for cost in items.values.field("cost").to_pylist():
+                    if count and held + cost > budget:
+                        batch, held, count = batch + 1, 0, 0
+                    held, count = held + cost, count + 1
+                    numbers.append(batch)
+            items = table.column(1)
+            key = table.column(0).take(pc.list_parent_indices(items))
+            ordinal, cost = (pc.list_flatten(items).field(k) for k in ("ordinal", "cost"))
+            yield pa.RecordBatch.from_arrays([key, ordinal, cost, pa.array(numbers, pa.int64())], [group, "ordinal", "cost", "batch"])
+
+    item = F.struct(F.col("ordinal").cast("long").alias("ordinal"), F.col("cost").cast("long").alias("cost"))
+    return _ordered(rows, group, item).mapInArrow(work, f"{group} {rows.schema[group].dataType.simpleString()}, ordinal bigint, cost bigint, batch bigint")
 
 
 def select_retrieval(hits: DataFrame, chunks: DataFrame, budget: int, window: int = 1) -> DataFrame:

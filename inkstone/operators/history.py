@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,18 +17,25 @@ MAX_MESSAGES, MAX_BYTES = 512, 1_048_576
 def bounded(messages: DataFrame, max_messages: int = MAX_MESSAGES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """conv_id, turn, accepted, history_bytes: a message that would pass a bound is refused, later ones may still fit.
 
-    What is accepted depends on all before it, so each conversation is folded in order of its turns."""
-    items = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes")))).alias("items"))
-    state = "struct<count: bigint, bytes: bigint, out: array<struct<turn: bigint, accepted: boolean, history_bytes: bigint>>>"
-    zero = F.from_json(F.lit('{"count": 0, "bytes": 0, "out": []}'), state)
-
-    def push(s: Column, x: Column) -> Column:
-        fits = (s["count"] < max_messages) & (x["bytes"] <= max_bytes - s["bytes"])
-        size = s["bytes"] + F.when(fits, x["bytes"]).otherwise(0)
-        row = F.struct(x["turn"].cast("long").alias("turn"), fits.alias("accepted"), size.alias("history_bytes"))
-        return F.struct((s["count"] + F.when(fits, 1).otherwise(0)).alias("count"), size.alias("bytes"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    return items.select("conv_id", F.inline(F.aggregate("items", zero, push, lambda s: s["out"])))
+    What is accepted depends on all before it, so each conversation is folded in order of its turns. Sizes come, not texts."""
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes")
+    items = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("turn").cast("long").alias("turn"), size))).alias("items"))
+
+    def work(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables:
+            accepted, held = [], []
+            for items in table.column(1):
+                count = used = 0
+                for size in items.values.field("bytes").to_pylist():
+                    fits = count < max_messages and size <= max_bytes - used
+                    count, used = count + fits, used + size * fits
+                    accepted.append(fits)
+                    held.append(used)
+            items = table.column(1)
+            key, turn = table.column(0).take(pc.list_parent_indices(items)), pc.list_flatten(items).field("turn")
+            yield pa.RecordBatch.from_arrays([key, turn, pa.array(accepted, pa.bool_()), pa.array(held, pa.int64())], ["conv_id", "turn", "accepted", "history_bytes"])
+
+    return items.mapInArrow(work, f"conv_id {messages.schema['conv_id'].dataType.simpleString()}, turn bigint, accepted boolean, history_bytes bigint")
 
 
 def chat_requests(messages: DataFrame) -> DataFrame:

@@ -127,7 +127,21 @@ def multipart_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("request_id", service.base_name(F.col("filename")).alias("name"), service.upload_error(F.col("filename"), F.col("content_type"), F.col("data")).alias("error_code"))
 
 
-QUERIES = [nested_ignored_files, multipart_parts, multipart_uploads, upload_validation, source_records, name_completion, granted_documents, export_warnings, shown_sizes, discover_files, ignored_files, discovery_report]
+def settings_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as settings files: their source and language as workspace and profile, faults by turns of nine."""
+    turn = F.col("doc_id") % 9
+    profile = lambda name: F.struct(name.alias("name"), F.lit("https://x.example/v1/").alias("base_url"), F.col("source").alias("model"))
+    body = F.to_json(F.struct(
+        F.when(turn == 2, 2).otherwise(1).alias("schema_version"),
+        F.when(turn.isin(1, 3), F.array(F.concat(F.when(turn == 1, "/w/").otherwise("w/"), "source"))).alias("write_workspaces"),
+        F.when(turn == 1, F.array(profile(F.col("lang")))).when(turn == 4, F.array(profile(F.col("lang")), profile(F.col("lang")))).when(turn == 7, F.array(profile(F.lit("")))).alias("remote_profiles"),
+        F.when(turn == 5, F.col("lang")).alias("theme"),
+    ))
+    text = F.when(turn == 6, F.rpad(body, 70_000, " ")).when(turn == 8, F.concat(F.lit("{"), F.coalesce("text", F.lit("")))).otherwise(body)
+    return documents(spark, sf_dir).select("doc_id", service.settings_valid(text).alias("valid"))
+
+
+QUERIES = [settings_checks, nested_ignored_files, multipart_parts, multipart_uploads, upload_validation, source_records, name_completion, granted_documents, export_warnings, shown_sizes, discover_files, ignored_files, discovery_report]
 
 _FILES = """SELECT doc_id, source || '/' || ['', 'sub/', '.git/', 'models/', 'a/node_modules/', 'out/', '.hidden/'][doc_id % 7 + 1] || 'd' || doc_id || ['.md', '.txt', '.exe', '.PDF', ''][doc_id % 5 + 1] AS path,
     strlen(text) * CASE WHEN doc_id % 13 = 0 THEN 1048576 ELSE 1 END AS byte_size, ['md', 'txt', NULL, 'pdf', NULL][doc_id % 5 + 1] AS format, doc_id % 7 IN (0, 1, 5) AND doc_id % 5 IN (0, 1, 3) AS usable FROM documents"""
@@ -135,6 +149,7 @@ _ASKED = ", ".join(f"('{t}')" for t in TYPED)
 _FORMS = """SELECT doc_id, lang, doc_id % 11 AS turn, '--cut.here' || e || replace(text, chr(10), e) || e || '--' AS body
     FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN chr(13) || chr(10) ELSE chr(10) END AS e FROM documents)"""
 SQL = {
+    "settings_checks": "SELECT doc_id, doc_id % 9 IN (0, 1) AS valid FROM documents",
     "multipart_parts": f"""WITH f AS ({_FORMS})
         SELECT doc_id AS request_id, CAST(0 AS BIGINT) AS part, 'note' AS name, NULL AS filename, NULL AS content_type, sha256(lang) AS data_digest, strlen(lang) AS n_bytes, NULL AS error_code FROM f WHERE turn NOT IN (2, 3, 4)
         UNION ALL SELECT doc_id, 1, 'file', 'dir/d' || doc_id || '.txt', 'text/plain; charset=utf-8', sha256(body), strlen(body), NULL FROM f WHERE turn NOT IN (2, 3, 4)
