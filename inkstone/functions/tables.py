@@ -34,6 +34,13 @@ def exists(spark: SparkSession, name: str) -> bool:
     return files.exists(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a settled table that no later step reads."""
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        files, path = _file_system(df.sparkSession, name)
+        files.delete(path, True)
+
+
 def uri(spark: SparkSession, name: str) -> str:
     """A folder's full address, as Spark shows it in front of its files' names."""
     files, path = _file_system(spark, name)

@@ -59,7 +59,7 @@ def counted(items: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without their ends; a final line end opens no further line."""
-    parts = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, "\r$", ""))
+    parts = F.transform(F.split(text, "\n"), lambda x: F.when(F.endswith(x, F.lit("\r")), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x))
     return F.when(text == "", F.array().cast("array<string>")).when(text.endswith("\n"), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 

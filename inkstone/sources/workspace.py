@@ -152,4 +152,6 @@ def write(files: DataFrame, root: str, allow_overwrite: bool = False) -> DataFra
 
     # a null path meets no verdict in a join by equality, so it is matched null-safely
     rows = files.select(F.col("path").alias("p"), F.col("content").cast("binary").alias("content")).join(verdicts, F.col("p").eqNullSafe(F.col("path"))).select("path", "content", "error_code")
-    return tables.settle(rows.mapInArrow(save, "path string, byte_size bigint, digest string, error_code string"), "written-files")
+    out = tables.settle(rows.mapInArrow(save, "path string, byte_size bigint, digest string, error_code string"), "written-files")
+    tables.discard(verdicts)
+    return out

@@ -61,6 +61,7 @@ class TermIndex:
         bm25.document_frequency(written).sort("term").write.mode("overwrite").parquet(place("terms"))
         held.agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_terms")).write.mode("overwrite").parquet(place("sizes"))
         self.spark.range(1).select(F.lit(batch).cast("long").alias("number")).coalesce(1).write.mode("overwrite").parquet(place("marks"))
+        tables.discard(held)
         return True
 
     def _read(self, part: str, schema: str) -> DataFrame:

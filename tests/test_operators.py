@@ -76,6 +76,10 @@ def test_bm25_with_repeated_terms_filter_and_neighbours(spark):
     asked = spark.createDataFrame([(7, "red fox"), (8, "whale"), (9, "")], "query_id long, query string")
     many = bm25.search_many(chunks, asked, 3).orderBy("query_id", "rank").collect()
     assert [(r.score, (r.doc_key, r.ordinal)) for r in many if r.query_id == 7] == brute_bm25(flat, "red fox", 3)
+    for limit in (1, 2, 5):
+        ways = [bm25.search_many(chunks, asked, limit, most_asked=n).orderBy("query_id", "rank").collect() for n in (0, 100)]
+        assert ways[0] == ways[1] and len(ways[0]) > 1
+    assert bm25.search_many(chunks, asked.where("query_id = 9"), 3).collect() == [] and bm25.search_many(chunks.where("false"), asked, 3).collect() == []
     near = bm25.neighbours(bm25.search(chunks, "whale", 1), chunks, 1)
     assert sorted((r.doc_key, r.ordinal) for r in near.collect()) == [(0, 0), (0, 1), (0, 2)]
 
