@@ -99,8 +99,10 @@ def kinds_of(docs: list[np.ndarray], toxic: np.ndarray, kinds: int = KINDS) -> n
     z = np.where(both >= 3, z, 0)
     words = np.argsort(-z, kind="stable")[:KIND_WORDS]
     words = np.sort(words[z[words] >= KIND_Z])
-    x = np.array([np.isin(words, docs[r]) for r in np.flatnonzero(toxic)], float).reshape(-1, len(words))
-    telling = x.any(axis=1) if len(words) else np.zeros(len(x), bool)
+    if not len(words):
+        return out
+    x = np.array([np.isin(words, docs[r]) for r in np.flatnonzero(toxic)], float)
+    telling = x.any(axis=1)
     x, at = x[telling], np.flatnonzero(toxic)[telling]
     if not len(x):
         return out
