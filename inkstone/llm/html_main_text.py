@@ -9,7 +9,8 @@ and roles are a prior: they multiply the ratios of the paths they stand over and
 Ratios can't see short blocks of the article, so the selected text then places the article: its article or main
 elements, or else the smallest element that holds nearly all of it. Inside, unmarked blocks are output too, and blocks
 under words that can mean either if they are headings or read like sentences. A heading such as "Comments" marks what
-follows it in its element.
+follows it in its element. Where no such element marks the article, unmarked paragraphs of sentences that stand directly
+in an element around it are output as well: its lead, for instance.
 
 Every page is a row of its own, so pages are read where they lie and nothing is shuffled. A page is read in time
 proportional to its length, however deep its elements nest.
@@ -312,11 +313,15 @@ def main_text(page: str | None) -> str:
         for tag, marked in inside.items():
             marked[k] = marked[e.parent] or e.tag == tag
     scope = next((marked for marked in inside.values() if 2 * sum(len(n.text) for n in chosen if marked[n.element]) >= total), None)
+    around: set[int] = set()  # elements that the scope lies in
     if scope is None:
         top = max((k for k in range(len(elements)) if held[k] >= 0.9 * total), default=-1)
         scope = [False] * len(elements) + [top < 0]
         for k, e in enumerate(elements):
             scope[k] = k == top or scope[e.parent]
+        while top >= 0:
+            top = elements[top].parent
+            around.add(top)
     paths = {(n.path, n.worth) for n in chosen}
     named = any(e.tag in ARTICLE_TAGS and scope[k] for k, e in enumerate(elements))
     whole: dict[int, list[Node]] = {}
@@ -338,6 +343,8 @@ def main_text(page: str | None) -> str:
                     fits[n.worth] = n.worth >= MAYBE and (n.tag in HEADINGS or _sentences(bare))
             if (n.path, n.worth) not in paths and scope[n.element] and fits.get(n.worth):
                 kept.append(n.text)
+            elif (n.path, n.worth) not in paths and not scope[n.element] and n.tag == "p" and n.worth == 1.0 and around & {n.element, elements[n.element].parent} and _sentences(bare):
+                kept.append(n.text)  # a paragraph in front of or behind the scope
         out.append(" ".join("".join(kept).split()))
     return " ".join(t for t in out if t)
 
