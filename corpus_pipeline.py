@@ -21,8 +21,8 @@ from inkstone.llm.queries import END_ID, SEQUENCE_TOKENS, TOKENIZER
 
 
 #: Rows that go to a Python worker at once. Spark's ten thousand would hold a whole input split, some fifty megabytes of
-#: texts, in the executor and again in the worker.
-BATCH_ROWS = 1000
+#: texts, in the executor and again in each of its workers, of which it may keep more than it has cores.
+BATCH_ROWS = 250
 
 
 def in_short_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:

@@ -52,7 +52,9 @@ SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares no band with probability 2e-5, one of 0.85 with 2e-8, however often shingles are repeated.
 BANDS, ROWS = 36, 6
 #: Words whose shingles a task holds at once, beside one whole text.
-RUN_WORDS = 400_000
+RUN_WORDS = 100_000
+#: Words whose hashes a worker keeps between texts. An executor may keep more workers than it has cores, and each keeps its own.
+HASHED_WORDS = 30_000
 #: Rounds of leaders before the comparison across classes.
 LEADERS = 3
 #: The most holders of a shingle that counts as rare in the comparison across classes; pairs beyond it meet in buckets.
@@ -69,7 +71,7 @@ class _Hashes(dict):
     """Word to 64-bit hash; starts afresh when it has grown large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) >= HASHED_WORDS:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

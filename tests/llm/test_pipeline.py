@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from inkstone.llm import quality_gam, quality_rules
+from inkstone.llm import near_dedup, quality_gam, quality_rules
 from inkstone.llm.common import settle
 
 from .test_operators import LOWER, brute_base, brute_classes
@@ -72,3 +72,13 @@ def test_stages_keep_all_columns(stages):
 def test_run(spark, sf_dir, stages):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.select("doc_id", "piece", "ids_crc32").exceptAll(stages[5].select("doc_id", "piece", "ids_crc32")).count() == 0
+
+
+def test_workers_keep_few_words_and_rows():
+    """An executor keeps several workers, and what each holds on to counts there."""
+    words = [f"w{k}" for k in range(100_000)]
+    whole, counts = near_dedup.shingles(words)
+    assert len(near_dedup._hash) <= near_dedup.HASHED_WORDS <= 50_000
+    assert corpus_pipeline.BATCH_ROWS <= 250 and near_dedup.RUN_WORDS <= 100_000
+    again, _ = near_dedup.shingles(words)  # words that were dropped meanwhile get the same hash
+    assert len(whole) == 99_996 and (counts == 1).all() and (whole == again).all()
