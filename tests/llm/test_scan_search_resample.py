@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 
 from inkstone.llm import importance_planes, queries, secret_cnn, shared_search
 from inkstone.llm.ascii_words import words
+from inkstone.llm.common import settle
 
 from .test_edge_cases import EXTRA, ROWS, SCHEMA
 
@@ -269,3 +270,26 @@ def test_long_candidates_are_seen_whole():
     v = secret_cnn.views(f.symbols, 0, 220).reshape(-1, secret_cnn.VIEW)
     inner = v[:, secret_cnn.BEFORE : secret_cnn.BEFORE + secret_cnn.INNER].reshape(-1)
     assert (inner[:220] == f.symbols).all() and not inner[220:].any()
+
+
+def test_network_is_trained_on_every_labelled_view(spark, monkeypatch):
+    """More findings than the 3,000 that were drawn once: each distinct view is in one shard, and the shards make one network."""
+    monkeypatch.setattr(secret_cnn, "SHARD_VIEWS", 1000)
+    rng = np.random.default_rng(8)
+    letters = np.array(list("0123456789abcdefghijklmnopqrstuvwxyz"))
+    value = lambda n: "".join(letters[rng.integers(0, 36, n)])
+    rows = [(i, f'some words token = "{value(30)}" and {"".join(letters[10:][rng.integers(0, 26, 20)])} more') for i in range(3500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scanned = settle(secret_cnn.scan_table(docs.union(docs.limit(50))), "test-scanned")
+    dealt = secret_cnn.shards(scanned)
+    want = {c: {bytes(v) for r in scanned.select(c).collect() for v in r[0]} for c in ("findings", "others")}
+    assert len(want["findings"]) == 3500 and dealt.count() == 7
+    for c, views in want.items():
+        held = [bytes(v) for r in dealt.select(c, f"held_{c}").collect() for part in r for v in part]
+        assert len(held) == len(views) and set(held) == views
+    monkeypatch.setattr(secret_cnn, "ROUNDS", 3)
+    net, again = secret_cnn.train(scanned), secret_cnn.train(scanned.repartition(9))
+    assert all((p == q).all() for p, q in zip(net.parameters(), again.parameters(), strict=True)) and net.threshold == again.threshold
+    show = lambda c: np.frombuffer(b"".join(want[c]), np.uint8).reshape(-1, secret_cnn.VIEW)
+    assert (net.probabilities(show("findings")) >= net.threshold).mean() > 0.97
+    assert (net.probabilities(show("others")) >= net.threshold).mean() < 0.05
