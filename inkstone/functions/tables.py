@@ -46,20 +46,3 @@ def uri(spark: SparkSession, name: str) -> str:
     files, path = _file_system(spark, name)
     found = path.makeQualified(files.getUri(), files.getWorkingDirectory()).toString()
     return found.rstrip("/")
-
-
-def matching_files(spark: SparkSession, pattern: str, most: int) -> list[tuple[str, bytes]]:
-    """Address and content of the small files that a pattern matches, hidden ones too; more than `most` are an error."""
-    files, path = _file_system(spark, pattern)
-    found = [s for s in files.globStatus(path) or [] if s.isFile()]
-    if len(found) > most:
-        raise ValueError(f"more than {most} files match {pattern}")
-    jvm = spark.sparkContext._jvm
-    out = []
-    for status in found:
-        stream = files.open(status.getPath())
-        try:
-            out.append((status.getPath().toString(), bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
-        finally:
-            stream.close()
-    return out

@@ -1,52 +1,110 @@
-"""Folders of files as DataFrames: a listing without contents, ignore rules, limits, and files written from tasks.
+"""Folders of files as DataFrames: a listing without contents, ignore rules, limits, and files read and written from tasks.
 
-Spark lists folders in parallel and reads contents only for files that pass. It passes over names that begin with a dot,
-which are hidden here too, and with an underscore, which are not: such files aren't seen. Links are resolved by the store.
+Tasks list folders in rounds and open only files that pass, in the stores that pyarrow opens; the driver holds no
+file's name, however many there are. Names that begin with a dot are hidden and not walked into, names that aren't UTF-8
+are passed over. Links are resolved by the store; one to a folder that it lies in isn't followed.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import os
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions import tables
 
 from . import discovery, formats, ignore
 
-MAX_RULE_FILES = 10_000
 RULE_FILE = ".gitignore"
+#: Columns of a listing; folders still to be listed have no length. Names that a task of the first round lists, four times
+#: as many in each further one. Rows, and bytes of contents, that a task hands over at once.
+LISTING = "path string, length bigint"
+LISTED_AT_ONCE, BATCH_ROWS, BATCH_BYTES = 10_000, 10_000, 16 << 20
 
 
-def _relative(root: str) -> Column:
-    """A file's path below root."""
-    return F.substring(F.col("path"), F.lit(len(root) + 2), F.length("path"))
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores, for tables of names are small and what stands behind a name isn't."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def _leads_up(path: str) -> bool:
+    """Whether a local path is a link to a folder that it lies in."""
+    return os.path.islink(path) and f"{os.path.realpath(os.path.dirname(path))}/".startswith(f"{os.path.realpath(path)}/")
 
 
 def listed(spark: SparkSession, root: str) -> DataFrame:
-    """path (below root) and byte_size of every file that Spark sees below root; no content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(_relative(tables.uri(spark, root)).alias("path"), F.col("length").alias("byte_size"))
+    """path (below root) and byte_size of every file below root that isn't hidden, empty ones too; no content is read."""
+    base = tables.uri(spark, root)
+
+    def look(most: int):
+        """Lists folders and what lies in them; those that are left when a task has seen `most` names come out as folders."""
+        from pyarrow import fs
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            store, home = _store(base)
+            local, seen = isinstance(store, fs.LocalFileSystem), 0
+            for batch in batches:
+                left = batch.column(0).to_pylist()
+                while left and seen < most:
+                    folder = left.pop()
+                    found = store.get_file_info(fs.FileSelector(f"{home}/{folder}".rstrip("/"), allow_not_found=bool(folder)))
+                    seen += len(found)
+                    for start in range(0, len(found), BATCH_ROWS):
+                        paths, sizes = [], []
+                        for info in found[start : start + BATCH_ROWS]:
+                            try:
+                                path = info.path
+                            except UnicodeDecodeError:
+                                continue
+                            if path.rpartition("/")[2].startswith("."):
+                                continue
+                            if info.is_file:
+                                paths.append(path[len(home) + 1 :])
+                                sizes.append(info.size)
+                            elif not (local and _leads_up(path)):
+                                left.append(path[len(home) + 1 :])
+                        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "length"])
+                if left:
+                    yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.nulls(len(left), pa.int64())], ["path", "length"])
+
+        return work
+
+    out = tables.work_dir(spark, "listing")
+    folders, rounds = spark.createDataFrame([("",)], "path string").coalesce(1), []
+    while not rounds or not folders.isEmpty():
+        dealt = _spread(folders) if rounds else folders
+        rounds.append(f"{out}/{len(rounds)}")
+        dealt.mapInArrow(look(LISTED_AT_ONCE * 4 ** (len(rounds) - 1)), LISTING).write.parquet(rounds[-1])
+        folders = spark.read.schema(LISTING).parquet(rounds[-1]).where("length IS NULL").select("path")
+    return spark.read.schema(LISTING).parquet(*rounds).where("length IS NOT NULL").select("path", F.col("length").alias("byte_size"))
 
 
 def rule_files(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
-    """folder and content of the ignore files below root, as deep as files (path) lie. They are hidden, so the store is asked
-    for them by name, level by level; content that isn't UTF-8 counts as empty."""
-    deepest = files.select(F.max(F.size(F.split("path", "/"))).alias("n")).first()["n"] or 1
+    """folder and content of the ignore files in the folders below root that files (path) lie in, or that stand above these;
+    content that isn't UTF-8 counts as empty."""
     base = tables.uri(spark, root)
-    found = []
-    for level in range(deepest):
-        for address, content in tables.matching_files(spark, "/".join([base, *["*"] * level, RULE_FILE]), MAX_RULE_FILES):
-            try:
-                found.append((address[len(base) + 1 :].rpartition("/")[0], content.decode("utf-8")))
-            except UnicodeDecodeError:
-                continue
-    return spark.createDataFrame(found, "folder string, content string")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, home = _store(base)
+        for batch in batches:
+            folders, contents = [], []
+            names = batch.column(0).to_pylist()
+            for folder, info in zip(names, store.get_file_info([f"{home}/{n}/{RULE_FILE}" if n else f"{home}/{RULE_FILE}" for n in names]), strict=True):
+                if info.is_file:
+                    with store.open_input_stream(info.path) as f, contextlib.suppress(UnicodeDecodeError):
+                        contents.append(f.read().decode("utf-8"))
+                        folders.append(folder)
+            yield pa.RecordBatch.from_arrays([pa.array(folders, pa.string()), pa.array(contents, pa.string())], ["folder", "content"])
+
+    own = files.select(ignore.parent(F.col("path")).alias("folder")).distinct()
+    above = own.select(F.explode(ignore.folders_above(F.col("folder"))).alias("folder")).distinct()
+    return tables.settle(_spread(above).mapInArrow(look, "folder string, content string"), "rule-files")
 
 
 def discovered(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
@@ -75,23 +133,25 @@ def in_order(files: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, root: str, found: DataFrame) -> DataFrame:
-    """path, format, byte_size, content of the usable files of found, a discovery of root.
+    """path, format, byte_size, content of the usable files of found, a discovery of root. Only they are opened."""
+    base = tables.uri(spark, root)
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, home = _store(base)
+        names = ["path", "format", "byte_size", "content"]
+        for batch in batches:
+            at, contents, held = 0, [], 0
+            for n, path in enumerate(batch.column(0).to_pylist(), 1):
+                with store.open_input_stream(f"{home}/{path}") as f:
+                    contents.append(f.read())
+                held += len(contents[-1])
+                if held >= BATCH_BYTES or n == batch.num_rows:
+                    part = batch.slice(at, n - at)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(contents, pa.binary())], names)
+                    at, contents, held = n, [], 0
 
-    Of up to MAX_FILES, the most that a workspace may have, only they are opened. Beyond that all files of known formats
-    and sizes are scanned, and a semi-join keeps the usable ones."""
     usable = found.where("status = 'usable'").select("path", "format", "byte_size")
-    base = tables.uri(spark, root)
-    names = [r["path"] for r in usable.select("path").limit(discovery.MAX_FILES + 1).collect()]
-    source = spark.read.format("binaryFile")
-    if not names:
-        return usable.withColumn("content", F.lit(None).cast("binary"))
-    if len(names) <= discovery.MAX_FILES:
-        escaped = [f"{base}/" + "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in n) for n in names]
-        files = source.load(escaped)
-    else:
-        endings = ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in formats.EXTENSIONS)
-        files = source.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{endings}}}").load(root).where(F.col("length") <= discovery.MAX_FILE)
-    return files.select(_relative(base).alias("path"), "content").join(usable, "path").select("path", "format", "byte_size", "content")
+    return _spread(usable).mapInArrow(load, "path string, format string, byte_size bigint, content binary")
 
 
 #: Why a file isn't written.
@@ -101,7 +161,9 @@ ESCAPES, REPEATED, DENIED = "path_escape", "repeated_path", "binary_source_overw
 def _store(root: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(root.replace("file:/", "file:///", 1) if root.startswith("file:/") and not root.startswith("file://") else root)
+    if root.startswith("file:/"):  # as a path, for an address may not have spaces in it
+        return fs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(root)
 
 
 def _outside(path: str | None) -> bool:
