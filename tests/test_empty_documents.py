@@ -26,7 +26,7 @@ def odd_dir(spark, sf_dir, tmp_path_factory):
     return root
 
 
-@pytest.mark.parametrize("name", ["markdown_blocks", "markdown_inline_runs", "render_markdown", "render_plain", "positional_diff_counts", "positional_diff_text", "workspace_files"])
+@pytest.mark.parametrize("name", ["markdown_blocks", "markdown_inline_runs", "render_markdown", "render_plain", "positional_diff_counts", "positional_diff_text", "workspace_files", "workspace_report"])
 def test_query_matches_sql_on_empty_documents(spark, odd_dir, name):
     got = catalogue.queries()[name](spark, odd_dir)
     con = duckdb.connect()
