@@ -52,3 +52,12 @@ def test_every_file_is_listed_and_read(spark, tmp_path, monkeypatch, at_once):
     assert {r.path: r.byte_size for r in files.collect()} == {p: len(t) for p, t in want.items()} and files.count() == len(want)
     found = workspace.discovered(files, workspace.rule_files(spark, str(root), files))
     assert {r.path: bytes(r.content).decode() for r in workspace.read(spark, str(root), found).collect()} == want
+
+
+def test_the_driver_holds_no_list_of_a_workspace_s_files(spark, tmp_path):
+    for n in range(50):
+        (tmp_path / f"d{n}.md").write_text("x")
+    files = workspace.listed(spark, str(tmp_path))
+    found = workspace.discovered(files, workspace.rule_files(spark, str(tmp_path), files))
+    read = workspace.read(spark, str(tmp_path), found)
+    assert read.count() == 50 and not [f for f in read.inputFiles() if f.endswith(".md")]
